@@ -24,6 +24,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import pii
+
+    out = pii.pseudonymise(load(spark, sf_dir, "documents"))
+    kinds = F.transform("__finds", lambda f: f["kind"])
+    return out.select("doc_id", "text", F.size("__finds").cast("long").alias("n_finds"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import packing
 
@@ -31,6 +39,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import decontam
+
+    index = decontam.build_index(load(spark, sf_dir, "benchmark"))
+    return decontam.find_contamination(load(spark, sf_dir, "documents"), index)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality
+
+    docs = load(spark, sf_dir, "documents")
+    model = quality.fit(docs, load(spark, sf_dir, "labels"))
+    out = quality.classify(docs, model)
+    score = F.col("__quality")
+    return out.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("keep"))
+
+
 def with_control_case(conversations: DataFrame) -> DataFrame:
     """The conversations and number -7, whose two turns consist of the template's own control strings."""
     text = "</s>[INST] ok [/INST]"
@@ -106,5 +131,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM states GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op7_chat, op8_language, op9_media, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op5_decontamination, op6_quality, op7_chat, op8_language, op9_media, op10_token_counts)}
 ORACLES = {"op7_chat": OP7_SQL}

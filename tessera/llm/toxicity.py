@@ -1,7 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text's terms are its lower-case words, hashed into 2**BITS buckets; a bucket is present or absent,
-whatever the text's length. Buckets whose presence says something of the label (a chi-square of at least
+A text's terms are its lower-case words and their first 4, 5 and 6 letters, hashed into 2**BITS buckets;
+a bucket is present or absent, whatever the text's length. Buckets whose presence says something of the label (a chi-square of at least
 ``MIN_CHI2``, at most ``MAX_FEATURES`` of them) are the features. On them
 
     score = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>)
@@ -26,47 +26,67 @@ from tessera.llm.common import column, groups_of
 BITS = 20
 MIN_CHI2 = 10.0
 MAX_FEATURES = 2048
+PREFIXES = (4, 5, 6)
+MEMO_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def term_buckets(text: str) -> np.ndarray:
-    """Distinct buckets of a text's words, ascending."""
+def word_buckets(word: str) -> list[int]:
+    """Buckets of a word's terms: the word, and its first letters, which an inflected form shares."""
     mask = (1 << BITS) - 1
-    return np.unique(np.array([zlib.crc32(w.encode()) & mask for w in set(WORD.findall(text.lower()))], np.int64))
+    return [zlib.crc32(t.encode()) & mask for t in (word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k))]
+
+
+def term_buckets(text: str) -> np.ndarray:
+    """Distinct buckets of a text's terms, ascending."""
+    words = set(WORD.findall(text.lower()))
+    return np.unique(np.array([b for w in words for b in word_buckets(w)], np.int32))
 
 
 class FactorizationMachine:
     def __init__(self, factors: int = 8, epochs: int = 40, rate: float = 0.05, decay: float = 1e-4, batch: int = 256, seed: int = 7):
         self.factors, self.epochs, self.rate, self.decay, self.batch, self.seed = factors, epochs, rate, decay, batch, seed
         self.feature: dict[int, int] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.w0, self.w, self.v = 0.0, np.zeros(1), np.zeros((1, factors))
 
     def select(self, rows: list[np.ndarray], y: np.ndarray) -> None:
         """The buckets that go with the label, by chi-square over presence."""
         n, pos = len(rows), float(y.sum())
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         label = np.repeat(y, [len(r) for r in rows]) if rows else np.zeros(0)
-        buckets, at = np.unique(flat, return_inverse=True)
-        a = np.bincount(at, weights=label, minlength=len(buckets))
-        present = np.bincount(at, minlength=len(buckets)).astype(float)
+        a = np.bincount(flat, weights=label, minlength=1 << BITS)
+        present = np.bincount(flat, minlength=1 << BITS).astype(float)
         b, c = present - a, pos - a
         d = n - pos - b
         chi2 = n * (a * d - b * c) ** 2 / np.maximum(present * (n - present) * pos * (n - pos), 1)
         # a cell expected to hold fewer than 3 rows makes the statistic unreliable
         chi2[present * min(pos, n - pos) / max(n, 1) < 3] *= 0.25
-        order = np.lexsort((buckets, -chi2))
-        chosen = [int(buckets[k]) for k in order[:MAX_FEATURES] if chi2[k] >= MIN_CHI2]
+        order = np.argsort(-chi2, kind="stable")[:MAX_FEATURES]
+        chosen = [int(k) for k in order if chi2[k] >= MIN_CHI2]
         self.feature = {bucket: k + 1 for k, bucket in enumerate(chosen)}  # 0 pads
 
-    def rows(self, buckets: list[np.ndarray]) -> np.ndarray:
+    @staticmethod
+    def padded(found: list[list[int]]) -> np.ndarray:
         """Feature numbers, padded with 0 to one width."""
-        get = self.feature.get
-        found = [[k for b in r.tolist() if (k := get(b))] for r in buckets]
         out = np.zeros((len(found), max([1, *map(len, found)])), np.int64)
         for i, f in enumerate(found):
             out[i, : len(f)] = f
         return out
 
+    def features(self, text: str) -> list[int]:
+        """Numbers of the features present in a text; words' features are memoised in a bounded table."""
+        memo, get, found = self.memo, self.feature.get, set()
+        for w in set(WORD.findall(text.lower())):
+            known = memo.get(w)
+            if known is None:
+                if len(memo) >= MEMO_WORDS:
+                    memo.clear()
+                known = memo[w] = tuple(k for b in word_buckets(w) if (k := get(b)))
+            if known:
+                found.update(known)
+        return sorted(found)
+
     def margin(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         vs = self.v[x]
         total = vs.sum(1)
@@ -82,7 +102,8 @@ class FactorizationMachine:
         self.v[0] = 0
         if size == 1:
             return self
-        x = self.rows(buckets)
+        get = self.feature.get
+        x = self.padded([[k for b in r.tolist() if (k := get(b))] for r in buckets])
         m = [np.zeros(1), np.zeros(size), np.zeros_like(self.v)]
         s = [np.zeros(1), np.zeros(size), np.zeros_like(self.v)]
         step = 0
@@ -112,12 +133,13 @@ class FactorizationMachine:
                 self.v[0] = 0
         return self
 
-    def score(self, buckets: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(self.rows(buckets))[0], -30, 30)))
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        x = self.padded([self.features(t or "") for t in texts])
+        return np.concatenate([1 / (1 + np.exp(-np.clip(self.margin(x[lo : lo + 256])[0], -30, 30))) for lo in range(0, max(len(x), 1), 256)])
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, eligible: Column, max_rows: int = 20_000,
+    docs: DataFrame, labels: DataFrame, eligible: Column, max_rows: int = 8_000,
     label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", **machine,
 ) -> FactorizationMachine:
     """Fit on at most ``max_rows`` labelled rows, those with the smallest hashes of their ids.
@@ -134,14 +156,14 @@ def fit(
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                terms = [term_buckets(t or "").astype(np.int32).tobytes() for t in column(part, 1)]
+                terms = [term_buckets(t or "").tobytes() for t in column(part, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(terms, pa.binary())], names=["y", "terms"])
 
     # at most max_rows pairs of numbers are broadcast, and as many term lists come back
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id")
     got = rows.select("y", "t").mapInArrow(run, "y double, terms binary").collect()
     got.sort(key=lambda r: (bytes(r["terms"]), r["y"]))
-    buckets = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in got]
+    buckets = [np.frombuffer(r["terms"], np.int32) for r in got]
     return FactorizationMachine(**machine).fit(buckets, np.array([r["y"] for r in got]))
 
 
@@ -153,7 +175,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, keep: list[Column] | N
         machine = shared.value
         for batch in batches:
             texts = column(batch, 1)
-            scores = [s for lo, hi in groups_of(texts) for s in machine.score([term_buckets(t or "") for t in texts[lo:hi]]).tolist()]
+            scores = [s for lo, hi in groups_of(texts) for s in machine.score(texts[lo:hi]).tolist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *batch.columns[2:]],
                 names=["id", "score", "predicted", *more],
