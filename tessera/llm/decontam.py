@@ -7,8 +7,8 @@ pass that sums A^T (A Q) over blocks of passages, so the driver holds only terms
 Search: every document is cut into overlapping windows of ``WINDOW`` words; a window's vector is the sum
 of its words' weighted latent vectors, and every window of every document is compared with all benchmark
 passages, in blocks: by cosine, and by how far it reaches along the passage's direction, since a window
-with a single known word has a high cosine with the passages that hold that word. A window that lacks so many distinctive words that no passage could reach
-the least common subsequence is skipped; this loses nothing (``least_distinctive``).
+with a single known word has a high cosine with the passages that hold that word. Passages of which a
+document has too few distinctive words for the check below are left out of its search; this loses nothing.
 
 Check: of a candidate the longest common subsequence of words between the passage and the surroundings
 of the window must cover ``MIN_LCS`` of the passage, or ``MIN_PARAPHRASE`` of it if the passage's answer
@@ -86,9 +86,17 @@ class Index:
         rare = max(2, n // 20)
         self.distinctive = np.array([df[w] <= rare for w in sorted(df)], bool) if df else np.zeros(0, bool)
         self.words = [[self.terms[w] for w in ws] for _, ws, _ in items]
-        # of a passage with r distinctive words of L, a common subsequence of MIN_PARAPHRASE * L words has this many
-        counts = [int(self.distinctive[ws].sum()) - math.floor((1 - MIN_PARAPHRASE) * len(ws)) for ws in self.words]
-        self.least_distinctive = max(0, min(counts, default=0))
+        # Each word that a common subsequence leaves out takes away one distinctive word at most, so a
+        # document that holds passage k has at least least[k] of its different distinctive words.
+        rare_words = [{w for w in ws if self.distinctive[w]} for ws in self.words]
+        self.least = np.array(
+            [max(0, min(len(r) - math.floor((1 - MIN_LCS) * len(ws)), math.ceil(MIN_PARAPHRASE * len(r)))) for r, ws in zip(rare_words, self.words, strict=True)], np.int64
+        )
+        pairs = np.array([(w, k) for k, r in enumerate(rare_words) for w in r], np.int64).reshape(-1, 2)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        self.holders = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1))
+        self.always = np.flatnonzero(self.least == 0)
         self.basis = np.zeros((len(self.terms), 0), np.float32)
         self.rows = np.zeros((len(items), 0), np.float32)
 
@@ -175,6 +183,17 @@ class Searcher:
             got = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
         return got[got != -2]
 
+    def possible(self, ids: np.ndarray) -> np.ndarray:
+        """Passages of which the document has enough distinctive words for any common subsequence asked for."""
+        index = self.index
+        rare = np.unique(ids[self.is_distinctive[ids]])
+        lo, hi = index.first[rare], index.first[rare + 1]
+        if not len(rare):
+            return index.always
+        held = np.concatenate([index.holders[a:b] for a, b in zip(lo, hi, strict=True)])
+        item, hits = np.unique(held, return_counts=True)
+        return np.union1d(item[hits >= index.least[item]], index.always)
+
     def search(self, text: str) -> list[tuple[int, float, float]]:
         """(passage, cosine, share of the passage in the longest common subsequence) of what the text holds."""
         index = self.index
@@ -182,15 +201,13 @@ class Searcher:
         n = len(ids)
         if n == 0 or not index.items:
             return []
-        rare = np.zeros(n + 1, np.int32)
-        np.cumsum(self.is_distinctive[ids], out=rare[1:])
-        if rare[-1] < index.least_distinctive:
+        active = self.possible(ids)
+        if not len(active):
             return []
         starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
         ends = np.minimum(starts + WINDOW, n)
-        # a passage may be longer than a window: its whole neighbourhood counts for the bound
-        wide_lo, wide_hi = np.maximum(starts - self.longest, 0), np.minimum(ends + self.longest, n)
-        keep = np.flatnonzero(rare[wide_hi] - rare[wide_lo] >= index.least_distinctive)
+        rows, least_along = index.rows[active], self.least_along[active]
+        keep = np.arange(len(starts))
         found: dict[int, tuple[float, float]] = {}
         for lo in range(0, len(keep), 512):
             at = keep[lo : lo + 512]
@@ -201,16 +218,18 @@ class Searcher:
             base = (starts[at] - first) // STRIDE
             vectors = sum(blocks[base + k] for k in range(WINDOW // STRIDE))
             norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-            along = vectors @ index.rows.T
+            along = vectors @ rows.T
             cosine = along / np.maximum(norm, 1e-9)
-            near_enough = (cosine >= MIN_COSINE) & (along >= self.least_along)
+            near_enough = (cosine >= MIN_COSINE) & (along >= least_along)
             for k, item in zip(*np.nonzero(near_enough), strict=True):
-                words, c = index.words[item], float(cosine[k, item])
+                item, c = active[item], float(cosine[k, item])
+                words = index.words[item]
                 a, b = max(0, starts[at[k]] - len(words) - 8), min(n, ends[at[k]] + len(words) + 8)
                 best = found.get(int(item), (0.0, 0.0))
-                if best[1] >= 0.999 and best[0] >= c:
-                    continue
                 near = ids[a:b].tolist()
+                # a subsequence has no more words than both have in common
+                if best[1] >= 0.999 or sum(map(set(near).__contains__, words)) < MIN_PARAPHRASE * len(words):
+                    continue
                 share = common_subsequence(words, near) / len(words)
                 tail = words[len(words) - index.items[item][2] :]
                 answered = share >= MIN_PARAPHRASE and common_subsequence(tail, near) >= MIN_ANSWER * len(tail)

@@ -39,6 +39,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import ngram_join
+
+    return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import decontam
 
@@ -131,5 +137,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM states GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op5_decontamination, op6_quality, op7_chat, op8_language, op9_media, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_ngram_join, op5_decontamination, op6_quality, op7_chat, op8_language, op9_media, op10_token_counts)}
 ORACLES = {"op7_chat": OP7_SQL}
