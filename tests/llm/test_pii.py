@@ -1,0 +1,104 @@
+import datetime
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import pii
+
+KEY = "k1"
+
+
+def keyed(*parts):
+    return int(hashlib.sha256("|".join([KEY, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+
+def feistel(n, half, tweak):
+    left, right = divmod(n, half)
+    for k in range(pii.ROUNDS):
+        left, right = right, (left + keyed(tweak, k, right)) % half
+    return left * half + right
+
+
+def walk(n, size, half, tweak):
+    n = feistel(n, half, tweak)
+    while n >= size:
+        n = feistel(n, half, tweak)
+    return n
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d)) % 10
+
+
+def refill(shape, new):
+    it = iter(new)
+    return re.sub(r"\d", lambda _: next(it), shape)
+
+
+def brute(found):
+    d = re.sub(r"\D", "", found)
+    if "@" in found:
+        return "user" + hashlib.sha256(f"{KEY}|mail|{found.lower()}".encode()).hexdigest()[:12] + "@example.invalid"
+    if re.fullmatch(pii.PHONE, found):
+        return refill(found, d[:-10] + f"{feistel(int(d[-10:]), 10**5, 'phone'):010d}")
+    if re.fullmatch(pii.ADDRESS, found):
+        n = feistel(sum(int(o) << 8 * (3 - k) for k, o in enumerate(found.split("."))), 2**16, "address")
+        return ".".join(str(n >> 8 * k & 255) for k in (3, 2, 1, 0))
+    if re.fullmatch(pii.CARD, found):
+        if luhn(d):
+            return found
+        head = f"{feistel(int(d[:14]), 10**7, 'card'):014d}"
+        body = head + str((int(d[14]) + keyed("card15", head)) % 10)
+        return refill(found, body + str(-luhn(body + "0") % 10))
+    if re.fullmatch(pii.SOCIAL, found):
+        return refill(found, f"{walk(int(d), 10**9, 31623, 'social'):09d}")
+    if re.fullmatch(pii.DATE, found):
+        try:
+            day = datetime.date.fromisoformat(found)
+        except ValueError:
+            return found
+        zero = datetime.date(1900, 1, 1)
+        return (zero + datetime.timedelta(days=walk((day - zero).days, 73049, 271, "date"))).isoformat()
+    if re.search("[0-9]", found):
+        h = hashlib.sha256(f"{KEY}|secret|{found}".encode()).hexdigest()[: len(found)]
+        return h.upper() if found.upper() == found else h
+    return found
+
+
+TEXTS = [
+    "card 4539578763621486 and 4539 5787 6362 1486, not 4539578763621487 nor 45395787636214861",
+    "call +1 (389) 555-5010 or +44 (020) 555-0000; mail und.34@mail7.example.com, UND.34@mail7.example.com!!",
+    "at 226.203.165.10, not 300.1.1.1 nor 1.2.3.4.5, version 4.0.",
+    "born 1987-02-28, not 1987-02-30; number 123-45-6789",
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"### deadbeef abcdefabcdefabcdefabcdefabcdefab',
+    "nothing here", "@ 5", "4539578763621486",
+]
+
+
+def test_against_brute_force(make_docs, odd):
+    texts = TEXTS + odd
+    out = {r.doc_id: r for r in pii.pseudonymise(make_docs(texts), KEY).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert out[i].text is None and out[i]["__finds"] in (None, [])
+        else:
+            assert out[i].text == re.sub(pii.ANY, lambda m: brute(m.group()), text)
+            assert [f.value for f in out[i]["__finds"]] == [m for m in re.findall(pii.ANY, text) if brute(m) != m]
+    assert [f.kind for f in out[0]["__finds"]] == ["card", "card"]
+    assert out[7].text in out[0].text and luhn(out[7].text) == 0
+    assert out[0].columns if hasattr(out[0], "columns") else out[0].lang == "en"
+    assert pii.pseudonymise(make_docs([]), KEY).count() == 0
+
+
+@pytest.mark.parametrize(("size", "half"), [(100, 10), (73, 9)])
+def test_permutation(spark, size, half):
+    got = [r[0] for r in spark.range(size).select(pii.walk(F.col("id"), size, half, KEY, "t")).collect()]
+    assert sorted(got) == list(range(size)) and got != list(range(size))
+    assert got == [walk(i, size, half, "t") for i in range(size)]
+
+
+def test_plan_has_no_python(make_docs):
+    plan = pii.pseudonymise(make_docs(TEXTS))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
