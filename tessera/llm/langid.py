@@ -116,20 +116,23 @@ class CrossParser:
             grid[: size[i], k] = self.symbol[pieces[i]]
         live = np.searchsorted(-sorted_size, -np.arange(1, sorted_size[0] + 1), side="right")
         for lang, start in enumerate(self.start):
-            state = np.full(len(pieces), start * self.symbols, np.int32)
-            found = np.ones(len(pieces), np.int32)
-            root = (self.table[start * self.symbols : (start + 1) * self.symbols]) * self.symbols
+            begin = np.int32(start * self.symbols)
+            state = np.full(len(pieces), begin, np.int32)
+            found = np.zeros(len(pieces), np.int32)
+            root = self.table[begin : begin + self.symbols] * self.symbols
             table = self.table
             for t in range(sorted_size[0]):
                 n = live[t]
-                c = grid[t, :n]
-                to = table[state[:n] + c]
-                stuck = np.flatnonzero(to == 0)
+                c, now = grid[t, :n], state[:n]
+                to = table[now + c]
+                fresh = now == begin
+                fresh |= to == 0
+                found[:n] += fresh
                 to *= self.symbols
+                stuck = np.flatnonzero(to == 0)
                 if len(stuck):
-                    found[stuck] += 1
                     again = root[c[stuck]]
-                    to[stuck] = np.where(again == 0, start * self.symbols, again)
+                    to[stuck] = np.where(again == 0, begin, again)
                 state[:n] = to
             np.add.at(counts[:, lang], np.array(owner)[order], found)
         return counts
