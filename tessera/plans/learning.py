@@ -165,3 +165,12 @@ def _(spark, d):
 def _(spark, d):
     values = L.singular_values(lines(spark, d), X)
     return spark.createDataFrame(list(enumerate(values)), "k int, value double")
+
+
+@query("l5_newton_steps", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope FROM lineitem")
+def _(spark, d):
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    raw = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(lines(spark, d))
+    m = GeneralizedLinearRegression(family="gaussian", link="identity", maxIter=10).fit(raw)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 3),)], "slope double")

@@ -189,3 +189,24 @@ def _(spark, d):
     load_all(spark, d, "orders")["orders"].select("o_orderkey", "o_totalprice").repartition(20).write.parquet(a)
     OUT.compact(spark, a, b)
     return spark.read.parquet(b)
+
+
+@query("s11_recursive_discovery", "SELECT CAST(count(*) AS BIGINT) AS folders FROM (SELECT DISTINCT n_regionkey FROM nation) t")
+def _(spark, d):
+    path = fresh(spark, "s11")
+    load_all(spark, d, "nation")["nation"].coalesce(1).write.partitionBy("n_regionkey").json(path)
+    f = IN.read_files(spark, path, "*.json")
+    return f.select(F.regexp_extract("filename", "n_regionkey=([0-9]+)", 1).alias("k")).agg(F.count_distinct("k").alias("folders"))
+
+
+@query("k2_single_json_file", "SELECT CAST(1 AS BIGINT) AS files")
+def _(spark, d):
+    path = fresh(spark, "k2")
+    OUT.write_json_lines(load_all(spark, d, "nation")["nation"].repartition(4), path)
+    return IN.read_files(spark, path, "*.json").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("s14_lookup_exists", "SELECT count(*) > 0 AS found FROM supplier WHERE lower(s_name) = lower('SUPPLIER#000000003')")
+def _(spark, d):
+    s = load_all(spark, d, "supplier")["supplier"]
+    return spark.sql("SELECT count(*) > 0 AS found FROM {s} WHERE lower(s_name) = lower(:name)", args={"name": "SUPPLIER#000000003"}, s=s)
