@@ -108,7 +108,7 @@ def exact_nearest(points: DataFrame, queries: DataFrame, k: int, most_queries: i
                     continue
                 v = np.array(batch.column(1).to_pylist(), float)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                own = np.array(batch.column(0).to_pylist())
+                own, kind = np.array(batch.column(0).to_pylist()), batch.column(0).type
                 s = q @ v.T
                 s[names[:, None] == own[None, :]] = -np.inf
                 n = min(k, s.shape[1])
@@ -116,7 +116,7 @@ def exact_nearest(points: DataFrame, queries: DataFrame, k: int, most_queries: i
                 rows = np.repeat(np.arange(len(names)), n)
                 best = s[rows, at.ravel()]
                 ok = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows[ok]]), pa.array(own[at.ravel()[ok]]), pa.array(best[ok])], names=["query", "id", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[rows[ok]]).cast(kind), pa.array(own[at.ravel()[ok]]).cast(kind), pa.array(best[ok])], names=["query", "id", "similarity"])
 
         found = points.select("id", F.col("v").cast("array<double>")).mapInArrow(run, f"query {ids}, id {ids}, similarity double")
         out = found if out is None else out.unionByName(found)

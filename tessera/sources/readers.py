@@ -32,7 +32,10 @@ def numeric_schema(columns: int, label: str | None = "label", label_first: bool
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """(filename, content, checksum, size): files as rows, found recursively by a name pattern."""
+    """(filename, content, checksum, size): files as rows, found recursively by a name pattern.
+
+    Spark's file sources pass over files of no bytes, so those have no row.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
     return files.select(F.col("path").alias("filename"), "content", F.sha2("content", 256).alias("checksum"), F.col("length").alias("size"))
 
