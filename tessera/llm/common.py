@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -28,3 +30,35 @@ def groups_of(texts: list, max_chars: int = 2_000_000) -> Iterator[tuple[int, in
 
 def column(batch: pa.RecordBatch, i: int) -> list:
     return batch.column(i).to_pylist()
+
+
+_holder: list = ["", None]
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, as far as the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def hold(name: str, release: Callable[[], None] | None = None) -> None:
+    """Called by a worker's step before it uses its memo: lets go of the memo of the step before.
+
+    Python workers outlive stages, so without this each operator's table would stay beside the next one's.
+    """
+    if _holder[0] != name:
+        if _holder[1] is not None:
+            _holder[1]()
+        _holder[:] = [name, release]
+        _trim()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut smaller, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.storage import discard, materialise
@@ -30,8 +30,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialise(links.where("a != b").select("a", "b").distinct(), "cc")
     sign = None
     for _ in range(most_rounds):
-        nxt = materialise(_small_star(_large_star(edges)), "cc")
-        now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first()
+        seen = Observation()  # counted while the round is written
+        stars = _small_star(_large_star(edges)).observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("x"), F.sum(F.xxhash64("b", "a") % 999_983).alias("y")
+        )
+        nxt = materialise(stars, "cc")
+        now = seen.get
         discard(edges)
         edges = nxt
         if now == sign:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column
+from tessera.llm.common import column, hold, slices
 
 RANK = 64
 OVERSAMPLE = 16
@@ -173,7 +173,7 @@ class Searcher:
         try:
             got = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
         except KeyError:
-            if len(memo) > 500_000:
+            if len(memo) > 300_000:
                 memo.clear()
             get = self.index.terms.get
             for w in set(words):
@@ -248,6 +248,7 @@ _searchers: dict[str, Searcher] = {}
 
 def searcher_for(key: str, shared) -> Searcher:
     """One searcher a worker: the index is broadcast once, its memo lives across tasks."""
+    hold("decontam", lambda: (_searchers.clear(), _trimmed.clear()))
     if key not in _searchers:
         _searchers.clear()
         _searchers[key] = Searcher(shared.value)
@@ -264,7 +265,7 @@ def find_contamination(docs: DataFrame, index: Index, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = searcher_for(key, shared)
-        for batch in batches:
+        for batch in slices(batches):
             row, item, cosine, share = [], [], [], []
             for i, text in enumerate(column(batch, 1)):
                 for k, c, s in searcher.search(text or ""):

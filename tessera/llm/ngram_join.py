@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column
+from tessera.llm.common import column, hold
 from tessera.llm.components import components
 from tessera.storage import discard, materialise
 
@@ -50,7 +50,7 @@ class _Words(dict):
     """Word to 64-bit hash, memoised in a bounded table."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -170,6 +170,7 @@ def shingle_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFra
     """(id, s1, s2, n, tokens): s1, s2 sign the set; tokens only at the first such set of a task's batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("shingles", _words.clear)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
@@ -196,9 +197,10 @@ def _token_blocks(sets: DataFrame, parts: int, percent: int) -> DataFrame:
     """Each set's smallest hashes dealt by hash, one row a part and batch: hashes, and runs (node, length, need)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("join")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4000):
-                part = batch.slice(lo, 4000)
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
                 heads, needs = [], []
                 for raw in column(part, 1):
                     t = np.frombuffer(raw, np.uint64)
@@ -248,7 +250,7 @@ def _shared_counts(block: pd.DataFrame) -> pd.DataFrame:
 def survivors(sets: DataFrame, percent: int, most_broadcast: int = 2_000_000) -> DataFrame:
     """(node, n, tokens) of the sets that step 2 doesn't rule out, each once."""
     total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = int(min(20_000, max(16, total // 1_500_000 + 1)))
+    parts = int(min(50_000, max(16, total // 1_000_000 + 1)))
     counts = _token_blocks(sets, parts, percent).groupBy("part").applyInPandas(_shared_counts, "node long, need int, shared long")
     ids = counts.groupBy("node").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select(F.col("node").alias("s1"))
     ids = materialise(ids, "join-alive-ids")
@@ -258,23 +260,37 @@ def survivors(sets: DataFrame, percent: int, most_broadcast: int = 2_000_000) ->
     return rows.withColumn("k", F.row_number().over(order)).where("k = 1").select(F.col("s1").alias("node"), "n", "tokens")
 
 
+def _blocks_in(group: pd.DataFrame, *keys: str) -> tuple[dict[str, np.ndarray], Iterator[slice]]:
+    """A group's columns, sorted, and the slices with one value of ``keys``."""
+    order = np.lexsort([group[k].to_numpy() for k in ("node", *reversed(keys))])
+    columns = {c: group[c].to_numpy()[order] for c in group.columns}
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([columns[k][1:] != columns[k][:-1] for k in keys], axis=0)
+    edges = [*np.flatnonzero(new).tolist(), len(order)]
+    return columns, (slice(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi > lo + 1)
+
+
 def _chunk_links(percent: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        """Links that join different components among a chunk's nodes."""
-        block = block.sort_values("node").drop_duplicates("node")
-        sets = [np.frombuffer(t, np.uint64) for t in block["tokens"]]
-        nodes, roots = block["node"].to_numpy(), block["root"].to_numpy()
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Links that join different components among the nodes of each chunk."""
+        hold("join")
+        columns, blocks = _blocks_in(group, "key", "chunk")
+        found = [x for at in blocks for x in links(columns["node"][at].tolist(), columns["root"][at].tolist(), columns["tokens"][at])]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    def links(nodes: list[int], roots: list[int], tokens: np.ndarray) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(t, np.uint64) for t in tokens]
         tree, union = CountTree(np.array([group_counts(s) for s in sets]), percent), Union(len(sets))
         first: dict[int, int] = {}
-        for i, r in enumerate(roots.tolist()):
+        for i, r in enumerate(roots):
             union.join(i, first.setdefault(r, i))
         found = []
         for i in range(len(sets)):
             for j in tree.query(tree.points[i]).tolist():
                 if j < i and union.find(i) != union.find(j) and linked(sets[i], sets[j], percent):
                     union.join(i, j)
-                    found.append((int(nodes[i]), int(nodes[j])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+                    found.append((nodes[i], nodes[j]))
+        return found
 
     return run
 
@@ -289,6 +305,7 @@ def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: in
     """Links from blocks (key, node), and the components they make."""
     links, roots = None, None
     spark = keyed.sparkSession
+    buckets = max(64, keyed.count() // CHUNK)
     for round_ in range(most_rounds):
         rows = _rooted(keyed, roots)
         if roots is not None:  # one node of each component and key goes on
@@ -297,7 +314,9 @@ def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: in
         rows = rows.join(size, "key")
         chunk = F.pmod(F.xxhash64("node", F.lit(100 + round_)), F.ceil(F.col("holders") * 1.25 / CHUNK).cast("long"))
         rows = rows.select("key", chunk.alias("chunk"), "node", "root").join(nodes.select("node", "tokens"), "node")
-        found = materialise(rows.groupBy("key", "chunk").applyInPandas(_chunk_links(percent), "a long, b long"), "join-links")
+        # small blocks share a call: about 50 a group
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "chunk"), F.lit(buckets)))
+        found = materialise(rows.groupBy("bucket").applyInPandas(_chunk_links(percent), "a long, b long"), "join-links")
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
@@ -306,20 +325,27 @@ def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: in
 
 
 def _block_pairs(percent: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components in a block, or between two chunks of it, that the bound admits."""
-        nodes, roots = block["node"].to_numpy(), block["root"].to_numpy()
-        points = np.array([np.frombuffer(p, np.int32) for p in block["point"]])
-        left, right = block["left"].to_numpy(), block["right"].to_numpy()
-        trees = np.flatnonzero(right)
-        if not len(trees) or not left.any():
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        tree, a, b = CountTree(points[trees], percent), [], []
-        for i in np.flatnonzero(left):
-            near = trees[tree.query(points[i])]
-            near = near[(roots[near] != roots[i]) & (nodes[near] != nodes[i])]
-            a.append(np.minimum(nodes[near], nodes[i]))
-            b.append(np.maximum(nodes[near], nodes[i]))
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of different components in each block, or between two chunks of it, that the bound admits."""
+        seen, a, b = set(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        columns, blocks = _blocks_in(group, "token", "c1", "c2")
+        for at in blocks:
+            nodes, left, right = (columns[c][at] for c in ("node", "left", "right"))
+            same = (nodes.tobytes(), left.tobytes(), right.tobytes())
+            if same in seen:  # another token with the same holders
+                continue
+            seen.add(same)
+            roots, trees = columns["root"][at], np.flatnonzero(right)
+            if not len(trees) or not left.any():
+                continue
+            points = np.array([np.frombuffer(p, np.int32) for p in columns["point"][at]])
+            tree = CountTree(points[trees], percent)
+            for i in np.flatnonzero(left):
+                near = trees[tree.query(points[i])]
+                near = near[(roots[near] != roots[i]) & (nodes[near] != nodes[i])]
+                if len(near):
+                    a.append(np.minimum(nodes[near], nodes[i]))
+                    b.append(np.maximum(nodes[near], nodes[i]))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
     return run
@@ -328,7 +354,11 @@ def _block_pairs(percent: int):
 def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
     """All links between different components of ``roots``, from rows (token, node)."""
     rows = _rooted(prefixes, roots)
-    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("holders")).where("lo < hi").select("token", "holders")
+    mixed = rows.groupBy("token").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("holders"), F.xxhash64(F.min("node"), F.max("node")).alias("ends")
+    )
+    mixed = materialise(mixed.where("lo < hi").select("token", "holders", "ends"), "join-mixed")
+    buckets = max(64, (mixed.agg(F.sum("holders")).first()[0] or 0) // 1000)
     rows = rows.join(mixed, "token")
 
     @F.pandas_udf("binary")
@@ -340,12 +370,14 @@ def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None,
     chunks = F.ceil(F.col("holders") / (4 * CHUNK)).cast("int")
     rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # each pair of chunks is one block: a node goes to the pairs that its chunk is in
-    rows = rows.select("token", "node", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    rows = rows.select("token", "node", "root", "chunk", "ends", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     rows = rows.select(
-        "token", "node", "root", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"),
+        "token", "node", "root", "ends", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"),
         (F.col("chunk") <= F.col("other")).alias("left"), (F.col("chunk") >= F.col("other")).alias("right"),
     ).join(points, "node")
-    pairs = materialise(rows.groupBy("token", "c1", "c2").applyInPandas(_block_pairs(percent), "a long, b long").distinct(), "join-pairs")
+    # small blocks share a call; tokens with the same holders meet, and are looked at once
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("ends", "c1", "c2"), F.lit(buckets)))
+    pairs = materialise(rows.groupBy("bucket").applyInPandas(_block_pairs(percent), "a long, b long").distinct(), "join-pairs")
 
     @F.pandas_udf("boolean")
     def verified(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, groups_of
+from tessera.llm.common import column, groups_of, slices
 from tessera.llm.tokens import word_tokens
 from tessera.storage import materialise
 
@@ -104,7 +104,7 @@ def token_blocks(docs: DataFrame, path: str, window: int, end_id: int | None, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = word_tokens(path), array("I", [] if end_id is None else [end_id]).tobytes()
         step, key = 4 * window, TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             texts = column(batch, 1)
             for lo, hi in groups_of(texts):
                 row, start, ids, total = [], [], [], []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column
+from tessera.llm.common import column, hold, slices
 
 LETTER = re.compile(r"[^\W\d_]")
 FEATURES = 12
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label_col: s
     picked = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").orderBy(F.xxhash64(F.lit(5), "id"), "id", "y").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [np.array(shape(t or "")).tobytes() for t in column(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["y", "x"])
 
@@ -133,6 +133,7 @@ def document_log_odds(docs: DataFrame, model: Logistic, columns: list[str], text
     def log_odds(texts):
         import pandas as pd
 
+        hold("quality")
         x = np.array([shape(t or "") for t in texts]).reshape(-1, FEATURES)
         return pd.Series(shared.value.log_odds(x))
 

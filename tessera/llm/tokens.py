@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, groups_of
+from tessera.llm.common import column, groups_of, hold, slices
 
 UNSAFE = re.compile("[^\x00-ɏ]|[\x1c-\x1fİ]")
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -137,6 +137,8 @@ _loaded: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str) -> WordTokens:
+    """One a worker; its tables are let go when another operator starts there."""
+    hold("tokens", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = WordTokens(path)
     return _loaded[path]
@@ -151,7 +153,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = column(batch, 1)
             counts = [len(x) // 4 for lo, hi in groups_of(texts) for x in tokens.encode(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
