@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Index: the benchmark's passages as TF-IDF rows over lower-case words. A randomised SVD (Gaussian range
+Index: the benchmark's passages as TF-IDF rows over lower-case words; of a passage longer than
+``MAX_PART`` words each part of about ``WINDOW`` words is a row. A randomised SVD (Gaussian range
 finder with power iterations) gives the leading right singular vectors: each iteration is one distributed
-pass that sums A^T (A Q) over blocks of passages, so the driver holds only terms x rank matrices.
+pass that sums A^T (A Q) over blocks of rows, so the driver holds only terms x rank matrices.
 
 Search: every document is cut into overlapping windows of ``WINDOW`` words; a window's vector is the sum
-of its words' weighted latent vectors, and every window of every document is compared with all benchmark
-passages, in blocks: by cosine, and by how far it reaches along the passage's direction, since a window
-with a single known word has a high cosine with the passages that hold that word. Passages of which a
+of its words' weighted latent vectors, and every window of every document is compared with all rows
+of the benchmark, in blocks: by cosine, and by how far it reaches along the row's direction, since a window
+with a single known word has a high cosine with the rows that hold that word. Passages of which a
 document has too few distinctive words for the check below are left out of its search; this loses nothing.
 
 Check: of a candidate the longest common subsequence of words between the passage and the surroundings
@@ -35,6 +36,7 @@ OVERSAMPLE = 16
 POWER = 2
 WINDOW = 48
 STRIDE = 16
+MAX_PART = 64
 MIN_COSINE = 0.35
 MIN_COVERAGE = 0.38
 MIN_LCS = 0.75
@@ -73,8 +75,15 @@ def common_subsequence(short: list[int], long: list[int]) -> int:
     return len(short) - v.bit_count()
 
 
+def parts_of(words: list[int]) -> list[list[int]]:
+    """Equal parts that a window can hold most of; up to ``MAX_PART`` words the whole."""
+    n = 1 if len(words) <= MAX_PART else math.ceil(len(words) / WINDOW)
+    cuts = [len(words) * k // n for k in range(n + 1)]
+    return [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Index:
-    """Benchmark passages: term numbers, latent vectors, word sequences."""
+    """Benchmark passages: term numbers, word sequences, and latent vectors of their parts."""
 
     def __init__(self, items: list[tuple[int, list[str], int]]):
         """items: (number, words, words of the answer at the end)."""
@@ -86,6 +95,8 @@ class Index:
         rare = max(2, n // 20)
         self.distinctive = np.array([df[w] <= rare for w in sorted(df)], bool) if df else np.zeros(0, bool)
         self.words = [[self.terms[w] for w in ws] for _, ws, _ in items]
+        self.parts = [p for ws in self.words for p in parts_of(ws)]
+        self.passage = np.repeat(np.arange(len(items)), [len(parts_of(ws)) for ws in self.words])
         # Each word that a common subsequence leaves out takes away one distinctive word at most, so a
         # document that holds passage k has at least least[k] of its different distinctive words.
         rare_words = [{w for w in ws if self.distinctive[w]} for ws in self.words]
@@ -98,22 +109,22 @@ class Index:
         self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1))
         self.always = np.flatnonzero(self.least == 0)
         self.basis = np.zeros((len(self.terms), 0), np.float32)
-        self.rows = np.zeros((len(items), 0), np.float32)
+        self.rows = np.zeros((len(self.parts), 0), np.float32)
 
     def tfidf(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at, tf = np.unique(np.array(self.words[k], np.int64), return_counts=True)
+        at, tf = np.unique(np.array(self.parts[k], np.int64), return_counts=True)
         x = (1 + np.log(tf)) * self.idf[at]
         return at, x / max(np.linalg.norm(x), 1e-12)
 
 
 def randomised_svd(spark, index: Index, rank: int = RANK, seed: int = 3) -> np.ndarray:
-    """terms x rank: the leading right singular vectors of the passages' TF-IDF rows."""
-    terms, width = len(index.terms), min(rank + OVERSAMPLE, max(1, min(len(index.items), len(index.terms))))
+    """terms x rank: the leading right singular vectors of the parts' TF-IDF rows."""
+    terms, width = len(index.terms), min(rank + OVERSAMPLE, max(1, min(len(index.parts), len(index.terms))))
     if not terms:
         return np.zeros((0, 0), np.float32)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(terms, width)))[0]
     shared = spark.sparkContext.broadcast(index)
-    blocks = spark.range(0, len(index.items), 1, max(1, min(64, len(index.items) // 500 + 1)))
+    blocks = spark.range(0, len(index.parts), 1, max(1, min(64, len(index.parts) // 500 + 1)))
     for step in range(POWER + 1):
         basis = spark.sparkContext.broadcast(q)
 
@@ -126,7 +137,7 @@ def randomised_svd(spark, index: Index, rank: int = RANK, seed: int = 3) -> np.n
                     total[at] += x[:, None] * (x @ q[at])[None, :]
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["z"])
 
-        parts = blocks.mapInArrow(gram, "z binary").collect()  # one terms x rank matrix a block of passages
+        parts = blocks.mapInArrow(gram, "z binary").collect()  # one terms x rank matrix a block of parts
         z = sum(np.frombuffer(r["z"]).reshape(terms, width) for r in parts)
         u, s, _ = np.linalg.svd(z, full_matrices=False)
         q = u
@@ -147,8 +158,8 @@ def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
             items.append((number, words, answer))
     index = Index(items)
     index.basis = randomised_svd(benchmark.sparkSession, index)
-    vectors = np.zeros((len(items), index.basis.shape[1]), np.float32)
-    for k in range(len(items)):
+    vectors = np.zeros((len(index.parts), index.basis.shape[1]), np.float32)
+    for k in range(len(index.parts)):
         at, x = index.tfidf(k)
         vectors[k] = x @ index.basis[at]
     index.rows = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -161,10 +172,9 @@ class Searcher:
         # the last row, all zero, is what number -1 finds
         self.weighted = np.vstack([index.basis * index.idf[:, None], np.zeros((1, index.basis.shape[1]))]).astype(np.float32)
         self.is_distinctive = np.append(index.distinctive, False)
-        # how far a window must reach along each passage's direction to hold enough of it
-        whole = [self.weighted[w].sum(0) for w in index.words]
+        # how far a window must reach along each part's direction to hold enough of it
+        whole = [self.weighted[w].sum(0) for w in index.parts]
         self.least_along = MIN_COVERAGE * np.array([v @ r for v, r in zip(whole, index.rows, strict=True)], np.float32)
-        self.longest = max([len(w) for w in index.words], default=0)
         self.memo: dict[str, int] = {}
 
     def numbers(self, text: str) -> np.ndarray:
@@ -201,9 +211,10 @@ class Searcher:
         n = len(ids)
         if n == 0 or not index.items:
             return []
-        active = self.possible(ids)
-        if not len(active):
+        possible = self.possible(ids)
+        if not len(possible):
             return []
+        active = np.flatnonzero(np.isin(index.passage, possible))
         starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
         ends = np.minimum(starts + WINDOW, n)
         rows, least_along = index.rows[active], self.least_along[active]
@@ -222,7 +233,7 @@ class Searcher:
             cosine = along / np.maximum(norm, 1e-9)
             near_enough = (cosine >= MIN_COSINE) & (along >= least_along)
             for k, item in zip(*np.nonzero(near_enough), strict=True):
-                item, c = active[item], float(cosine[k, item])
+                item, c = index.passage[active[item]], float(cosine[k, item])
                 words = index.words[item]
                 a, b = max(0, starts[at[k]] - len(words) - 8), min(n, ends[at[k]] + len(words) + 8)
                 best = found.get(int(item), (0.0, 0.0))

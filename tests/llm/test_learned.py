@@ -203,6 +203,23 @@ def test_contamination(make_docs, benchmark_index, odd):
     assert decontam.find_contamination(make_docs([]), index).count() == 0
 
 
+def test_long_passages(spark, make_docs):
+    """Passages longer than a window, whole or with a fifth of their words left out."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    items = dict(enumerate(prose(n) for n in (64, 65, 97, 126, 150, 200, 300, 600, 1000) for _ in range(5)))
+    index = decontam.build_index(spark.createDataFrame([*items.items()], "item_id long, text string"))
+    texts, want = [], set()
+    for k, text in items.items():
+        for held in (text, " ".join(w for i, w in enumerate(text.split()) if i % 5)):
+            want.add((len(texts), k))
+            texts.append(prose(rng.randrange(0, 90)) + " " + held + " " + prose(rng.randrange(0, 90)))
+        texts.append(prose(50) + " " + " ".join(text.split()[: len(text.split()) // 3]) + " " + prose(50))
+    got = decontam.find_contamination(make_docs(texts), index).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
 def test_empty_benchmark(spark, make_docs):
     index = decontam.build_index(spark.createDataFrame([], "item_id long, text string"))
     assert decontam.find_contamination(make_docs(["a b c"]), index).count() == 0
