@@ -3,7 +3,8 @@
 For each language a suffix automaton of labelled text is built. A text is parsed into phrases, each the
 longest match of what follows in that automaton; a character that the automaton lacks is a phrase of its
 own. The language whose automaton needs the fewest phrases for the text's letters wins; all automata are
-built from samples of the same bounded length, so the counts compare.
+built from samples of the same bounded length, so the counts compare. Letters of all scripts have their
+own codes; Han, Hangul and the like are spelled as two codes a letter.
 
 The automata are dense tables, and all pieces of a batch walk them in lockstep: one gather per character
 position. Texts longer than ``SEGMENT`` letters are walked as several pieces, so that a phrase also ends
@@ -12,6 +13,7 @@ every ``SEGMENT`` letters; every letter of every text is parsed.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,27 +26,48 @@ from tessera.llm.common import column, groups_of
 SEGMENT = 1024
 
 
-def letter_codes() -> tuple[np.ndarray, int]:
-    """Code points below U+0250 to codes: 0 white space and marks, else a number for each lower-case letter."""
-    table, codes = np.zeros(0x250 + 1, np.uint8), {}
-    for c in range(0x250):
-        if chr(c).isalpha():
-            low = chr(c).lower()[0]
-            table[c] = codes.setdefault(low, len(codes) + 1) if len(codes) < 250 or low in codes else 251
-    table[0x250] = 252  # any character above
-    return table, 253
+WIDE = 0x3400  # from here on scripts have thousands of letters: Han, Yi, Hangul and others
+HIGH = WIDE  # codes of such a letter's upper bits; those of its lower 7 bits follow
+LOW = HIGH + (0x110000 >> 7)
+LETTERS = LOW + 128
 
 
-CODES, LETTERS = letter_codes()
+def letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the lower-case letter's code point, 0 for white space and marks; and which are letters.
+
+    Vowel signs and accents that are characters of their own are part of words, but aren't letters.
+    """
+    folded, letter = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+    for c in range(0x110000):
+        ch = chr(c)
+        if ch.isalpha():
+            folded[c], letter[c] = ord(ch.lower()[0]), True
+        elif c >= 0x300 and unicodedata.category(ch) in ("Mn", "Mc") and not (0xFE00 <= c <= 0xFE0F or c >= 0xE0000):  # not variation selectors
+            folded[c] = c
+    return folded, letter
+
+
+FOLDED, IS_LETTER = letter_tables()
 
 
 def encode(text: str) -> np.ndarray:
-    """Codes of the letters of ``text``, with a run of other characters as one 0."""
+    """Codes of the letters of ``text``, with a run of other characters as one 0; empty if there is no letter.
+
+    A letter below ``WIDE`` is one code, a later one two, so that automata need few columns.
+    """
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = CODES[np.minimum(points, 0x250)]
-    keep = codes > 0
-    keep[1:] |= codes[:-1] > 0
-    return codes[keep]
+    if not IS_LETTER[points].any():
+        return np.zeros(0, np.uint16)
+    folded = FOLDED[points]
+    keep = folded > 0
+    keep[1:] |= folded[:-1] > 0
+    folded = folded[keep]
+    codes = np.minimum(folded, WIDE).astype(np.uint16)
+    at = np.flatnonzero(folded >= WIDE)
+    if len(at):
+        codes[at] = HIGH + (folded[at] >> 7)
+        codes = np.insert(codes, at + 1, (LOW + (folded[at] & 127)).astype(np.uint16))
+    return codes
 
 
 class SuffixAutomaton:
@@ -88,15 +111,18 @@ class CrossParser:
         used = np.zeros(LETTERS, bool)
         for codes in samples.values():
             used[codes] = True
-        self.symbol = np.where(used, np.cumsum(used), 0).astype(np.uint8)  # 0: a letter in no sample
-        symbols, tables, self.start = int(used.sum()) + 1, [], []
-        at = 0
+        n = int(used.sum())
+        self.symbol = np.where(used, np.cumsum(used), 0).astype(np.uint8 if n < 256 else np.uint16)  # 0: a letter in no sample
+        # each language's table has columns for its own letters; column 0 stands for all others
+        self.own, self.tables, self.width = [], [], []
         for name in self.languages:
-            t = SuffixAutomaton(self.symbol[samples[name]], symbols).table
-            self.start.append(at)
-            tables.append(np.where(t > 0, t + at, 0))
-            at += len(t)
-        self.table, self.symbols = np.concatenate(tables).ravel().astype(np.int32), symbols
+            sample = self.symbol[samples[name]]
+            mine = np.unique(sample)
+            own = np.zeros(n + 1, np.uint16)
+            own[mine] = np.arange(1, len(mine) + 1)
+            self.own.append(own)
+            self.width.append(len(mine) + 1)
+            self.tables.append(SuffixAutomaton(own[sample], len(mine) + 1).table.ravel())
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of phrases, a row per text and a column per language."""
@@ -111,28 +137,25 @@ class CrossParser:
         size = np.array([len(p) for p in pieces])
         order = np.argsort(-size, kind="stable")
         sorted_size = size[order]
-        grid = np.zeros((sorted_size[0], len(pieces)), np.uint8)
+        grid = np.zeros((sorted_size[0], len(pieces)), self.symbol.dtype)
         for k, i in enumerate(order):
             grid[: size[i], k] = self.symbol[pieces[i]]
         live = np.searchsorted(-sorted_size, -np.arange(1, sorted_size[0] + 1), side="right")
-        for lang, start in enumerate(self.start):
-            begin = np.int32(start * self.symbols)
-            state = np.full(len(pieces), begin, np.int32)
+        for lang, (own, table, width) in enumerate(zip(self.own, self.tables, self.width, strict=True)):
+            state = np.zeros(len(pieces), np.int32)
             found = np.zeros(len(pieces), np.int32)
-            root = self.table[begin : begin + self.symbols] * self.symbols
-            table = self.table
+            root = table[:width] * width
             for t in range(sorted_size[0]):
                 n = live[t]
-                c, now = grid[t, :n], state[:n]
+                c, now = own[grid[t, :n]], state[:n]
                 to = table[now + c]
-                fresh = now == begin
+                fresh = now == 0
                 fresh |= to == 0
                 found[:n] += fresh
-                to *= self.symbols
+                to *= width
                 stuck = np.flatnonzero(to == 0)
                 if len(stuck):
-                    again = root[c[stuck]]
-                    to[stuck] = np.where(again == 0, begin, again)
+                    to[stuck] = root[c[stuck]]
                 state[:n] = to
             np.add.at(counts[:, lang], np.array(owner)[order], found)
         return counts
@@ -145,7 +168,7 @@ def fit(
     """Learn from rows where ``eligible`` holds and text and language aren't null.
 
     Bounds: per language the ``rows_per_language`` rows with the smallest hashes, of them up to
-    ``letters_per_language`` letters in equal shares, so that no long document fills a sample.
+    ``letters_per_language`` letters (half as many where a letter is two codes) in equal shares, so that no long document fills a sample.
     """
     rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = Window.partitionBy("lang").orderBy("h", "id")
@@ -165,14 +188,14 @@ def fit(
         samples.setdefault(r["__lang"], []).append(encode(r["t"]))
     if len(samples) > max_languages:
         raise ValueError(f"{len(samples)} languages; max_languages is {max_languages}")
-    joined = {k: np.concatenate([x for p in v for x in (p, np.zeros(1, np.uint8))])[:letters_per_language] for k, v in samples.items()}
+    joined = {k: np.concatenate([x for p in v for x in (p, np.zeros(1, np.uint16))])[:letters_per_language] for k, v in samples.items()}
     return CrossParser(joined) if joined else None
 
 
 def predict(docs: DataFrame, parser: CrossParser | None, keep: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) per row, plus the columns ``keep``.
 
-    ``und`` with score 0 where text is null or has no letter, or nothing could be learned. score: 1 minus
+    ``und`` with score 0 where text is null or has no letter of any script, or nothing could be learned. score: 1 minus
     the ratio of phrases needed by the best and by the second best language, scaled to 0..1; a tie goes
     to the first language in alphabetical order. Repeated rows stay repeated.
     """

@@ -94,6 +94,27 @@ def test_language_end_to_end(spark, make_docs, odd):
     assert langid.predict(make_docs(["a"]), langid.fit(docs.limit(0), F.lit(True))).first().lang_pred == "und"
 
 
+def test_languages_of_other_scripts(spark):
+    """Two languages each in Cyrillic, Greek, Devanagari and Han, of words of the same lengths."""
+    rng = random.Random(13)
+    scripts = {"ru": "абвгдеж", "uk": "зийклмн", "g1": "αβγδεζη", "g2": "θικλμνξ", "h1": "कखगघचािी", "h2": "टठडढणुूे", "z1": "天地玄黄宇宙洪", "z2": "荒日月盈昃辰宿"}
+    rows = [(i, "".join(x if n % 9 else x.upper() for n, x in enumerate(text_of(rng, scripts[lang], 40))), lang) for i in range(400) for lang in [rng.choice(sorted(scripts))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = ["— …", "“”‘’ – •", "😀😀 ❤️ 👍🏽", "。、「」！？", "123 — 45", "\u0301"]
+    parser = langid.fit(docs, F.col("doc_id") % 3 != 1)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, parser).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows if i % 3 == 1]) > 0.97
+    strange = langid.predict(spark.createDataFrame(list(enumerate(marks)), "doc_id long, text string"), parser).collect()
+    assert {(r.lang_pred, r.score) for r in strange} == {("und", 0.0)}
+
+
+def test_letter_codes():
+    assert langid.encode("Ж—ж").tolist() == [ord("ж"), 0, ord("ж")]
+    assert langid.encode("Ａ").tolist() == langid.encode("ａ").tolist() and len(langid.encode("日")) == 2
+    several = "aé ßжΩ日月한글𐐀"
+    assert len({tuple(langid.encode(c).tolist()) for c in several}) == len(several)
+
+
 def site_docs(spark, rng, n=400):
     rows, labels = [], []
     for i in range(n):
