@@ -4,29 +4,51 @@ Main path: DataFrame functions only. Personal data is found by patterns and, whe
 validated (Luhn for card numbers, ranges for addresses, months and days for dates). Each find is replaced
 by a keyed permutation of itself within its format: a balanced Feistel network over the digits, with
 rounds keyed by SHA-256, so equal values have equal pseudonyms in every document, different values have
-different ones, and a card number's pseudonym passes Luhn again. Names in mail addresses and the
+different ones, and a card number's pseudonym passes Luhn again. A number keeps its shape, and equal
+phones or days have equal pseudonyms in different shapes. Names in mail addresses and the
 characters of secrets, which have no number to permute, get keyed hashes in the same shape.
 
 Of the Feistel network over [0, a*b): (l, r) -> (r, (l + F(r)) mod size); with a = b every round is a
 bijection. Numbers whose range isn't a square (days, addresses' octets) are permuted by walking the cycle
 until the value lies in the range again.
+
+Cards: 13, 14, 15, 16 and 19 digits that pass Luhn, whatever the issuer, in one run or in the usual groups.
+Phones: with '+' and country code, ten digits in groups of 3, 3 and 4, or grouped with a leading 0. Dates:
+days of 1900 to 2099 in numbers, year first or last, with '-', '/' or '.'; of day and month the month comes
+first, but after '.' the day, unless only the other reading is a date. Not found: phones without '+' or
+groups, cards of 12, 17 or 18 digits, dates with names of months or years of two digits.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
 # fixed patterns; a find is never part of a longer run of digits
 CARD = r"(?<![\d])\d{4}(?:[ -]?\d{4}){3}(?![\d])"
+CARD_MORE = r"(?<!\d)(?:\d{4}(?:[ -]\d{4}){3}[ -]\d{3}|\d{6}[ -]\d{13}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}(?:[ -]\d{3}){3}|\d{13,15}|\d{19})(?!\d)"
 PHONE = r"\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 ADDRESS = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
+_DAY, _YEAR = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:19|20)\d\d"
+DATE_MORE = r"(?<!\d)(?<!\d[/.\-])(?:" + "|".join(f"{_DAY}{s}{_DAY}{s}{_YEAR}|{_YEAR}{s}{_DAY}{s}{_DAY}" for s in ("/", r"\.", "-")) + r")(?!\d|[/.\-]\d)"
+PHONE_MORE = "|".join((
+    r"(?<![\w+])\+1[ .\-]?(?:\(\d{3}\) ?|\d{3}[ .\-]?)\d{3}[ .\-]?\d{4}(?!\d)",
+    r"(?<![\w+])\+[1-9](?:[ .\-/]?\(?\d\)?){7,14}(?!\d)",
+    r"(?<![\d+])(?<!\d[.\-])(?:1[ .\-])?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d|-\d)",
+    r"(?<![\d+])(?<!\d[.\-/])(?:\(0\d{1,4}\) ?|0\d{1,4}[ \-/])(?:\d{3}[ \-]\d{3}[ \-]\d{3,4}|\d{3,4}[ \-]\d{3,4}|\d{6,8})(?!\d|[/.\-]\d)",
+    r"(?<![\d+])(?<!\d[.\-/])0\d(?:[ .\-]\d\d){4}(?!\d|[/.\-]\d)",
+))
+# country codes of one and two digits; all others have three
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 MAIL = r"(?<![A-Za-z0-9._%+\-À-ɏ])[A-Za-z0-9._%+\-À-ɏ]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
-ANY = "|".join((MAIL, SECRET, CARD, PHONE, ADDRESS, SOCIAL, DATE))
+ANY = "|".join((MAIL, SECRET, CARD_MORE, CARD, PHONE, ADDRESS, SOCIAL, DATE, DATE_MORE, PHONE_MORE))
 HINT = "[0-9@]"
 
 
@@ -36,13 +58,14 @@ def keyed(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(number: Column, half: int, key: str, tweak: str) -> Column:
+def feistel(number: Column, half: int | Column, key: str, tweak: str | Column) -> Column:
     """A keyed permutation of [0, half * half)."""
-    start = F.struct(F.floor(number / half).cast("long").alias("l"), (number % half).cast("long").alias("r"))
+    half = F.lit(half)
+    start = F.struct(F.call_function("div", number, half).cast("long").alias("l"), (number % half).cast("long").alias("r"))
     rounds = F.array(*[F.lit(k) for k in range(ROUNDS)])
     end = F.aggregate(
         rounds, start,
-        lambda s, k: F.struct(s["r"].alias("l"), F.pmod(s["l"] + keyed(key, F.lit(tweak), k, s["r"]), F.lit(half)).cast("long").alias("r")),
+        lambda s, k: F.struct(s["r"].alias("l"), F.pmod(s["l"] + keyed(key, F.lit(tweak), k, s["r"]), half).cast("long").alias("r")),
     )
     return _of(end, lambda e: e["l"] * half + e["r"])
 
@@ -52,15 +75,18 @@ def _of(value: Column, what) -> Column:
     return F.element_at(F.transform(F.array(value), what), 1)
 
 
-def walk(number: Column, size: int, half: int, key: str, tweak: str, steps: int = 48) -> Column:
+def walk(
+    number: Column, size: int | Column, half: int | Column, key: str, tweak: str | Column, steps: int = 48, among: Callable[[Column], Column] | None = None,
+) -> Column:
     """A keyed permutation of [0, size): apply ``feistel`` again until below ``size``.
 
-    After ``steps`` the number itself would be kept; with size over 0.7 of half**2 the chance is below
+    With ``among``, a condition that holds for ``number``, a permutation of the numbers for which it holds. After ``steps`` the number itself would be kept; with size over 0.7 of half**2 the chance is below
     0.3**steps.
     """
+    done = lambda n: n < size if among is None else (n < size) & among(n)
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(steps)), feistel(number, half, key, tweak),
-        lambda n, _: F.when(n < size, n).otherwise(feistel(n, half, key, tweak)),
+        lambda n, _: F.when(done(n), n).otherwise(feistel(n, half, key, tweak)),
     )
 
 
@@ -68,10 +94,20 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def luhn_sum(d: Column) -> Column:
-    """Luhn's sum of 16 digits: those at even places from the left are doubled."""
+def permuted(d: Column, key: str, tweak: Column) -> Column:
+    """Up to 18 digits permuted among those of their length."""
+    n = F.length(d)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), n)
+    sizes = [10**k for k in range(1, 19)]
+    halves = [math.isqrt(size - 1) + 1 for size in sizes]
+    each = F.struct(d.cast("long").alias("d"), n.alias("n"), pick(sizes).alias("size"), pick(halves).alias("half"))
+    return _of(each, lambda s: F.lpad(walk(s["d"], s["size"], s["half"], key, tweak).cast("string"), s["n"], F.lit("0")))
+
+
+def luhn_sum(d: Column, places: int = 16) -> Column:
+    """Luhn's sum of 16 digits, or another even number: those at even places from the left are doubled."""
     total = F.lit(0)
-    for k in range(16):
+    for k in range(places):
         n = F.substring(d, k + 1, 1).cast("int")
         total = total + (n if k % 2 else F.when(n > 4, n * 2 - 9).otherwise(n * 2))
     return total
@@ -89,7 +125,29 @@ def refill(shape: Column, new_digits: Column) -> Column:
     return end["t"]
 
 
+def luhn_any(d: Column) -> Column:
+    """Luhn's sum of at most 20 digits."""
+    return luhn_sum(F.lpad(d, 20, "0"), 20)
+
+
+def grouped_16(found: Column) -> Column:
+    """A find of 19 digits in groups is a card of 16 and another number."""
+    return F.length(found).eqNullSafe(23) & (luhn_any(digits(found)) % 10 != 0)
+
+
 def new_card(found: Column, key: str) -> Column:
+    """Of 16 digits as ``new_card_16``; else all but the last permuted, the last so that Luhn holds."""
+    d = digits(found)
+    body = permuted(F.left(d, F.length(d) - 1), key, F.concat(F.lit("card"), F.length(d).cast("string")))
+    full = _of(body, lambda b: F.concat(b, ((10 - luhn_any(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+    return (
+        F.when(F.length(d) == 16, new_card_16(found, key))
+        .when(grouped_16(found), F.concat(new_card_16(F.substring(found, 1, 19), key), F.substring(found, 20, 4)))
+        .otherwise(refill(found, full))
+    )
+
+
+def new_card_16(found: Column, key: str) -> Column:
     """The first 14 digits permuted, the 15th shifted by a keyed digit, the 16th so that Luhn holds."""
     d = digits(found)
     head = F.lpad(feistel(F.substring(d, 1, 14).cast("long"), 10**7, key, "card").cast("string"), 14, "0")
@@ -99,6 +157,17 @@ def new_card(found: Column, key: str) -> Column:
 
 
 def new_phone(found: Column, key: str) -> Column:
+    """Country code, or 0 or 1 in front of a national number, kept; the other digits permuted."""
+    d = digits(found)
+    front = F.when(F.startswith(found, F.lit("+")), F.regexp_extract(d, COUNTRY, 0)).when(F.startswith(d, F.lit("0")) | (F.length(d) == 11), F.left(d, F.lit(1))).otherwise("")
+    more = _of(front, lambda c: _of(
+        F.substring(d, F.length(c) + 1, F.length(d)),
+        lambda rest: F.concat(c, permuted(rest, key, F.when(F.length(rest) == 10, "phone").otherwise(F.concat(F.lit("phone"), F.length(rest).cast("string"))))),
+    ))
+    return F.when(found.rlike(f"^(?:{PHONE})$"), new_phone_10(found, key)).otherwise(refill(found, more))
+
+
+def new_phone_10(found: Column, key: str) -> Column:
     """Country code kept; the ten digits permuted."""
     d = digits(found)
     size = F.length(d)
@@ -118,11 +187,39 @@ def new_social(found: Column, key: str) -> Column:
     return refill(found, F.lpad(walk(digits(found).cast("long"), 10**9, 31623, key, "social").cast("string"), 9, "0"))
 
 
+def readings(found: Column) -> Column:
+    """struct(first, second): the date of a find as usual and, where the year is last, with day and month swapped."""
+    p = F.split(found, r"[/.\-]")
+    day = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.get(p, F.lit(y)), F.lpad(F.get(p, F.lit(m)), 2, "0"), F.lpad(F.get(p, F.lit(d)), 2, "0")), "yyyy-MM-dd")
+    year_first, dots = found.rlike("^[0-9]{4}"), F.contains(found, F.lit("."))
+    first = F.when(year_first, day(0, 1, 2)).when(dots, day(2, 1, 0)).otherwise(day(2, 0, 1))
+    return F.struct(first.alias("first"), F.when(~year_first, F.when(dots, day(2, 0, 1)).otherwise(day(2, 1, 0))).alias("second"))
+
+
 def new_date(found: Column, key: str) -> Column:
-    """A day of 1900 to 2099, permuted by cycle walking among its 73,049 days."""
-    day = F.datediff(F.try_to_date(found, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
-    moved = F.date_add(F.lit("1900-01-01").cast("date"), walk(day.cast("long"), 73049, 271, key, "date").cast("int"))
-    return F.date_format(moved, "yyyy-MM-dd")
+    """A day of 1900 to 2099, permuted by cycle walking among its 73,049 days.
+
+    Dates that have only the second reading are permuted among the days after a month's 12th, which are those.
+    """
+    zero = F.lit("1900-01-01").cast("date")
+    at = lambda n: F.date_add(zero, n.cast("int"))
+    number = lambda date: F.datediff(date, zero).cast("long")
+    late = lambda n: F.dayofmonth(at(n)) > 12
+
+    def spell(date: Column, swapped: Column) -> Column:
+        short = found.rlike(r"(?<!\d)\d(?!\d)")
+        y, mark = F.date_format(date, "yyyy"), F.regexp_extract(found, r"[/.\-]", 0)
+        m = F.when(short, F.date_format(date, "M")).otherwise(F.date_format(date, "MM"))
+        d = F.when(short, F.date_format(date, "d")).otherwise(F.date_format(date, "dd"))
+        day_first = F.contains(found, F.lit(".")) != swapped
+        return F.when(found.rlike("^[0-9]{4}"), F.concat(y, mark, m, mark, d)).when(day_first, F.concat(d, mark, m, mark, y)).otherwise(F.concat(m, mark, d, mark, y))
+
+    def moved(r: Column) -> Column:
+        swapped = r["first"].isNull()
+        n = F.when(swapped, walk(number(r["second"]), 73049, 271, key, "date", among=late)).otherwise(walk(number(r["first"]), 73049, 271, key, "date"))
+        return _of(F.struct(at(n).alias("date"), swapped.alias("swapped")), lambda s: spell(s["date"], s["swapped"]))
+
+    return _of(readings(found), moved)
 
 
 def new_mail(found: Column, key: str) -> Column:
@@ -145,7 +242,9 @@ def kind_of(found: Column) -> Column:
         .when(whole(ADDRESS), F.lit("address"))
         .when(whole(CARD), F.when(luhn_sum(digits(found)) % 10 == 0, F.lit("card")).otherwise(F.lit(None)))
         .when(whole(SOCIAL), F.lit("social"))
-        .when(whole(DATE), F.when(F.try_to_date(found, "yyyy-MM-dd").isNotNull(), F.lit("date")).otherwise(F.lit(None)))
+        .when(whole(DATE) | whole(DATE_MORE), F.when(_of(readings(found), lambda r: F.coalesce(r["first"], r["second"])).isNotNull(), F.lit("date")).otherwise(F.lit(None)))
+        .when(whole(CARD_MORE), F.when((luhn_any(digits(found)) % 10 == 0) | grouped_16(found) & (luhn_sum(F.left(digits(found), F.lit(16))) % 10 == 0), F.lit("card")).otherwise(F.lit(None)))
+        .when(whole(PHONE_MORE), F.lit("phone"))
         .when(found.rlike("[0-9]") & found.rlike("^[0-9a-fA-F]{32,64}$"), F.lit("secret"))
     )
 

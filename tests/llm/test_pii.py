@@ -92,6 +92,47 @@ def test_against_brute_force(make_docs, odd):
     assert pii.pseudonymise(make_docs([]), KEY).count() == 0
 
 
+def test_other_shapes(make_docs):
+    """Cards of other lengths, national and spaced phones, other date orders: none stays, each keeps its shape."""
+    cards = ["378282246310005", "3782 822463 10005", "30569309025904", "3056-930902-5904", "4222222222222", "6304000000000000000", "6304 0000 0000 0000 000"]
+    phones = ["(555) 555-7713", "(555)555-7713", "555-555-7713", "555.555.7713", "1-555-555-7713", "+1 555 555 7713", "+15555557713", "+1-555-555-7713"]
+    others = ["+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+49 151 23456789", "020 7946 0958", "01632 960123", "01 23 45 67 89"]
+    dates = ["03/14/1999", "14/03/1999", "14.03.1999", "3/14/1999", "1999/03/14", "1999.03.14", "14-03-1999", "1999-03-14", "03.14.1999"]
+    kept = ["13/13/1999", "31.02.1999", "378282246310006", "1.2.3", "12-34", "1700000000001", "a+1234567890", "2024-2025", "pages 100-200"]
+    texts = [f"so {v}, ok" for v in cards + phones + others + dates + kept] + ["4539 5787 6362 1486 124 items", " ".join(["x", *phones, "y"])]
+    out = {r.doc_id: r for r in pii.pseudonymise(make_docs(texts), KEY).collect()}
+    new = lambda i: out[i].text[3:-4]
+    kinds = ["card"] * len(cards) + ["phone"] * len(phones + others) + ["date"] * len(dates)
+    for i, (value, kind) in enumerate(zip(cards + phones + others + dates, kinds, strict=True)):
+        assert [(f.kind, f.value) for f in out[i]["__finds"]] == [(kind, value)], value
+        if kind != "date" or not re.search(r"\b\d\b", value):
+            assert new(i) != value and re.sub(r"\d", "0", new(i)) == re.sub(r"\d", "0", value)
+    for i, value in enumerate(cards):
+        d = re.sub(r"\D", "", new(i))
+        assert luhn(d.zfill(20)) == 0
+        n = len(d) - 1
+        half = 10 ** (n // 2) if n % 2 == 0 else 3162278
+        assert d[:-1] == f"{walk(int(re.sub(r'\D', '', value)[:-1]), 10**n, half, f'card{n + 1}'):0{n}d}"
+    ten = f"{feistel(5555557713, 10**5, 'phone'):010d}"
+    assert {re.sub(r"\D", "", new(len(cards) + k))[-10:] for k in range(len(phones))} == {ten}
+    assert re.sub(r"\D", "", new(len(cards + phones))) == "44" + re.sub(r"\D", "", new(len(cards + phones) + 4))[1:]
+    at = len(cards + phones + others)
+    zero = datetime.date(1900, 1, 1)
+    n = (datetime.date(1999, 3, 14) - zero).days
+    day = zero + datetime.timedelta(days=walk(n, 73049, 271, "date"))
+    while True:
+        n = walk(n, 73049, 271, "date")
+        late = zero + datetime.timedelta(days=n)
+        if late.day > 12:
+            break
+    want = [f"{day:%m/%d/%Y}", f"{late:%d/%m/%Y}", f"{day:%d.%m.%Y}", f"{day.month}/{day.day}/{day.year}", f"{day:%Y/%m/%d}", f"{day:%Y.%m.%d}", f"{late:%d-%m-%Y}", f"{day}", f"{late:%m.%d.%Y}"]
+    assert [new(at + k) for k in range(len(dates))] == want
+    for i in range(at + len(dates), at + len(dates + kept)):
+        assert out[i].text == texts[i] and not out[i]["__finds"]
+    assert out[len(texts) - 2].text == brute("4539 5787 6362 1486") + " 124 items"
+    assert "7713" not in out[len(texts) - 1].text and len(out[len(texts) - 1]["__finds"]) == len(phones)
+
+
 @pytest.mark.parametrize(("size", "half"), [(100, 10), (73, 9)])
 def test_permutation(spark, size, half):
     got = [r[0] for r in spark.range(size).select(pii.walk(F.col("id"), size, half, KEY, "t")).collect()]
