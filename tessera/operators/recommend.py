@@ -133,6 +133,12 @@ def cosine_matrix(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     return candidates.crossJoin(few).select("id", "seed", cosine(F.col("v"), F.col("__v")).alias("similarity"))
 
 
+def distances_from(queries: DataFrame, rows: DataFrame, measure) -> DataFrame:
+    """(a, b, d) from each query row (id, v) to every other row (id, v)."""
+    a, b = queries.select(F.col("id").alias("a"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    return a.crossJoin(b).where("a <> b").select("a", "b", measure(F.col("va"), F.col("vb")).alias("d"))
+
+
 def all_distances(rows: DataFrame, measure) -> DataFrame:
     """(a, b, d) over all pairs of a small table's rows (id, v): the exact baseline of the bucket join."""
     a, b = rows.select(F.col("id").alias("a"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("v").alias("vb"))

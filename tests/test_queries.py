@@ -39,6 +39,14 @@ def test_query(spark, duck, name):
         assert rows == sorted(repr([plain(r[i]) for i in at]) for r in found.fetchall())
 
 
+@pytest.mark.parametrize(("name", "sources"), [("a8_nearest_graph_all", "vec_id >= 0"), ("j16_distances_from_queries", "vec_id % 100 = 0")])
+def test_whole_table_of_vectors(spark, duck, name, sources):
+    """Vectors of all labels have neighbours and distances."""
+    df = QUERIES[name](spark, DATA)
+    want = {r[0] for r in duck.sql(f"SELECT vec_id FROM embeddings WHERE {sources}").fetchall()}
+    assert {r[0] for r in df.select(df.columns[0]).distinct().collect()} == want
+
+
 def test_entry_contract():
     import __spark_entry__ as entry
 
