@@ -128,9 +128,8 @@ def exact_nearest(points: DataFrame, queries: DataFrame, k: int, most_queries: i
 
 
 def cosine_matrix(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id, seed, similarity) for every candidate (id, v) and each of a few seeds (seed, v)."""
-    few = F.broadcast(seeds.limit(10_000).select("seed", F.col("v").alias("__v")))
-    return candidates.crossJoin(few).select("id", "seed", cosine(F.col("v"), F.col("__v")).alias("similarity"))
+    """(id, seed, similarity) for every candidate (id, v) and every seed (seed, v); few seeds are broadcast by the planner."""
+    return candidates.crossJoin(seeds.select("seed", F.col("v").alias("__v"))).select("id", "seed", cosine(F.col("v"), F.col("__v")).alias("similarity"))
 
 
 def distances_from(queries: DataFrame, rows: DataFrame, measure) -> DataFrame:

@@ -181,3 +181,10 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql("SELECT * FROM peaks").collect()} == {(1, 5.0), (2, -3.0)}
+
+
+def test_cosine_matrix_keeps_every_seed(spark):
+    seeds = spark.range(10_050).select(F.col("id").alias("seed"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    got = recommend.cosine_matrix(points, seeds)
+    assert got.count() == 20_100 and got.select("seed").distinct().count() == 10_050
