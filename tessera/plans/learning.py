@@ -71,8 +71,8 @@ def _fit_report(kind, **more):
 
 
 query("m5_ridge")(_fit_report("ridge"))
-query("m6_random_forest")(_fit_report("forest", numTrees=10, maxDepth=5))
-query("m7_boosted_trees")(_fit_report("boosted", maxIter=5, maxDepth=3))
+query("m6_random_forest")(_fit_report("forest"))
+query("m7_boosted_trees")(_fit_report("boosted"))
 
 
 @query("m9_save_load_predict")
@@ -101,7 +101,7 @@ def _(spark, d):
 def _descend(method, **more):
     def plan(spark, d):
         rows = M.standardised(M.one_vs_rest(lines(spark, d).drop("label"), "l_returnflag").select(*X, "label"), X)
-        w = M.descend(rows, X, method, rounds=8, **more)
+        w = M.descend(rows, X, method, **more)
         return M.accuracy(M.classify_with(rows, X, w))
 
     return plan
