@@ -161,6 +161,15 @@ class CrossParser:
         return counts
 
 
+def equal_shares(lengths: list[int], total: int) -> list[int]:
+    """At most ``total`` dealt out equally; what a short row can't use goes to the others."""
+    out = [0] * len(lengths)
+    for rank, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        out[i] = min(lengths[i], total // (len(lengths) - rank))
+        total -= out[i]
+    return out
+
+
 def fit(
     docs: DataFrame, eligible, rows_per_language: int = 300, letters_per_language: int = 40_000, max_languages: int = 200,
     lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
@@ -188,7 +197,11 @@ def fit(
         samples.setdefault(r["__lang"], []).append(encode(r["t"]))
     if len(samples) > max_languages:
         raise ValueError(f"{len(samples)} languages; max_languages is {max_languages}")
-    joined = {k: np.concatenate([x for p in v for x in (p, np.zeros(1, np.uint16))])[:letters_per_language] for k, v in samples.items()}
+    joined = {}
+    for k, v in samples.items():
+        pieces = [np.append(p, np.uint16(0)) for p in v]
+        shares = equal_shares([len(p) for p in pieces], letters_per_language)
+        joined[k] = np.concatenate([p[:n] for p, n in zip(pieces, shares, strict=True)])
     return CrossParser(joined) if joined else None
 
 

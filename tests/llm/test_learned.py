@@ -108,6 +108,16 @@ def test_languages_of_other_scripts(spark):
     assert {(r.lang_pred, r.score) for r in strange} == {("und", 0.0)}
 
 
+def test_samples_are_equal_shares(spark):
+    """Every sampled row is learned from, those with large ids as well."""
+    words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join([w] * 200), "aa") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    parser = langid.fit(docs, F.lit(True), rows_per_language=100, letters_per_language=4000)
+    found = parser.phrases([langid.encode(w) for w in words])
+    assert (found == 1).all()
+    assert langid.equal_shares([5, 100, 0, 40], 100) == [5, 55, 0, 40] and langid.equal_shares([9, 9, 9], 7) == [2, 2, 3]
+
+
 def test_letter_codes():
     assert langid.encode("Ж—ж").tolist() == [ord("ж"), 0, ord("ж")]
     assert langid.encode("Ａ").tolist() == langid.encode("ａ").tolist() and len(langid.encode("日")) == 2
