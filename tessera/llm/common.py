@@ -7,7 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,19 @@ def hold(name: str, release: Callable[[], None] | None = None) -> None:
         _trim()
 
 
+ROWS_A_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send ``ROWS_A_BATCH`` rows at a time to Python, where it has Spark's default of 10,000.
+
+    Whole documents are large rows: 10,000 of them at once cost each worker and the JVM beside it some 100 MB.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, ROWS_A_BATCH)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches cut smaller, so that few texts at a time become Python strings."""
     for batch in batches:

@@ -22,7 +22,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for rows (a, b): root is the smallest node of the component; nodes with no link are absent.
+    """(node, root), written, for rows (a, b): root is the smallest node of the component; nodes with no link are absent.
 
     A node that meets itself counts as no link; repeated and reversed links count once. The number of
     rounds grows with the logarithm of the longest path.
@@ -43,4 +43,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         sign = now
     else:
         raise RuntimeError("components didn't settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = materialise(roots, "cc-roots")
+    discard(edges)
+    return out

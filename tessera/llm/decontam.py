@@ -3,7 +3,9 @@
 Index: the benchmark's passages as TF-IDF rows over lower-case words; of a passage longer than
 ``MAX_PART`` words each part of about ``WINDOW`` words is a row. A randomised SVD (Gaussian range
 finder with power iterations) gives the leading right singular vectors: each iteration is one distributed
-pass that sums A^T (A Q) over blocks of rows, so the driver holds only terms x rank matrices.
+pass that sums A^T (A Q) by term over blocks of rows, so the driver holds only terms x rank matrices.
+Document frequencies are counted by Spark over the whole benchmark. A benchmark of more than ``SHARD_BYTES``
+is dealt into shards, each with an index of its own, and each searched against all documents.
 
 Search: every document is cut into overlapping windows of ``WINDOW`` words; a window's vector is the sum
 of its words' weighted latent vectors, and every window of every document is compared with all rows
@@ -21,15 +23,18 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from tessera.llm.common import column, hold, slices
+from tessera.llm.common import column, hold, slices, small_batches
+from tessera.storage import discard, materialise
 
 RANK = 64
 OVERSAMPLE = 16
@@ -37,6 +42,9 @@ POWER = 2
 WINDOW = 48
 STRIDE = 16
 MAX_PART = 64
+SHARD_BYTES = 4 << 20  # of passages in one index
+TERM_BLOCK = 2048
+MEMO_WORDS = 150_000
 MIN_COSINE = 0.35
 MIN_COVERAGE = 0.38
 MIN_LCS = 0.75
@@ -49,17 +57,9 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-_trimmed: dict[str, str] = {}
-
-
 def trim(word: str) -> str:
-    """A word without marks around it; memoised in a bounded table."""
-    known = _trimmed.get(word)
-    if known is None:
-        if len(_trimmed) > 300_000:
-            _trimmed.clear()
-        known = _trimmed[word] = word if word.isalnum() else TRIM.sub("", word)
-    return known
+    """A word without marks around it."""
+    return word if word.isalnum() else TRIM.sub("", word)
 
 
 def common_subsequence(short: list[int], long: list[int]) -> int:
@@ -85,15 +85,14 @@ def parts_of(words: list[int]) -> list[list[int]]:
 class Index:
     """Benchmark passages: term numbers, word sequences, and latent vectors of their parts."""
 
-    def __init__(self, items: list[tuple[int, list[str], int]]):
-        """items: (number, words, words of the answer at the end)."""
-        self.items = items
-        df = Counter(w for _, ws, _ in items for w in set(ws))
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
-        n = max(len(items), 1)
-        self.idf = np.array([math.log((1 + n) / df[w]) for w in sorted(df)]) if df else np.zeros(0)
-        rare = max(2, n // 20)
-        self.distinctive = np.array([df[w] <= rare for w in sorted(df)], bool) if df else np.zeros(0, bool)
+    def __init__(self, items: list[tuple[object, list[str], int]], df: dict[str, int], n: int, id_type: DataType):
+        """items: (id, words, words of the answer at the end); df, n: passages by word, and all, of the whole benchmark."""
+        self.items, self.id_type = items, id_type
+        self.terms = {w: k for k, w in enumerate(sorted({w for _, ws, _ in items for w in ws}))}
+        held = np.array([df[w] for w in self.terms], float)
+        n = max(n, 1)
+        self.idf = np.log((1 + n) / held) if len(held) else np.zeros(0)
+        self.distinctive = held <= max(2, n // 20)
         self.words = [[self.terms[w] for w in ws] for _, ws, _ in items]
         self.parts = [p for ws in self.words for p in parts_of(ws)]
         self.passage = np.repeat(np.arange(len(items)), [len(parts_of(ws)) for ws in self.words])
@@ -123,47 +122,86 @@ def randomised_svd(spark, index: Index, rank: int = RANK, seed: int = 3) -> np.n
     if not terms:
         return np.zeros((0, 0), np.float32)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(terms, width)))[0]
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index)  # at most about SHARD_BYTES of passages
     blocks = spark.range(0, len(index.parts), 1, max(1, min(64, len(index.parts) // 500 + 1)))
     for step in range(POWER + 1):
         basis = spark.sparkContext.broadcast(q)
 
-        def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gram(batches: Iterator[pa.RecordBatch], basis=basis) -> Iterator[pa.RecordBatch]:
             index, q = shared.value, basis.value
-            total = np.zeros_like(q)
+            total, touched = np.zeros_like(q), np.zeros(len(q), bool)
             for batch in batches:
                 for k in column(batch, 0):
                     at, x = index.tfidf(k)
                     total[at] += x[:, None] * (x @ q[at])[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["z"])
-
-        parts = blocks.mapInArrow(gram, "z binary").collect()  # one terms x rank matrix a block of parts
-        z = sum(np.frombuffer(r["z"]).reshape(terms, width) for r in parts)
+                    touched[at] = True
+            for lo in range(0, len(q), TERM_BLOCK):
+                if touched[lo : lo + TERM_BLOCK].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([total[lo : lo + TERM_BLOCK].tobytes()], pa.binary())], names=["lo", "z"])
+
+        def add(block: pa.Table) -> pa.Table:
+            z = sum(np.frombuffer(x.as_py()) for x in block.column("z"))
+            return pa.table({"lo": block.column("lo").slice(0, 1), "z": pa.array([z.tobytes()], pa.binary())})
+
+        z = np.zeros_like(q)
+        for r in blocks.mapInArrow(gram, "lo long, z binary").groupBy("lo").applyInArrow(add, "lo long, z binary").collect():  # one terms x rank matrix
+            z[r["lo"] : r["lo"] + TERM_BLOCK] = np.frombuffer(r["z"]).reshape(-1, width)
+        basis.unpersist()
         u, s, _ = np.linalg.svd(z, full_matrices=False)
         q = u
+    shared.unpersist()
     return q[:, : min(rank, int((s > 1e-9 * s[0]).sum()))].astype(np.float32)
 
 
-def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", max_items: int = 200_000) -> Index:
-    """Null or empty passages are left out. The benchmark must be no larger than ``max_items`` passages."""
-    rows = benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"the benchmark has more than {max_items} passages; split it")
-    items = []
-    for number, text in sorted((r[0], r[1]) for r in rows):
-        words = [w for w in map(trim, words_of(text)) if w]
-        last = [s for s in re.split(r"(?<=[.!?])\s+|\n", text.strip()) if s.strip()][-1:]
-        answer = sum(1 for s in last for w in map(trim, words_of(s)) if w)
-        if words:
-            items.append((number, words, answer))
-    index = Index(items)
-    index.basis = randomised_svd(benchmark.sparkSession, index)
-    vectors = np.zeros((len(index.parts), index.basis.shape[1]), np.float32)
-    for k in range(len(index.parts)):
-        at, x = index.tfidf(k)
-        vectors[k] = x @ index.basis[at]
-    index.rows = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return index
+def passages(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, words, answer, size) of the passages that have words; answer: how many words its last sentence has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            row, words, answer, size = [], [], [], []
+            for i, text in enumerate(column(batch, 1)):
+                found = [w for w in map(trim, words_of(text)) if w]
+                if found:
+                    last = [s for s in re.split(r"(?<=[.!?])\s+|\n", text.strip()) if s.strip()][-1:]
+                    row.append(i), words.append(found), size.append(len(text))
+                    answer.append(sum(1 for s in last for w in map(trim, words_of(s)) if w))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int32())), pa.array(words, pa.list_(pa.string())), pa.array(answer, pa.int64()), pa.array(size, pa.int64())],
+                names=["id", "words", "answer", "size"],
+            )
+
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, words array<string>, answer long, size long")
+
+
+def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> list[Index]:
+    """One index, or more where the passages are larger than ``shard_bytes``; null and empty passages are left out.
+
+    The driver holds a shard's passages at a time while it builds, and the indexes until they are sent out.
+    Ids may be of any type; a passage that repeats is found as often.
+    """
+    spark = benchmark.sparkSession
+    rows = materialise(passages(benchmark, id_col, text_col), "benchmark-passages")
+    n, size = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
+    shards = max(1, -(-(size or 0) // shard_bytes))
+    shard = F.pmod(F.xxhash64("id", "words"), F.lit(shards))
+    terms = rows.select(shard.alias("shard"), F.explode(F.array_distinct("words")).alias("w"))
+    df = materialise(terms.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards")), "benchmark-terms")
+    found = []
+    for k in range(shards):
+        mine = df.where(F.array_contains("shards", F.lit(k).cast("long"))) if shards > 1 else df
+        items = [(r["id"], r["words"], r["answer"]) for r in rows.where(shard == k).collect()]
+        index = Index(sorted(items, key=lambda r: (r[0], r[1])), {r["w"]: r["df"] for r in mine.select("w", "df").collect()}, n, rows.schema["id"].dataType)
+        index.basis = randomised_svd(spark, index)
+        vectors = np.zeros((len(index.parts), index.basis.shape[1]), np.float32)
+        for p in range(len(index.parts)):
+            at, x = index.tfidf(p)
+            vectors[p] = x @ index.basis[at]
+        index.rows = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        found.append(index)
+    discard(rows)
+    discard(df)
+    return found
 
 
 class Searcher:
@@ -183,7 +221,7 @@ class Searcher:
         try:
             got = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
         except KeyError:
-            if len(memo) > 300_000:
+            if len(memo) > MEMO_WORDS:
                 memo.clear()
             get = self.index.terms.get
             for w in set(words):
@@ -204,7 +242,7 @@ class Searcher:
         item, hits = np.unique(held, return_counts=True)
         return np.union1d(item[hits >= index.least[item]], index.always)
 
-    def search(self, text: str) -> list[tuple[int, float, float]]:
+    def search(self, text: str) -> list[tuple[object, float, float]]:
         """(passage, cosine, share of the passage in the longest common subsequence) of what the text holds."""
         index = self.index
         ids = self.numbers(text)
@@ -259,46 +297,58 @@ _searchers: dict[str, Searcher] = {}
 
 def searcher_for(key: str, shared) -> Searcher:
     """One searcher a worker: the index is broadcast once, its memo lives across tasks."""
-    hold("decontam", lambda: (_searchers.clear(), _trimmed.clear()))
+    hold("decontam", _searchers.clear)
     if key not in _searchers:
         _searchers.clear()
         _searchers[key] = Searcher(shared.value)
     return _searchers[key]
 
 
-def find_contamination(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, indexes: list[Index], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, cosine, lcs_share), a row per row of docs and passage that it holds.
 
     Null and empty texts hold nothing; a repeated row is reported again; an empty benchmark finds nothing.
+    Texts are read whole, once for each index; of a very long one 512 windows at a time are compared. Other
+    columns aren't read, so their names don't matter.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared, key = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex  # at most max_items passages
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = searcher_for(key, shared)
-        for batch in slices(batches):
-            row, item, cosine, share = [], [], [], []
-            for i, text in enumerate(column(batch, 1)):
-                for k, c, s in searcher.search(text or ""):
-                    row.append(i), item.append(k), cosine.append(c), share.append(s)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int32())), pa.array(item, pa.int64()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64())],
-                names=["id", "item_id", "cosine", "lcs_share"],
-            )
+    def found_by(index: Index) -> DataFrame:
+        shared, key = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex  # about SHARD_BYTES of passages
+        arrow_id = to_arrow_type(index.id_type)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, item_id long, cosine double, lcs_share double").withColumnRenamed("id", id_col)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = searcher_for(key, shared)
+            for batch in slices(batches):
+                row, item, cosine, share = [], [], [], []
+                for i, text in enumerate(column(batch, 1)):
+                    for k, c, s in searcher.search(text or ""):
+                        row.append(i), item.append(k), cosine.append(c), share.append(s)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int32())), pa.array(item, arrow_id), pa.array(cosine, pa.float64()), pa.array(share, pa.float64())],
+                    names=["id", "item_id", "cosine", "lcs_share"],
+                )
+
+        return rows.mapInArrow(run, f"id {kind}, item_id {index.id_type.simpleString()}, cosine double, lcs_share double")
 
+    return reduce(DataFrame.unionByName, map(found_by, indexes)).withColumnRenamed("id", id_col)
 
-def is_contaminated(docs: DataFrame, index: Index, text_col: str = "text"):
-    """A boolean column for filters: the text holds a passage."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
 
-    @F.pandas_udf("boolean")
-    def held(texts):
-        import pandas as pd
+def is_contaminated(docs: DataFrame, indexes: list[Index], text_col: str = "text") -> Column:
+    """A boolean column for filters: the text holds a passage. Null text holds none."""
+    small_batches(docs.sparkSession)
+
+    def held_by(index: Index) -> Column:
+        shared, key = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
+
+        @F.arrow_udf("boolean")
+        def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            searcher = searcher_for(key, shared)
+            for batch in batches:
+                yield pa.array([bool(searcher.search(t or "")) for lo in range(0, len(batch), 500) for t in batch.slice(lo, 500).to_pylist()], pa.bool_())
 
-        searcher = searcher_for(key, shared)
-        return pd.Series([bool(searcher.search(t or "")) for t in texts])
+        return held(F.col(text_col))
 
-    return held(F.col(text_col))
+    return reduce(lambda a, b: a | b, map(held_by, indexes))

@@ -11,14 +11,16 @@ are built per block, and blocks are chosen so that no link is lost:
 1. Sets that are equal become one node (map-side combining, then one grouped aggregation).
 2. Tokens that only one node has can't be shared. A node with too few shared tokens for any link leaves.
    This needs a count per token; it runs over each set's smallest 40 % of hashes, which by the prefix
-   argument loses nothing (``prefix_need``).
+   argument loses nothing (``prefix_need``). Tokens that several sets of one batch hold are known to be
+   shared there and then, and only one entry of each goes on, so that a common token stays small.
 3. First pass: nodes meet in blocks keyed by their smallest and largest shared token, cut into chunks of
    at most ``CHUNK`` nodes; each chunk's tree yields verified links, and only those that join two
    components are kept. Chunks' representatives meet again until a pass finds nothing.
 4. Second pass, exact: in the global order by frequency, two linked nodes share one of their first
-   n - ceil(t n) + 1 tokens. For every such token whose holders lie in more than one component, a tree
-   over its holders yields the pairs of different components that the bound admits, all of which are
-   verified. A token with many holders is dealt out as pairs of chunks.
+   n - ceil(t n) + 1 tokens. Tokens with the same holders are one. For every such token whose holders lie
+   in more than one component, a tree over its holders yields the pairs of different components that the
+   bound admits, all of which are verified. The holders of a token with many are dealt out by bands of
+   their sets' sizes, as only sets of the same or of neighbouring bands can link, and as pairs of chunks.
 
 Links within a component found earlier change nothing, so the components are those of all links.
 """
@@ -26,6 +28,8 @@ Links within a component found earlier change nothing, so the components are tho
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, hold
+from tessera.llm.common import column, hold, small_batches
 from tessera.llm.components import components
 from tessera.storage import discard, materialise
 
@@ -42,6 +46,7 @@ GROUPS = 256
 LEAF = 16
 CHUNK = 256
 KEEP = 0.15
+SHARED = -(1 << 63)  # stands for any set: a token of its runs is shared
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1D8E4E27C47D124F & 0xFFFFFFFFFFFFFFFF | 1) for k in range(64)]
 
@@ -193,71 +198,116 @@ def shingle_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFra
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, s1 long, s2 long, n long, tokens binary")
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours begin."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+
+
 def _token_blocks(sets: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Each set's smallest hashes dealt by hash, one row a part and batch: hashes, and runs (node, length, need)."""
+    """Each set's smallest hashes dealt by hash, one row a part and batch: tokens, and runs (s1, s2, length, need).
+
+    Part -1 has, per set, how many of its tokens another set of the same batch has. Those tokens go on once a
+    batch, as a run of the node ``SHARED``, whose tokens count as shared wherever they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("join")
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                heads, needs = [], []
-                for raw in column(part, 1):
-                    t = np.frombuffer(raw, np.uint64)
-                    heads.append(t[: prefix_size(len(t), percent)])
-                    needs.append(prefix_need(len(t), percent))
-                owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-                tokens = np.concatenate(heads)
-                to = ((tokens >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[order], np.arange(parts + 1))
-                short, owner = (tokens[order] >> np.uint64(24)).astype(np.uint32), owner[order]
-                node, need = np.array(part.column(0).to_pylist(), np.int64), np.array(needs, np.int32)
-                keys, cols = [k for k in range(parts) if edges[k] < edges[k + 1]], ([], [], [], [])
-                for k in keys:
-                    own = owner[edges[k] : edges[k + 1]]
-                    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    runs = (short[edges[k] : edges[k + 1]], node[own[start]], np.diff(np.r_[start, len(own)]).astype(np.uint32), need[own[start]])
-                    for c, x in zip(cols, runs, strict=True):
-                        c.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "tokens", "nodes", "lengths", "needs"])
-
-    return sets.select("s1", "tokens").mapInArrow(run, "part int, tokens binary, nodes binary, lengths binary, needs binary")
+                yield deal(batch.slice(lo, 2000))
+
+    def deal(part: pa.RecordBatch) -> pa.RecordBatch:
+        id1, id2 = (np.array(part.column(k).to_pylist(), np.int64) for k in (0, 1))
+        heads, needs = [], []
+        for raw in column(part, 2):
+            t = np.frombuffer(raw, np.uint64)
+            heads.append(t[: prefix_size(len(t), percent)])
+            needs.append(prefix_need(len(t), percent))
+        need = np.array(needs, np.int32)
+        # copies of a set within the batch are one
+        order = np.lexsort((id2, id1))
+        fresh = np.r_[True, (id1[order][1:] != id1[order][:-1]) | (id2[order][1:] != id2[order][:-1])][: len(order)]
+        once = np.sort(order[fresh])
+        owner = np.repeat(once, [len(heads[k]) for k in once])
+        tokens = np.concatenate([np.zeros(0, np.uint64), *(heads[k] for k in once)])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        start = _runs(tokens)
+        several = np.repeat(np.diff(np.r_[start, len(tokens)]) > 1, np.diff(np.r_[start, len(tokens)]))
+        local = np.bincount(owner[several], minlength=len(id1))
+        first = np.zeros(len(tokens), bool)
+        first[start] = True
+        kept = first | ~several
+        owner = np.where(several, -1, owner)[kept]
+        tokens = tokens[kept]
+        id1, id2, need = np.append(id1, SHARED), np.append(id2, SHARED), np.append(need, np.int32(0))
+        to = ((tokens >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((owner, to))
+        to, owner, short = to[order], owner[order], (tokens[order] >> np.uint64(24)).astype(np.uint32)
+        at = np.flatnonzero(local)
+        keys, cols = [-1], [[x] for x in (b"", id1[at].tobytes(), id2[at].tobytes(), local[at].astype(np.uint32).tobytes(), need[at].tobytes())]
+        for lo, hi in pairwise([*_runs(to).tolist(), len(to)]):
+            own = owner[lo:hi]
+            begin = _runs(own)
+            keys.append(int(to[lo]))
+            runs = (short[lo:hi], id1[own[begin]], id2[own[begin]], np.diff(np.r_[begin, len(own)]).astype(np.uint32), need[own[begin]])
+            for c, x in zip(cols, runs, strict=True):
+                c.append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "tokens", "s1", "s2", "lengths", "needs"])
+
+    return sets.select("s1", "s2", "tokens").mapInArrow(run, "part int, tokens binary, s1 binary, s2 binary, lengths binary, needs binary")
+
+
+_ARRAYS = {"tokens": np.uint32, "s1": np.int64, "s2": np.int64, "lengths": np.uint32, "needs": np.int32}
 
 
 def _shared_counts(block: pd.DataFrame) -> pd.DataFrame:
-    """(node, need, shared): of a part's entries those whose token a different set has too, counted per node.
+    """(s1, s2, need, shared): of a part's entries those whose token a different set has too, counted per set.
 
-    Tokens are compared by 32 of their bits: a chance agreement counts as shared, which only keeps a node.
+    Tokens are compared by 32 of their bits: a chance agreement counts as shared, which only keeps a set.
     """
-    tokens = np.concatenate([np.frombuffer(b, np.uint32) for b in block["tokens"]])
-    nodes, lengths, needs = (np.concatenate([np.frombuffer(b, t) for b in block[c]]) for c, t in (("nodes", np.int64), ("lengths", np.uint32), ("needs", np.int32)))
-    names, number = np.unique(nodes, return_inverse=True)
-    need = np.zeros(len(names), np.int32)
-    need[number] = needs
+    tokens, s1, s2, lengths, needs = (np.concatenate([np.frombuffer(b, t) for b in block[c]]) for c, t in _ARRAYS.items())
+    order = np.lexsort((s2, s1))
+    new = np.r_[True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])][: len(order)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    names = order[new]
     # token and set in one number: the same set may come from several batches, and counts once
     pair = np.unique((tokens.astype(np.uint64) << np.uint64(32)) | np.repeat(number, lengths).astype(np.uint64))
-    token = pair >> np.uint64(32)
-    same = token[1:] == token[:-1]
-    shared = np.zeros(len(pair), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    count = np.bincount((pair[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
-    at = np.flatnonzero(count)
-    return pd.DataFrame({"node": names[at], "need": need[at], "shared": count[at]})
+    token, owner = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    everywhere = (s1[names] == SHARED) & (s2[names] == SHARED)
+    start = _runs(token)
+    size = np.diff(np.r_[start, len(token)])
+    known = np.maximum.reduceat(everywhere[owner], start) if len(start) else np.zeros(0, bool)
+    shared = np.repeat((size > 1) | known, size)
+    count = np.bincount(owner[shared], minlength=len(names))
+    at = np.flatnonzero((count > 0) & ~everywhere)
+    return pd.DataFrame({"s1": s1[names[at]], "s2": s2[names[at]], "need": needs[names[at]], "shared": count[at]})
 
 
 def survivors(sets: DataFrame, percent: int, most_broadcast: int = 2_000_000) -> DataFrame:
-    """(node, n, tokens) of the sets that step 2 doesn't rule out, each once."""
+    """(s1, s2, n, tokens) of the sets that step 2 doesn't rule out, each once."""
     total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = int(min(50_000, max(16, total // 1_000_000 + 1)))
-    counts = _token_blocks(sets, parts, percent).groupBy("part").applyInPandas(_shared_counts, "node long, need int, shared long")
-    ids = counts.groupBy("node").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select(F.col("node").alias("s1"))
-    ids = materialise(ids, "join-alive-ids")
-    few = ids.count() <= most_broadcast  # 16 bytes each; beyond that a shuffled join
-    rows = sets.join(F.broadcast(ids) if few else ids, "s1", "left_semi")
-    order = Window.partitionBy("s1").orderBy("s2")
-    return rows.withColumn("k", F.row_number().over(order)).where("k = 1").select(F.col("s1").alias("node"), "n", "tokens")
+    parts = int(max(16, total // 1_000_000 + 1))
+    dealt = materialise(_token_blocks(sets, parts, percent), "join-dealt")
+    far = dealt.where("part >= 0").groupBy("part").applyInPandas(_shared_counts, "s1 long, s2 long, need int, shared long")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [np.concatenate([np.zeros(0, t), *(np.frombuffer(b, t) for b in batch.column(k).to_pylist())]) for k, t in enumerate((np.int64, np.int64, np.int32, np.uint32))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:3]), pa.array(cols[3].astype(np.int64))], names=["s1", "s2", "need", "near"])
+
+    near = dealt.where("part < 0").select("s1", "s2", "needs", "lengths").mapInArrow(unpack, "s1 long, s2 long, need int, near long")
+    # a copy in another batch may have found other tokens shared there, so the largest local count is what counts
+    both = far.withColumn("near", F.lit(0).cast("long")).unionByName(near.withColumn("shared", F.lit(0).cast("long")))
+    sums = both.groupBy("s1", "s2").agg(F.sum("shared").alias("shared"), F.max("near").alias("near"), F.max("need").alias("need"))
+    ids = materialise(sums.where("shared + near >= need").select("s1", "s2"), "join-alive-ids")
+    discard(dealt)
+    few = ids.count() <= most_broadcast  # 24 bytes each; beyond that a shuffled join
+    rows = sets.join(F.broadcast(ids) if few else ids, ["s1", "s2"], "left_semi")
+    alive = materialise(rows.dropDuplicates(["s1", "s2"]).select("s1", "s2", "n", "tokens"), "join-alive-sets")
+    discard(ids)
+    return alive
 
 
 def _blocks_in(group: pd.DataFrame, *keys: str) -> tuple[dict[str, np.ndarray], Iterator[slice]]:
@@ -301,10 +351,9 @@ def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: int = 8) -> tuple[DataFrame, DataFrame | None]:
-    """Links from blocks (key, node), and the components they make."""
-    links, roots = None, None
-    spark = keyed.sparkSession
+def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: int = 8) -> tuple[list[DataFrame], DataFrame | None]:
+    """Written links from blocks (key, node), one table a round, and the components they make, None where there is no link."""
+    links, roots = [], None
     buckets = max(64, keyed.count() // CHUNK)
     for round_ in range(most_rounds):
         rows = _rooted(keyed, roots)
@@ -318,31 +367,40 @@ def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: in
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "chunk"), F.lit(buckets)))
         found = materialise(rows.groupBy("bucket").applyInPandas(_chunk_links(percent), "a long, b long"), "join-links")
         if found.isEmpty():
+            discard(found)
             break
-        links = found if links is None else links.unionByName(found)
-        roots = materialise(components(links), "join-roots")
-    return links if links is not None else spark.createDataFrame([], "a long, b long"), roots
+        links.append(found)
+        before, roots = roots, components(reduce(DataFrame.unionByName, links))
+        if before is not None:
+            discard(before)
+    return links, roots
+
+
+def _pack(points: np.ndarray) -> bytes:
+    """Counts in as few bytes as hold them."""
+    return points.astype(np.uint8 if points.max() < 256 else np.int32).tobytes()
+
+
+def _unpack(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, np.uint8 if len(point) == GROUPS else np.int32).astype(np.int32)
 
 
 def _block_pairs(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Pairs of different components in each block, or between two chunks of it, that the bound admits."""
-        seen, a, b = set(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        columns, blocks = _blocks_in(group, "token", "c1", "c2")
+        hold("join")
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        columns, blocks = _blocks_in(group, "token", "band", "c1", "c2")
         for at in blocks:
-            nodes, left, right = (columns[c][at] for c in ("node", "left", "right"))
-            same = (nodes.tobytes(), left.tobytes(), right.tobytes())
-            if same in seen:  # another token with the same holders
-                continue
-            seen.add(same)
-            roots, trees = columns["root"][at], np.flatnonzero(right)
+            nodes, left, right, low, roots = (columns[c][at] for c in ("node", "left", "right", "low", "root"))
+            trees = np.flatnonzero(right)
             if not len(trees) or not left.any():
                 continue
-            points = np.array([np.frombuffer(p, np.int32) for p in columns["point"][at]])
+            points = np.array([_unpack(p) for p in columns["point"][at]])
             tree = CountTree(points[trees], percent)
             for i in np.flatnonzero(left):
                 near = trees[tree.query(points[i])]
-                near = near[(roots[near] != roots[i]) & (nodes[near] != nodes[i])]
+                near = near[(roots[near] != roots[i]) & (nodes[near] != nodes[i]) & (low[near] | low[i])]
                 if len(near):
                     a.append(np.minimum(nodes[near], nodes[i]))
                     b.append(np.maximum(nodes[near], nodes[i]))
@@ -352,32 +410,46 @@ def _block_pairs(percent: int):
 
 
 def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """All links between different components of ``roots``, from rows (token, node)."""
+    """All links between different components of ``roots``, from rows (token, node, n)."""
     rows = _rooted(prefixes, roots)
-    mixed = rows.groupBy("token").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("holders"), F.xxhash64(F.min("node"), F.max("node")).alias("ends")
+    held = rows.groupBy("token").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("holders"),
+        F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2"),
     )
-    mixed = materialise(mixed.where("lo < hi").select("token", "holders", "ends"), "join-mixed")
-    buckets = max(64, (mixed.agg(F.sum("holders")).first()[0] or 0) // 1000)
+    # of tokens with the same holders (by 128 bits of their hashes) one is looked at
+    mixed = held.where("lo < hi").groupBy("holders", "x1", "x2").agg(F.min("token").alias("token"))
+    mixed = materialise(mixed.select("token", "holders"), "join-mixed")
     rows = rows.join(mixed, "token")
+    # only sizes n <= m <= n * 100 / percent can link: the same band of sizes or the next
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent * 1.005 + 1e-9))).cast("int")
+    many = F.col("holders") > CHUNK
+    rows = rows.withColumn("own", F.when(many, band).otherwise(F.lit(-1)))
+    rows = rows.select("token", "node", "root", "holders", "own", F.explode(F.when(many, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))).alias("band"))
+    rows = rows.withColumn("low", F.col("own") == F.col("band"))
+    sizes = rows.where(F.col("holders") > CHUNK).groupBy("token", "band").agg(F.count(F.lit(1)).alias("size"), F.max("low").alias("any_low"))
+    sizes = materialise(sizes.where("any_low and size > 1").select("token", "band", "size"), "join-bands")
+    small = rows.where(F.col("holders") <= CHUNK).withColumn("chunks", F.lit(1))
+    large = rows.join(sizes, ["token", "band"]).withColumn("chunks", F.ceil(F.col("size") / (2 * CHUNK)).cast("int")).drop("size")
+    rows = small.unionByName(large).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # each pair of chunks is one block: a node goes to the pairs that its chunk is in
+    rows = rows.select("token", "band", "low", "node", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    rows = rows.select(
+        "token", "band", "low", "node", "root", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"),
+        (F.col("chunk") <= F.col("other")).alias("left"), (F.col("chunk") >= F.col("other")).alias("right"),
+    )
+    rows = materialise(rows, "join-blocks")
+    buckets = max(64, rows.count() // 1000)
 
     @F.pandas_udf("binary")
     def point(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: group_counts(np.frombuffer(t, np.uint64)).tobytes())
+        return tokens.map(lambda t: _pack(group_counts(np.frombuffer(t, np.uint64))))
 
-    wanted = rows.select("node").distinct()
-    points = nodes.join(wanted, "node", "left_semi").select("node", point("tokens").alias("point"))
-    chunks = F.ceil(F.col("holders") / (4 * CHUNK)).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # each pair of chunks is one block: a node goes to the pairs that its chunk is in
-    rows = rows.select("token", "node", "root", "chunk", "ends", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    rows = rows.select(
-        "token", "node", "root", "ends", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"),
-        (F.col("chunk") <= F.col("other")).alias("left"), (F.col("chunk") >= F.col("other")).alias("right"),
-    ).join(points, "node")
-    # small blocks share a call; tokens with the same holders meet, and are looked at once
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("ends", "c1", "c2"), F.lit(buckets)))
-    pairs = materialise(rows.groupBy("bucket").applyInPandas(_block_pairs(percent), "a long, b long").distinct(), "join-pairs")
+    points = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", point("tokens").alias("point"))
+    # small blocks share a call, about 1000 rows a group
+    dealt = rows.join(points, "node").withColumn("bucket", F.pmod(F.xxhash64("token", "band", "c1", "c2"), F.lit(buckets)))
+    pairs = materialise(dealt.groupBy("bucket").applyInPandas(_block_pairs(percent), "a long, b long").distinct(), "join-pairs")
+    for done in (mixed, sizes, rows):
+        discard(done)
 
     @F.pandas_udf("boolean")
     def verified(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -385,7 +457,9 @@ def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None,
 
     sets = nodes.select("node", "tokens")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.where(verified("x", "y")).select("a", "b")
+    links = materialise(both.where(verified("x", "y")).select("a", "b"), "join-verified")
+    discard(pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,38 +470,50 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str
     A text without words, or null, has no shingles and links with nothing, not even its copies. Rows that
     repeat an id are documents of their own with that id. A null id is never the smallest unless alone.
     """
+    small_batches(docs.sparkSession)
     sets = materialise(shingle_sets(docs, n, id_col, text_col), "join-sets")
-    # node: a set's first 64 bits of signature; documents are matched to sets by all 128
     light = materialise(sets.select("id", "s1", "s2", "n"), "join-light")
-    alive = materialise(survivors(sets.where("tokens is not null"), percent), "join-alive")
+    # a node is a set that may have a link; sets are told apart by all 128 bits of their signatures
+    alive = survivors(sets.where("tokens is not null"), percent)
     discard(sets)
-    signed = light.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("least"))
+    nodes = materialise(alive.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "tokens"), "join-nodes")
+    discard(alive)
 
     @F.pandas_udf("array<long>")
     def numbers(tokens: pd.Series) -> pd.Series:
         return tokens.map(lambda t: np.frombuffer(t, np.int64))
 
-    each = alive.select("node", "n", F.explode(numbers("tokens")).alias("token"))
+    each = nodes.select("node", "n", F.explode(numbers("tokens")).alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = each.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     ready = materialise(
         shared.where(F.size("ts") >= need).select(
-            "node", F.array_min("ts.token").alias("k1"), F.array_max("ts.token").alias("k2"),
+            "node", "n", F.array_min("ts.token").alias("k1"), F.array_max("ts.token").alias("k2"),
             # of the first n - need + 1 tokens by (df, token), those with df 1 come first and are in one set only
             F.slice("ts.token", 1, F.greatest(F.lit(1), F.size("ts") - need + 1)).alias("prefix"),
         ),
         "join-prefixes",
     )
     keyed = ready.select("node", F.explode(F.array_distinct(F.array("k1", "k2"))).alias("key"))
-    links, roots = first_pass(keyed, alive, percent)
-    rest = second_pass(ready.select("node", F.explode("prefix").alias("token")), alive, roots, percent)
-    links = materialise(links.unionByName(rest), "join-all-links")
-    roots = components(links)
-
-    labelled = signed.join(roots.withColumnRenamed("node", "s1"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "root").select("s1", "s2", "component_id")
-    out = light.where("n > 0").select("id", "s1", "s2", "n").join(named, ["s1", "s2"]).select("id", "n", "component_id")
+    links, roots = first_pass(keyed, nodes, percent)
+    rest = second_pass(ready.select("node", "n", F.explode("prefix").alias("token")), nodes, roots, percent)
+    discard(ready)
+    if roots is not None:
+        discard(roots)
+    roots = components(reduce(DataFrame.unionByName, [*links, rest]))
+    for done in (*links, rest):
+        discard(done)
+
+    signed = light.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("least"))
+    numbered = nodes.select("s1", "s2", "node").join(roots, "node").select("s1", "s2", "root")
+    # sets without a link are alone; those with one take the least id of their component
+    named = materialise(signed.join(numbered, ["s1", "s2"], "left"), "join-named")
+    discard(nodes)
+    discard(roots)
+    least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    linked_sets = named.where("root is not null").join(least, "root").select("s1", "s2", "component_id")
+    alone = named.where("root is null").select("s1", "s2", F.col("least").alias("component_id"))
+    out = light.where("n > 0").select("id", "s1", "s2", "n").join(linked_sets.unionByName(alone), ["s1", "s2"]).select("id", "n", "component_id")
     empty = light.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -152,31 +152,88 @@ def test_quality(spark):
     assert quality.classify(docs, quality.fit(docs, labels.limit(0))).count() == 403
 
 
-def test_posteriors_against_plain_arithmetic(spark):
-    rows = [("h1", "h1/a", 3.0)] * 50 + [("h1", "h1/b", -3.0)] * 30 + [("h2", "h2/a", -2.0)] * 20 + [("h3", "h3/a", 2.0)]
-    got = {r.path: r["shift"] for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, `__own` double")).collect()}
-    p = lambda x: 1 / (1 + np.exp(-x))
-    groups = {}
-    for h, path, x in rows:
-        groups.setdefault((h, path), []).append(p(x))
-    total = sum(map(sum, groups.values()))
-    g = (total + 0.5) / (len(rows) + 1)
-
-    def strength(n, s, parent):
-        n, s, parent = map(np.array, (n, s, parent))
-        noise, spread = (parent * (1 - parent)).sum(), (n * (s / n - parent) ** 2).sum()
-        between = (spread - noise) / max(n.sum() - (n * n).sum() / n.sum(), 1)
-        return 200.0 if between <= 1e-6 else min(200.0, max(2.0, noise / len(n) / between - 1))
-
+def strength(n, s, parent):
+    n, s, parent = map(np.array, (n, s, parent))
+    noise, spread = (parent * (1 - parent)).sum(), (n * (s / n - parent) ** 2).sum()
+    between = (spread - noise) / max(n.sum() - (n * n).sum() / n.sum(), 1)
+    return 200.0 if between <= 1e-6 else min(200.0, max(2.0, noise / len(n) / between - 1))
+
+
+def test_priors_and_shifts_against_plain_arithmetic(spark):
+    """Priors from labelled counts; each document's shift from its site's other documents."""
+    counts = [("h1", "h1/a", 50.0, 45.0), ("h1", "h1/b", 30.0, 6.0), ("h2", "h2/a", 20.0, 1.0), ("h3", "h3/a", 1.0, 1.0)]
+    g, m_host, m_path = quality.site_priors(spark.createDataFrame(counts, "host string, path string, n double, s double"))
+    assert g == pytest.approx((53 + 0.5) / (101 + 1))
     hosts = {}
-    for (h, _), v in groups.items():
-        hosts.setdefault(h, []).extend(v)
-    m = strength([len(v) for v in hosts.values()], [sum(v) for v in hosts.values()], [g] * len(hosts))
-    rate = {h: (sum(v) + m * g) / (len(v) + m) for h, v in hosts.items()}
-    m2 = strength([len(v) for v in groups.values()], [sum(v) for v in groups.values()], [rate[h] for h, _ in groups])
-    for (h, path), v in groups.items():
-        r = (sum(v) + m2 * rate[h]) / (len(v) + m2)
-        assert got[path] == pytest.approx(np.log(r / (1 - r)) - np.log(g / (1 - g)))
+    for h, _, n, s in counts:
+        hosts[h] = (hosts.get(h, (0, 0))[0] + n, hosts.get(h, (0, 0))[1] + s)
+    assert m_host == pytest.approx(strength([n for n, _ in hosts.values()], [s for _, s in hosts.values()], [g] * 3))
+    rate = {h: (s + m_host * g) / (n + m_host) for h, (n, s) in hosts.items()}
+    assert m_path == pytest.approx(strength([c[2] for c in counts], [c[3] for c in counts], [rate[c[0]] for c in counts]))
+    model = quality.Model(None, None, g, m_host, m_path)
+    rows = spark.createDataFrame([(0.9, *c[2:], *hosts[c[0]]) for c in counts], "p double, n double, s double, hn double, hs double")
+    shift = quality.site_shift(*[F.col(c) for c in ("p", "n", "s", "hn", "hs")], model)
+    for r in rows.withColumn("shift", shift).collect():
+        host = (max(r.hs - r.p, 0) + m_host * g) / (r.hn - 1 + m_host)
+        want = (max(r.s - r.p, 0) + m_path * host) / (r.n - 1 + m_path)
+        assert r["shift"] == pytest.approx(np.log(want / (1 - want)) - np.log(g / (1 - g)))
+
+
+def test_a_lone_document_is_no_evidence_for_itself(spark):
+    """A document alone at its site has the parent's rate, whatever its own probability."""
+    model = quality.Model(None, None, 0.7, 10.0, 5.0)
+    row = spark.range(1).select(*[quality.site_shift(*[F.lit(x) for x in (p, 1.0, p, 1.0, p)], model).alias(f"s{k}") for k, p in enumerate((0.01, 0.99))]).first()
+    assert row.s0 == pytest.approx(0, abs=1e-9) and row.s1 == pytest.approx(0, abs=1e-9)
+
+
+def test_terms_tell_what_shapes_cannot(spark):
+    """Good and bad texts of one shape, told apart by a few words: held-out accuracy with and without terms."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(500):
+        words = text_of(rng, "abcdefgh", 50).split()
+        for _ in range(3):
+            words[rng.randrange(len(words))] = rng.choice(["casino", "viagra", "lottery"] if i % 2 else ["theorem", "history", "harbour"])
+        rows.append((i, " ".join(words), "en", f"s{i % 5}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 0, int(i % 2 == 0), "x") for i in range(500)], LABELS)
+    model = quality.fit(docs.where("doc_id % 4 <> 0"), labels)
+    held = [r for r in rows if r[0] % 4 == 0]
+    shapes = quality.Logistic()
+    x = np.array([quality.shape(r[1]) + [0.0] * 4 for r in rows])
+    y = np.array([float(r[0] % 2 == 0) for r in rows])
+    inside = np.array([r[0] % 4 != 0 for r in rows])
+    shapes.fit(x[inside], y[inside])
+    # of the held-out rows all are even, so judge both classes by scores of fresh texts as well
+    fresh = [(r[1].replace("theorem", "casino").replace("history", "viagra").replace("harbour", "lottery"), 0) for r in held] + [(r[1], 1) for r in held]
+    right = np.mean((model.log_odds([t for t, _ in fresh]) > 0) == np.array([k for _, k in fresh]))
+    by_shape = np.mean((shapes.log_odds(np.array([quality.shape(t) + [0.0] * 4 for t, _ in fresh])) > 0) == np.array([k for _, k in fresh]))
+    assert right > 0.97 > 0.8 > by_shape
+
+
+def test_terms_in_blocks_are_those_of_the_whole(monkeypatch):
+    text = text_of(random.Random(3), "abcdefghé", 900)
+    whole = quality.terms(text)
+    monkeypatch.setattr(quality, "BLOCK", 64)
+    assert quality.terms(text).tolist() == whole.tolist()
+    raw = text.encode()
+    runs = {(raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32 >> 18 for i in range(len(raw) - 2)}
+    assert set(whole[whole < quality.RUNS].tolist()) == runs
+
+
+def test_quality_of_odd_rows(spark, odd):
+    """Clashing names, nulls, repeated rows, a very long text; rows come back unchanged."""
+    kinds = "doc_id long, text string, lang string, source string, host string, path string, own double, row int, `__own` int, `__quality` int, `__h` int"
+    texts = [*odd, "long text " * 200_000, None, "word", "word"]
+    rows = [(i % 9, t, None, None if i % 2 else "http://h/p/q", "x", "y", 1.0, 2, 3, 4, 5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, kinds)
+    labels = spark.createDataFrame([(i, 0, i % 2, "x") for i in range(9)], LABELS)
+    model = quality.fit(docs, labels)
+    out = quality.classify(docs, model, docs.columns)
+    assert out.count() == len(rows) and set(out.columns) == {*docs.columns, "__site"}
+    assert out.where("__quality is null or __quality < 0 or __quality > 1").count() == 0
+    kept = quality.keep_good(docs, model, least=0.0)
+    assert kept.dtypes == docs.dtypes and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
 
 
 def lcs(a, b):
@@ -200,11 +257,11 @@ def benchmark_index(spark):
     rng = random.Random(7)
     items = [(k, text_of(rng, "abcdefghijklm", rng.randrange(15, 55)).replace(" ", " the ", 4) + ". " + text_of(rng, "abcdefghijklm", 4) + ".") for k in range(60)]
     frame = spark.createDataFrame([*items, (100, None), (101, ""), (102, "...")], "item_id long, text string")
-    return dict(items), decontam.build_index(frame)
+    return dict(items), decontam.build_index(frame)  # one index
 
 
 def test_svd_against_numpy(benchmark_index):
-    _, index = benchmark_index
+    _, (index,) = benchmark_index
     a = np.zeros((len(index.items), len(index.terms)))
     for k in range(len(index.items)):
         at, x = index.tfidf(k)
@@ -251,6 +308,35 @@ def test_long_passages(spark, make_docs):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
+def test_string_ids_shards_and_repeated_documents(spark, make_docs):
+    """Ids that are text; a benchmark in many shards finds what one index finds; repeated rows are reported again."""
+    rng = random.Random(15)
+    items = {f"item-{k}": text_of(rng, "abcdefghijklm", rng.randrange(15, 70)) for k in range(40)}
+    frame = spark.createDataFrame([*items.items()], "item_id string, text string")
+    texts = [text_of(rng, "nopqrs", 30) + " " + t + " " + text_of(rng, "nopqrs", 30) for t in items.values()]
+    docs = make_docs(texts + texts[:5])
+    whole, shards = decontam.build_index(frame), decontam.build_index(frame, shard_bytes=1500)
+    assert len(whole) == 1 and len(shards) > 3 and sum(len(i.items) for i in shards) == 40
+    want = sorted([(k, f"item-{k}") for k in range(40)] + [(40 + k, f"item-{k}") for k in range(5)])
+    for indexes in (whole, shards):
+        assert sorted((r.doc_id, r.item_id) for r in decontam.find_contamination(docs, indexes).collect()) == want
+    clean = make_docs([text_of(rng, "tuvw", 50)] + texts[:3])
+    assert clean.where(decontam.is_contaminated(clean, shards)).count() == 3
+
+
+@pytest.mark.parametrize("length", [20, 60, 130, 200, 400, 2000])
+def test_recall_by_length(spark, make_docs, length):
+    """Verbatim copies and paraphrases of passages of every length."""
+    rng = random.Random(length)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(3, 9))) for _ in range(5000)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    items = [prose(length) for _ in range(25)]
+    indexes = decontam.build_index(spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    texts = [prose(40) + " " + (t if k % 2 else " ".join(w for i, w in enumerate(t.split()) if i % 6)) + " " + prose(40) for k, t in enumerate(items)]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(make_docs(texts), indexes).collect()}
+    assert len({(k, k) for k in range(25)} & got) == 25 and len(got) == 25
+
+
 def test_empty_benchmark(spark, make_docs):
     index = decontam.build_index(spark.createDataFrame([], "item_id long, text string"))
     assert decontam.find_contamination(make_docs(["a b c"]), index).count() == 0
