@@ -17,7 +17,7 @@ from tessera.storage import load, materialise
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.fit(docs, load(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, docs.columns).where(F.col("__quality") >= 0.5).select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     Documents without words link with nothing and stay. Rows that repeat an id are told apart by their
     place in the input; of those that share the smallest id of a group the first stays.
     """
-    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbered")
-    found = ngram_join.near_duplicates(numbered, id_col="__row")
-    chosen = found.where(F.col("__row") == F.col("component_id")).select("__row")
-    return numbered.join(chosen, "__row", "left_semi").select(*docs.columns)
+    # as a struct the columns can't clash with the number
+    numbered = materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "pipeline-numbered")
+    found = ngram_join.near_duplicates(numbered, id_col="row", text_col="doc.text")
+    chosen = found.where(F.col("row") == F.col("component_id")).select("row")
+    return numbered.join(chosen, "row", "left_semi").select("doc.*")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
