@@ -36,11 +36,15 @@ _holder: list = ["", None]
 
 
 def _trim() -> None:
-    """Give freed memory back to the system, as far as the allocators can."""
+    """Give freed memory back to the system, as far as the allocators can, and let them keep little from now on."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        c = ctypes.CDLL(None)
+        for option, value in ((-3, 1 << 17), (-1, 1 << 17), (-8, 1)):  # blocks of their own from 128 KB, trimming from there, one arena
+            c.mallopt(option, value)
+        c.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 

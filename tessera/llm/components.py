@@ -27,14 +27,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     A node that meets itself counts as no link; repeated and reversed links count once. The number of
     rounds grows with the logarithm of the longest path.
     """
-    edges = materialise(links.where("a != b").select("a", "b").distinct(), "cc")
+    edges = materialise(links.where("a != b").select("a", "b").distinct(), "cc", few=True)
     sign = None
     for _ in range(most_rounds):
         seen = Observation()  # counted while the round is written
         stars = _small_star(_large_star(edges)).observe(
             seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("x"), F.sum(F.xxhash64("b", "a") % 999_983).alias("y")
         )
-        nxt = materialise(stars, "cc")
+        nxt = materialise(stars, "cc", few=True)
         now = seen.get
         discard(edges)
         edges = nxt
@@ -44,6 +44,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components didn't settle")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    out = materialise(roots, "cc-roots")
+    out = materialise(roots, "cc-roots", few=True)
     discard(edges)
     return out

@@ -181,12 +181,12 @@ def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     Ids may be of any type; a passage that repeats is found as often.
     """
     spark = benchmark.sparkSession
-    rows = materialise(passages(benchmark, id_col, text_col), "benchmark-passages")
+    rows = materialise(passages(benchmark, id_col, text_col), "benchmark-passages", few=True)
     n, size = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     shards = max(1, -(-(size or 0) // shard_bytes))
     shard = F.pmod(F.xxhash64("id", "words"), F.lit(shards))
     terms = rows.select(shard.alias("shard"), F.explode(F.array_distinct("words")).alias("w"))
-    df = materialise(terms.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards")), "benchmark-terms")
+    df = materialise(terms.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards")), "benchmark-terms", few=True)
     found = []
     for k in range(shards):
         mine = df.where(F.array_contains("shards", F.lit(k).cast("long"))) if shards > 1 else df

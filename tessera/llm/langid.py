@@ -7,8 +7,9 @@ built from samples of the same bounded length, so the counts compare. Letters of
 own codes; Han, Hangul and the like are spelled as two codes a letter.
 
 The automata are dense tables, and all pieces of a batch walk them in lockstep: one gather per character
-position. Texts longer than ``SEGMENT`` letters are walked as several pieces, so that a phrase also ends
-every ``SEGMENT`` letters; every letter of every text is parsed.
+position. Texts longer than ``SEGMENT`` letters are walked as several pieces, each at first as if a phrase
+began there. Then each piece is walked again from the state in which the piece before it ends, until that
+walk meets the first one; from there on both are the same. So phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, groups_of
+from tessera.llm.common import column, groups_of, small_batches
 
 SEGMENT = 1024
 
@@ -136,73 +137,107 @@ class CrossParser:
             return counts
         size = np.array([len(p) for p in pieces])
         order = np.argsort(-size, kind="stable")
-        sorted_size = size[order]
-        grid = np.zeros((sorted_size[0], len(pieces)), self.symbol.dtype)
+        size, place = size[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        grid = np.zeros((size[0], len(pieces)), self.symbol.dtype)
         for k, i in enumerate(order):
-            grid[: size[i], k] = self.symbol[pieces[i]]
-        live = np.searchsorted(-sorted_size, -np.arange(1, sorted_size[0] + 1), side="right")
-        for lang, (own, table, width) in enumerate(zip(self.own, self.tables, self.width, strict=True)):
-            state = np.zeros(len(pieces), np.int32)
-            found = np.zeros(len(pieces), np.int32)
-            root = table[:width] * width
-            for t in range(sorted_size[0]):
-                n = live[t]
-                c, now = own[grid[t, :n]], state[:n]
-                to = table[now + c]
-                fresh = now == 0
-                fresh |= to == 0
-                found[:n] += fresh
-                to *= width
-                stuck = np.flatnonzero(to == 0)
-                if len(stuck):
-                    to[stuck] = root[c[stuck]]
-                state[:n] = to
-            np.add.at(counts[:, lang], np.array(owner)[order], found)
+            grid[: size[k], k] = self.symbol[pieces[i]]
+        owner = np.array(owner)
+        # columns of the grid that continue a text, and the columns they continue
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        after, before = place[later], place[later - 1]
+        for lang in range(len(self.languages)):
+            np.add.at(counts[:, lang], owner[order], self._walk(lang, grid, size, after, before))
         return counts
 
-
-def equal_shares(lengths: list[int], total: int) -> list[int]:
-    """At most ``total`` dealt out equally; what a short row can't use goes to the others."""
-    out = [0] * len(lengths)
-    for rank, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
-        out[i] = min(lengths[i], total // (len(lengths) - rank))
-        total -= out[i]
-    return out
+    def _step(self, lang: int, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after a letter, whether a phrase begins with it); states are multiples of the table's width."""
+        own, table, width = self.own[lang], self.tables[lang], self.width[lang]
+        c = own[symbols]
+        to = table[state + c]
+        fresh = state == 0
+        fresh |= to == 0
+        to *= width
+        stuck = np.flatnonzero(to == 0)
+        if len(stuck):
+            to[stuck] = table[c[stuck]] * width
+        return to, fresh
+
+    def _walk(self, lang: int, grid: np.ndarray, size: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each column: column after[k] goes on where column before[k] ends."""
+        n = len(size)
+        state, found = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+        several = len(after) > 0
+        # only columns that continue a text are walked again; they are among the first, with those before them
+        kept = int(max(after.max(), before.max())) + 1 if several else 0
+        states, begins = np.zeros((size[0], kept), np.int32), np.zeros((size[0], kept), bool)
+        for t in range(size[0]):
+            m = live[t]
+            to, fresh = self._step(lang, state[:m], grid[t, :m])
+            found[:m] += fresh
+            state[:m] = to
+            if several:
+                states[t, : min(m, kept)], begins[t, : min(m, kept)] = to[:kept], fresh[:kept]
+        if not several:
+            return found
+        start = np.zeros(n, np.int32)  # the state that each column's walk has begun with
+        while True:
+            wrong = start[after] != state[before]
+            at, now = after[wrong], state[before[wrong]]
+            if not len(at):
+                return found
+            start[at] = now
+            for t in range(size[0]):
+                inside = t < size[at]
+                at, now = at[inside], now[inside]
+                if not len(at):
+                    break
+                now, fresh = self._step(lang, now, grid[t, at])
+                found[at] += fresh.astype(np.int64) - begins[t, at]
+                same = states[t, at] == now
+                states[t, at], begins[t, at] = now, fresh
+                ended = size[at] == t + 1
+                state[at[ended]] = now[ended]
+                at, now = at[~same], now[~same]
 
 
 def fit(
-    docs: DataFrame, eligible, rows_per_language: int = 300, letters_per_language: int = 40_000, max_languages: int = 200,
+    docs: DataFrame, eligible, rows_per_language: int = 300, letters_per_language: int = 40_000, letters_in_all: int = 800_000,
     lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
 ) -> CrossParser | None:
-    """Learn from rows where ``eligible`` holds and text and language aren't null.
+    """Learn from rows where ``eligible`` holds and text and language aren't null; their texts are learned whole.
 
-    Bounds: per language the ``rows_per_language`` rows with the smallest hashes, of them up to
-    ``letters_per_language`` letters (half as many where a letter is two codes) in equal shares, so that no long document fills a sample.
+    Bounds: per language at most ``rows_per_language`` rows and ``letters_per_language`` characters, or fewer
+    where languages are so many that ``letters_in_all`` would be passed. Rows whose texts are short enough for
+    many to fit come first, by hash of the id, longer ones by length; a language has one row at least.
     """
     rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = (
-        rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.lit(17), F.col(id_col)).alias("h"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= rows_per_language)
-    )
-    share = max(200, 3 * letters_per_language // rows_per_language)
+    languages = rows.select(lang_col).distinct().count()
+    if not languages:
+        return None
+    most = min(letters_per_language, letters_in_all // languages)
+    share = max(200, 4 * most // rows_per_language)
+    h = F.xxhash64(F.lit(17), F.col(id_col))
+    light = rows.select(
+        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.length(text_col).alias("n"),
+        F.when(F.length(text_col) <= share, 0).otherwise(F.length(text_col)).alias("late"), h.alias("h"), F.pmod(F.xxhash64(F.lit(18), F.col(id_col)), F.lit(256)).alias("salt"),
+    )
+    best = ["late", "h", "id", "n"]
+    # the first rows of each salt, then of each language: no task gets a language's rows
+    light = light.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).where(F.col("k") <= rows_per_language)
+    order = Window.partitionBy("lang").orderBy(*best)
+    light = light.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_language)
+    light = light.withColumn("letters", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    picked = light.where((F.col("letters") <= most) | (F.col("rank") == 1)).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"), F.col("n").alias("__n"))
     # a broadcast of rows_per_language ids a language at most
-    texts = rows.join(F.broadcast(picked.select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct()), (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang")))
-    # of a sampled row the middle counts for the fit; scoring always uses whole texts
-    half = F.greatest(F.lit(1), F.floor((F.length(text_col) - share) / 2).cast("int"))
-    found = texts.select("__lang", "__id", F.substring(F.col(text_col), half, F.lit(share)).alias("t")).distinct().collect()
+    whole = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    same = (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")) & (F.length("t") == F.col("__n"))
+    found = whole.join(F.broadcast(picked.distinct()), same, "left_semi").distinct().collect()
     samples: dict[str, list[np.ndarray]] = {}
-    for r in sorted(found, key=lambda r: (r["__lang"], r["__id"], r["t"])):
-        samples.setdefault(r["__lang"], []).append(encode(r["t"]))
-    if len(samples) > max_languages:
-        raise ValueError(f"{len(samples)} languages; max_languages is {max_languages}")
-    joined = {}
-    for k, v in samples.items():
-        pieces = [np.append(p, np.uint16(0)) for p in v]
-        shares = equal_shares([len(p) for p in pieces], letters_per_language)
-        joined[k] = np.concatenate([p[:n] for p, n in zip(pieces, shares, strict=True)])
-    return CrossParser(joined) if joined else None
+    for r in sorted(found, key=lambda r: (r["lang"], r["id"], r["t"])):
+        samples.setdefault(r["lang"], []).append(np.append(encode(r["t"]), np.uint16(0)))
+    return CrossParser({k: np.concatenate(v) for k, v in samples.items()})
 
 
 def predict(docs: DataFrame, parser: CrossParser | None, keep: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,16 +245,18 @@ def predict(docs: DataFrame, parser: CrossParser | None, keep: list | None = Non
 
     ``und`` with score 0 where text is null or has no letter of any script, or nothing could be learned. score: 1 minus
     the ratio of phrases needed by the best and by the second best language, scaled to 0..1; a tie goes
-    to the first language in alphabetical order. Repeated rows stay repeated.
+    to the first language in alphabetical order. Repeated rows stay repeated. Texts are parsed whole, very
+    long ones too; other columns aren't read but for ``keep``, so their names don't matter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by letters_per_language a language
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by letters_in_all
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = shared.value
         for batch in batches:
             texts = column(batch, 1)
             names, scores = [], []
-            for lo, hi in groups_of(texts, 4_000_000):
+            for lo, hi in groups_of(texts, 1_000_000):
                 codes = [encode(t or "") for t in texts[lo:hi]]
                 if parser is None:
                     names += ["und"] * (hi - lo)

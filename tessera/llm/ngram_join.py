@@ -55,7 +55,7 @@ class _Words(dict):
     """Word to 64-bit hash, memoised in a bounded table."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -206,8 +206,8 @@ def _runs(values: np.ndarray) -> np.ndarray:
 def _token_blocks(sets: DataFrame, parts: int, percent: int) -> DataFrame:
     """Each set's smallest hashes dealt by hash, one row a part and batch: tokens, and runs (s1, s2, length, need).
 
-    Part -1 has, per set, how many of its tokens another set of the same batch has. Those tokens go on once a
-    batch, as a run of the node ``SHARED``, whose tokens count as shared wherever they are.
+    A part below 0 has, per set, how many of its tokens another set of the same batch has. Those tokens go on
+    once a batch, as a run of the set ``SHARED``, whose tokens count as shared wherever they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def _token_blocks(sets: DataFrame, parts: int, percent: int) -> DataFrame:
         order = np.lexsort((owner, to))
         to, owner, short = to[order], owner[order], (tokens[order] >> np.uint64(24)).astype(np.uint32)
         at = np.flatnonzero(local)
-        keys, cols = [-1], [[x] for x in (b"", id1[at].tobytes(), id2[at].tobytes(), local[at].astype(np.uint32).tobytes(), need[at].tobytes())]
+        keys, cols = [-1 - int(id1[0]) % parts], [[x] for x in (b"", id1[at].tobytes(), id2[at].tobytes(), local[at].astype(np.uint32).tobytes(), need[at].tobytes())]
         for lo, hi in pairwise([*_runs(to).tolist(), len(to)]):
             own = owner[lo:hi]
             begin = _runs(own)
@@ -262,11 +262,13 @@ _ARRAYS = {"tokens": np.uint32, "s1": np.int64, "s2": np.int64, "lengths": np.ui
 
 
 def _shared_counts(block: pd.DataFrame) -> pd.DataFrame:
-    """(s1, s2, need, shared): of a part's entries those whose token a different set has too, counted per set.
+    """(s1, s2, need, shared, near): of a part's entries those whose token a different set has too, counted per set.
 
     Tokens are compared by 32 of their bits: a chance agreement counts as shared, which only keeps a set.
     """
     tokens, s1, s2, lengths, needs = (np.concatenate([np.frombuffer(b, t) for b in block[c]]) for c, t in _ARRAYS.items())
+    if block["part"].iat[0] < 0:
+        return pd.DataFrame({"s1": s1, "s2": s2, "need": needs, "shared": np.zeros(len(s1), np.int64), "near": lengths.astype(np.int64)})
     order = np.lexsort((s2, s1))
     new = np.r_[True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])][: len(order)]
     number = np.empty(len(order), np.int64)
@@ -282,32 +284,22 @@ def _shared_counts(block: pd.DataFrame) -> pd.DataFrame:
     shared = np.repeat((size > 1) | known, size)
     count = np.bincount(owner[shared], minlength=len(names))
     at = np.flatnonzero((count > 0) & ~everywhere)
-    return pd.DataFrame({"s1": s1[names[at]], "s2": s2[names[at]], "need": needs[names[at]], "shared": count[at]})
+    return pd.DataFrame({"s1": s1[names[at]], "s2": s2[names[at]], "need": needs[names[at]], "shared": count[at], "near": np.zeros(len(at), np.int64)})
 
 
 def survivors(sets: DataFrame, percent: int, most_broadcast: int = 2_000_000) -> DataFrame:
-    """(s1, s2, n, tokens) of the sets that step 2 doesn't rule out, each once."""
+    """(node, s1, s2, n, tokens) of the sets that step 2 doesn't rule out, each once and numbered."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = int(max(16, total // 1_000_000 + 1))
-    dealt = materialise(_token_blocks(sets, parts, percent), "join-dealt")
-    far = dealt.where("part >= 0").groupBy("part").applyInPandas(_shared_counts, "s1 long, s2 long, need int, shared long")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [np.concatenate([np.zeros(0, t), *(np.frombuffer(b, t) for b in batch.column(k).to_pylist())]) for k, t in enumerate((np.int64, np.int64, np.int32, np.uint32))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:3]), pa.array(cols[3].astype(np.int64))], names=["s1", "s2", "need", "near"])
-
-    near = dealt.where("part < 0").select("s1", "s2", "needs", "lengths").mapInArrow(unpack, "s1 long, s2 long, need int, near long")
+    counts = _token_blocks(sets, parts, percent).groupBy("part").applyInPandas(_shared_counts, "s1 long, s2 long, need int, shared long, near long")
     # a copy in another batch may have found other tokens shared there, so the largest local count is what counts
-    both = far.withColumn("near", F.lit(0).cast("long")).unionByName(near.withColumn("shared", F.lit(0).cast("long")))
-    sums = both.groupBy("s1", "s2").agg(F.sum("shared").alias("shared"), F.max("near").alias("near"), F.max("need").alias("need"))
-    ids = materialise(sums.where("shared + near >= need").select("s1", "s2"), "join-alive-ids")
-    discard(dealt)
-    few = ids.count() <= most_broadcast  # 24 bytes each; beyond that a shuffled join
-    rows = sets.join(F.broadcast(ids) if few else ids, ["s1", "s2"], "left_semi")
-    alive = materialise(rows.dropDuplicates(["s1", "s2"]).select("s1", "s2", "n", "tokens"), "join-alive-sets")
+    sums = counts.groupBy("s1", "s2").agg(F.sum("shared").alias("shared"), F.max("near").alias("near"), F.max("need").alias("need"))
+    ids = materialise(sums.where("shared + near >= need").select("s1", "s2"), "join-alive-ids", few=True)
+    few = ids.count() <= most_broadcast  # 16 bytes each; beyond that a shuffled join
+    rows = sets.join(F.broadcast(ids) if few else ids, ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
+    nodes = materialise(rows.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "tokens"), "join-nodes")
     discard(ids)
-    return alive
+    return nodes
 
 
 def _blocks_in(group: pd.DataFrame, *keys: str) -> tuple[dict[str, np.ndarray], Iterator[slice]]:
@@ -365,7 +357,7 @@ def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: in
         rows = rows.select("key", chunk.alias("chunk"), "node", "root").join(nodes.select("node", "tokens"), "node")
         # small blocks share a call: about 50 a group
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "chunk"), F.lit(buckets)))
-        found = materialise(rows.groupBy("bucket").applyInPandas(_chunk_links(percent), "a long, b long"), "join-links")
+        found = materialise(rows.groupBy("bucket").applyInPandas(_chunk_links(percent), "a long, b long"), "join-links", few=True)
         if found.isEmpty():
             discard(found)
             break
@@ -418,7 +410,7 @@ def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None,
     )
     # of tokens with the same holders (by 128 bits of their hashes) one is looked at
     mixed = held.where("lo < hi").groupBy("holders", "x1", "x2").agg(F.min("token").alias("token"))
-    mixed = materialise(mixed.select("token", "holders"), "join-mixed")
+    mixed = materialise(mixed.select("token", "holders"), "join-mixed", few=True)
     rows = rows.join(mixed, "token")
     # only sizes n <= m <= n * 100 / percent can link: the same band of sizes or the next
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent * 1.005 + 1e-9))).cast("int")
@@ -427,7 +419,7 @@ def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None,
     rows = rows.select("token", "node", "root", "holders", "own", F.explode(F.when(many, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))).alias("band"))
     rows = rows.withColumn("low", F.col("own") == F.col("band"))
     sizes = rows.where(F.col("holders") > CHUNK).groupBy("token", "band").agg(F.count(F.lit(1)).alias("size"), F.max("low").alias("any_low"))
-    sizes = materialise(sizes.where("any_low and size > 1").select("token", "band", "size"), "join-bands")
+    sizes = materialise(sizes.where("any_low and size > 1").select("token", "band", "size"), "join-bands", few=True)
     small = rows.where(F.col("holders") <= CHUNK).withColumn("chunks", F.lit(1))
     large = rows.join(sizes, ["token", "band"]).withColumn("chunks", F.ceil(F.col("size") / (2 * CHUNK)).cast("int")).drop("size")
     rows = small.unionByName(large).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -447,7 +439,7 @@ def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None,
     points = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", point("tokens").alias("point"))
     # small blocks share a call, about 1000 rows a group
     dealt = rows.join(points, "node").withColumn("bucket", F.pmod(F.xxhash64("token", "band", "c1", "c2"), F.lit(buckets)))
-    pairs = materialise(dealt.groupBy("bucket").applyInPandas(_block_pairs(percent), "a long, b long").distinct(), "join-pairs")
+    pairs = materialise(dealt.groupBy("bucket").applyInPandas(_block_pairs(percent), "a long, b long").distinct(), "join-pairs", few=True)
     for done in (mixed, sizes, rows):
         discard(done)
 
@@ -457,7 +449,7 @@ def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None,
 
     sets = nodes.select("node", "tokens")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    links = materialise(both.where(verified("x", "y")).select("a", "b"), "join-verified")
+    links = materialise(both.where(verified("x", "y")).select("a", "b"), "join-verified", few=True)
     discard(pairs)
     return links
 
@@ -474,10 +466,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str
     sets = materialise(shingle_sets(docs, n, id_col, text_col), "join-sets")
     light = materialise(sets.select("id", "s1", "s2", "n"), "join-light")
     # a node is a set that may have a link; sets are told apart by all 128 bits of their signatures
-    alive = survivors(sets.where("tokens is not null"), percent)
+    nodes = survivors(sets.where("tokens is not null"), percent)
     discard(sets)
-    nodes = materialise(alive.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "tokens"), "join-nodes")
-    discard(alive)
 
     @F.pandas_udf("array<long>")
     def numbers(tokens: pd.Series) -> pd.Series:

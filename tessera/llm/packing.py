@@ -18,16 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, groups_of, slices
+from tessera.llm.common import column, groups_of, slices, small_batches
 from tessera.llm.tokens import word_tokens
-from tessera.storage import materialise
+from tessera.storage import local_frame, materialise
 
-ROWS_PER_SALT = 500
-MAX_SALTS = 1024
+ROWS_PER_SALT = 10_000
 
 
 def combinations(bins: int, depth: int) -> list[tuple[int, ...]]:
@@ -103,7 +101,7 @@ def token_blocks(docs: DataFrame, path: str, window: int, end_id: int | None, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = word_tokens(path), array("I", [] if end_id is None else [end_id]).tobytes()
-        step, key = 4 * window, TaskContext.get().partitionId() << 33
+        step = 4 * window
         for batch in slices(batches):
             texts = column(batch, 1)
             for lo, hi in groups_of(texts):
@@ -115,16 +113,15 @@ def token_blocks(docs: DataFrame, path: str, window: int, end_id: int | None, id
                         start.append(at // 4)
                         total.append(len(one) // 4)
                         ids.append(one[at : at + step])
-                keys = np.arange(key, key + len(row))
-                key += len(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), batch.column(0).take(pa.array(row, pa.int32())), pa.array(total, pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["key", "id", "doc_tokens", "start", "length", "ids"],
+                    [batch.column(0).take(pa.array(row, pa.int32())), pa.array(total, pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    names=["id", "doc_tokens", "start", "length", "ids"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"key long, id {kind}, doc_tokens long, start long, length long, ids binary")
+    found = rows.mapInArrow(run, f"id {kind}, doc_tokens long, start long, length long, ids binary")
+    return found.select(F.monotonically_increasing_id().alias("key"), "*")
 
 
 def place_tails(tails: DataFrame, window: int, bins: int, depth: int) -> DataFrame:
@@ -134,7 +131,7 @@ def place_tails(tails: DataFrame, window: int, bins: int, depth: int) -> DataFra
     histogram = np.zeros(bins + 1, np.int64)
     for r in binned.groupBy("bin").count().collect():  # at most one row a bin
         histogram[r["bin"]] = r["count"]
-    salts = int(min(MAX_SALTS, max(16, -(-int(histogram.max()) // ROWS_PER_SALT))))
+    salts = max(16, -(-int(histogram.max()) // ROWS_PER_SALT))
     binned = binned.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
 
     slots, base = [], 0
@@ -144,7 +141,7 @@ def place_tails(tails: DataFrame, window: int, bins: int, depth: int) -> DataFra
             slots.append((part, int(used[part]), int(used[part]) + repeats, base, position))
             used[part] += repeats
         base += repeats
-    slot_rows = spark.createDataFrame(slots, "slot_bin int, lo long, hi long, base long, position int")
+    slot_rows = local_frame(spark, slots, "slot_bin int, lo long, hi long, base long, position int")
 
     group = Window.partitionBy("bin", "salt")
     sizes = binned.groupBy("bin", "salt").agg(F.count("*").alias("n"))
@@ -165,8 +162,14 @@ def place_tails(tails: DataFrame, window: int, bins: int, depth: int) -> DataFra
         (F.sum("length").over(own) - F.col("length")).alias("offset"),
     )
     rest = dealt.where("sequence is null")
-    sums = rest.groupBy("bin", "salt").agg(F.sum("length").alias("n"))  # at most bins * MAX_SALTS rows
-    before = sums.select("bin", "salt", (F.sum("n").over(Window.orderBy("bin", "salt")) - F.col("n")).alias("before"))
+    # a row a salt: the bins' sums on the driver, the salts' within each bin
+    sums = rest.groupBy("bin", "salt").agg(F.sum("length").alias("n"))
+    total, starts = 0, []
+    for r in sorted(sums.groupBy("bin").agg(F.sum("n").alias("n")).collect()):  # at most a row a bin
+        starts.append((r["bin"], total))
+        total += r["n"]
+    within = sums.select("bin", "salt", (F.sum("n").over(Window.partitionBy("bin").orderBy("salt")) - F.col("n")).alias("within"))
+    before = within.join(F.broadcast(local_frame(spark, starts, "bin int, start long")), "bin").select("bin", "salt", (F.col("within") + F.col("start")).alias("before"))
     from_ = F.col("before") + F.sum("length").over(group.orderBy("rank")) - F.col("length")
     stream = rest.join(before, ["bin", "salt"]).withColumn("from", from_)
     end = F.col("from") + F.col("length")
@@ -195,6 +198,7 @@ def pack(
     Without an end id an empty document has no piece. Repeated rows are packed each on its own. An empty
     table gives an empty result. Columns other than id and text are not read.
     """
+    small_batches(docs.sparkSession)
     blocks = materialise(token_blocks(docs, path, window, end_id, id_col, text_col), "pack-blocks")
     full = blocks.where(F.col("length") == window)
     tails = blocks.where(F.col("length") < window)

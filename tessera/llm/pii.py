@@ -6,7 +6,9 @@ by a keyed permutation of itself within its format: a balanced Feistel network o
 rounds keyed by SHA-256, so equal values have equal pseudonyms in every document, different values have
 different ones, and a card number's pseudonym passes Luhn again. A number keeps its shape, and equal
 phones or days have equal pseudonyms in different shapes. Names in mail addresses and the
-characters of secrets, which have no number to permute, get keyed hashes in the same shape.
+characters of secrets, which have no number to permute, get keyed hashes in the same shape (96 bits for a
+name). Whoever has the key can undo the permutations, so it is the caller's, and has no default; it is
+part of the query's plan, so event logs are as secret as it is.
 
 Of the Feistel network over [0, a*b): (l, r) -> (r, (l + F(r)) mod size); with a = b every round is a
 bijection. Numbers whose range isn't a square (days, addresses' octets) are permuted by walking the cycle
@@ -16,7 +18,11 @@ Cards: 13, 14, 15, 16 and 19 digits that pass Luhn, whatever the issuer, in one
 Phones: with '+' and country code, ten digits in groups of 3, 3 and 4, or grouped with a leading 0. Dates:
 days of 1900 to 2099 in numbers, year first or last, with '-', '/' or '.'; of day and month the month comes
 first, but after '.' the day, unless only the other reading is a date. Not found: phones without '+' or
-groups, cards of 12, 17 or 18 digits, dates with names of months or years of two digits.
+groups, cards of 12, 17 or 18 digits, dates with names of months or years of two digits. All days in such
+shapes are moved, whatever they date. Account numbers: IBANs with right check digits, in one run or groups of
+four; country and letters stay, digits are permuted, the check is right again. Addresses: IPv4, and IPv6 with
+a digit in it, full or with '::', whose pseudonym is spelled in full. Secrets: 32 to 64 hexadecimal digits,
+and keys that begin as those of well-known services do. Very long texts are treated whole.
 """
 
 from __future__ import annotations
@@ -48,8 +54,12 @@ PHONE_MORE = "|".join((
 COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 MAIL = r"(?<![A-Za-z0-9._%+\-À-ɏ])[A-Za-z0-9._%+\-À-ɏ]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
-ANY = "|".join((MAIL, SECRET, CARD_MORE, CARD, PHONE, ADDRESS, SOCIAL, DATE, DATE_MORE, PHONE_MORE))
-HINT = "[0-9@]"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2} ?[A-Z0-9]{4}(?: ?(?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,7}(?: ?(?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+ADDRESS6 = r"(?<![0-9A-Za-z:.])(?=[a-fA-F:]*\d)[0-9a-fA-F]{0,4}(?:::?[0-9a-fA-F]{1,4}){1,7}(?:::)?(?![0-9A-Za-z:]|\.\d)"
+VENDOR_FRONT = r"(?:A[KS]IA|gh[pousr]_|AIza|xox[abprs]-|[sr]k_(?:live|test)_|sk-)"
+VENDOR = r"(?<![0-9A-Za-z_\-])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|AIza[0-9A-Za-z_\-]{35}|xox[abprs]-[0-9A-Za-z\-]{10,72}|[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}|sk-[0-9A-Za-z_\-]{20,64})(?![0-9A-Za-z_\-])"
+ANY = "|".join((MAIL, VENDOR, IBAN, SECRET, CARD_MORE, CARD, PHONE, ADDRESS, ADDRESS6, SOCIAL, DATE, DATE_MORE, PHONE_MORE))
+HINT = "[0-9@]|AIza|A[KS]IA|xox|gh[pousr]_|sk-|[sr]k_"
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -137,6 +147,11 @@ def grouped_16(found: Column) -> Column:
 
 def new_card(found: Column, key: str) -> Column:
     """Of 16 digits as ``new_card_16``; else all but the last permuted, the last so that Luhn holds."""
+    bare = after_word(found)  # what looks like an account number may be a word before a card
+    return F.concat(F.regexp_extract(found, WORD, 0), _of(bare, lambda c: _new_card(c, key)))
+
+
+def _new_card(found: Column, key: str) -> Column:
     d = digits(found)
     body = permuted(F.left(d, F.length(d) - 1), key, F.concat(F.lit("card"), F.length(d).cast("string")))
     full = _of(body, lambda b: F.concat(b, ((10 - luhn_any(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
@@ -224,13 +239,75 @@ def new_date(found: Column, key: str) -> Column:
 
 def new_mail(found: Column, key: str) -> Column:
     """A keyed name at a reserved domain."""
-    return F.concat(F.lit("user"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(found)), 256), 1, 12), F.lit("@example.invalid"))
+    return F.concat(F.lit("user"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(found)), 256), 1, 24), F.lit("@example.invalid"))
 
 
 def new_secret(found: Column, key: str) -> Column:
-    """As many hexadecimal digits of a keyed hash, in the same case."""
-    h = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), found), 256), F.lit(1), F.length(found))
-    return F.when(F.upper(found) == found, F.upper(h)).otherwise(h)
+    """As many hexadecimal digits of a keyed hash, in the same case; what a service's keys begin with stays."""
+    text = F.concat_ws("|", F.lit(key), F.lit("secret"), found)
+    front = F.regexp_extract(found, f"^{VENDOR_FRONT}", 0)
+    rest = _of(front, lambda f: F.concat(f, F.substring(F.sha2(text, 512), F.lit(1), F.length(found) - F.length(f))))
+    h = F.when(F.length(front) > 0, rest).otherwise(F.substring(F.sha2(text, 256), F.lit(1), F.length(found)))
+    return F.when((F.upper(found) == found) & (F.length(front).isin(0, 4)), F.upper(h)).otherwise(h)
+
+
+def mod_97(text: Column) -> Column:
+    """The remainder of an account number's digits and letters (A is 10), read as one number."""
+    step = lambda r, c: F.when(c.rlike("^[0-9]$"), (r * 10 + c.cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def is_iban(found: Column) -> Column:
+    return _of(F.replace(found, F.lit(" "), F.lit("")), lambda bare: mod_97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.left(bare, F.lit(4)))) == 1)
+
+
+def new_iban(found: Column, key: str) -> Column:
+    """The account's first 18 digits permuted, those after them by a permutation that depends on the first; then the check."""
+    bare = F.replace(found, F.lit(" "), F.lit(""))
+    body = F.substring(bare, F.lit(5), F.length(bare))
+    d = digits(body)
+    tweak = lambda part, before: F.concat_ws("|", F.lit("iban"), F.length(part).cast("string"), before)
+    moved = lambda part, before: F.when(F.length(part) > 0, permuted(part, key, tweak(part, before))).otherwise("")
+    head = moved(F.left(d, F.lit(18)), F.lit(""))
+    new = _of(head, lambda h: F.concat(h, moved(F.substring(d, F.lit(19), F.length(d)), h)))
+    check = lambda n: F.lpad((98 - mod_97(F.concat(refill(body, n), F.left(bare, F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
+    return refill(found, _of(new, lambda n: F.concat(check(n), n)))
+
+
+def groups_6(found: Column) -> Column:
+    """The groups of an IPv6 address that are spelled, as struct(left, right) of the '::'."""
+    part = lambda k: F.filter(F.split(F.substring_index(found, "::", k), ":"), lambda g: g != "")
+    return F.struct(part(1).alias("left"), F.when(F.contains(found, F.lit("::")), part(-1)).otherwise(F.array().cast("array<string>")).alias("right"))
+
+
+def is_address6(found: Column) -> Column:
+    n = _of(groups_6(found), lambda g: F.size(g["left"]) + F.size(g["right"]))
+    doubles = F.size(F.split(found, "::")) - 1
+    return F.when(doubles == 0, n == 8).otherwise((doubles == 1) & (n < 8))
+
+
+def new_address6(found: Column, key: str) -> Column:
+    """128 bits, permuted by a Feistel network over two halves of 64, each as two numbers of 32."""
+    spelled = _of(groups_6(found), lambda g: F.concat(g["left"], F.array_repeat(F.lit("0"), 8 - F.size(g["left"]) - F.size(g["right"])), g["right"]))
+    hexes = F.array_join(F.transform(spelled, lambda g: F.lpad(g, 4, "0")), "")
+    number = lambda text, at: F.conv(F.substring(text, at, 8), 16, 10).cast("long")
+    start = _of(hexes, lambda h: F.struct(*[number(h, 8 * k + 1).alias(n) for k, n in enumerate(("l1", "l2", "r1", "r2"))]))
+
+    def turn(s: Column, k: Column) -> Column:
+        h = F.sha2(F.concat_ws("|", F.lit(key), F.lit("address6"), k.cast("string"), s["r1"].cast("string"), s["r2"].cast("string")), 256)
+        return _of(h, lambda x: F.struct(s["r1"].alias("l1"), s["r2"].alias("l2"), s["l1"].bitwiseXOR(number(x, 1)).alias("r1"), s["l2"].bitwiseXOR(number(x, 9)).alias("r2")))
+
+    end = F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), start, turn)
+    full = _of(end, lambda e: F.concat(*[F.lpad(F.lower(F.hex(e[n])), 8, "0") for n in ("l1", "l2", "r1", "r2")]))
+    return _of(full, lambda t: F.concat_ws(":", *[F.substring(t, 4 * k + 1, 4) for k in range(8)]))
+
+
+HEXES = "^[0-9a-fA-F]{32,64}$"
+WORD = "^[A-Z]{2}[0-9]{2} ?"
+
+
+def after_word(found: Column) -> Column:
+    return F.regexp_replace(found, WORD, "")
 
 
 def kind_of(found: Column) -> Column:
@@ -238,6 +315,10 @@ def kind_of(found: Column) -> Column:
     whole = lambda p: found.rlike(f"^(?:{p})$")
     return (
         F.when(F.contains(found, F.lit("@")), F.lit("mail"))
+        .when(whole(VENDOR), F.lit("secret"))
+        # an account number with a wrong check may be a word before a card
+        .when(whole(IBAN), F.when(is_iban(found), F.lit("iban")).when(_of(after_word(found), lambda c: c.rlike(f"^(?:{CARD})$") & (luhn_sum(digits(c)) % 10 == 0)), F.lit("card")).when(found.rlike(HEXES), F.lit("secret")))
+        .when(whole(ADDRESS6), F.when(is_address6(found), F.lit("address6")).otherwise(F.lit(None)))
         .when(whole(PHONE), F.lit("phone"))
         .when(whole(ADDRESS), F.lit("address"))
         .when(whole(CARD), F.when(luhn_sum(digits(found)) % 10 == 0, F.lit("card")).otherwise(F.lit(None)))
@@ -245,11 +326,14 @@ def kind_of(found: Column) -> Column:
         .when(whole(DATE) | whole(DATE_MORE), F.when(_of(readings(found), lambda r: F.coalesce(r["first"], r["second"])).isNotNull(), F.lit("date")).otherwise(F.lit(None)))
         .when(whole(CARD_MORE), F.when((luhn_any(digits(found)) % 10 == 0) | grouped_16(found) & (luhn_sum(F.left(digits(found), F.lit(16))) % 10 == 0), F.lit("card")).otherwise(F.lit(None)))
         .when(whole(PHONE_MORE), F.lit("phone"))
-        .when(found.rlike("[0-9]") & found.rlike("^[0-9a-fA-F]{32,64}$"), F.lit("secret"))
+        .when(found.rlike("[0-9]") & found.rlike(HEXES), F.lit("secret"))
     )
 
 
-NEW = {"mail": new_mail, "phone": new_phone, "address": new_address, "card": new_card, "social": new_social, "date": new_date, "secret": new_secret}
+NEW = {
+    "mail": new_mail, "phone": new_phone, "address": new_address, "card": new_card, "social": new_social, "date": new_date, "secret": new_secret,
+    "iban": new_iban, "address6": new_address6,
+}
 
 
 def pseudonym(found: Column, key: str) -> Column:
@@ -264,9 +348,11 @@ def pseudonym(found: Column, key: str) -> Column:
     return _of(F.struct(kind_of(found).alias("k")), lambda s: choose(s["k"]))
 
 
-def pseudonymise(docs: DataFrame, key: str = "tessera", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with its text replaced and ``__finds`` added: an array of struct(kind, value, pseudonym).
 
+    key: a secret of the caller; equal values have equal pseudonyms under one key.
+
     Null text stays null, with no finds; so does a text without finds. Rows and other columns are kept;
     a column ``__finds`` of the input is replaced. Finds that fail validation stay as they are and aren't
     listed.

@@ -35,10 +35,18 @@ FEATURES = SHAPE + 4
 SITE_WEIGHT = 0.5
 RUNS, WORDS = 1 << 14, 1 << 16  # buckets of byte runs, then of words
 TERMS = RUNS + WORDS
+MEMO_WORDS = 100_000
 BLOCK = 1 << 20  # bytes of a text whose runs are hashed at once
 PRIOR = 2.0  # documents that a term is taken to have been seen in besides
 
 
+def _bytes(letters: str) -> np.ndarray:
+    return np.frombuffer(letters.encode(), np.uint8)
+
+
+UPPER, LOWER, SYMBOLS, MARKS, DIGITS = map(_bytes, ("ETAONSIR", "etaonsir", "#$%&*!|<>{}[]=_~^", ".!?", "0123456789"))
+
+
 def shape(text: str) -> list[float]:
     """Features of a whole text, each within about 0 to 3."""
     words = text.split()
@@ -47,13 +55,13 @@ def shape(text: str) -> list[float]:
         return [0.0] * SHAPE
     distinct = set(words)
     raw = text.encode()
-    upper, lower = sum(map(text.count, "ETAONSIR")), sum(map(text.count, "etaonsir"))
-    symbols = sum(map(text.count, "#$%&*!|<>{}[]=_~^"))
+    count = np.zeros(256, np.int64)
+    for at in range(0, len(raw), BLOCK):
+        count += np.bincount(np.frombuffer(raw, np.uint8, min(BLOCK, len(raw) - at), at), minlength=256)
+    upper, lower, symbols, marks, digits = (int(count[at].sum()) for at in (UPPER, LOWER, SYMBOLS, MARKS, DIGITS))
     bare = sum(w == "|" for w in words) if "|" in text else 0
     longest = max(map(len, distinct))
     same = sum(map(str.__eq__, words, words[1:])) if 3 * len(distinct) < 2 * n or n > len(distinct) else 0
-    marks = sum(map(text.count, ".!?"))
-    digits = sum(map(text.count, "0123456789"))
     return [
         upper / max(upper + lower, 1),
         min(3.0, 10 * symbols / size),
@@ -66,7 +74,7 @@ def shape(text: str) -> list[float]:
         min(3.0, marks / n * 8),
         min(3.0, 10 * digits / size),
         min(3.0, math.log1p(n) / 3),
-        text.count("\n") / n,
+        int(count[10]) / n,
     ]
 
 
@@ -74,7 +82,7 @@ class _Buckets(dict):
     """Word to bucket, memoised in a bounded table."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > MEMO_WORDS:
             self.clear()
         value = self[word] = RUNS + (zlib.crc32(word.encode()) & (WORDS - 1))
         return value
@@ -192,14 +200,14 @@ def fit(
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("y is not null and id is not null")
     sited = docs.select(F.col(id_col).alias("id"), host_of(F.col(source_col)).alias("host"), path_of(F.col(source_col), F.col(section_col)).alias("path"))
-    paths = materialise(known.join(sited, "id").groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum((F.col("y") > 0.5).cast("double")).alias("s")), "quality-labelled")
+    paths = materialise(known.join(sited, "id").groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum((F.col("y") > 0.5).cast("double")).alias("s")), "quality-labelled", few=True)
     priors = site_priors(paths)
     discard(paths)
 
     # at most max_rows pairs of numbers are broadcast, and as many texts written
     picked = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").orderBy(F.xxhash64(F.lit(5), "id"), "id", "y").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id")
-    rows = materialise(rows.select("y", F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(2)).cast("int").alias("half"), "t"), "quality-sample")
+    rows = materialise(rows.select("y", F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(2)).cast("int").alias("half"), "t"), "quality-sample", few=True)
     counts, sizes = _term_counts(rows)
     halves = docs.sparkSession.sparkContext.broadcast([_evidence(counts, sizes, (1 - h,)) for h in (0, 1)])
 
@@ -287,7 +295,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str], text_col: str = "t
     )
     rows = materialise(rows, "quality-own").withColumn("p", 1 / (1 + F.exp(-F.col("own"))))
     sites = rows.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("p").alias("s"))
-    sites = materialise(sites, "quality-sites")
+    sites = materialise(sites, "quality-sites", few=True)
     hosts = sites.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     both = sites.join(hosts, "host").select(F.col("host").alias("h2"), F.col("path").alias("p2"), "n", "s", "hn", "hs")
     joined = rows.join(both, (F.col("host") == F.col("h2")) & (F.col("path") == F.col("p2")), "left")

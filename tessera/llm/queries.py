@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_own_key = secrets.token_hex(16)
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's ``spark.tessera.pii.key``; where it isn't set, a random key of this process."""
+    return spark.conf.get("spark.tessera.pii.key", _own_key)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import toxicity
 
@@ -27,7 +37,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import pii
 
-    out = pii.pseudonymise(load(spark, sf_dir, "documents"))
+    out = pii.pseudonymise(load(spark, sf_dir, "documents"), pseudonym_key(spark))
     kinds = F.transform("__finds", lambda f: f["kind"])
     return out.select("doc_id", "text", F.size("__finds").cast("long").alias("n_finds"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
 

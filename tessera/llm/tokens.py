@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, groups_of, hold, slices
+from tessera.llm.common import column, groups_of, hold, slices, small_batches
 
 UNSAFE = re.compile("[^\x00-ɏ]|[\x1c-\x1fİ]")
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -158,6 +158,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             counts = [len(x) // 4 for lo, hi in groups_of(texts) for x in tokens.encode(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("b"))
     out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")

@@ -108,14 +108,39 @@ def test_languages_of_other_scripts(spark):
     assert {(r.lang_pred, r.score) for r in strange} == {("und", 0.0)}
 
 
-def test_samples_are_equal_shares(spark):
-    """Every sampled row is learned from, those with large ids as well."""
+def test_samples_are_whole_texts(spark):
+    """Short texts by hash before long ones, whole, up to the letters allowed; a language has one text at least."""
     words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(100)]
-    docs = spark.createDataFrame([(i, " ".join([w] * 200), "aa") for i, w in enumerate(words)], "doc_id long, text string, lang string")
-    parser = langid.fit(docs, F.lit(True), rows_per_language=100, letters_per_language=4000)
-    found = parser.phrases([langid.encode(w) for w in words])
-    assert (found == 1).all()
-    assert langid.equal_shares([5, 100, 0, 40], 100) == [5, 55, 0, 40] and langid.equal_shares([9, 9, 9], 7) == [2, 2, 3]
+    rows = [(i, " ".join([w] * 20), "aa") for i, w in enumerate(words)] + [(200, "zebra " * 300, "aa"), (300, "quagga okapi " * 900, "bb"), (301, "x" * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.fit(docs, F.lit(True), rows_per_language=100, letters_per_language=8000)
+    found = parser.phrases([langid.encode(w) for w in words])[:, 0]
+    assert (found == 1).all() and parser.languages == ["aa", "bb"]
+    assert parser.phrases([langid.encode(rows[101][1].strip())])[0, 1] == 1
+    few = langid.fit(docs, F.lit(True), rows_per_language=100, letters_per_language=800)
+    assert 9 <= (few.phrases([langid.encode(rows[i][1]) for i in range(100)])[:, 0] == 1).sum() <= 10
+
+
+def test_long_texts_against_longest_matches(monkeypatch):
+    """Texts of many pieces have the phrases of the whole, in chunks of the sample, in noise and in both."""
+    rng = random.Random(22)
+    samples = {k: langid.encode(text_of(rng, v, 400)) for k, v in LETTERS.items()}
+    parser = langid.CrossParser(samples)
+    joined = lambda *parts: np.concatenate(parts)
+    aa, bb = samples["aa"], samples["bb"]
+    long = [langid.encode(text_of(rng, "abcdefghijklmnopq", 1500)), joined(aa, aa, aa, aa, bb, aa[7:], bb), langid.encode("ab" * 4000), langid.encode("zz " * 2000 + text_of(rng, "abcdefg", 900))]
+    texts = [*long, langid.encode("abc"), np.zeros(0, np.uint16), aa]
+    want = [[longest_match_phrases(bytes(parser.symbol[samples[k]]), bytes(parser.symbol[t])) for k in parser.languages] if len(t) else [0] * 3 for t in texts]
+    assert max(map(len, texts)) > 5000 and want[-1][0] == 1
+    for segment in (1024, 64, 7):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        assert parser.phrases(texts).tolist() == want
+
+
+def test_ties_go_to_the_first_language(spark, make_docs):
+    docs = spark.createDataFrame([(0, "same words here", "zz"), (1, "same words here", "mm"), (2, "same words here", "aa")], "doc_id long, text string, lang string")
+    got = langid.predict(make_docs(["words here", "words here"]), langid.fit(docs, F.lit(True))).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("aa", 0.0)] * 2
 
 
 def test_letter_codes():

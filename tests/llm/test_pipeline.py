@@ -88,4 +88,4 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in out) == [(-1, "x y z"), (1, "a b c d e f"), (2, ""), (2, "")]
-    assert pii.pseudonymise(docs).count() == 5
+    assert pii.pseudonymise(docs, "k").count() == 5
