@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, ngram_join, packing, pii, quality
-from tessera.llm.queries import vocabulary
-from tessera.storage import load, materialise
+from tessera.llm.queries import pseudonym_key, vocabulary
+from tessera.storage import discard, load, materialise, stage_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars follows the new text."""
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pseudonym_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
@@ -52,12 +52,25 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary())
 
 
+def _cleaning(name, stage):
+    """The stage; what stages before it wrote for themselves is deleted once it starts."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_tables(docs, name):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", keep_quality),
-    ("near_duplicates", keep_one_of_near_duplicates),
-    ("decontamination", keep_uncontaminated),
-    ("pii", pseudonyms),
-    ("packing", pack),
+    (name, _cleaning(name, stage))
+    for name, stage in (
+        ("quality", keep_quality),
+        ("near_duplicates", keep_one_of_near_duplicates),
+        ("decontamination", keep_uncontaminated),
+        ("pii", pseudonyms),
+        ("packing", pack),
+    )
 ]
 
 # Word shingles with set joins, latent retrieval and a keyed SHA-256 network have no usable SQL form.
@@ -66,8 +79,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs = kept
     name, stage = STAGES[-1]
     pieces = stage(spark, docs, sf_dir)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
