@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +64,19 @@ def hybrid_recommend(
 
 
 def lsh_index(points: DataFrame, bucket: float = 0.1, tables: int = 5, seed: int = 42):
-    """A model over rows (id, v), with its unit vectors; save it with ``model.write()``."""
+    """A model over rows (id, v), with its unit vectors; ``save_lsh`` and ``load_lsh`` keep the model."""
     unit = points.select("id", array_to_vector(normalise(F.col("v"))).alias("features"))
     return BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit), unit
 
 
+def save_lsh(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_lsh(path: str) -> BucketedRandomProjectionLSHModel:
+    return BucketedRandomProjectionLSHModel.load(path)
+
+
 def lsh_recommend(model, unit: DataFrame, query: list[float], seeds: list, k: int) -> DataFrame:
     """(id, similarity) of about the k nearest to a unit vector, without the seeds."""
     from pyspark.ml.linalg import Vectors
@@ -78,26 +86,31 @@ def lsh_recommend(model, unit: DataFrame, query: list[float], seeds: list, k: in
     return top_k(found.select("id", cosine_of_unit_distance(F.col("d")).alias("similarity")), k, F.desc("similarity"), F.asc("id"))
 
 
+def blocks_of(rows: DataFrame, size: int) -> Iterator[list]:
+    """The rows in lists of ``size``, one list on the driver at a time."""
+    block = []
+    for r in rows.toLocalIterator():
+        block.append(r)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def exact_nearest(points: DataFrame, queries: DataFrame, k: int, most_queries: int = 5000) -> DataFrame:
     """(query, id, similarity): the k most similar rows (id, v) to each query row, itself left out.
 
     Queries are sent to all tasks in blocks of ``most_queries``; a task keeps k a query from each batch, so
-    what moves is k rows a query and task, never all pairs.
+    what moves is k rows a query and task, never all pairs. Similarities of 256 queries and a batch are in memory.
     """
     spark = points.sparkSession
     ids = points.schema["id"].dataType.simpleString()
     numbered = queries.select(F.col("id"), F.col("v").cast("array<double>").alias("v"))
-    blocks, rows = [], []
-    for r in numbered.toLocalIterator():
-        rows.append((r["id"], r["v"]))
-        if len(rows) == most_queries:
-            blocks.append(rows)
-            rows = []
-    blocks += [rows] if rows else []
     out = None
-    for block in blocks:
-        names = np.array([q for q, _ in block])
-        q = np.array([v for _, v in block], float)
+    for block in blocks_of(numbered, most_queries):
+        names = np.array([r["id"] for r in block])
+        q = np.array([r["v"] for r in block], float)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast((names, q))
 
@@ -109,14 +122,20 @@ def exact_nearest(points: DataFrame, queries: DataFrame, k: int, most_queries: i
                 v = np.array(batch.column(1).to_pylist(), float)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 own, kind = np.array(batch.column(0).to_pylist()), batch.column(0).type
-                s = q @ v.T
-                s[names[:, None] == own[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                at = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 12)), axis=1)[:, :n]
-                rows = np.repeat(np.arange(len(names)), n)
-                best = s[rows, at.ravel()]
-                ok = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows[ok]]).cast(kind), pa.array(own[at.ravel()[ok]]).cast(kind), pa.array(best[ok])], names=["query", "id", "similarity"])
+                n = min(k, len(own))
+                for lo in range(0, len(names), 256):  # 256 queries against a batch at a time
+                    some = names[lo : lo + 256]
+                    s = q[lo : lo + 256] @ v.T
+                    s[some[:, None] == own[None, :]] = -np.inf
+                    # all that reach the k-th best similarity, ties by id
+                    least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                    rows, at = np.nonzero((s >= least[:, None] - 1e-12) & np.isfinite(s))
+                    order = np.lexsort((own[at], -np.round(s[rows, at], 12), rows))
+                    rows, at = rows[order], at[order]
+                    begin = np.searchsorted(rows, np.arange(len(some)))
+                    ok = np.arange(len(rows)) - begin[rows] < n
+                    rows, at = rows[ok], at[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(some[rows]).cast(kind), pa.array(own[at]).cast(kind), pa.array(s[rows, at])], names=["query", "id", "similarity"])
 
         found = points.select("id", F.col("v").cast("array<double>")).mapInArrow(run, f"query {ids}, id {ids}, similarity double")
         out = found if out is None else out.unionByName(found)
@@ -136,11 +155,3 @@ def distances_from(queries: DataFrame, rows: DataFrame, measure) -> DataFrame:
     """(a, b, d) from each query row (id, v) to every other row (id, v)."""
     a, b = queries.select(F.col("id").alias("a"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     return a.crossJoin(b).where("a <> b").select("a", "b", measure(F.col("va"), F.col("vb")).alias("d"))
-
-
-def all_distances(rows: DataFrame, measure) -> DataFrame:
-    """(a, b, d) over all pairs of a small table's rows (id, v): the exact baseline of the bucket join."""
-    a, b = rows.select(F.col("id").alias("a"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return a.crossJoin(b).where("a < b").select("a", "b", measure(F.col("va"), F.col("vb")).alias("d"))
-
-

@@ -11,6 +11,7 @@ from tessera.operators import linalg as L
 from tessera.operators import ml as M
 from tessera.plans.registry import load_all, query
 from tessera.plans.vectors import embeddings
+from tessera.storage import local_frame
 
 D = F.col
 X = ["l_quantity", "l_discount", "l_tax"]
@@ -21,6 +22,47 @@ SPD = {
 }
 
 
+def _det(m):
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _weights_sql(condition: str = "true", ridge: float = 0.0) -> str:
+    """CTEs: rows (x0, x1, x2, y, l_orderkey, l_linenumber), and their least squares weights (w0, w1, w2, b) by Cramer's rule.
+
+    With ``ridge``, on standardised columns, the penalty is divided by the label's deviation, as Spark does.
+    """
+    c = [[f"c{min(i, j)}{max(i, j)}" if i != j else "d" + str(i) for j in range(3)] for i in range(3)]
+    put = lambda k: [[f"r{i}" if j == k else c[i][j] for j in range(3)] for i in range(3)]
+    corr = [f"covar_pop(x{i}, x{j}) / (stddev_pop(x{i}) * stddev_pop(x{j})) AS c{i}{j}" for i in range(3) for j in range(i + 1, 3)]
+    corr += [f"1.0 + {ridge} / stddev_pop(y) AS d{i}, covar_pop(x{i}, y) / (stddev_pop(x{i}) * stddev_pop(y)) AS r{i}, stddev_pop(y) / stddev_pop(x{i}) AS u{i}, avg(x{i}) AS m{i}" for i in range(3)]
+    return (
+        "rows AS (SELECT l_quantity::DOUBLE AS x0, l_discount::DOUBLE AS x1, l_tax::DOUBLE AS x2, l_extendedprice::DOUBLE AS y, l_orderkey, l_linenumber FROM lineitem), "
+        f"stats AS (SELECT {', '.join(corr)}, avg(y) AS my FROM rows WHERE {condition}), "
+        f"each AS (SELECT *, {', '.join(f'u{k} * {_det(put(k))} / {_det(c)} AS w{k}' for k in range(3))} FROM stats), "
+        "w AS (SELECT w0, w1, w2, my - w0 * m0 - w1 * m1 - w2 * m2 AS b FROM each)"
+    )
+
+
+_FIT = "w0 * x0 + w1 * x1 + w2 * x2 + b"
+_TRAIN, _TEST = "l_orderkey % 10 <> 0", "l_orderkey % 10 = 0"
+
+
+def _descent_sql(step: str, rate: float, rounds: int = 150) -> str:
+    """Accuracy after ``rounds`` steps of logistic descent on standardised columns; ``step``: what divides the summed gradient."""
+    z = "w0 * x0 + w1 * x1 + w2 * x2 + b"
+    x = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0)::DOUBLE AS x{k}" for k, c in enumerate(X))
+    g = [f"sum((1 / (1 + exp(-({z}))) - y) * x{k})" for k in range(3)] + [f"sum(1 / (1 + exp(-({z}))) - y)"]
+    return (
+        "WITH RECURSIVE positive AS (SELECT l_returnflag AS flag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), "
+        f"rows AS (SELECT {x}, (l_returnflag = flag)::INT::DOUBLE AS y FROM lineitem, positive), "
+        "w(k, w0, w1, w2, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL "
+        f"SELECT k + 1, w0 - {rate} * g0 / {step}, w1 - {rate} * g1 / {step}, w2 - {rate} * g2 / {step}, b - {rate} * g3 / {step} FROM "
+        f"(SELECT k, w0, w1, w2, b, {', '.join(f'{e} AS g{i}' for i, e in enumerate(g))}, count(*) AS n FROM w, rows WHERE k < {rounds} GROUP BY k, w0, w1, w2, b) t) "
+        f"SELECT round(avg((({z} > 0)::INT = y)::INT), 4) AS accuracy FROM rows, w WHERE k = {rounds}"
+    )
+
+
 def lines(spark, d):
     return load_all(spark, d, "lineitem")["lineitem"].select(*X, D("l_extendedprice").alias("label"), "l_orderkey", "l_linenumber", "l_returnflag")
 
@@ -44,7 +86,23 @@ def _(spark, d):
     return PCA(k=3, inputCol="raw", outputCol="p").fit(e).transform(e).select("id", vector_to_array("p").alias("p"))
 
 
-@query("m4_components_for_share")
+@query(
+    "m3_pca_variance",
+    "SELECT round((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2, 4) AS first, round((a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2, 6) AS second FROM "
+    "(SELECT var_samp(l_quantity::DOUBLE) AS a, covar_samp(l_quantity::DOUBLE, l_discount::DOUBLE) AS b, var_samp(l_discount::DOUBLE) AS c FROM lineitem) t",
+)
+def _(spark, d):
+    raw = VectorAssembler(inputCols=X[:2], outputCol="raw").transform(lines(spark, d))
+    rows = PCA(k=2, inputCol="raw", outputCol="p").fit(raw).transform(raw).select(vector_to_array("p").alias("p"))
+    return rows.agg(F.round(F.var_samp(D("p")[0]), 4).alias("first"), F.round(F.var_samp(D("p")[1]), 6).alias("second"))
+
+
+# with one column that has over nine tenths of the variance, so does the first component
+@query(
+    "m4_components_for_share",
+    "SELECT CASE WHEN greatest(a, b, c) >= 0.9 * (a + b + c) THEN 1 END::INT AS components FROM "
+    "(SELECT var_samp(l_quantity::DOUBLE) AS a, var_samp(l_discount::DOUBLE) AS b, var_samp(l_tax::DOUBLE) AS c FROM lineitem) t",
+)
 def _(spark, d):
     return spark.createDataFrame([(M.components_for(lines(spark, d), X, 0.9),)], "components int")
 
@@ -64,37 +122,55 @@ def _(spark, d):
 def _fit_report(kind, **more):
     def plan(spark, d):
         rows = lines(spark, d)
-        model = M.train(rows.where("l_orderkey % 10 <> 0"), X, kind, **more)
-        return M.regression_report(model.transform(rows.where("l_orderkey % 10 = 0")), tolerance=5000.0)
+        model = M.train(rows.where(_TRAIN), X, kind, **more)
+        report = M.regression_report(model.transform(rows.where(_TEST)), tolerance=5000.0)
+        return report.select(F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"), F.round("accuracy", 6).alias("accuracy"), F.round("r2", 6).alias("r2"))
 
     return plan
 
 
-query("m5_ridge")(_fit_report("ridge"))
+query(
+    "m5_ridge",
+    f"WITH {_weights_sql(_TRAIN, 0.1)}, e AS (SELECT y, {_FIT} - y AS e FROM rows, w WHERE {_TEST}) SELECT round(sqrt(avg(e * e)), 3) AS rmse, round(avg(abs(e)), 3) AS mae, "
+    "round(avg((abs(e) <= 5000)::INT), 6) AS accuracy, round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM e",
+)(_fit_report("ridge"))
 query("m6_random_forest")(_fit_report("forest"))
 query("m7_boosted_trees")(_fit_report("boosted"))
 
 
-@query("m9_save_load_predict")
+@query("m9_save_load_predict", f"WITH {_weights_sql()} SELECT l_orderkey, l_linenumber, round({_FIT}, 3) AS prediction FROM rows, w")
 def _(spark, d):
-    from tessera.storage import shared_root
+    from tessera.plans.storage_plans import fresh
 
-    path = f"{shared_root(spark)}/tessera/model-m9"
+    path = fresh(spark, "model-m9")
     M.train(lines(spark, d), X, "linear", path=path)
-    return M.load_model(path).transform(lines(spark, d)).select("l_orderkey", "l_linenumber", "prediction")
+    return M.load_model(path).transform(lines(spark, d)).select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
 
 
-@query("m10_verdict")
-def _(spark, d):
-    rows = lines(spark, d)
-    v = M.train_test_verdict(rows.where("l_orderkey % 10 <> 0"), rows.where("l_orderkey % 10 = 0"), X, 2)
-    return spark.createDataFrame([(v["train_rmse"], v["test_rmse"], v["test_r2"], v["verdict"])], "train_rmse double, test_rmse double, test_r2 double, verdict string")
+def _verdict(components):
+    def plan(spark, d):
+        rows = lines(spark, d)
+        v = M.train_test_verdict(rows.where(_TRAIN), rows.where(_TEST), X, components)
+        return local_frame(spark, [(round(v["train_rmse"], 3), round(v["test_rmse"], 3), round(v["test_r2"], 6), v["verdict"])], "train_rmse double, test_rmse double, test_r2 double, verdict string")
+
+    return plan
+
+
+query("m10_verdict")(_verdict(2))
+# all components together are the columns, turned: the regression on them is that on the columns
+query(
+    "m10_verdict_all_components",
+    f"WITH {_weights_sql(_TRAIN)}, e AS (SELECT y, {_FIT} - y AS e, {_TEST} AS test FROM rows, w), "
+    "s AS (SELECT sqrt(avg(e * e) FILTER (NOT test)) AS a, sqrt(avg(e * e) FILTER (test)) AS b, 1 - sum(e * e) FILTER (test) / (var_pop(y) FILTER (test) * count(*) FILTER (test)) AS r2 FROM e) "
+    "SELECT round(a, 3) AS train_rmse, round(b, 3) AS test_rmse, round(r2, 6) AS test_r2, CASE WHEN r2 > 0.7 AND b < 1.5 * a THEN 'good' WHEN r2 > 0.5 THEN 'fair' ELSE 'poor' END AS verdict FROM s",
+)(_verdict(3))
 
 
 @query("m11_logistic_regression")
 def _(spark, d):
-    rows = M.one_vs_rest(embeddings(spark, d), "label", 1).select("id", "label", array_to_vector("v").alias("features"))
-    train, test = rows.randomSplit([0.8, 0.2], seed=42)
+    # the split is by a hash of the id: a random split would sort whole rows, vectors included
+    rows = M.one_vs_rest(embeddings(spark, d), "label", 1).withColumn("part", F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(5)))
+    train, test = (rows.where(c).select("id", "label", array_to_vector("v").alias("features")) for c in ("part > 0", "part = 0"))
     return M.accuracy(M.logistic(train).transform(test))
 
 
@@ -102,15 +178,16 @@ def _descend(method, **more):
     def plan(spark, d):
         rows = M.standardised(M.one_vs_rest(lines(spark, d).drop("label"), "l_returnflag").select(*X, "label"), X)
         w = M.descend(rows, X, method, **more)
-        return M.accuracy(M.classify_with(rows, X, w))
+        return M.accuracy(M.classify_with(rows, X, w)).select(F.round("accuracy", 4).alias("accuracy"))
 
     return plan
 
 
 query("m12_stochastic_descent")(_descend("stochastic", fraction=0.1))
 query("m13_averaged_descent")(_descend("averaged"))
-query("m14_summed_gradient")(_descend("summed", rate=1e-5))
-query("m15_steepest_descent")(_descend("steepest"))
+query("m13_batch_descent", _descent_sql("n", 0.05))(_descend("batch"))
+query("m14_summed_gradient", _descent_sql("1", 1e-5))(_descend("summed", rate=1e-5))
+query("m15_steepest_descent", _descent_sql("greatest(sqrt(g0 * g0 + g1 * g1 + g2 * g2 + g3 * g3), 1e-12)", 0.05))(_descend("steepest"))
 
 
 @query("m14_gradient", "SELECT round(sum((0.5 - (l_returnflag = 'R')::INT) * l_quantity)::DOUBLE, 3) AS g0, round(sum(0.5 - (l_returnflag = 'R')::INT)::DOUBLE, 3) AS g1 FROM lineitem")
@@ -161,10 +238,20 @@ def _(spark, d):
     return L.gram(lines(spark, d), ["l_quantity", "l_discount"]).select("i", "j", F.round("v", 2).alias("v"))
 
 
-@query("l4_singular_values")
+@query(
+    "l4_singular_values",
+    "WITH g AS (SELECT sum(l_quantity::DOUBLE * l_quantity) AS a, sum(l_quantity::DOUBLE * l_discount) AS b, sum(l_discount::DOUBLE * l_discount) AS c FROM lineitem) "
+    "SELECT 0 AS k, round(sqrt((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2), 4) AS value FROM g UNION ALL "
+    "SELECT 1, round(sqrt((a * c - b * b) / ((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2)), 4) FROM g",
+)
+def _(spark, d):
+    values = L.singular_values(lines(spark, d), X[:2])
+    return local_frame(spark, [(k, round(float(v), 4)) for k, v in enumerate(values)], "k int, value double")
+
+
+@query("l4_singular_values_of_three")
 def _(spark, d):
-    values = L.singular_values(lines(spark, d), X)
-    return spark.createDataFrame(list(enumerate(values)), "k int, value double")
+    return local_frame(spark, [(k, float(v)) for k, v in enumerate(L.singular_values(lines(spark, d), X))], "k int, value double")
 
 
 @query("l5_newton_steps", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope FROM lineitem")

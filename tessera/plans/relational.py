@@ -102,10 +102,11 @@ def _(spark, d):
     return load_all(spark, d, "part")["part"].where(F.size(F.split(F.replace(D("p_name"), F.lit("e"), F.lit(",")), ",")) == 3).select("p_partkey")
 
 
-@query("f15_random_split")
+@query("f15_random_split", "SELECT c_custkey, CAST(1 AS BIGINT) AS times FROM customer")
 def _(spark, d):
-    train, test = load_all(spark, d, "customer")["customer"].randomSplit([0.8, 0.2], seed=42)
-    return train.select("c_custkey", F.lit("train").alias("part")).unionByName(test.select("c_custkey", F.lit("test").alias("part")))
+    """How often each row is in a part: the parts are disjoint and complete."""
+    train, test = load_all(spark, d, "customer")["customer"].select("c_custkey").randomSplit([0.8, 0.2], seed=42)
+    return train.unionByName(test).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query(
@@ -275,14 +276,15 @@ def _(spark, d):
     return f.select("l_suppkey", F.concat(F.transform(F.slice("features", 1, 4), lambda x: F.round(x, 4)), F.transform(F.slice("features", 5, 10), lambda x: F.round(x, 2) + 0.0)).alias("features"))
 
 
-@query("a21_bloom_filter", "SELECT c_custkey, true AS maybe FROM customer WHERE suffix(CAST(c_custkey AS VARCHAR), '3')")
+@query("a21_bloom_filter", "SELECT added, CASE WHEN added THEN 'all' ELSE 'few' END AS found FROM (SELECT DISTINCT suffix(CAST(c_custkey AS VARCHAR), '3') AS added FROM customer) t")
 def _(spark, d):
+    """Of what was added all is found; of the rest no more than 3 in 100."""
     from tessera.operators import sketch
 
-    c = load_all(spark, d, "customer")["customer"].select("c_custkey", (D("c_custkey") % 4).alias("part"))
-    added = c.where(F.endswith(D("c_custkey").cast("string"), F.lit("3")))
-    merged = sketch.merge(sketch.build(added, "c_custkey", 20_000, 5, ["part"]))
-    return sketch.contains(added, "c_custkey", merged, 20_000, 5).select("c_custkey", "maybe")
+    c = load_all(spark, d, "customer")["customer"].select("c_custkey", (D("c_custkey") % 4).alias("part"), F.endswith(D("c_custkey").cast("string"), F.lit("3")).alias("added"))
+    merged = sketch.merge(sketch.build(c.where("added"), "c_custkey", 20_000, 5, ["part"]))
+    found = sketch.contains(c, "c_custkey", merged, 20_000, 5).groupBy("added").agg(F.avg(D("maybe").cast("int")).alias("share"))
+    return found.select("added", F.when(D("share") == 1, "all").when(D("share") <= 0.03, "few").otherwise("some").alias("found"))
 
 
 @query("a22_first_per_group", "SELECT o_orderpriority, arg_min(o_orderkey, o_orderkey) AS first_key FROM orders GROUP BY o_orderpriority")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import load_all, query
+from tessera.sources import avro as AVRO
 from tessera.sources import readers as IN
 from tessera.sources import sinks as OUT
 from tessera.storage import shared_root
@@ -60,12 +63,12 @@ def _(spark, d):
     return load_all(spark, d, "orders")["orders"].join(F.broadcast(keys), "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("s12_small_files", "SELECT count(*) > 0 AS found, true AS sized FROM region")
+@query("s12_small_files", "SELECT n_nationkey, n_name, true AS whole FROM nation")
 def _(spark, d):
     path = fresh(spark, "files")
-    load_all(spark, d, "nation")["nation"].repartition(5).write.json(path)
-    f = IN.read_files(spark, path, "*.json")
-    return f.agg((F.count(F.lit(1)) > 0).alias("found"), F.bool_and(F.octet_length("content") == D("size")).alias("sized"))
+    load_all(spark, d, "nation")["nation"].select("n_nationkey", "n_name").repartition(5).write.json(path)
+    f = IN.read_files(spark, path, "*.json").select((F.octet_length("content") == D("size")).alias("whole"), F.explode(F.split(F.trim(F.decode("content", "UTF-8"), F.lit("\n")), "\n")).alias("line"))
+    return f.select(F.from_json("line", "n_nationkey int, n_name string").alias("r"), "whole").select("r.n_nationkey", "r.n_name", "whole")
 
 
 @query("s13_json_lines", "SELECT r_regionkey, r_name FROM region")
@@ -80,10 +83,15 @@ def _(spark, d):
     return spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
 
 
-@query("s16_people_generator", "SELECT CAST(1000 AS BIGINT) AS n, true AS graded, true AS repeated")
+@query("s16_people_generator", "SELECT CAST(1000 AS BIGINT) AS n, true AS graded, true AS repeated, true AS named, true AS spread, true AS again")
 def _(spark, d):
-    p = IN.people(spark, 1000, 300)
-    return p.agg(F.count(F.lit(1)).alias("n"), F.bool_and(D("grade").between(0, 100)).alias("graded"), (F.count_distinct("student_id") <= 300).alias("repeated"))
+    """Names of six letters, ids below 300 that repeat, grades of 0 to 100 all over; the same rows each time."""
+    p, again = IN.people(spark, 1000, 300), IN.people(spark, 1000, 300)
+    same = p.exceptAll(again).isEmpty() and again.exceptAll(p).isEmpty() and not p.exceptAll(IN.people(spark, 1000, 300, seed=43)).isEmpty()
+    return p.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(D("grade").between(0, 100)).alias("graded"), F.count_distinct("student_id").between(250, 300).alias("repeated"),
+        F.bool_and(D("name").rlike("^[A-Z][a-z]{5}$")).alias("named"), (F.avg("grade").between(45, 55) & (F.count_distinct("grade") > 90)).alias("spread"),
+    ).withColumn("again", F.lit(same))
 
 
 @query("k1_parquet_round_trip", "SELECT c_custkey, c_name FROM customer")
@@ -93,11 +101,13 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@query("k3_json_features", "SELECT vec_id, len(embedding) AS n FROM embeddings WHERE vec_id = 3")
+@query("k3_json_features", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings WHERE vec_id = 3")
 def _(spark, d):
+    path = fresh(spark, "k3")
     e = load_all(spark, d, "embeddings")["embeddings"].where("vec_id = 3")
-    text = e.select("vec_id", F.to_json("embedding").alias("j"))
-    return text.select("vec_id", F.size(F.from_json("j", "array<double>")).cast("long").alias("n"))
+    e.select("vec_id", F.to_json(D("embedding").cast("array<double>")).alias("j")).write.json(path)
+    text = spark.read.schema("vec_id long, j string").json(path)
+    return text.select("vec_id", F.transform(F.from_json("j", "array<double>"), lambda x: F.round(x, 6)).alias("v"))
 
 
 @query("k4_partitioned_write", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
@@ -107,6 +117,14 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("k4_avro_file_per_group", "SELECT CAST(n_regionkey AS VARCHAR) || '.avro' AS file, n_nationkey, n_name FROM nation")
+def _(spark, d):
+    path = fresh(spark, "k4-avro")
+    AVRO.write_by_group(load_all(spark, d, "nation")["nation"].select("n_regionkey", "n_nationkey", "n_name"), path, "n_regionkey")
+    each = [AVRO.read(spark, f"{path}/{k}.avro").select(F.lit(f"{k}.avro").alias("file"), "n_nationkey", "n_name") for k in range(5)]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query("k5_merge_files", "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, NULL FROM customer")
 def _(spark, d):
     a, b = fresh(spark, "k5"), fresh(spark, "k5")
@@ -116,6 +134,38 @@ def _(spark, d):
     return IN.read_merged(spark, [a, b, fresh(spark, "absent")])
 
 
+_SUPPLIER = "SELECT s_suppkey, s_name, s_acctbal, s_nationkey FROM supplier"
+
+
+@query("s1_avro_scan", _SUPPLIER)
+def _(spark, d):
+    path = fresh(spark, "s1")
+    AVRO.write(load_all(spark, d, "supplier")["supplier"].select("s_suppkey", "s_name", "s_acctbal", "s_nationkey"), path, "deflate")
+    return IN.read_avro(spark, path)
+
+
+@query("s3_avro_word_pairs", "SELECT string_split(p_name, ' ')[1] AS key, count(*) AS n FROM part GROUP BY 1")
+def _(spark, d):
+    """A grouped count over Avro records, as a map and reduce job reads them."""
+    path = fresh(spark, "s3")
+    AVRO.write(load_all(spark, d, "part")["part"].select("p_partkey", "p_name").repartition(3), path)
+    return AVRO.read(spark, path).groupBy(F.split("p_name", " ")[0].alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k5_merge_avro", "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, NULL FROM customer")
+def _(spark, d):
+    """Several Avro files as one: the first one's columns, a damaged file skipped, the output not read again."""
+    path = fresh(spark, "k5-avro")
+    t = load_all(spark, d, "supplier", "customer")
+    AVRO.write(t["supplier"].select(D("s_suppkey").alias("id"), D("s_name").alias("name")).coalesce(1), path, name="a")
+    AVRO.write(t["customer"].select(D("c_custkey").alias("id"), D("c_acctbal").alias("other")).coalesce(1), path, "null", name="b")
+    with open(f"{path.removeprefix('file://')}/c-damaged.avro", "wb") as f:
+        f.write(b"Obj\x01 not a container")
+    merged = fresh(spark, "k5-merged")
+    AVRO.write(AVRO.read(spark, path, skip_unreadable=True).coalesce(1), merged, name="whole")
+    return AVRO.read(spark, merged)
+
+
 @query("k6_pack_files", "SELECT CAST(page_id AS VARCHAR) AS filename, sha256(html) AS checksum FROM pages")
 def _(spark, d):
     path = fresh(spark, "k6")
@@ -134,19 +184,21 @@ def _(spark, d):
 
 @query("k8_create_table_as", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey ORDER BY n_regionkey")
 def _(spark, d):
-    path = fresh(spark, "k8")
-    n = load_all(spark, d, "nation")["nation"].groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
-    n.write.option("header", True).csv(path)
-    return IN.read_csv(spark, path, "n_regionkey int, n long", header=True).orderBy("n_regionkey")
+    """A table made from a query, in the format asked for, read back by its name."""
+    n, name = load_all(spark, d, "nation")["nation"].groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")), f"k8_{uuid.uuid4().hex}"
+    OUT.create_table_as(spark, name, n, "csv", path=fresh(spark, "k8"))
+    return spark.table(name).orderBy("n_regionkey")
 
 
 @query("k9_insert_many", "SELECT p_partkey, string_split(p_name, ' ')[1] AS word FROM part UNION ALL SELECT p_partkey, string_split(p_name, ' ')[2] FROM part")
 def _(spark, d):
-    path = fresh(spark, "k9")
-    p = load_all(spark, d, "part")["part"]
-    for k in (0, 1):
-        p.select("p_partkey", F.split("p_name", " ")[k].alias("word")).write.mode("append").parquet(path)
-    return spark.read.schema("p_partkey long, word string").parquet(path)
+    """An empty table, then two inserts into it."""
+    p, name = load_all(spark, d, "part")["part"], f"k9_{uuid.uuid4().hex}"
+    words = [p.select("p_partkey", F.split("p_name", " ")[k].alias("word")) for k in (0, 1)]
+    OUT.create_table_as(spark, name, words[0].limit(0), path=fresh(spark, "k9"))
+    for w in words:
+        OUT.insert_into(w, name)
+    return spark.table(name)
 
 
 @query("k10_append_metrics", "SELECT * FROM (VALUES ('a', 1.5::DOUBLE), ('b', 2.5::DOUBLE)) t(model, rmse)")
@@ -165,22 +217,23 @@ def _(spark, d):
     return IN.read_positional(spark, path, ["key", "value"], sep="\t")
 
 
-@query("k12_filter_column", "SELECT true AS same")
+@query("k12_filter_column", "SELECT added, CASE WHEN added THEN 'all' ELSE 'few' END AS found FROM (SELECT DISTINCT suffix(CAST(c_custkey AS VARCHAR), '7') AS added FROM customer) t")
 def _(spark, d):
+    """A filter that was written and read finds all that was added, and no more than 3 in 100 of the rest."""
     from tessera.operators import sketch
 
     path = fresh(spark, "k12")
-    one = sketch.build(load_all(spark, d, "customer")["customer"], "c_custkey", 20_000, 5)
-    one.write.parquet(path)
-    c = load_all(spark, d, "customer")["customer"].select("c_custkey")
-    return sketch.contains(c, "c_custkey", spark.read.parquet(path), 20_000, 5).agg(F.bool_and("maybe").alias("same"))
+    c = load_all(spark, d, "customer")["customer"].select("c_custkey", F.endswith(D("c_custkey").cast("string"), F.lit("7")).alias("added"))
+    sketch.build(c.where("added"), "c_custkey", 20_000, 5).write.parquet(path)
+    found = sketch.contains(c, "c_custkey", spark.read.parquet(path), 20_000, 5).groupBy("added").agg(F.avg(D("maybe").cast("int")).alias("share"))
+    return found.select("added", F.when(D("share") == 1, "all").when(D("share") <= 0.03, "few").otherwise("some").alias("found"))
 
 
-@query("k13_id_vectors", "SELECT vec_id, len(embedding) AS n FROM embeddings")
+@query("k13_id_vectors", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings")
 def _(spark, d):
     path = fresh(spark, "k13")
     load_all(spark, d, "embeddings")["embeddings"].select("vec_id", "embedding").write.parquet(path)
-    return spark.read.parquet(path).select("vec_id", F.size("embedding").cast("long").alias("n"))
+    return spark.read.parquet(path).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("v"))
 
 
 @query("c1_compact_files", "SELECT o_orderkey, o_totalprice FROM orders")
@@ -191,22 +244,70 @@ def _(spark, d):
     return spark.read.parquet(b)
 
 
-@query("s11_recursive_discovery", "SELECT CAST(count(*) AS BIGINT) AS folders FROM (SELECT DISTINCT n_regionkey FROM nation) t")
+@query("c1_compact_groups", "SELECT CAST(n_regionkey AS VARCHAR) AS file_group, n_nationkey, n_name FROM nation")
 def _(spark, d):
+    """Many small files in folders, compacted folder by folder."""
+    a, b = fresh(spark, "c1"), fresh(spark, "c1")
+    load_all(spark, d, "nation")["nation"].select("n_regionkey", "n_nationkey", "n_name").repartition(7).write.partitionBy("n_regionkey").parquet(a)
+    OUT.compact(spark, a, b, group_pattern="n_regionkey=([0-9]+)")
+    return spark.read.schema("n_nationkey long, n_name string, file_group string").parquet(b).select("file_group", "n_nationkey", "n_name")
+
+
+@query("s11_recursive_discovery", "SELECT CAST(n_regionkey AS VARCHAR) AS folder, n_nationkey FROM nation")
+def _(spark, d):
+    """Files found in folders of folders: what each holds, by the folder it lies in."""
     path = fresh(spark, "s11")
-    load_all(spark, d, "nation")["nation"].coalesce(1).write.partitionBy("n_regionkey").json(path)
+    load_all(spark, d, "nation")["nation"].select("n_regionkey", "n_nationkey").coalesce(1).write.partitionBy("n_regionkey").json(f"{path}/deep")
     f = IN.read_files(spark, path, "*.json")
-    return f.select(F.regexp_extract("filename", "n_regionkey=([0-9]+)", 1).alias("k")).agg(F.count_distinct("k").alias("folders"))
+    rows = f.select(F.regexp_extract("filename", "n_regionkey=([0-9]+)", 1).alias("folder"), F.explode(F.split(F.trim(F.decode("content", "UTF-8"), F.lit("\n")), "\n")).alias("line"))
+    return rows.select("folder", F.from_json("line", "n_nationkey int")["n_nationkey"].alias("n_nationkey"))
 
 
-@query("k2_single_json_file", "SELECT CAST(1 AS BIGINT) AS files")
+@query("k2_single_json_file", "SELECT CAST(1 AS BIGINT) AS files, n_nationkey, n_name FROM nation")
 def _(spark, d):
     path = fresh(spark, "k2")
-    OUT.write_json_lines(load_all(spark, d, "nation")["nation"].repartition(4), path)
-    return IN.read_files(spark, path, "*.json").agg(F.count(F.lit(1)).alias("files"))
+    OUT.write_json_lines(load_all(spark, d, "nation")["nation"].select("n_nationkey", "n_name").repartition(4), path)
+    files = IN.read_files(spark, path, "*.json").agg(F.count(F.lit(1)).alias("files"))
+    return IN.read_json_lines(spark, path, "n_nationkey int, n_name string").crossJoin(F.broadcast(files)).select("files", "n_nationkey", "n_name")
 
 
 @query("s14_lookup_exists", "SELECT count(*) > 0 AS found FROM supplier WHERE lower(s_name) = lower('SUPPLIER#000000003')")
 def _(spark, d):
     s = load_all(spark, d, "supplier")["supplier"]
     return spark.sql("SELECT count(*) > 0 AS found FROM {s} WHERE lower(s_name) = lower(:name)", args={"name": "SUPPLIER#000000003"}, s=s)
+
+
+@query("s17_pandas_csv", "SELECT r_regionkey, r_name FROM region")
+def _(spark, d):
+    """A small file read with a header and inferred types, on the driver as a pandas frame and back."""
+    path = fresh(spark, "s17")
+    load_all(spark, d, "region")["region"].select("r_regionkey", "r_name").coalesce(1).write.option("header", True).csv(path)
+    return spark.createDataFrame(IN.read_csv_inferred(spark, path).toPandas())
+
+
+@query("p2_partition_closure", "SELECT l_returnflag, max(l_quantity)::DOUBLE AS most FROM lineitem GROUP BY l_returnflag")
+def _(spark, d):
+    """A Python closure over each partition's batches, then a merge of what the partitions found."""
+
+    def run(batches):
+        import pandas as pd
+
+        best = {}
+        for b in batches:
+            for flag, q in b.groupby("l_returnflag")["l_quantity"].max().items():
+                best[flag] = max(best.get(flag, q), q)
+        yield pd.DataFrame({"l_returnflag": list(best), "most": [float(v) for v in best.values()]})
+
+    li = load_all(spark, d, "lineitem")["lineitem"].select("l_returnflag", D("l_quantity").cast("double"))
+    return li.mapInPandas(run, "l_returnflag string, most double").groupBy("l_returnflag").agg(F.max("most").alias("most"))
+
+
+@query("p3_external_programs", "SELECT CAST(user_id AS VARCHAR) AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events GROUP BY user_id")
+def _(spark, d):
+    """A mapper and a reducer that are programs of their own, reading and writing lines."""
+    from tessera.operators.external import map_reduce
+
+    lines = load_all(spark, d, "events")["events"].select(F.concat_ws(",", D("event_id"), D("user_id")).alias("line"))
+    mapper = ["awk", "-F,", "{print $2 \"\\t\" $1}"]
+    reducer = ["awk", "-F\\t", "NR == 1 || $1 \"\" != key \"\" {if (NR > 1) print key \"\\t\" most; key = $1; most = $2} $2 + 0 > most + 0 {most = $2} END {if (NR) print key \"\\t\" most}"]
+    return map_reduce(lines, mapper, reducer)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
@@ -80,16 +81,43 @@ def _(spark, d):
     return embeddings(spark, d).select(D("id").alias("vec_id"), F.round(energy("v"), 4).alias("energy"))
 
 
-@query("j16_all_pairs_distance", f"{_T} SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.v, b.v), 5) AS d FROM e a, e b WHERE a.vec_id < b.vec_id AND a.label = 0 AND b.label = 0")
+@query("j16_all_pairs_distance", f"{_T} SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.v, b.v), 5) AS d FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id")
 def _(spark, d):
-    e = embeddings(spark, d).where("label = 0")
-    return R.all_distances(e, V.distance).select("a", "b", F.round("d", 5).alias("d"))
+    e = embeddings(spark, d)
+    return R.distances_from(e.where("id % 100 = 0"), e, V.distance).select("a", "b", F.round("d", 5).alias("d"))
 
 
-@query("j16_distances_from_queries", f"{_T} SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.v, b.v), 5) AS d FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id")
+@query("n1_lsh_index", f"{_T} SELECT vec_id AS id, true AS same FROM e")
 def _(spark, d):
-    e = embeddings(spark, d)
-    return R.distances_from(e.where("id % 100 = 0"), e, V.distance).select("a", "b", F.round("d", 5).alias("d"))
+    """Each row's buckets under a model that was saved and loaded, beside those under the one that was fitted."""
+    from tessera.plans.storage_plans import fresh
+
+    model, unit = R.lsh_index(embeddings(spark, d), bucket=0.5, tables=5, seed=42)
+    path = fresh(spark, "lsh")
+    R.save_lsh(model, path)
+    buckets = lambda m, name: m.transform(unit).select("id", F.transform("hashes", lambda h: vector_to_array(h)[0]).alias(name))
+    both = buckets(model, "fitted").join(buckets(R.load_lsh(path), "loaded"), "id")
+    return both.select("id", (D("fitted") == D("loaded")).alias("same"))
+
+
+@query("n3_hnsw_index", f"{_T} SELECT vec_id AS id FROM e")
+def _(spark, d):
+    """The ids that a written and reread index holds."""
+    from tessera.operators import hnsw
+    from tessera.plans.storage_plans import fresh
+
+    path = fresh(spark, "hnsw")
+    hnsw.build_index(embeddings(spark, d)).write.parquet(path)
+    return spark.read.parquet(path).select(F.explode("ids").alias("id"))
+
+
+@query("n4_hnsw_nearest")
+def _(spark, d):
+    from tessera.operators import hnsw
+    from tessera.storage import materialise
+
+    e = embeddings(spark, d).select("id", "v")
+    return hnsw.nearest(materialise(hnsw.build_index(e), "hnsw"), e.where("id % 100 = 0"), 10)
 
 
 @query("n2_lsh_nearest")

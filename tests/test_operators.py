@@ -149,8 +149,8 @@ def test_pack_and_unpack(spark, tmp_path):
     sinks.pack_files(readers.read_files(spark, str(source), "*.txt"), str(tmp_path / "packed"))
     packed = spark.read.parquet(str(tmp_path / "packed"))
     contents.pop("b.txt")  # Spark passes over empty files
-    assert sinks.unpack_files(packed, str(out)) == 2
-    assert {p.name: p.read_bytes() for p in out.iterdir()} == contents
+    assert sinks.unpack_files(packed, str(out), root=str(source)) == 2
+    assert {p.name: p.read_bytes() for p in out.rglob("*.txt")} == contents and (out / "deep" / "c.txt").exists()
     with pytest.raises(Exception, match="checksum mismatch"):
         sinks.verified(packed.withColumn("checksum", F.lit("0"))).collect()
 
@@ -188,3 +188,131 @@ def test_cosine_matrix_keeps_every_seed(spark):
     points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
     got = recommend.cosine_matrix(points, seeds)
     assert got.count() == 20_100 and got.select("seed").distinct().count() == 10_050
+
+
+def cosines(spark, sf="/root/testdata/sf0.01"):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    return np.array([r.vec_id for r in rows]), x, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def recall(found, want):
+    """Share of the wanted pairs that are found; nothing else may be found."""
+    return len(found & want) / max(len(want), 1)
+
+
+def test_indexes_find_most_neighbours(spark):
+    """LSH and HNSW against brute force: at least nine tenths of each query's nearest."""
+    from tessera.operators import hnsw
+
+    ids, _, unit = cosines(spark)
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    queries = [i for i in ids.tolist() if i % 100 == 0]
+    at = {i: k for k, i in enumerate(ids.tolist())}
+    best = lambda q: [int(ids[j]) for j in np.argsort(-(unit @ unit[at[q]]), kind="stable") if ids[j] != q][:10]
+    want = {(q, i) for q in queries for i in best(q)}
+    for rows in (5000, 150):
+        index = hnsw.build_index(e, shard_rows=rows)
+        got = {(r["query"], r["id"]) for r in hnsw.nearest(index, e.where("id % 100 = 0"), 10).collect()}
+        assert recall(got, want) >= 0.95 and len(got) == len(want)
+    model, rows = recommend.lsh_index(e, bucket=0.5, tables=5, seed=42)
+    hits = 0
+    for q in queries[:3]:
+        near = recommend.lsh_recommend(model, rows, unit[at[q]].tolist(), [q], 10).collect()
+        hits += len({(q, r["id"]) for r in near} & want)
+    assert hits >= 0.9 * 30
+
+
+def test_hnsw_of_odd_tables(spark):
+    from tessera.operators import hnsw
+
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 0.0])], "id string, v array<double>")
+    got = hnsw.nearest(hnsw.build_index(df), df.where("id = 'a'"), 2).collect()
+    assert [(r["query"], r["id"], r["similarity"]) for r in got] == [("a", "b", 1.0)] * 2
+    empty = hnsw.build_index(df.limit(0))
+    assert empty.count() == 0 and hnsw.nearest(empty, df, 2).count() == 0 and hnsw.nearest(hnsw.build_index(df), df.limit(0), 2).count() == 0
+
+
+def test_bucket_joins_of_the_queries(spark):
+    """The registered joins find only pairs within their limits, and nine tenths of those."""
+    from tessera.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    ids, x, unit = cosines(spark)
+
+    def within(points, limit):
+        gaps = np.linalg.norm(points[:, None, :] - points[None, :, :], axis=2)
+        return {(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(gaps < limit), strict=True) if i != j}
+
+    scaled = (x - x.mean(0)) / x.std(0, ddof=1)
+    _, _, axes = np.linalg.svd(scaled - scaled.mean(0), full_matrices=False)
+    found = {(r.src, r.dst) for r in QUERIES["j11_bucket_self_join"](spark, d).collect()}
+    want = within(unit, 1.2)
+    assert found <= want and recall(found, want) >= 0.9
+    for name, points, limit in (("g1_similarity_graph", scaled @ axes[:3].T, 1.25), ("g2_item_graph", scaled, 9.0)):
+        found = {(r.id, n) for r in QUERIES[name](spark, d).collect() for n in r.neighbors}
+        want = within(points, limit)
+        assert want and len(found - want) <= 0.001 * len(want) and recall(found, want) >= 0.9, name
+
+
+def test_dense_buckets_are_dealt_out(spark):
+    """One bucket with all rows, in chunks: as a plain loop finds."""
+    from pyspark.ml.functions import array_to_vector
+
+    x = np.random.default_rng(5).normal(size=(300, 3)) * 0.1 + 7
+    df = spark.createDataFrame([(f"p{i}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>").select("id", array_to_vector("v").alias("features"))
+    got = {(r.src, r.dst) for r in graph.bucket_edges(df, 0.1, bucket=100.0, tables=1, chunk=40).collect()}
+    assert got == {(f"p{i}", f"p{j}") for i in range(300) for j in range(300) if i != j and np.linalg.norm(x[i] - x[j]) < 0.1}
+
+
+def test_trees_predict(spark):
+    """Forest and boosted trees explain most of a label that depends on its columns."""
+    rng = np.random.default_rng(8)
+    x = rng.random((600, 2))
+    rows = [(float(a), float(b), float(10 * (a > 0.5) + 5 * b)) for a, b in x]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    for kind in ("forest", "boosted"):
+        model = ml.train(df.limit(400), ["a", "b"], kind, **({"numTrees": 10} if kind == "forest" else {"maxIter": 10}))
+        assert ml.regression_report(model.transform(df)).first()["r2"] > 0.9, kind
+
+
+def test_entry_without_llm(monkeypatch):
+    """Whatever the llm subpackage's import lacks, the other queries stay."""
+    import sys
+
+    import __spark_entry__ as entry
+    from tessera.plans.registry import QUERIES
+
+    for name in [m for m in sys.modules if m.startswith("tessera.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tessera.llm", None)
+    assert set(entry.queries()) == set(QUERIES)
+
+
+def test_stage_tables_go_with_the_next_stage(spark):
+    from tessera import storage
+
+    def exists(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    docs = spark.range(5)
+    with storage.stage_tables(docs, "one"):
+        a, b = storage.materialise(docs, "a"), storage.materialise(docs, "b")
+    with storage.stage_tables(a.where("id > 1"), "two"):  # reads a, which therefore stays
+        c = storage.materialise(a, "c")
+    assert exists(a) and not exists(b) and exists(c)
+    with storage.stage_tables(docs, "three"):
+        pass
+    assert not exists(a) and not exists(c)
+    outside = storage.materialise(docs, "d")
+    with storage.stage_tables(docs, "four"):
+        pass
+    assert exists(outside)
+
+
+def test_local_frame(spark):
+    from tessera.storage import local_frame
+
+    assert [tuple(r) for r in local_frame(spark, [(1, "a", None), (2, None, 1.5)], "k int, s string, d double").collect()] == [(1, "a", None), (2, None, 1.5)]
+    assert local_frame(spark, [], "k int").count() == 0

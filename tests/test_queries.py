@@ -27,11 +27,16 @@ def plain(v):
     return [plain(x) for x in v] if isinstance(v, (list, tuple)) else bytes(v) if isinstance(v, bytearray) else v
 
 
+# on the smallest tables these find nothing
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     rows = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
+    assert rows or name in MAY_BE_EMPTY
     if name in ORACLES:
         found = duck.sql(ORACLES[name])
         at = [found.columns.index(c) for c in columns]
@@ -39,7 +44,7 @@ def test_query(spark, duck, name):
         assert rows == sorted(repr([plain(r[i]) for i in at]) for r in found.fetchall())
 
 
-@pytest.mark.parametrize(("name", "sources"), [("a8_nearest_graph_all", "vec_id >= 0"), ("j16_distances_from_queries", "vec_id % 100 = 0")])
+@pytest.mark.parametrize(("name", "sources"), [("a8_nearest_graph", "vec_id >= 0"), ("j16_all_pairs_distance", "vec_id % 100 = 0")])
 def test_whole_table_of_vectors(spark, duck, name, sources):
     """Vectors of all labels have neighbours and distances."""
     df = QUERIES[name](spark, DATA)
@@ -56,11 +61,11 @@ def test_learning_queries_train_whole_models(spark, monkeypatch):
     monkeypatch.setattr(learning.M, "train", lambda rows, x, kind, **more: fitted.append(learning.M.regressor(kind, **more)) or train(rows, x, "linear"))
     monkeypatch.setattr(learning.M, "descend", zero)
     monkeypatch.setattr(learning.M, "classify_with", lambda rows, x, w: rows.selectExpr("label", "label AS prediction"))
-    for name in ("m6_random_forest", "m7_boosted_trees", "m12_stochastic_descent", "m13_averaged_descent", "m14_summed_gradient", "m15_steepest_descent"):
+    for name in ("m6_random_forest", "m7_boosted_trees", "m12_stochastic_descent", "m13_averaged_descent", "m13_batch_descent", "m14_summed_gradient", "m15_steepest_descent"):
         QUERIES[name](spark, DATA)
     forest, boosted = fitted
     assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter(), boosted.getMaxDepth()) == (50, 8, 100, 5)
-    assert rounds == [150] * 4
+    assert rounds == [150] * 5
 
 
 def test_entry_contract():
