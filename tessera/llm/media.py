@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column
+from tessera.llm.common import column, hold, small_batches
 
 # fixed values of the PNG format
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -61,43 +61,65 @@ def paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def unfilter(data: np.ndarray, bpp: int) -> np.ndarray:
-    """Rows of samples from rows that begin with their filter's number."""
+    """Rows of samples from rows that begin with their filter's number; runs of rows with one filter at once."""
     kinds, rows = data[:, 0], data[:, 1:].copy()
     if not kinds.any():
         return rows
     if kinds.max() > 4:
         raise DamagedImage("unknown row filter")
-    above = np.zeros(rows.shape[1], np.uint8)
-    for y, kind in enumerate(kinds):
-        row = rows[y]
-        if kind == 1:
-            row[:] = np.add.accumulate(row.reshape(-1, bpp), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            row += above
-        elif kind in (3, 4):
-            for x in range(0, len(row), bpp):
-                left = row[x - bpp : x] if x else np.zeros(bpp, np.uint8)
-                up = above[x : x + bpp]
-                if kind == 3:
-                    row[x : x + bpp] += ((left.astype(np.int16) + up) // 2).astype(np.uint8)
-                else:
-                    row[x : x + bpp] += paeth(left, up, above[x - bpp : x] if x else np.zeros(bpp, np.uint8))
-        above = row
+    height, width = rows.shape
+    # rows of filter 1 depend on no other row
+    left = kinds == 1
+    if left.any():
+        rows[left] = np.add.accumulate(rows[left].reshape(-1, width // bpp, bpp), axis=1, dtype=np.uint8).reshape(-1, width)
+    starts = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
+    for lo, hi in zip(starts, np.r_[starts[1:], height], strict=True):
+        if kinds[lo] < 2:
+            continue
+        above = rows[lo - 1] if lo else np.zeros(width, np.uint8)
+        if kinds[lo] == 2:
+            rows[lo:hi] = np.add.accumulate(np.vstack([above[None], rows[lo:hi]]), axis=0, dtype=np.uint8)[1:]
+        else:
+            rows[lo:hi] = _unfilter_diagonals(rows[lo:hi], above, bpp, kinds[lo] == 4)
     return rows
 
 
-def encode_png(samples: np.ndarray, filter_kind: int = 0, level: int = 1) -> bytes:
-    """samples: (height, width) or (height, width, channels), unsigned bytes."""
+def _unfilter_diagonals(rows: np.ndarray, above: np.ndarray, bpp: int, is_paeth: bool) -> np.ndarray:
+    """A run of rows filtered by average or Paeth: pixels of one diagonal depend only on the two diagonals before."""
+    height, pixels = len(rows), rows.shape[1] // bpp
+    full = np.zeros((height + 1, pixels + 1, bpp), np.uint8)
+    full[0, 1:] = above.reshape(pixels, bpp)
+    given = rows.reshape(height, pixels, bpp)
+    for d in range(height + pixels - 1):
+        y = np.arange(max(0, d - pixels + 1), min(height, d + 1))
+        x = d - y
+        a, b = full[y + 1, x], full[y, x + 1]
+        guess = paeth(a, b, full[y, x]) if is_paeth else ((a.astype(np.int16) + b) // 2).astype(np.uint8)
+        full[y + 1, x + 1] = given[y, x] + guess
+    return full[1:, 1:].reshape(height, -1)
+
+
+def encode_png(samples: np.ndarray, filter_kind: int | None = 0, level: int = 1) -> bytes:
+    """samples: (height, width) or (height, width, channels), unsigned bytes.
+
+    ``filter_kind``: one filter for all rows, or None: for each row that of 0 and 1 with the smaller sum of
+    absolute differences, as the format advises.
+    """
     if samples.ndim == 2:
         samples = samples[:, :, None]
     height, width, channels = samples.shape
     color = next(k for k, v in CHANNELS.items() if v == channels)
-    rows = filter_rows(samples.reshape(height, width * channels), channels, filter_kind)
+    plain = samples.reshape(height, width * channels)
     body = np.empty((height, width * channels + 1), np.uint8)
-    body[:, 0] = filter_kind
-    body[:, 1:] = rows
+    if filter_kind is None:
+        moved = filter_rows(plain, channels, 1)
+        size = lambda rows: np.minimum(rows, 0 - rows).sum(1, dtype=np.int64)
+        better = size(moved) < size(plain)
+        body[:, 0], body[:, 1:] = better, np.where(better[:, None], moved, plain)
+    else:
+        body[:, 0], body[:, 1:] = filter_kind, filter_rows(plain, channels, filter_kind)
     head = struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(body.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(body.data, level)) + _chunk(b"IEND", b"")
 
 
 def decode_png(media: bytes) -> np.ndarray:
@@ -127,11 +149,17 @@ def decode_png(media: bytes) -> np.ndarray:
     if depth != 8 or color not in CHANNELS or interlace:
         raise DamagedImage("only 8-bit images without palette and interlacing")
     bpp = CHANNELS[color]
+    size = height * (1 + width * bpp)
+    inflater, raw = zlib.decompressobj(), bytearray()
     try:
-        raw = zlib.decompress(b"".join(data))
+        for part in data:  # never more than the header promises
+            raw += inflater.decompress(part, size + 1 - len(raw))
+            if len(raw) > size:
+                raise DamagedImage("number of samples")
+        raw += inflater.decompress(inflater.unconsumed_tail, size + 1 - len(raw))
     except zlib.error as e:
         raise DamagedImage("zlib data") from e
-    if len(raw) != height * (1 + width * bpp):
+    if len(raw) != size or not inflater.eof:
         raise DamagedImage("number of samples")
     return unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), bpp).reshape(height, width, bpp)
 
@@ -143,26 +171,26 @@ def _cosines(n: int, k: int) -> np.ndarray:
 _DCT = _cosines(32, 8)
 
 
-def _shrink(n: int) -> np.ndarray:
-    """32 x n: each of 32 equal bands' mean over n samples, with partial samples."""
+def _band_means(samples: np.ndarray) -> np.ndarray:
+    """32 rows: the means of 32 equal bands of rows, those that an edge cuts counted in part."""
+    n = len(samples)
     edges = np.linspace(0, n, 33)
-    lo, hi = edges[:-1, None], edges[1:, None]
-    at = np.arange(n)[None, :]
-    return np.clip(np.minimum(hi, at + 1) - np.maximum(lo, at), 0, None) / (n / 32)
-
-
-_shrinks: dict[int, np.ndarray] = {}
+    if n <= 64:
+        at = np.arange(n)[None, :]
+        share = np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None)
+        return share @ samples / (n / 32)
+    first, last = np.ceil(edges[:-1]).astype(int), np.floor(edges[1:]).astype(int)
+    out = np.add.reduceat(samples, np.column_stack([first, np.minimum(last, n - 1)]).ravel(), axis=0, dtype=np.float64)[::2]
+    out[-1] += samples[n - 1] if last[-1] == n else 0  # reduceat's end is left out
+    out += (first - edges[:-1])[:, None] * samples[np.maximum(first - 1, 0)] + (edges[1:] - last)[:, None] * samples[np.minimum(last, n - 1)]
+    return out / (n / 32)
 
 
 def dct_hash(samples: np.ndarray) -> str:
-    """16 hexadecimal digits."""
-    grey = samples.mean(2)
-    factors = []
-    for n in grey.shape:
-        if n not in _shrinks and n <= 512:
-            _shrinks[n] = _DCT @ _shrink(n)
-        factors.append(_shrinks[n] if n in _shrinks else _DCT @ _shrink(n))
-    low = (factors[0] @ grey @ factors[1].T).ravel()
+    """16 hexadecimal digits. Of a tall image only 32 rows of means are held beside it."""
+    height, width, channels = samples.shape
+    rows = _band_means(samples.reshape(height, width * channels)).reshape(32, width, channels).mean(2)
+    low = (_DCT @ _band_means(rows.T).T @ _DCT.T).ravel()
     bits = np.round(low, 6) > np.round(np.median(low[1:]), 6)
     return np.packbits(bits).tobytes().hex()
 
@@ -176,10 +204,12 @@ def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_bytes, media): each text's UTF-8, padded with 0 to rows of 64 samples, as a grey PNG.
 
     Null text counts as empty and gives one row of zeros. Repeated rows stay repeated; equal texts have
-    equal media.
+    equal media. A very long text is one image, whose bytes are held a few times over. Other columns aren't read.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("media")
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -187,7 +217,7 @@ def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for text in column(part, 1):
                     n, payload = text_payload(text)
                     sizes.append(n)
-                    media.append(encode_png(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)))
+                    media.append(encode_png(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH), None))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))

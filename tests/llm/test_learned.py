@@ -14,30 +14,93 @@ def text_of(rng, letters, n=60):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(n))
 
 
-def test_machine_learns_pairs_that_weights_miss():
-    """The label is whether just one of two words occurs: no additive weights can tell."""
-    rng = np.random.default_rng(0)
+def explicit(machine, found):
+    """The margin by loops over single features and pairs i < j."""
+    total = machine.w0 + sum(machine.w[i] for i in found)
+    for k, i in enumerate(found):
+        for j in found[k + 1 :]:
+            total += sum(machine.v[i, f] * machine.v[j, f] for f in range(machine.factors))
+    return total
+
+
+def test_margin_against_explicit_pairs():
+    rng = np.random.default_rng(3)
+    machine = toxicity.FactorizationMachine(factors=5)
+    machine.w0, machine.w, machine.v = 0.3, rng.normal(size=40), rng.normal(size=(40, 5))
+    machine.w[0], machine.v[0] = 0, 0
+    rows = [sorted(rng.choice(np.arange(1, 40), n, replace=False).tolist()) for n in (0, 1, 2, 7, 20)]
+    margin, _ = machine.margin(machine.padded(rows))
+    assert margin == pytest.approx([explicit(machine, r) for r in rows])
+
+
+def test_gradient_steps_lower_the_loss_of_explicit_pairs():
+    """After fitting, the loss by explicit loops is far below that of the prior."""
+    rng = np.random.default_rng(4)
+    rows = [np.array(sorted(rng.choice(30, 5, replace=False).tolist()), np.int32) for _ in range(200)]
+    y = np.array([float(2 in r and 5 in r or 7 in r) for r in rows])
+    machine = toxicity.FactorizationMachine(epochs=60)
+    machine.choose(list(range(30)))
+    machine.fit(rows, y)
+    p = np.array([1 / (1 + np.exp(-explicit(machine, [machine.feature[k] for k in r.tolist()]))) for r in rows])
+    loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+    assert loss < 0.2 * -(y.mean() * np.log(y.mean()) + (1 - y.mean()) * np.log(1 - y.mean()))
+
+
+def test_machine_learns_pairs_that_weights_miss(spark, make_docs):
+    """The label is whether just one of two words occurs: the real selection finds both, weights alone can't tell."""
+    rng = random.Random(0)
 
     def sample(n):
-        rows, y = [], []
+        texts, y = [], []
         for _ in range(n):
             one, other = rng.random() < 0.5, rng.random() < 0.5
-            rows.append(np.array(sorted({*rng.integers(100, 200, 3).tolist(), *([1] if one else []), *([2] if other else [])}), np.int32))
-            y.append(float(one != other))
-        return rows, np.array(y)
-
-    rows, y = sample(3000)
-    right = {}
-    for factors in (1, 8):
-        machine = toxicity.FactorizationMachine(factors=factors, epochs=40, decay=1e-3)
-        machine.select = lambda r, t, m=machine: setattr(m, "feature", {k: k + 1 for k in range(200)})
-        if factors == 1:
-            machine.rate = 0.0  # what is left is the prior
-        machine.fit(rows, y)
-        fresh, want = sample(500)
-        margin, _ = machine.margin(machine.padded([[int(b) + 1 for b in r] for r in fresh]))
-        right[factors] = np.mean((margin > 0) == (want > 0.5))
-    assert right[8] > 0.95 > 0.6 > right[1]
+            texts.append(" ".join([text_of(rng, "abcdefg", 12), *["insult"] * one, *["groupname"] * other]))
+            y.append(int(one != other))
+        return texts, y
+
+    texts, y = sample(1500)
+    fresh, want = sample(300)
+    labels = spark.createDataFrame([(i, t, None, "x") for i, t in enumerate(y)], LABELS)
+    machine = toxicity.fit(make_docs(texts), labels, F.lit(True))
+    assert np.mean((machine.score(fresh) >= 0.5) == np.array(want, bool)) > 0.95
+    additive = toxicity.FactorizationMachine(factors=1, spread=0.0)  # factors that begin at 0 stay 0: weights only
+    additive.choose(sorted(machine.feature))
+    additive.fit([np.intersect1d(toxicity.term_buckets(t), sorted(machine.feature)).astype(np.int32) for t in texts], np.array(y, float))
+    assert not additive.v.any() and np.mean((additive.score(fresh) >= 0.5) == np.array(want, bool)) < 0.65
+
+
+def test_selection_counts(spark):
+    """Chi-squares of single terms against plain counting, and no pairs where there are none."""
+    rng = np.random.default_rng(9)
+    rows, y = [], []
+    for i in range(600):
+        held = {int(k) for k in rng.choice(60, 8, replace=False)} | ({100} if i % 3 == 0 and rng.random() < 0.8 else set())
+        rows.append(np.array(sorted(held), np.int32))
+        y.append(float(i % 3 == 0))
+    frame = spark.createDataFrame([(t, r.tobytes()) for t, r in zip(y, rows, strict=True)], "y double, terms binary").repartition(3)
+    got = toxicity.select(frame)
+    y = np.array(y)
+
+    def plain(k):
+        has = np.array([k in r for r in rows])
+        table = np.array([[np.sum(has & (y == t)), np.sum(~has & (y == t))] for t in (0, 1)], float)
+        want = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
+        return ((table - want) ** 2 / want).sum()
+
+    assert got == sorted((k for k in [*range(60), 100] if plain(k) >= toxicity.MIN_CHI2), key=plain, reverse=True) and got[0] == 100
+
+
+def test_toxicity_of_odd_rows(spark, make_docs, odd):
+    """Repeated rows, clashing names, a very long text: one score a row, equal texts equal scores."""
+    texts = [*odd, "slurword " * 300_000, "slurword", None, "slurword"]
+    rows = [(i % 7, t, 0.5, 1, "k", "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int, k0 string, t string")
+    train = make_docs([("fine words here" if i % 2 else "slurword here") for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), None, "x") for i in range(60)], LABELS)
+    machine = toxicity.fit(train, labels, F.lit(True))
+    got = toxicity.score(docs, machine, [F.col("k0"), F.col("predicted")]).collect()
+    assert len(got) == len(texts) and got[-1].score == got[-3].score >= 0.5 and got[-4].predicted == 1
+    assert all(r.k0 == "k" and r.k1 == 1 for r in got)
 
 
 def test_toxicity_end_to_end(spark, make_docs, odd):
