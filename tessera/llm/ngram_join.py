@@ -17,10 +17,12 @@ are built per block, and blocks are chosen so that no link is lost:
    at most ``CHUNK`` nodes; each chunk's tree yields verified links, and only those that join two
    components are kept. Chunks' representatives meet again until a pass finds nothing.
 4. Second pass, exact: in the global order by frequency, two linked nodes share one of their first
-   n - ceil(t n) + 1 tokens. Tokens with the same holders are one. For every such token whose holders lie
-   in more than one component, a tree over its holders yields the pairs of different components that the
+   n - ceil(t n) + 1 tokens, and the smaller one has it among its first n - ceil(2 t n / (1 + t)) + 1. Tokens
+   with the same holders are one. For every such token whose holders lie in more than one component, a tree
+   over the holders that have it in the shorter prefix yields the pairs of different components that the
    bound admits, all of which are verified. The holders of a token with many are dealt out by bands of
-   their sets' sizes, as only sets of the same or of neighbouring bands can link, and as pairs of chunks.
+   their sets' sizes, as only sets of the same or of neighbouring bands can link, and as pairs of chunks;
+   the members of its largest component meet only those of others.
 
 Links within a component found earlier change nothing, so the components are those of all links.
 """
@@ -198,16 +200,13 @@ def shingle_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFra
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, s1 long, s2 long, n long, tokens binary")
 
 
-def _runs(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal neighbours begin."""
-    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
-
-
 def _token_blocks(sets: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Each set's smallest hashes dealt by hash, one row a part and batch: tokens, and runs (s1, s2, length, need).
+    """Each set's smallest hashes dealt by hash, one row a part and batch: tokens, and the set of each.
 
-    A part below 0 has, per set, how many of its tokens another set of the same batch has. Those tokens go on
-    once a batch, as a run of the set ``SHARED``, whose tokens count as shared wherever they are.
+    Sets go by the first 64 bits of their signatures here: two linked sets that agree in these would have to
+    have no other partner to be lost. A part below 0 has, per set, how many shared tokens it needs, and how many
+    another set of the same batch has. Those tokens go on once a batch, as the set ``SHARED``'s, and count as
+    shared wherever they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,86 +216,74 @@ def _token_blocks(sets: DataFrame, parts: int, percent: int) -> DataFrame:
                 yield deal(batch.slice(lo, 2000))
 
     def deal(part: pa.RecordBatch) -> pa.RecordBatch:
-        id1, id2 = (np.array(part.column(k).to_pylist(), np.int64) for k in (0, 1))
+        ids, once = np.unique(np.array(part.column(0).to_pylist(), np.int64), return_index=True)  # copies within the batch are one
+        raws = column(part, 1)
         heads, needs = [], []
-        for raw in column(part, 2):
-            t = np.frombuffer(raw, np.uint64)
+        for k in once:
+            t = np.frombuffer(raws[k], np.uint64)
             heads.append(t[: prefix_size(len(t), percent)])
             needs.append(prefix_need(len(t), percent))
-        need = np.array(needs, np.int32)
-        # copies of a set within the batch are one
-        order = np.lexsort((id2, id1))
-        fresh = np.r_[True, (id1[order][1:] != id1[order][:-1]) | (id2[order][1:] != id2[order][:-1])][: len(order)]
-        once = np.sort(order[fresh])
-        owner = np.repeat(once, [len(heads[k]) for k in once])
-        tokens = np.concatenate([np.zeros(0, np.uint64), *(heads[k] for k in once)])
+        owner = np.repeat(np.arange(len(ids)), [len(h) for h in heads])
+        tokens = np.concatenate([np.zeros(0, np.uint64), *heads])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        start = _runs(tokens)
-        several = np.repeat(np.diff(np.r_[start, len(tokens)]) > 1, np.diff(np.r_[start, len(tokens)]))
-        local = np.bincount(owner[several], minlength=len(id1))
-        first = np.zeros(len(tokens), bool)
-        first[start] = True
+        first = np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)]
+        several = ~first
+        several[:-1] |= ~first[1:]
+        local = np.bincount(owner[several], minlength=len(ids))
         kept = first | ~several
-        owner = np.where(several, -1, owner)[kept]
+        owners = np.where(several, SHARED, ids[owner])[kept]
         tokens = tokens[kept]
-        id1, id2, need = np.append(id1, SHARED), np.append(id2, SHARED), np.append(need, np.int32(0))
         to = ((tokens >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((owner, to))
-        to, owner, short = to[order], owner[order], (tokens[order] >> np.uint64(24)).astype(np.uint32)
-        at = np.flatnonzero(local)
-        keys, cols = [-1 - int(id1[0]) % parts], [[x] for x in (b"", id1[at].tobytes(), id2[at].tobytes(), local[at].astype(np.uint32).tobytes(), need[at].tobytes())]
-        for lo, hi in pairwise([*_runs(to).tolist(), len(to)]):
-            own = owner[lo:hi]
-            begin = _runs(own)
+        order = np.argsort(to, kind="stable")
+        to, owners, short = to[order], owners[order], (tokens[order] >> np.uint64(24)).astype(np.uint32)
+        keys = [-1 - int(ids[0]) % parts]
+        cols = [[np.array(needs, np.uint32).tobytes() + local.astype(np.uint32).tobytes()], [ids.tobytes()]]
+        edges = [*np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)]).tolist(), len(to)]
+        for lo, hi in pairwise(edges):
             keys.append(int(to[lo]))
-            runs = (short[lo:hi], id1[own[begin]], id2[own[begin]], np.diff(np.r_[begin, len(own)]).astype(np.uint32), need[own[begin]])
-            for c, x in zip(cols, runs, strict=True):
-                c.append(x.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "tokens", "s1", "s2", "lengths", "needs"])
-
-    return sets.select("s1", "s2", "tokens").mapInArrow(run, "part int, tokens binary, s1 binary, s2 binary, lengths binary, needs binary")
+            cols[0].append(short[lo:hi].tobytes())
+            cols[1].append(owners[lo:hi].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "tokens", "owners"])
 
-
-_ARRAYS = {"tokens": np.uint32, "s1": np.int64, "s2": np.int64, "lengths": np.uint32, "needs": np.int32}
+    return sets.select("s1", "tokens").mapInArrow(run, "part int, tokens binary, owners binary")
 
 
 def _shared_counts(block: pd.DataFrame) -> pd.DataFrame:
-    """(s1, s2, need, shared, near): of a part's entries those whose token a different set has too, counted per set.
+    """(s1, need, shared, near): of a part's entries those whose token a different set has too, counted per set.
 
     Tokens are compared by 32 of their bits: a chance agreement counts as shared, which only keeps a set.
     """
-    tokens, s1, s2, lengths, needs = (np.concatenate([np.frombuffer(b, t) for b in block[c]]) for c, t in _ARRAYS.items())
+    zero = np.zeros
     if block["part"].iat[0] < 0:
-        return pd.DataFrame({"s1": s1, "s2": s2, "need": needs, "shared": np.zeros(len(s1), np.int64), "near": lengths.astype(np.int64)})
-    order = np.lexsort((s2, s1))
-    new = np.r_[True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])][: len(order)]
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    names = order[new]
+        ids = [np.frombuffer(b, np.int64) for b in block["owners"]]
+        both = [np.frombuffer(b, np.uint32).astype(np.int64).reshape(2, -1) for b in block["tokens"]]
+        ids, both = np.concatenate(ids), np.concatenate(both, axis=1)
+        return pd.DataFrame({"s1": ids, "need": both[0], "shared": zero(len(ids), np.int64), "near": both[1]})
+    tokens = np.concatenate([np.frombuffer(b, np.uint32) for b in block["tokens"]])
+    names, number = np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in block["owners"]]), return_inverse=True)
     # token and set in one number: the same set may come from several batches, and counts once
-    pair = np.unique((tokens.astype(np.uint64) << np.uint64(32)) | np.repeat(number, lengths).astype(np.uint64))
+    pair = np.unique((tokens.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64))
     token, owner = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    everywhere = (s1[names] == SHARED) & (s2[names] == SHARED)
-    start = _runs(token)
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
     size = np.diff(np.r_[start, len(token)])
-    known = np.maximum.reduceat(everywhere[owner], start) if len(start) else np.zeros(0, bool)
-    shared = np.repeat((size > 1) | known, size)
-    count = np.bincount(owner[shared], minlength=len(names))
-    at = np.flatnonzero((count > 0) & ~everywhere)
-    return pd.DataFrame({"s1": s1[names[at]], "s2": s2[names[at]], "need": needs[names[at]], "shared": count[at], "near": np.zeros(len(at), np.int64)})
+    known = np.maximum.reduceat(names[owner] == SHARED, start) if len(start) else zero(0, bool)
+    count = np.bincount(owner[np.repeat((size > 1) | known, size)], minlength=len(names))
+    at = np.flatnonzero((count > 0) & (names != SHARED))
+    return pd.DataFrame({"s1": names[at], "need": zero(len(at), np.int64), "shared": count[at], "near": zero(len(at), np.int64)})
 
 
 def survivors(sets: DataFrame, percent: int, most_broadcast: int = 2_000_000) -> DataFrame:
     """(node, s1, s2, n, tokens) of the sets that step 2 doesn't rule out, each once and numbered."""
     total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = int(max(16, total // 1_000_000 + 1))
-    counts = _token_blocks(sets, parts, percent).groupBy("part").applyInPandas(_shared_counts, "s1 long, s2 long, need int, shared long, near long")
+    # few entries of a set share a part at any size, so that what is counted grows as the input does
+    parts = int(min(2**31 - 1, max(256, total // 250_000)))
+    counts = _token_blocks(sets, parts, percent).groupBy("part").applyInPandas(_shared_counts, "s1 long, need long, shared long, near long")
     # a copy in another batch may have found other tokens shared there, so the largest local count is what counts
-    sums = counts.groupBy("s1", "s2").agg(F.sum("shared").alias("shared"), F.max("near").alias("near"), F.max("need").alias("need"))
-    ids = materialise(sums.where("shared + near >= need").select("s1", "s2"), "join-alive-ids", few=True)
-    few = ids.count() <= most_broadcast  # 16 bytes each; beyond that a shuffled join
-    rows = sets.join(F.broadcast(ids) if few else ids, ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
+    sums = counts.groupBy("s1").agg(F.sum("shared").alias("shared"), F.max("near").alias("near"), F.max("need").alias("need"))
+    ids = materialise(sums.where("shared + near >= need").select("s1"), "join-alive-ids", few=True)
+    few = ids.count() <= most_broadcast  # 8 bytes each; beyond that a shuffled join
+    rows = sets.join(F.broadcast(ids) if few else ids, "s1", "left_semi").dropDuplicates(["s1", "s2"])
     nodes = materialise(rows.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "tokens"), "join-nodes")
     discard(ids)
     return nodes
@@ -379,20 +366,20 @@ def _unpack(point: bytes) -> np.ndarray:
 
 def _block_pairs(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components in each block, or between two chunks of it, that the bound admits."""
+        """Pairs of different components, a left and a right one, in each block that the bound admits."""
         hold("join")
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        columns, blocks = _blocks_in(group, "token", "band", "c1", "c2")
+        columns, blocks = _blocks_in(group, "token", "band", "hot", "c1", "c2")
         for at in blocks:
-            nodes, left, right, low, roots = (columns[c][at] for c in ("node", "left", "right", "low", "root"))
-            trees = np.flatnonzero(right)
-            if not len(trees) or not left.any():
+            nodes, right, roots = (columns[c][at] for c in ("node", "right", "root"))
+            trees, left = np.flatnonzero(right), np.flatnonzero(~right)
+            if not len(trees) or not len(left):
                 continue
             points = np.array([_unpack(p) for p in columns["point"][at]])
             tree = CountTree(points[trees], percent)
-            for i in np.flatnonzero(left):
+            for i in left:
                 near = trees[tree.query(points[i])]
-                near = near[(roots[near] != roots[i]) & (nodes[near] != nodes[i]) & (low[near] | low[i])]
+                near = near[roots[near] != roots[i]]
                 if len(near):
                     a.append(np.minimum(nodes[near], nodes[i]))
                     b.append(np.maximum(nodes[near], nodes[i]))
@@ -401,46 +388,65 @@ def _block_pairs(percent: int):
     return run
 
 
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, band, hot, c1, c2, node, root, right) from rows (token, holders, node, n, root, indexed): who meets whom.
+
+    In a block every left row meets every right one. Right are the rows in whose shorter prefix the token is
+    (``indexed``): of two linked sets the smaller one has their first common token there. Of a token with more
+    than ``CHUNK`` holders the right rows of its most frequent component are ``hot`` and meet only those of other
+    components; right rows are in the band of their own size, left ones in it and the one below. Both sides are
+    cut into chunks.
+    """
+    fixed = ["token", "node", "root"]
+    small = rows.where(F.col("holders") <= CHUNK)
+    none = [F.lit(-1).alias("band"), F.lit(False).alias("hot"), F.lit(0).alias("c1"), F.lit(0).alias("c2")]
+    small = small.select(*fixed, *none, F.lit(False).alias("right")).unionByName(small.where("indexed").select(*fixed, *none, F.lit(True).alias("right")))
+    large = rows.where(F.col("holders") > CHUNK)
+    most = large.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent * 1.005 + 1e-9))).cast("int")
+    large = large.join(most, "token").withColumn("own", band).withColumn("is_most", F.col("root") == F.col("most"))
+    right = large.where("indexed").select(*fixed, F.col("own").alias("band"), F.col("is_most").alias("hot"), F.lit(True).alias("right"))
+    left = large.select(*fixed, F.explode(F.array("own", F.col("own") - 1)).alias("band"), "is_most")
+    left = left.select(*fixed, "band", F.explode(F.when(F.col("is_most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("hot"), F.lit(False).alias("right"))
+    members = left.unionByName(right)
+    is_right = F.col("right").cast("long")
+    sizes = members.groupBy("token", "band", "hot").agg(F.sum(1 - is_right).alias("lefts"), F.sum(is_right).alias("rights"))
+    sizes = materialise(sizes.where("lefts > 0 and rights > 0"), "join-bands", few=True)
+    cut = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    members = members.join(sizes, ["token", "band", "hot"]).withColumn("l", cut("lefts", 8 * CHUNK)).withColumn("r", cut("rights", 2 * CHUNK))
+    h = F.xxhash64("node")
+    members = members.withColumn("mine", F.when(F.col("right"), F.pmod(h, F.col("r"))).otherwise(F.pmod(h, F.col("l"))).cast("int"))
+    # a row goes to the blocks of its chunk with each chunk of the other side
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("right"), F.col("l")).otherwise(F.col("r")) - 1)))
+    chunk = lambda of_left: F.when(F.col("right") != F.lit(of_left), F.col("mine")).otherwise(F.col("other"))
+    large = members.select(*fixed, "band", "hot", chunk(True).alias("c1"), chunk(False).alias("c2"), "right")
+    blocks = materialise(small.unionByName(large), "join-blocks")
+    discard(sizes)
+    return blocks
+
+
 def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """All links between different components of ``roots``, from rows (token, node, n)."""
+    """All links between different components of ``roots``, from rows (token, node, n, indexed)."""
     rows = _rooted(prefixes, roots)
     held = rows.groupBy("token").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("holders"),
-        F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2"),
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("holders"), F.max("indexed").alias("any_indexed"),
+        F.bit_xor(F.xxhash64("node", "indexed")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node", "indexed")).alias("x2"),
     )
     # of tokens with the same holders (by 128 bits of their hashes) one is looked at
-    mixed = held.where("lo < hi").groupBy("holders", "x1", "x2").agg(F.min("token").alias("token"))
+    mixed = held.where("lo < hi and any_indexed").groupBy("holders", "x1", "x2").agg(F.min("token").alias("token"))
     mixed = materialise(mixed.select("token", "holders"), "join-mixed", few=True)
-    rows = rows.join(mixed, "token")
-    # only sizes n <= m <= n * 100 / percent can link: the same band of sizes or the next
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent * 1.005 + 1e-9))).cast("int")
-    many = F.col("holders") > CHUNK
-    rows = rows.withColumn("own", F.when(many, band).otherwise(F.lit(-1)))
-    rows = rows.select("token", "node", "root", "holders", "own", F.explode(F.when(many, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))).alias("band"))
-    rows = rows.withColumn("low", F.col("own") == F.col("band"))
-    sizes = rows.where(F.col("holders") > CHUNK).groupBy("token", "band").agg(F.count(F.lit(1)).alias("size"), F.max("low").alias("any_low"))
-    sizes = materialise(sizes.where("any_low and size > 1").select("token", "band", "size"), "join-bands", few=True)
-    small = rows.where(F.col("holders") <= CHUNK).withColumn("chunks", F.lit(1))
-    large = rows.join(sizes, ["token", "band"]).withColumn("chunks", F.ceil(F.col("size") / (2 * CHUNK)).cast("int")).drop("size")
-    rows = small.unionByName(large).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # each pair of chunks is one block: a node goes to the pairs that its chunk is in
-    rows = rows.select("token", "band", "low", "node", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    rows = rows.select(
-        "token", "band", "low", "node", "root", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"),
-        (F.col("chunk") <= F.col("other")).alias("left"), (F.col("chunk") >= F.col("other")).alias("right"),
-    )
-    rows = materialise(rows, "join-blocks")
-    buckets = max(64, rows.count() // 1000)
+    blocks = _blocks(rows.join(mixed, "token"), percent)
+    buckets = max(64, blocks.count() // 1000)
 
     @F.pandas_udf("binary")
     def point(tokens: pd.Series) -> pd.Series:
         return tokens.map(lambda t: _pack(group_counts(np.frombuffer(t, np.uint64))))
 
-    points = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", point("tokens").alias("point"))
+    points = nodes.join(blocks.select("node").distinct(), "node", "left_semi").select("node", point("tokens").alias("point"))
     # small blocks share a call, about 1000 rows a group
-    dealt = rows.join(points, "node").withColumn("bucket", F.pmod(F.xxhash64("token", "band", "c1", "c2"), F.lit(buckets)))
+    dealt = blocks.join(points, "node").withColumn("bucket", F.pmod(F.xxhash64("token", "band", "hot", "c1", "c2"), F.lit(buckets)))
     pairs = materialise(dealt.groupBy("bucket").applyInPandas(_block_pairs(percent), "a long, b long").distinct(), "join-pairs", few=True)
-    for done in (mixed, sizes, rows):
+    for done in (mixed, blocks):
         discard(done)
 
     @F.pandas_udf("boolean")
@@ -476,18 +482,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str
     each = nodes.select("node", "n", F.explode(numbers("tokens")).alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = each.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    # overlaps that a set needs with any other, and with one that is no smaller
+    need, need_larger = F.ceil(F.col("n") * percent / 100).cast("int"), F.ceil(F.col("n") * 2 * percent / (100 + percent)).cast("int")
     ready = materialise(
         shared.where(F.size("ts") >= need).select(
             "node", "n", F.array_min("ts.token").alias("k1"), F.array_max("ts.token").alias("k2"),
             # of the first n - need + 1 tokens by (df, token), those with df 1 come first and are in one set only
-            F.slice("ts.token", 1, F.greatest(F.lit(1), F.size("ts") - need + 1)).alias("prefix"),
+            F.slice("ts.token", 1, F.greatest(F.lit(1), F.size("ts") - need + 1)).alias("prefix"), (F.size("ts") - need_larger + 1).alias("shorter"),
         ),
         "join-prefixes",
     )
     keyed = ready.select("node", F.explode(F.array_distinct(F.array("k1", "k2"))).alias("key"))
     links, roots = first_pass(keyed, nodes, percent)
-    rest = second_pass(ready.select("node", "n", F.explode("prefix").alias("token")), nodes, roots, percent)
+    prefixes = ready.select("node", "n", "shorter", F.posexplode("prefix").alias("at", "token"))
+    rest = second_pass(prefixes.select("token", "node", "n", (F.col("at") < F.col("shorter")).alias("indexed")), nodes, roots, percent)
     discard(ready)
     if roots is not None:
         discard(roots)

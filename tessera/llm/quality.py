@@ -179,8 +179,8 @@ def _term_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     parts = rows.select("half", "y", "t").mapInArrow(run, "g int, k int, n long")
     counts = np.zeros((4, TERMS + 1), np.int64)
-    for r in parts.groupBy("g", "k").agg(F.sum("n").alias("n")).collect():  # at most 4 rows a bucket
-        counts[r["g"], r["k"]] = r["n"]
+    found = parts.groupBy("g", "k").agg(F.sum("n").alias("n")).toArrow()  # at most 4 rows a bucket
+    counts[found["g"].to_numpy(), found["k"].to_numpy()] = found["n"].to_numpy()
     return counts[:, :TERMS], counts[:, TERMS]
 
 

@@ -181,8 +181,8 @@ def select(rows: DataFrame) -> list[int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0].ravel()[at]), pa.array(both[1].ravel()[at])], names=["at", "n", "a"])
 
     pairs = np.zeros((2, len(often) ** 2))
-    for r in rows.mapInArrow(together, "at long, n long, a long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).collect():  # at most PAIR_TERMS squared
-        pairs[:, r["at"]] = r["n"], r["a"]
+    found = rows.mapInArrow(together, "at long, n long, a long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).toArrow()  # at most PAIR_TERMS squared
+    pairs[:, found["at"].to_numpy()] = found["n"].to_numpy(), found["a"].to_numpy()
     return alone + [int(k) for k in often[paired(*pairs.reshape(2, len(often), len(often)), positive, n)] if int(k) not in set(alone)]
 
 

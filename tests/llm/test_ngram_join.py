@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join
 from tessera.llm.components import components
@@ -107,3 +108,59 @@ def test_components(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (300, 301), (302, 301)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 300: 300, 301: 300, 302: 300}
+
+
+def test_frequent_tokens_in_all_prefixes(make_docs, monkeypatch):
+    """Documents put together from few common passages: every token is frequent, hardly any pair is linked."""
+    from itertools import combinations
+
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    rng = random.Random(11)
+    passages = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(9)]
+    texts = [" ".join(passages[k] for k in some) for some in combinations(range(9), 4)]
+    base = " ".join(passages[:5])
+    texts += [base] * 3 + [" ".join(edited(rng, base.split(), 0.02)) for _ in range(40)]
+    texts += [" ".join(edited(rng, t.split(), 0.01)) for t in texts[:30]]
+    rows = [(5 * i % 997, t) for i, t in enumerate(texts)]
+    got = near_duplicates(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_a_token_of_thousands_of_unlinked_documents(make_docs, monkeypatch):
+    """5,000 documents with one passage and words of their own; survivors joined by a shuffle."""
+    seen = []
+    real = ngram_join.survivors
+    monkeypatch.setattr(ngram_join, "survivors", lambda sets, percent: seen.append(1) or real(sets, percent, most_broadcast=0))
+    passage = " ".join(f"common{i}" for i in range(30))
+    texts = [f"{passage} " + " ".join(f"own{k}y{i}" for i in range(9)) for k in range(5000)]
+    texts += [texts[7], texts[7] + " tail", texts[4000]]
+    want = {i: i for i in range(5000)} | {5000: 7, 5001: 7, 5002: 4000}
+    got = near_duplicates(make_docs(texts)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and seen
+    assert {r.n_shingles for r in got} == {35, 36}
+
+
+def test_odd_rows(spark):
+    """Null ids, repeated rows, clashing names and a very long text."""
+    long = " ".join(f"v{i}" for i in range(200_000))
+    rows = [(None, "a b c d e f g", 1), (1, "a b c d e f g", 1), (1, "a b c d e f g", 1), (2, None, 1), (3, long, 1), (4, long + " end", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, token int").withColumns({"node": F.lit(1), "id": F.lit("x"), "n": F.lit(2), "component_id": F.lit(3)})
+    got = sorted(tuple(r) for r in near_duplicates(docs).na.fill(-1).collect())
+    assert got == [(-1, 3, 1), (1, 3, 1), (1, 3, 1), (2, 0, 2), (3, 199_996, 3), (4, 199_997, 3)]
+
+
+def test_smaller_set_has_the_first_common_token_early():
+    """The shorter prefix of step 4 loses nothing."""
+    rng = random.Random(6)
+    for _ in range(500):
+        n = rng.randrange(1, 80)
+        a = set(rng.sample(range(300), n))
+        b = set(a) - set(rng.sample(sorted(a), rng.randrange(0, n // 4 + 1))) | set(rng.sample(range(300, 600), rng.randrange(0, n // 4 + 1)))
+        if not b or 100 * len(a & b) < 75 * len(a | b):
+            continue
+        small, large = sorted((a, b), key=len)
+        order = rng.sample(range(600), 600)
+        place = lambda s: sorted(s, key=order.__getitem__)
+        first = next(t for t in place(large) if t in small)
+        assert place(large).index(first) < len(large) - -(-75 * len(large) // 100) + 1
+        assert place(small).index(first) < len(small) - -(-150 * len(small) // 175) + 1
