@@ -44,12 +44,12 @@ STRIDE = 16
 MAX_PART = 64
 SHARD_BYTES = 4 << 20  # of passages in one index
 TERM_BLOCK = 2048
-MEMO_WORDS = 150_000
 MIN_COSINE = 0.35
 MIN_COVERAGE = 0.38
 MIN_LCS = 0.75
 MIN_PARAPHRASE = 0.5
 MIN_ANSWER = 0.9
+ASCII_MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "_")
 TRIM = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -57,9 +57,12 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def trim(word: str) -> str:
-    """A word without marks around it."""
-    return word if word.isalnum() else TRIM.sub("", word)
+def trimmed(words: list[str]) -> list[str]:
+    """Words without marks around them; marks alone aren't words."""
+    found = [t for w in words if (t := w.strip(ASCII_MARKS))]
+    if all(map(str.isascii, found)):
+        return found
+    return [t for w in found if (t := w if w.isascii() or w.isalnum() else TRIM.sub("", w))]
 
 
 def common_subsequence(short: list[int], long: list[int]) -> int:
@@ -160,11 +163,11 @@ def passages(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in slices(batches):
             row, words, answer, size = [], [], [], []
             for i, text in enumerate(column(batch, 1)):
-                found = [w for w in map(trim, words_of(text)) if w]
+                found = trimmed(words_of(text))
                 if found:
                     last = [s for s in re.split(r"(?<=[.!?])\s+|\n", text.strip()) if s.strip()][-1:]
                     row.append(i), words.append(found), size.append(len(text))
-                    answer.append(sum(1 for s in last for w in map(trim, words_of(s)) if w))
+                    answer.append(sum(len(trimmed(words_of(s))) for s in last))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row, pa.int32())), pa.array(words, pa.list_(pa.string())), pa.array(answer, pa.int64()), pa.array(size, pa.int64())],
                 names=["id", "words", "answer", "size"],
@@ -213,34 +216,24 @@ class Searcher:
         # how far a window must reach along each part's direction to hold enough of it
         whole = [self.weighted[w].sum(0) for w in index.parts]
         self.least_along = MIN_COVERAGE * np.array([v @ r for v, r in zip(whole, index.rows, strict=True)], np.float32)
-        self.memo: dict[str, int] = {}
 
     def numbers(self, text: str) -> np.ndarray:
-        """Term numbers of a text's words, -1 for words of no passage; marks alone aren't words."""
-        memo, words = self.memo, words_of(text)
-        try:
-            got = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
-        except KeyError:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            get = self.index.terms.get
-            for w in set(words):
-                if w not in memo:
-                    t = trim(w)
-                    memo[w] = get(t, -1) if t else -2
-            got = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
-        return got[got != -2]
+        """Term numbers of a text's words, -1 for words of no passage."""
+        get = self.index.terms.get
+        return np.array([get(w, -1) for w in trimmed(words_of(text))], np.int32)
 
     def possible(self, ids: np.ndarray) -> np.ndarray:
         """Passages of which the document has enough distinctive words for any common subsequence asked for."""
         index = self.index
-        rare = np.unique(ids[self.is_distinctive[ids]])
-        lo, hi = index.first[rare], index.first[rare + 1]
+        seen = np.zeros(len(self.is_distinctive), bool)
+        seen[ids] = True
+        rare = np.flatnonzero(seen & self.is_distinctive)
+        lo, size = index.first[rare], index.first[rare + 1] - index.first[rare]
         if not len(rare):
             return index.always
-        held = np.concatenate([index.holders[a:b] for a, b in zip(lo, hi, strict=True)])
-        item, hits = np.unique(held, return_counts=True)
-        return np.union1d(item[hits >= index.least[item]], index.always)
+        held = index.holders[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        hits = np.bincount(held, minlength=len(index.items))
+        return np.flatnonzero((hits >= index.least) & ((hits > 0) | (index.least == 0)))
 
     def search(self, text: str) -> list[tuple[object, float, float]]:
         """(passage, cosine, share of the passage in the longest common subsequence) of what the text holds."""
