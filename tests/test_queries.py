@@ -28,7 +28,7 @@ def plain(v):
 
 
 # on the smallest tables these find nothing
-MAY_BE_EMPTY: set[str] = set()
+MAY_BE_EMPTY = {"j5_case_insensitive_join", "j14_residual", "x2_lower"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
