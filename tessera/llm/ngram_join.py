@@ -435,7 +435,8 @@ def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None,
     # of tokens with the same holders (by 128 bits of their hashes) one is looked at
     mixed = held.where("lo < hi and any_indexed").groupBy("holders", "x1", "x2").agg(F.min("token").alias("token"))
     mixed = materialise(mixed.select("token", "holders"), "join-mixed", few=True)
-    blocks = _blocks(rows.join(mixed, "token"), percent)
+    met = materialise(rows.join(mixed, "token"), "join-met")  # read several times
+    blocks = _blocks(met, percent)
     buckets = max(64, blocks.count() // 1000)
 
     @F.pandas_udf("binary")
@@ -446,7 +447,7 @@ def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None,
     # small blocks share a call, about 1000 rows a group
     dealt = blocks.join(points, "node").withColumn("bucket", F.pmod(F.xxhash64("token", "band", "hot", "c1", "c2"), F.lit(buckets)))
     pairs = materialise(dealt.groupBy("bucket").applyInPandas(_block_pairs(percent), "a long, b long").distinct(), "join-pairs", few=True)
-    for done in (mixed, blocks):
+    for done in (mixed, met, blocks):
         discard(done)
 
     @F.pandas_udf("boolean")
