@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -72,10 +73,13 @@ def _(spark, d):
     return load_all(spark, d, "events")["events"].select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("x21_row_ids", "SELECT count(*) AS n, count(*) AS n_ids FROM orders")
+@query("x21_row_ids", "SELECT o_orderkey, CAST(1 AS BIGINT) AS times, true AS rising FROM orders")
 def _(spark, d):
-    ids = load_all(spark, d, "orders")["orders"].select(F.monotonically_increasing_id().alias("id"))
-    return ids.agg(F.count("id").alias("n"), F.countDistinct("id").alias("n_ids"))
+    """Each row's id: how often it occurs, and whether it is above that of the row before it in the row's partition."""
+    rows = load_all(spark, d, "orders")["orders"].select("o_orderkey", F.monotonically_increasing_id().alias("id"), F.spark_partition_id().alias("part"))
+    before = F.lag("id").over(Window.partitionBy("part").orderBy("id"))
+    times = rows.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    return rows.withColumn("rising", F.coalesce(D("id") > before, F.lit(True))).join(times, "id").select("o_orderkey", "times", "rising")
 
 
 @query("x22_weight_texts", "SELECT * FROM (VALUES ('a', 3.0::DOUBLE), ('b', 0.5::DOUBLE)) v(id, weight)")

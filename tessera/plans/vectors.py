@@ -25,16 +25,21 @@ def _(spark, d):
     return e.select(D("id").alias("vec_id"), *[F.round(D("v")[k], 6).alias(f"e{k}") for k in (0, 11, 63)])
 
 
-@query("x9_pad_truncate", f"{_T} SELECT vec_id, list_transform(v[1:12], lambda x: round(x, 6)) AS cut, len(v) + 26 AS padded FROM e")
+_R6 = "lambda x: round(x, 6)"
+
+
+@query("x9_pad_truncate", f"{_T} SELECT vec_id, list_transform(v[1:12], {_R6}) AS cut, list_transform(list_concat(v, list_resize([]::DOUBLE[], 26, 0.0)), {_R6}) AS padded FROM e")
 def _(spark, d):
     e = embeddings(spark, d)
-    return e.select(D("id").alias("vec_id"), F.transform(V.fit_length(D("v"), 12), lambda x: F.round(x, 6)).alias("cut"), F.size(V.fit_length(D("v"), 90)).cast("long").alias("padded"))
+    rounded = lambda size: F.transform(V.fit_length(D("v"), size), lambda x: F.round(x, 6))
+    return e.select(D("id").alias("vec_id"), rounded(12).alias("cut"), rounded(90).alias("padded"))
 
 
-@query("x10_feature_vector", f"{_T} SELECT vec_id, round(label::DOUBLE + list_sum(v), 6) AS total, 2 + 90 AS n FROM e")
+@query("x10_feature_vector", f"{_T} SELECT vec_id, list_transform(list_concat([label::DOUBLE, 0.0], list_concat(v, list_resize([]::DOUBLE[], 26, 0.0))), {_R6}) AS features FROM e")
 def _(spark, d):
+    """A scalar, a missing scalar as 0, and the vector padded."""
     f = V.features([D("label"), F.lit(None).cast("double")], D("v"), 90)
-    return embeddings(spark, d).select(D("id").alias("vec_id"), F.round(V.total(f), 6).alias("total"), F.size(f).alias("n"))
+    return embeddings(spark, d).select(D("id").alias("vec_id"), F.transform(f, lambda x: F.round(x, 6)).alias("features"))
 
 
 @query("x11_norm", f"{_T} SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, CASE WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS unit FROM e")
