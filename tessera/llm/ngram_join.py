@@ -15,7 +15,8 @@ are built per block, and blocks are chosen so that no link is lost:
    shared there and then, and only one entry of each goes on, so that a common token stays small.
 3. First pass: nodes meet in blocks keyed by their smallest and largest shared token, cut into chunks of
    at most ``CHUNK`` nodes; each chunk's tree yields verified links, and only those that join two
-   components are kept. Chunks' representatives meet again until a pass finds nothing.
+   components are kept. Of blocks with several chunks the components' representatives meet again until a
+   round finds nothing.
 4. Second pass, exact: in the global order by frequency, two linked nodes share one of their first
    n - ceil(t n) + 1 tokens, and the smaller one has it among its first n - ceil(2 t n / (1 + t)) + 1. Tokens
    with the same holders are one. For every such token whose holders lie in more than one component, a tree
@@ -338,9 +339,10 @@ def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: in
         rows = _rooted(keyed, roots)
         if roots is not None:  # one node of each component and key goes on
             rows = rows.groupBy("key", "root").agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(round_)), "node")).alias("node"))
-        size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+        size = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "join-sizes", few=True)
         rows = rows.join(size, "key")
-        chunk = F.pmod(F.xxhash64("node", F.lit(100 + round_)), F.ceil(F.col("holders") * 1.25 / CHUNK).cast("long"))
+        chunks = F.ceil(F.col("holders") * 1.25 / CHUNK).cast("long")
+        chunk = F.pmod(F.xxhash64("node", F.lit(100 + round_)), chunks)
         rows = rows.select("key", chunk.alias("chunk"), "node", "root").join(nodes.select("node", "tokens"), "node")
         # small blocks share a call: about 50 a group
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "chunk"), F.lit(buckets)))
@@ -352,6 +354,11 @@ def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: in
         before, roots = roots, components(reduce(DataFrame.unionByName, links))
         if before is not None:
             discard(before)
+        # a block of one chunk has been compared whole; only keys with more chunks meet again
+        open_ = size.where(chunks > 1).select("key")
+        if open_.isEmpty():
+            break
+        keyed = keyed.join(open_, "key", "left_semi")
     return links, roots
 
 

@@ -48,9 +48,10 @@ def combinations(bins: int, depth: int) -> list[tuple[int, ...]]:
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     """Lawson-Hanson: x >= 0 that minimises |a x - b|."""
     x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    gram, right = a.T @ a, a.T @ b
     slack = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
     for _ in range(rounds):
-        gain = a.T @ (b - a @ x)
+        gain = right - gram @ x
         gain[active] = -np.inf
         best = int(np.argmax(gain))
         if gain[best] <= slack:
@@ -58,7 +59,10 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         active[best] = True
         while True:
             at = np.flatnonzero(active)
-            trial = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            try:
+                trial = np.linalg.solve(gram[np.ix_(at, at)], right[at])
+            except np.linalg.LinAlgError:  # columns that depend on each other
+                trial = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
             if (trial > 0).all():
                 x[:] = 0
                 x[at] = trial

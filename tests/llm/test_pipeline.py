@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import pii
 
@@ -89,3 +90,31 @@ def test_repeated_and_null_ids(spark):
     out = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in out) == [(-1, "x y z"), (1, "a b c d e f"), (2, ""), (2, "")]
     assert pii.pseudonymise(docs, "k").count() == 5
+
+
+def test_columns_with_the_names_used_inside(spark, corpus):
+    """Columns called like those that stages add come back as they were."""
+    d, kind, texts = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 40")
+    clash = ["row", "doc", "__row", "__own", "__quality", "__h", "__p", "host", "path", "own", "n", "s", "id", "t", "node", "token", "__finds"]
+    for k, name in enumerate(clash[:-1]):
+        docs = docs.withColumn(name, F.lit(k))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all([r[c] for c in clash[:-1]] == list(range(len(clash) - 1)) for r in rows), name
+
+
+def test_stages_delete_what_earlier_ones_wrote(spark, corpus, tmp_path):
+    """After the last stage only what its result reads is left of the stages' own tables."""
+    from tessera.storage import shared_root
+
+    d, _, _ = corpus
+    root = shared_root(spark).removeprefix("file://")
+    docs, before = spark.read.parquet(f"{d}/documents.parquet"), set(os.listdir(f"{root}/tessera")) if os.path.isdir(f"{root}/tessera") else set()
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, d).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(f"{root}/tessera")) - before}
+    assert left <= {"pack-blocks", "pack-dealt"}
