@@ -14,6 +14,9 @@ from tessera.llm.queries import pseudonym_key, vocabulary
 from tessera.storage import discard, load, materialise, stage_tables
 
 
+MOST_BROADCAST = 2_000_000
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.fit(docs, load(spark, sf_dir, "labels"))
@@ -29,8 +32,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     # as a struct the columns can't clash with the number
     numbered = materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "pipeline-numbered")
     found = ngram_join.near_duplicates(numbered, id_col="row", text_col="doc.text")
-    chosen = found.where(F.col("row") == F.col("component_id")).select("row")
-    return numbered.join(chosen, "row", "left_semi").select("doc.*")
+    gone = materialise(found.where(F.col("row") != F.col("component_id")).select("row"), "pipeline-gone", few=True)
+    few = gone.count() <= MOST_BROADCAST  # 8 bytes each; beyond that texts are shuffled once
+    return numbered.join(F.broadcast(gone) if few else gone, "row", "left_anti").select("doc.*")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
