@@ -16,7 +16,7 @@ are built per block, and blocks are chosen so that no link is lost:
 3. First pass: nodes meet in blocks keyed by their smallest and largest shared token, cut into chunks of
    at most ``CHUNK`` nodes; each chunk's tree yields verified links, and only those that join two
    components are kept. Of blocks with several chunks the components' representatives meet again until a
-   round finds nothing.
+   round finds little.
 4. Second pass, exact: in the global order by frequency, two linked nodes share one of their first
    n - ceil(t n) + 1 tokens, and the smaller one has it among its first n - ceil(2 t n / (1 + t)) + 1. Tokens
    with the same holders are one. For every such token whose holders lie in more than one component, a tree
@@ -333,7 +333,7 @@ def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: int = 8) -> tuple[list[DataFrame], DataFrame | None]:
     """Written links from blocks (key, node), one table a round, and the components they make, None where there is no link."""
-    links, roots = [], None
+    links, roots, total = [], None, 0
     buckets = max(64, keyed.count() // CHUNK)
     for round_ in range(most_rounds):
         rows = _rooted(keyed, roots)
@@ -347,16 +347,18 @@ def first_pass(keyed: DataFrame, nodes: DataFrame, percent: int, most_rounds: in
         # small blocks share a call: about 50 a group
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "chunk"), F.lit(buckets)))
         found = materialise(rows.groupBy("bucket").applyInPandas(_chunk_links(percent), "a long, b long"), "join-links", few=True)
-        if found.isEmpty():
+        new = found.count()
+        if not new:
             discard(found)
             break
         links.append(found)
+        total += new
         before, roots = roots, components(reduce(DataFrame.unionByName, links))
         if before is not None:
             discard(before)
         # a block of one chunk has been compared whole; only keys with more chunks meet again
         open_ = size.where(chunks > 1).select("key")
-        if open_.isEmpty():
+        if new * 20 < total or open_.isEmpty():  # what few links are left the second pass finds
             break
         keyed = keyed.join(open_, "key", "left_semi")
     return links, roots
