@@ -127,7 +127,8 @@ class WordTokens:
         missing = needed.difference(self.chunks)
         if missing:
             if len(self.chunks) + len(missing) > MEMO_ENTRIES:
-                self.chunks, missing = {}, needed
+                # what these texts use stays, the common words among it
+                self.chunks = {c: self.chunks[c] for c in needed.intersection(self.chunks)}
             self._resolve(missing)
         get = self.chunks.__getitem__
         return [w if isinstance(w, bytes) else b"".join(map(get, w)) for w in words]
