@@ -118,6 +118,40 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(load(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm import pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = pieces.encode(load(spark, sf_dir, "documents"), path).withColumn("decoded", pieces.decode(F.col("ids"), path))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import spelling
+
+    # only runs of 7 letters or more can give a word
+    runs = spelling.runs_of_letters(load(spark, sf_dir, "documents").select("doc_id", "text"), "[A-Za-z\u00C0-\u00FF]{7,}")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    runs = runs.withColumn("h", h)
+    word = F.when(F.col("h") % 31 == 0, spelling.without(F.col("run"), (F.col("h") % F.length("run")).cast("int"))).otherwise(F.col("run"))
+    words = runs.select(word.alias("word")).where(F.length("word") >= 7).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return spelling.group_variants(words.where("n >= 2"), ratio=10, least_length=7)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import merkle
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    odd = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    tampered = merkle.leaf(*[F.col(c) for c in fields[:-1]], F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", merkle.leaf(*map(F.col, fields)).alias("leaf"), F.when(odd, tampered).alias("tampered"))
+    out = merkle.manifest(docs, "source", ["doc_id"], "leaf")
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.digest_of_proof(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 _MARKS = ["<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "<|role|>", "<|text|>", "<|end|>"]
 
 
@@ -147,5 +181,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM states GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_ngram_join, op5_decontamination, op6_quality, op7_chat, op8_language, op9_media, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_ngram_join, op5_decontamination, op6_quality, op7_chat, op8_language, op9_media, op10_token_counts, op11_pieces, op12_spelling, op13_merkle)}
 ORACLES = {"op7_chat": OP7_SQL}
