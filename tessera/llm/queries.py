@@ -181,5 +181,103 @@ SELECT conv_id, count(*) AS n_turns,
 FROM states GROUP BY conv_id
 """
 
+# the table of CRC-32 by its rule, and the unsigned CRC-32 of a text's UTF-8
+_CRC_TABLE = (
+    "crc_table AS (SELECT list(list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY b) AS t "
+    "FROM range(256) r(b))"
+)
+
+
+def _crc32_sql(x: str) -> str:
+    byte = f"('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::BIGINT"
+    bytes_ = f"list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({x}))), lambda i: {byte}))"
+    return f"xor(list_reduce({bytes_}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), {_A_TO_Z}) AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, k, {_crc32_sql("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM counted, crc_table),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), spots AS (SELECT word, n, unnest(range(length(word)))::INT AS i FROM words),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS d FROM spots),
+wild AS (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS d FROM spots),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM wild a JOIN wild b ON a.d = b.d AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.d = b.word
+  UNION ALL SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.d = b.word
+), near AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS best, max(n) AS best_n FROM pairs GROUP BY word),
+known AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN near USING (word)
+), path AS (
+  SELECT word, word AS root FROM known UNION ALL SELECT p.word, k.form FROM path p JOIN known k ON p.root = k.word WHERE k.form IS NOT NULL
+), ends AS (SELECT p.word, p.root FROM path p JOIN known k ON p.root = k.word WHERE k.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN ends USING (word)
+"""
+
+
+def _framed_sql(x: str) -> str:
+    return f"coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_framed_sql(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """Nodes (g, level, idx, size, digest) over leaves (g, idx, size, digest)."""
+    return (
+        f"{name} AS (SELECT g, 0 AS level, idx, size, digest FROM {leaves} UNION ALL "
+        "SELECT g, level + 1, idx // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) "
+        f"FROM {name} WHERE size > 1 GROUP BY g, level, idx // 3, size)"
+    )
+
+
+def _steps_sql(name: str, nodes: str) -> str:
+    """(g, leaf, level, before, after): the siblings of each leaf's ancestor on each level below the top."""
+    return (
+        f"{name}_paths AS (SELECT g, idx AS leaf, 0 AS level, idx, size FROM {nodes} WHERE level = 0 UNION ALL "
+        f"SELECT g, leaf, level + 1, idx // 3, (size + 2) // 3 FROM {name}_paths WHERE size > 1), "
+        f"{name} AS (SELECT p.g, p.leaf, p.level, coalesce(string_agg(n.digest, '' ORDER BY n.idx) FILTER (n.idx < p.idx), '') AS before, "
+        "coalesce(string_agg(n.digest, '' ORDER BY n.idx) FILTER (n.idx > p.idx), '') AS after "
+        f"FROM {name}_paths p JOIN {nodes} n ON n.g = p.g AND n.level = p.level AND n.idx // 3 = p.idx // 3 WHERE p.size > 1 GROUP BY ALL)"
+    )
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, rows AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf, CASE WHEN {_crc32_sql("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS tampered
+  FROM documents, crc_table
+), ranked AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS size FROM rows
+), leaves AS (SELECT g, idx, size, leaf AS digest FROM ranked),
+{_levels_sql("low", "leaves")},
+tops AS (SELECT 0 AS g, g AS idx, count(*) OVER () AS size, digest FROM low WHERE size = 1),
+{_levels_sql("high", "tops")},
+{_steps_sql("low_steps", "low")},
+{_steps_sql("high_steps", "high")},
+steps AS (
+  SELECT g, leaf AS idx, level, before, after FROM low_steps
+  UNION ALL SELECT r.g, r.idx, 1000 + level, before, after FROM ranked r JOIN high_steps h ON h.leaf = r.g
+), proofs AS (
+  SELECT r.g, r.idx, coalesce(string_agg(before || after, '' ORDER BY level), '') AS proof, coalesce(list(before ORDER BY level) FILTER (level IS NOT NULL), []) AS befores, coalesce(list(after ORDER BY level) FILTER (level IS NOT NULL), []) AS afters
+  FROM ranked r LEFT JOIN steps s ON s.g = r.g AND s.idx = r.idx GROUP BY r.g, r.idx
+), folds AS (
+  SELECT g, idx, 0 AS k, coalesce(tampered, leaf) AS digest FROM ranked
+  UNION ALL SELECT f.g, f.idx, k + 1, sha256(befores[k + 1] || digest || afters[k + 1]) FROM folds f JOIN proofs p ON p.g = f.g AND p.idx = f.idx WHERE k < len(befores)
+), ends AS (SELECT f.g, f.idx, f.digest AS folded_root FROM folds f JOIN proofs p ON p.g = f.g AND p.idx = f.idx WHERE f.k = len(p.befores)),
+root AS (SELECT digest AS root FROM high WHERE size = 1)
+SELECT r.doc_id, r.leaf, t.digest AS subroot, root.root, sha256(p.proof) AS proof_sha256, e.folded_root, e.folded_root = root.root AS verified
+FROM ranked r JOIN tops t ON t.idx = r.g JOIN proofs p ON p.g = r.g AND p.idx = r.idx JOIN ends e ON e.g = r.g AND e.idx = r.idx, root
+"""
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_ngram_join, op5_decontamination, op6_quality, op7_chat, op8_language, op9_media, op10_token_counts, op11_pieces, op12_spelling, op13_merkle)}
-ORACLES = {"op7_chat": OP7_SQL}
+ORACLES = {"op7_chat": OP7_SQL, "op12_spelling": OP12_SQL, "op13_merkle": OP13_SQL}
