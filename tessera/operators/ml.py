@@ -1,15 +1,18 @@
-"""Regression and classification pipelines, evaluation, and gradient descent variants."""
+"""Regression and classification pipelines and their evaluation; descents are in ``descent``."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.vector import dot
+from tessera.operators.blocks import pack
+from tessera.operators.descent import descend, newton  # noqa: F401
+
 
 def assembled(columns: list[str], standardise: bool = True) -> list:
     steps = [VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip")]
@@ -83,8 +86,19 @@ def accuracy(predicted: DataFrame, label: str = "label") -> DataFrame:
     return predicted.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"))
 
 
-def logistic(df: DataFrame, features: str = "features", label: str = "label"):
-    return LogisticRegression(featuresCol=features, labelCol=label).fit(df)
+def logistic(df: DataFrame, features: str = "features", label: str = "label", ridge: float = 0.0) -> np.ndarray:
+    """Logistic regression weights (intercept last) by Newton steps over an array<double> column; see ``descent.newton``."""
+    packed = pack(df, F.col(features), F.col(label))
+    try:
+        return newton(packed, ridge)
+    finally:
+        packed.discard()
+
+
+def classify_vectors(df: DataFrame, weights: np.ndarray, features: str = "features") -> DataFrame:
+    """Adds prediction: 1.0 where the weighted sum of an array<double> column, and the intercept, is above 0."""
+    w = F.array(*[F.lit(float(x)) for x in weights[:-1]])
+    return df.withColumn("prediction", (dot(F.col(features), w) + F.lit(float(weights[-1])) > 0).cast("double"))
 
 
 def gradient(df: DataFrame, columns: list[str], weights: np.ndarray, label: str = "label") -> tuple[np.ndarray, int]:
@@ -98,54 +112,6 @@ def gradient(df: DataFrame, columns: list[str], weights: np.ndarray, label: str
     return np.array([float(row[i] or 0.0) for i in range(len(columns) + 1)]), row["n"]
 
 
-def descend(
-    df: DataFrame, columns: list[str], method: str = "batch", rate: float = 0.05, rounds: int = 150, label: str = "label", fraction: float = 0.01, seed: int = 42,
-    local_steps: int = 1,
-) -> np.ndarray:
-    """Logistic regression weights (intercept last).
-
-    batch: mean gradient; summed: summed gradient; steepest: a step of unit length; stochastic: a sample of
-    ``fraction`` a round; averaged: each partition descends by itself, then weights are averaged.
-    """
-    w = np.zeros(len(columns) + 1)
-    for k in range(rounds):
-        if method == "averaged":
-            w = _averaged_round(df, columns, w, rate, label, local_steps)
-            continue
-        g, n = gradient(df.sample(fraction, seed + k) if method == "stochastic" else df, columns, w, label)
-        if n == 0:
-            continue
-        if method in ("batch", "stochastic"):
-            g = g / n
-        elif method == "steepest":
-            g = g / max(float(np.linalg.norm(g)), 1e-12)
-        elif method != "summed":
-            raise ValueError(f"unknown method {method!r}")
-        w = w - rate * g
-    return w
-
-
-def _averaged_round(df: DataFrame, columns: list[str], start: np.ndarray, rate: float, label: str, steps: int) -> np.ndarray:
-    def run(batches):
-        import pandas as pd
-
-        w, n = start.copy(), 0
-        for b in batches:
-            x, y = np.column_stack([b[columns].to_numpy(float), np.ones(len(b))]), b[label].to_numpy(float)
-            for _ in range(steps):
-                for lo in range(0, len(y), 64):
-                    p = 1 / (1 + np.exp(-np.clip(x[lo : lo + 64] @ w, -30, 30)))
-                    w = w - rate * x[lo : lo + 64].T @ (p - y[lo : lo + 64]) / max(1, len(y[lo : lo + 64]))
-            n += len(y)
-        if n:
-            yield pd.DataFrame([[float(n), *w]], columns=["n", *[f"w{i}" for i in range(len(w))]])
-
-    names = [f"w{i}" for i in range(len(start))]
-    parts = df.select(*columns, label).mapInPandas(run, ", ".join(f"{c} double" for c in ["n", *names]))
-    row = parts.agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in names]).first()
-    return np.array([row[c] if row[c] is not None else s for c, s in zip(names, start, strict=True)])
-
-
 def classify_with(df: DataFrame, columns: list[str], weights: np.ndarray) -> DataFrame:
     z = F.lit(float(weights[-1]))
     for c, w in zip(columns, weights, strict=False):
