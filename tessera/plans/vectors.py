@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
+from tessera.operators import neighbours as N
 from tessera.operators import recommend as R
 from tessera.plans.registry import load_all, query
 
@@ -125,12 +126,48 @@ def _(spark, d):
     return hnsw.nearest(materialise(hnsw.build_index(e), "hnsw"), e.where("id % 100 = 0"), 10)
 
 
-@query("n2_lsh_nearest")
+def buckets_sql(points: str, tables: int, width: float, seed: int = 42, size: int = 64) -> str:
+    """CTEs: projections (the rule of ``neighbours.projections``) and keyed (id, t, place, bucket, v) of ``points`` (id, v)."""
+    p = 2147483647
+    return (
+        f"numbers AS (SELECT t, i, c, {seed} * 1000003::BIGINT + 2 * (t * {size} + i) + c AS j FROM range({tables}) a(t), range({size}) b(i), range(2) d(c)), "
+        f"one AS (SELECT *, (j * 48271 + 11) % {p} AS x FROM numbers), two AS (SELECT *, (x * x + j) % {p} AS y FROM one), three AS (SELECT *, (y * y + x) % {p} AS z FROM two), "
+        f"uniform AS (SELECT t, i, c, ((z * z + y) % {p} + 0.5::DOUBLE) / {p} AS u FROM three), "
+        "normal AS (SELECT a.t, a.i, sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u) AS x FROM uniform a JOIN uniform b ON a.t = b.t AND a.i = b.i AND a.c = 0 AND b.c = 1), "
+        "projections AS (SELECT t, list(x / n ORDER BY i) AS p FROM normal JOIN (SELECT t, sqrt(sum(x * x)) AS n FROM normal GROUP BY t) USING (t) GROUP BY t), "
+        f"placed AS (SELECT id, t, v, list_dot_product(v, p) / {width} AS place FROM {points}, projections), "
+        "keyed AS (SELECT id, t, v, place, floor(place)::BIGINT AS bucket FROM placed)"
+    )
+
+
+UNIT_SQL = f"{_T}, unit AS (SELECT vec_id AS id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e)"
+_BUCKETS = {"tables": 5, "width": 0.5}
+
+
+@query("n1_bucket_index", f"{UNIT_SQL}, {buckets_sql('unit', **_BUCKETS)} SELECT id, t AS \"table\", bucket FROM keyed")
 def _(spark, d):
-    e = embeddings(spark, d)
-    model, unit = R.lsh_index(e, bucket=0.5, tables=5, seed=42)
-    seed = e.where("id = 0").select(V.normalise(D("v")).alias("v")).first()["v"]
-    return R.lsh_recommend(model, unit, seed, [0], 20)
+    """Each row's bucket in each hash table, from projections that were written and read back."""
+    from tessera.plans.storage_plans import fresh
+
+    path = fresh(spark, "projections")
+    N.projections(spark, 64, _BUCKETS["tables"]).write.parquet(path)
+    e = embeddings(spark, d).select("id", V.normalise(D("v")).alias("v"))
+    return N.buckets(e, spark.read.parquet(path), _BUCKETS["width"]).select("id", "table", "bucket")
+
+
+@query(
+    "n2_lsh_nearest",
+    f"{UNIT_SQL}, {buckets_sql('unit', **_BUCKETS)}, "
+    "probes AS (SELECT id, t, v, unnest([bucket, CASE WHEN place - bucket >= 0.5 THEN bucket + 1 ELSE bucket - 1 END]) AS bucket FROM keyed WHERE id % 100 = 0), "
+    "pairs AS (SELECT DISTINCT q.id AS query, k.id, q.v AS a, k.v AS b FROM probes q JOIN keyed k ON q.t = k.t AND q.bucket = k.bucket AND q.id <> k.id), "
+    "ranked AS (SELECT query, id, list_dot_product(a, b) AS s FROM pairs) "
+    "SELECT query, id, round(s, 5) AS similarity FROM ranked QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, id) <= 10",
+)
+def _(spark, d):
+    """Ten neighbours of every hundredth row, all queries at once, from two buckets a hash table."""
+    e = embeddings(spark, d).select("id", "v")
+    found = N.bucket_nearest(e, e.where("id % 100 = 0"), 10, N.projections(spark, 64, _BUCKETS["tables"]), _BUCKETS["width"], near=2)
+    return found.select("query", "id", F.round("similarity", 5).alias("similarity"))
 
 
 @query(
