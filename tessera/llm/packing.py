@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import column, groups_of, slices, small_batches
-from tessera.llm.tokens import word_tokens
+from tessera.llm.tokens import proven_tokens, word_tokens
 from tessera.storage import local_frame, materialise
 
 ROWS_PER_SALT = 10_000
@@ -103,8 +103,10 @@ def plan(histogram: np.ndarray, depth: int = 3) -> list[tuple[tuple[int, ...], i
 def token_blocks(docs: DataFrame, path: str, window: int, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
     """(key, id, doc_tokens, start, length, ids) for each window of each document; key numbers these rows."""
 
+    whole = proven_tokens(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = word_tokens(path), array("I", [] if end_id is None else [end_id]).tobytes()
+        tokens, end = word_tokens(path, whole.value), array("I", [] if end_id is None else [end_id]).tobytes()
         step = 4 * window
         for batch in slices(batches):
             texts = column(batch, 1)

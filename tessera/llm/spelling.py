@@ -28,6 +28,11 @@ def without(word: Column, at: Column) -> Column:
     return F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))
 
 
+def _key(word: Column) -> Column:
+    """What a word or a group is dealt out by: itself, or its digest where it is long, so that no row is a long key."""
+    return F.when(F.length(word) > 100, F.concat(F.lit("#"), F.sha2(word, 256))).otherwise(word)
+
+
 def runs_of_letters(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a row a match of ``pattern`` in the text: its columns and ``run``, A to Z in lower case."""
     found = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)))
@@ -38,7 +43,7 @@ def _replaced(words: DataFrame) -> DataFrame:
     """(word, others, best): for each group of a word with other members how many these are, and their best."""
     at = F.col("at")
     key = F.concat(F.substring("word", F.lit(1), at), F.lit(WILD), F.substring(F.col("word"), at + 2, F.length("word")))
-    rows = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at")).select(key.alias("key"), "word", "n")
+    rows = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at")).select(_key(key).alias("key"), "word", "n")
     group = Window.partitionBy("key")
     ranked = group.orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct((-F.col("n")).alias("less"), "word")
@@ -52,8 +57,8 @@ def _shifted(words: DataFrame, least_length: int) -> DataFrame:
     # of a run of one letter only the first: the others give the same deletion
     first = (at == 0) | (F.substring(F.col("word"), at + 1, F.lit(1)) != F.substring(F.col("word"), at, F.lit(1)))
     longer = words.where(F.length("word") > least_length).select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at")).where(first)
-    longer = longer.select(without(F.col("word"), at).alias("key"), "word", "n", F.lit(False).alias("own"))
-    rows = longer.unionByName(words.select(F.col("word").alias("key"), "word", "n", F.lit(True).alias("own")))
+    longer = longer.select(_key(without(F.col("word"), at)).alias("key"), "word", "n", F.lit(False).alias("own"))
+    rows = longer.unionByName(words.select(_key(F.col("word")).alias("key"), "word", "n", F.lit(True).alias("own")))
     group = Window.partitionBy("key")
     me = F.struct((-F.col("n")).alias("less"), "word")
     known = rows.select(

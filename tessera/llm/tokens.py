@@ -20,7 +20,8 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import column, groups_of, hold, slices, small_batches
@@ -41,7 +42,8 @@ def _byte_letters() -> dict[str, int]:
 class WordTokens:
     """Ids of texts under a word-level BPE file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: dict[str, bytes] | None = None):
+        """``whole``: the proven whole tokens, where they are known already."""
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -55,7 +57,7 @@ class WordTokens:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.merges = self.library.model.tokenize
         self.letter = {b: c for c, b in _byte_letters().items()}
-        self.whole = self.prove_whole_tokens()
+        self.whole = self.prove_whole_tokens() if whole is None else whole
         self.parts: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -77,28 +79,33 @@ class WordTokens:
 
     def _merge(self, word: str) -> bytes:
         """The library's merges for a pre-token that isn't a whole token, in the byte-level alphabet."""
-        if not (word.isascii() and word.isprintable()):
+        if not word.isascii() or not word.isprintable():
             word = "".join([self.letter[b] for b in word.encode()])
         return array("I", [t.id for t in self.merges(word)]).tobytes()
 
     def _cut(self, chunk: str) -> list[str]:
         """Pre-tokens of a piece without white space; letters alone are one, by the pattern."""
-        if chunk.isalpha():
-            return [chunk]
         if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
         return self.pre_tokens(chunk)
 
     def _resolve(self, missing: set[str]) -> None:
+        """Puts the ids of these pieces into ``chunks``; what punctuation divides is also kept in ``parts``."""
         if len(self.parts) > MEMO_ENTRIES // 2:
             self.parts = {}
-        whole, parts, chunks = self.whole, self.parts, self.chunks
+        whole, parts, chunks, merge = self.whole.get, self.parts, self.chunks, self._merge
+        divided = []
         for chunk in missing:
+            if chunk.isalpha():
+                chunks[chunk] = whole(chunk) or merge(chunk)
+            else:
+                divided.append(chunk)
+        for chunk in divided:
             ids = []
             for word in self._cut(chunk):
-                known = whole.get(word) or parts.get(word)
+                known = whole(word) or chunks.get(word) or parts.get(word)
                 if known is None:
-                    known = parts[word] = self._merge(word)
+                    known = parts[word] = merge(word)
                 ids.append(known)
             chunks[chunk] = ids[0] if len(ids) == 1 else b"".join(ids)
 
@@ -137,11 +144,21 @@ class WordTokens:
 _loaded: dict[str, WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
+_proven: dict[str, dict[str, bytes]] = {}
+
+
+def proven_tokens(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary's whole tokens, proven once on the driver and sent to all workers: less than the vocabulary file."""
+    if path not in _proven:
+        _proven[path] = WordTokens(path).whole
+    return spark.sparkContext.broadcast(_proven[path])
+
+
+def word_tokens(path: str, whole: dict[str, bytes] | None = None) -> WordTokens:
     """One a worker; its tables are let go when another operator starts there."""
     hold("tokens", _loaded.clear)
     if path not in _loaded:
-        _loaded[path] = WordTokens(path)
+        _loaded[path] = WordTokens(path, whole)
     return _loaded[path]
 
 
@@ -152,8 +169,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     other columns are not read.
     """
 
+    whole = proven_tokens(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(path)
+        tokens = word_tokens(path, whole.value)
         for batch in slices(batches):
             texts = column(batch, 1)
             counts = [len(x) // 4 for lo, hi in groups_of(texts) for x in tokens.encode(texts[lo:hi])]
