@@ -6,7 +6,8 @@ own. The language whose automaton needs the fewest phrases for the text's letter
 built from samples of the same bounded length, so the counts compare. Letters of all scripts have their
 own codes; Han, Hangul and the like are spelled as two codes a letter.
 
-The automata are dense tables, and all pieces of a batch walk them in lockstep: one gather per character
+The automata are tables, dense where letters are few and hashed where they are many, so that all of them stay
+below about 100 MB whatever the scripts. All pieces of a batch walk them in lockstep: one gather per character
 position. Texts longer than ``SEGMENT`` letters are walked as several pieces, each at first as if a phrase
 began there. Then each piece is walked again from the state in which the piece before it ends, until that
 walk meets the first one; from there on both are the same. So phrases are those of the whole text.
@@ -71,10 +72,47 @@ def encode(text: str) -> np.ndarray:
     return codes
 
 
+#: Bytes of the transition tables of all languages together, while they are dense.
+TABLE_BYTES = 80 << 20
+
+
+class Sparse:
+    """Transitions as a hash table with linear probing, for automata whose dense table would be large."""
+
+    def __init__(self, step: list[dict], symbols: int):
+        self.symbols = symbols
+        key = np.array([s * symbols + c for s, to in enumerate(step) for c in to], np.int64)
+        to = np.array([t for d in step for t in d.values()], np.int32)
+        self.bits = max(4, int(2 * len(key)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = self.keys[slot[left]] < 0
+            self.keys[slot[left[free]]] = key[left[free]]  # of several for a slot one stays
+            mine = self.keys[slot[left]] == key[left]
+            self.to[slot[left[mine]]] = to[left[mine]]
+            left = left[~mine]
+            slot[left] = (slot[left] + 1) % len(self.keys)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def after(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.symbols + symbols
+        slot = self._slot(key)
+        found = self.keys[slot]
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.keys)
+            found = self.keys[slot[open_]]
+            open_ = open_[(found != key[open_]) & (found >= 0)]
+        return np.where(self.keys[slot] == key, self.to[slot], 0).astype(np.int32)
+
+
 class SuffixAutomaton:
-    """Blumer's automaton of one string, as a dense transition table; state 0 is the start, 0 also 'none'."""
+    """Blumer's automaton of one string; state 0 is the start, 0 also 'none'. ``table`` is dense up to ``most_bytes``, else sparse."""
 
-    def __init__(self, codes: np.ndarray, symbols: int):
+    def __init__(self, codes: np.ndarray, symbols: int, most_bytes: int = TABLE_BYTES):
         link, length, step, last = [-1], [0], [{}], 0
         for c in codes.tolist():
             new = len(step)
@@ -99,6 +137,9 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
+        if 4 * len(step) * symbols > most_bytes:
+            self.table = Sparse(step, symbols)
+            return
         self.table = np.zeros((len(step), symbols), np.int32)
         for s, to in enumerate(step):
             if to:
@@ -122,8 +163,10 @@ class CrossParser:
             own = np.zeros(n + 1, np.uint16)
             own[mine] = np.arange(1, len(mine) + 1)
             self.own.append(own)
-            self.width.append(len(mine) + 1)
-            self.tables.append(SuffixAutomaton(own[sample], len(mine) + 1).table.ravel())
+            table = SuffixAutomaton(own[sample], len(mine) + 1, TABLE_BYTES // len(samples)).table
+            # states are multiples of a dense table's width
+            self.width.append(1 if isinstance(table, Sparse) else len(mine) + 1)
+            self.tables.append(table if isinstance(table, Sparse) else table.ravel())
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of phrases, a row per text and a column per language."""
@@ -154,13 +197,14 @@ class CrossParser:
         """(states after a letter, whether a phrase begins with it); states are multiples of the table's width."""
         own, table, width = self.own[lang], self.tables[lang], self.width[lang]
         c = own[symbols]
-        to = table[state + c]
+        after = table.after if isinstance(table, Sparse) else lambda s, c: table[s + c]
+        to = after(state, c)
         fresh = state == 0
         fresh |= to == 0
         to *= width
         stuck = np.flatnonzero(to == 0)
         if len(stuck):
-            to[stuck] = table[c[stuck]] * width
+            to[stuck] = after(np.zeros(len(stuck), np.int32), c[stuck]) * width
         return to, fresh
 
     def _walk(self, lang: int, grid: np.ndarray, size: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -206,11 +250,13 @@ def fit(
     docs: DataFrame, eligible, rows_per_language: int = 300, letters_per_language: int = 40_000, letters_in_all: int = 800_000,
     lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
 ) -> CrossParser | None:
-    """Learn from rows where ``eligible`` holds and text and language aren't null; their texts are learned whole.
+    """Learn from rows where ``eligible`` holds and text and language aren't null.
 
     Bounds: per language at most ``rows_per_language`` rows and ``letters_per_language`` characters, or fewer
     where languages are so many that ``letters_in_all`` would be passed. Rows whose texts are short enough for
-    many to fit come first, by hash of the id, longer ones by length; a language has one row at least.
+    many to fit come first, by hash of the id, longer ones by length, so a language with many short rows learns
+    from these alone. Texts are learned whole, but for a language whose first row is longer than its bound: it
+    learns that row's first ``letters_per_language`` characters. No more than these goes to the driver.
     """
     rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     languages = rows.select(lang_col).distinct().count()
@@ -233,7 +279,7 @@ def fit(
     # a broadcast of rows_per_language ids a language at most
     whole = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     same = (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")) & (F.length("t") == F.col("__n"))
-    found = whole.join(F.broadcast(picked.distinct()), same, "left_semi").distinct().collect()
+    found = whole.join(F.broadcast(picked.distinct()), same, "left_semi").select("id", "lang", F.substring("t", 1, most).alias("t")).distinct().collect()
     samples: dict[str, list[np.ndarray]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["id"], r["t"])):
         samples.setdefault(r["lang"], []).append(np.append(encode(r["t"]), np.uint16(0)))

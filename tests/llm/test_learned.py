@@ -428,3 +428,33 @@ def test_recall_by_length(spark, make_docs, length):
 def test_empty_benchmark(spark, make_docs):
     index = decontam.build_index(spark.createDataFrame([], "item_id long, text string"))
     assert decontam.find_contamination(make_docs(["a b c"]), index).count() == 0
+
+
+def test_language_learned_from_one_very_long_text(spark, make_docs):
+    """A text of 5 MB is a language's only row: its first letters are learned, the driver gets no more."""
+    import pickle
+
+    rng = random.Random(31)
+    rows = [(k, text_of(rng, v, 60)) for k, v in enumerate([LETTERS[x] for x in sorted(LETTERS)] * 10)]
+    docs = make_docs(rows).withColumn("lang", (F.col("doc_id") % len(LETTERS)).cast("string"))
+    long = make_docs([(1000, "zzq xxj " * 650_000)]).withColumn("lang", F.lit("long"))
+    parser = langid.fit(docs.unionByName(long), F.lit(True))
+    assert len(pickle.dumps(parser)) < 20 << 20
+    assert langid.predict(make_docs(["xxj zzq zzq xxj zzq"]), parser).first().lang_pred == "long"
+
+
+def test_wide_scripts_stay_small(monkeypatch):
+    """Three languages of thousands of letters: sparse tables, the same phrases as dense ones, under 100 MB together."""
+    import pickle
+
+    rng = np.random.default_rng(32)
+    text = lambda lo, n: "".join(map(chr, lo + rng.integers(0, 3000, n)))
+    samples = {name: langid.encode(text(lo, 20_000)) for name, lo in (("a", 0x4E00), ("b", 0x6E00), ("c", 0xAC00))}
+    parser = langid.CrossParser(samples)
+    assert len(pickle.dumps(parser)) < 100 << 20
+    small = {k: v[:3000] for k, v in samples.items()}
+    texts = [v[100:180] for v in samples.values()] + [np.zeros(0, np.uint16), langid.encode("abc" + text(0x4E00, 50))]
+    dense = langid.CrossParser(small).phrases(texts)
+    monkeypatch.setattr(langid, "TABLE_BYTES", 0)
+    sparse = langid.CrossParser(small)
+    assert all(isinstance(t, langid.Sparse) for t in sparse.tables) and (sparse.phrases(texts) == dense).all()

@@ -69,6 +69,25 @@ def test_stages(spark, corpus, tmp_path):
     assert set(kept["packing"]["doc_id"]) == set(final)
 
 
+def test_survivors_do_not_depend_on_the_order_of_rows(spark, corpus, monkeypatch):
+    """Shuffled ids and 1, 3 and 7 partitions: the smallest id of each group stays, of equal ids the same text."""
+    d, _, _ = corpus
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    rng = random.Random(21)
+    base = [prose(rng, 60) for _ in range(6)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip((50, 3, 41, 8, 30, 9), base, strict=True)]
+    rows += [(5, base[0], "en", "s", 1), (70, base[0] + " more", "en", "s", 1), (4, base[1], "en", "s", 1), (9, base[5] + " end", "en", "s", 1), (None, base[3], "en", "s", 1)]
+    found = []
+    for partitions in (1, 3, 7):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(partitions)
+        found.append(sorted((repr(r["doc_id"]), r["text"]) for r in stage(spark, docs, d).collect()))
+    monkeypatch.setattr(corpus_pipeline, "MOST_BROADCAST", -1)
+    found.append(sorted((repr(r["doc_id"]), r["text"]) for r in stage(spark, docs, d).collect()))
+    assert found[0] == found[1] == found[2] == found[3]
+    assert [i for i, _ in found[0]] == sorted(["5", "3", "41", "None", "30", "9"])
+
+
 def test_run(spark, corpus):
     d, kind, _ = corpus
     rows = corpus_pipeline.run(spark, d).collect()
