@@ -26,15 +26,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the group's smallest id.
 
-    Documents without words link with nothing and stay. Rows that repeat an id are told apart by their
-    place in the input; of those that share the smallest id of a group the first stays.
+    Documents without words link with nothing and stay. Of those that share the smallest id of a group the one
+    whose text has the least hash stays, of equal ones any, so what stays depends on neither the order of the
+    rows nor their partitions. Null ids come first. A group with most rows is reduced before it is shuffled.
     """
-    # as a struct the columns can't clash with the number
-    numbered = materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "pipeline-numbered")
+    # as a struct the columns can't clash with the number, which tells rows of one id apart
+    numbered = materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("hash")), "pipeline-numbered")
     found = ngram_join.near_duplicates(numbered, id_col="row", text_col="doc.text")
-    gone = materialise(found.where(F.col("row") != F.col("component_id")).select("row"), "pipeline-gone", few=True)
-    few = gone.count() <= MOST_BROADCAST  # 8 bytes each; beyond that texts are shuffled once
-    return numbered.join(F.broadcast(gone) if few else gone, "row", "left_anti").select("doc.*")
+    linked = materialise(found.where(F.col("row") != F.col("component_id")).select("row", F.col("component_id").alias("group")), "pipeline-linked", few=True)
+    members = linked.unionByName(linked.select(F.col("group").alias("row"), "group").distinct())
+    few = linked.count() <= MOST_BROADCAST  # 16 bytes each; beyond that rows are shuffled
+    small = (lambda t: F.broadcast(t)) if few else (lambda t: t)
+    known = numbered.select("row", "doc.doc_id", "hash").join(small(members), "row")
+    best = known.groupBy("group").agg(F.min(F.struct("doc_id", "hash", "row")).alias("best")).select("best.row")
+    gone = materialise(members.select("row").join(best, "row", "left_anti"), "pipeline-gone", few=True)
+    return numbered.join(small(gone), "row", "left_anti").select("doc.*")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
