@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.blocks import TREE, Blocks, pack
 from tessera.storage import discard, materialise
 
 
@@ -84,6 +85,32 @@ def gram(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(each))
 
 
+def triangular_factor(rows: Blocks) -> np.ndarray:
+    """R of the rows' matrix X = Q R, by a tree: each task factors its blocks one after another, and pairs of factors are factored again.
+
+    Only R, as wide as the features, leaves a task. Its singular values are those of X to about the machine's
+    precision times the largest, where those of X^T X lose half of their digits.
+    """
+
+    def factor(blocks):
+        out = None
+        for x, _, _ in blocks:
+            out = np.linalg.qr(x if out is None else np.vstack([out, x]), mode="r")
+        return iter([] if out is None else [out])
+
+    parts, add = rows.kept.mapPartitions(factor), lambda a, b: np.linalg.qr(np.vstack([a, b]), mode="r")
+    return parts.treeReduce(add, 2) if parts.getNumPartitions() > TREE else parts.reduce(add)
+
+
+def singular_values_of_rows(df: DataFrame, features: Column) -> np.ndarray:
+    """Singular values of the matrix of an array<double> column, descending; at most as many as rows. Rows with a null are left out."""
+    rows = pack(df, features, F.lit(0.0))
+    try:
+        return np.linalg.svd(triangular_factor(rows), compute_uv=False) if rows.rows else np.zeros(0)
+    finally:
+        rows.discard()
+
+
 def singular_values(df: DataFrame, columns: list[str]) -> list[float]:
     """Singular values of the rows' matrix from the eigenvalues of its small Gram matrix, descending."""
     n = len(columns)

@@ -357,9 +357,30 @@ def _(spark, d):
     return local_frame(spark, [(k, round(float(v), 4)) for k, v in enumerate(values)], "k int, value double")
 
 
-@query("l4_singular_values_of_three")
+def _three_singular_values_sql() -> str:
+    """Roots of the 3 x 3 Gram matrix's characteristic polynomial, by the cosine formula."""
+    g = [f"sum({X[i]}::DOUBLE * {X[j]}) AS g{i}{j}" for i in range(3) for j in range(i, 3)]
+    b = lambda i, j: f"((g{min(i, j)}{max(i, j)}{' - q' if i == j else ''}) / p)"
+    return (
+        f"WITH g AS (SELECT {', '.join(g)} FROM lineitem), m AS (SELECT *, (g00 + g11 + g22) / 3 AS q FROM g), "
+        "s AS (SELECT *, sqrt(((g00 - q) * (g00 - q) + (g11 - q) * (g11 - q) + (g22 - q) * (g22 - q) + 2 * (g01 * g01 + g02 * g02 + g12 * g12)) / 6) AS p FROM m), "
+        f"a AS (SELECT q, p, acos(greatest(-1, least(1, {_det([[b(i, j) for j in range(3)] for i in range(3)])} / 2))) / 3 AS phi FROM s) "
+        "SELECT k::INT AS k, round(sqrt(q + 2 * p * cos(phi + 2 * pi() * CASE k WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END / 3)), 3) AS value FROM a, range(3) r(k)"
+    )
+
+
+@query("l4_singular_values_of_three", _three_singular_values_sql())
+def _(spark, d):
+    values = L.singular_values_of_rows(lines(spark, d), F.array(*X))
+    return local_frame(spark, [(k, round(float(v), 3)) for k, v in enumerate(values)], "k int, value double")
+
+
+@query("l4_energy", "SELECT count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS energy, 64::INT AS \"rank\" FROM embeddings")
 def _(spark, d):
-    return local_frame(spark, [(k, float(v)) for k, v in enumerate(L.singular_values(lines(spark, d), X))], "k int, value double")
+    """All 64 singular values of the embeddings: their squares add up to the squared entries, and none is 0."""
+    e = embeddings(spark, d)
+    values = L.singular_values_of_rows(e, D("v"))
+    return local_frame(spark, [(e.count(), round(float((values**2).sum()), 6), int((values > 1e-9 * values[0]).sum()))], "n long, energy double, rank int")
 
 
 @query("l5_newton_steps", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope FROM lineitem")

@@ -277,6 +277,50 @@ def _(spark, d):
     return spark.sql("SELECT count(*) > 0 AS found FROM {s} WHERE lower(s_name) = lower(:name)", args={"name": "SUPPLIER#000000003"}, s=s)
 
 
+_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def in_database(spark, df, name, types):
+    """The table in the database of ``spark.tessera.jdbc.url``, else in one inside this process for a local session: (url, name, driver).
+
+    Columns get upper-case names, so that conditions needn't quote them.
+    """
+    url = spark.conf.get("spark.tessera.jdbc.url", f"jdbc:derby:memory:tessera{uuid.uuid4().hex};create=true")
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.toDF(*[c.upper() for c in df.columns]).write.format("jdbc").options(url=url, dbtable=table, driver=spark.conf.get("spark.tessera.jdbc.driver", _DERBY), createTableColumnTypes=types).save()
+    return url, table, spark.conf.get("spark.tessera.jdbc.driver", _DERBY)
+
+
+@query(
+    "s14_parallel_scan",
+    "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'",
+)
+def _(spark, d):
+    """Orders loaded into a database and read back by ranges of their key, with a filter that the database runs."""
+    orders = load_all(spark, d, "orders")["orders"].select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    url, table, driver = in_database(spark, orders, "orders", "o_orderstatus VARCHAR(8)")
+    back = IN.read_jdbc(spark, url, table, column="o_orderkey", partitions=6, driver=driver)
+    return back.where("o_totalprice > 100000 AND o_orderstatus = 'F'").select(*[D(c).alias(c.lower()) for c in back.columns])
+
+
+@query("s14_scan_by_conditions", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1")
+def _(spark, d):
+    """Customers read by one query for each remainder of their key."""
+    customers = load_all(spark, d, "customer")["customer"].select("c_custkey", "c_mktsegment", "c_acctbal")
+    url, table, driver = in_database(spark, customers, "customer", "c_mktsegment VARCHAR(16)")
+    back = IN.read_jdbc_parts(spark, url, table, [f"MOD(c_custkey, 4) = {k}" for k in range(4)], driver=driver)
+    return back.groupBy(D("c_mktsegment").alias("c_mktsegment")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("s9_database_lookup", "SELECT n_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (1, 3) GROUP BY n_name")
+def _(spark, d):
+    """Suppliers by nation, names looked up in a database that filters them itself; one join, no query a row."""
+    t = load_all(spark, d, "nation", "supplier")
+    url, table, driver = in_database(spark, t["nation"].select("n_nationkey", "n_name", "n_regionkey"), "nation", "n_name VARCHAR(32)")
+    names = IN.read_jdbc(spark, url, table, where="n_regionkey IN (1, 3)", driver=driver)
+    return t["supplier"].join(names, D("s_nationkey") == D("n_nationkey")).groupBy(D("n_name").alias("n_name")).agg(F.count(F.lit(1)).alias("suppliers"))
+
+
 @query("s17_pandas_csv", "SELECT r_regionkey, r_name FROM region")
 def _(spark, d):
     """A small file read with a header and inferred types, on the driver as a pandas frame and back."""

@@ -168,3 +168,19 @@ def test_quantile_edges_split_weight_evenly(spark):
     (edges,) = B.quantile_edges(rows, 16)
     share = np.diff(np.append(0, np.searchsorted(np.sort(v), edges, "right"))) / len(v)
     assert len(edges) <= 16 and edges[-1] == v.max() and np.abs(share - 1 / 16).max() < 0.02
+
+
+def test_singular_values_keep_the_digits_that_a_gram_matrix_loses(spark):
+    from tessera.operators import linalg as L
+
+    r = np.random.default_rng(2)
+    u, v = np.linalg.qr(r.normal(size=(700, 64)))[0], np.linalg.qr(r.normal(size=(64, 64)))[0]
+    want = np.logspace(0, -10, 64)
+    x = u * want @ v.T
+    df = spark.createDataFrame([([float(a) for a in row],) for row in x], "f array<double>").repartition(5)
+    got = L.singular_values_of_rows(df, F.col("f"))
+    assert np.abs(got - want).max() < 1e-14 and np.abs(got / want - 1).max() < 1e-4
+    gram = np.sqrt(np.clip(np.linalg.eigvalsh(x.T @ x)[::-1], 0, None))
+    assert np.abs(gram / want - 1).max() > 0.1
+    few = spark.createDataFrame([([3.0, 4.0],), (None,)], "f array<double>")
+    assert np.allclose(L.singular_values_of_rows(few, F.col("f")), [5.0]) and len(L.singular_values_of_rows(few.where("false"), F.col("f"))) == 0

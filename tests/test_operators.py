@@ -276,6 +276,34 @@ def test_trees_predict(spark):
         assert ml.regression_report(model.transform(df)).first()["r2"] > 0.9, kind
 
 
+def test_large_filter(spark):
+    """Ten million bits, a million values: all are found, and under 1.5 in 100 others; a union is that of its buckets."""
+    from tessera.operators import sketch
+
+    bits = 10_000_000
+    added = spark.range(1_000_000).select((F.col("id") * 3).alias("x"))
+    parts = [sketch.build_large(added.where(F.col("x") % 2 == k), "x", bits) for k in (0, 1)]
+    whole = sketch.merge_large(parts[0].unionByName(parts[1])).persist()
+    assert whole.count() == -(-bits // 32768) and whole.exceptAll(sketch.build_large(added, "x", bits)).isEmpty()
+    asked = spark.range(60_000).select((F.col("id") * 50 + F.col("id") % 3).alias("x"), F.lit(1).alias("bucket"))
+    rows = sketch.contains_large(asked, "x", whole, bits).groupBy((F.col("x") % 3 == 0).alias("in")).agg(F.avg(F.col("maybe").cast("int")).alias("share"), F.count("*").alias("n")).collect()
+    share = {r["in"]: r["share"] for r in rows}
+    assert sum(r["n"] for r in rows) == 60_000 and share[True] == 1.0 and share[False] < 0.015
+    whole.unpersist()
+
+
+def test_large_filter_of_odd_values(spark):
+    from tessera.operators import sketch
+
+    df = spark.createDataFrame([("é",), ("é",), (None,), ("",)], "x string")
+    large = sketch.build_large(df.where("x = 'é'"), "x", 1 << 40, 3)
+    assert [(r["x"], r["maybe"]) for r in sketch.contains_large(df, "x", large, 1 << 40, 3).orderBy("x").collect()] == [(None, None), ("", False), ("é", True), ("é", True)]
+    empty = sketch.build_large(df.where("false"), "x", 100)
+    assert empty.count() == 0 and sketch.contains_large(df, "x", empty, 100).where("maybe").count() == 0
+    with pytest.raises(ValueError, match="bits"):
+        sketch.build_large(df, "x", 0)
+
+
 def test_entry_without_llm(monkeypatch):
     """Whatever the llm subpackage's import lacks, the other queries stay."""
     import sys

@@ -136,6 +136,24 @@ def test_database(spark, tmp_path):
     assert "WHERE" in found._jdf.queryExecution().executedPlan().toString() or "PushedFilters: [IsNotNull(" in table.where("id > 1")._jdf.queryExecution().executedPlan().toString().replace("*", "")
 
 
+def test_database_in_parts(spark):
+    """Ranges and conditions are queries of their own, filters go to the database, and no row is lost or read twice."""
+    url, driver = "jdbc:derby:memory:parts;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.createDataFrame([(None if i == 7 else i * i, f"n{i % 5}") for i in range(100)], "ID int, NAME string")
+    rows.write.format("jdbc").options(url=url, dbtable="t", driver=driver, createTableColumnTypes="NAME VARCHAR(8)").save()
+    table = readers.read_jdbc(spark, url, "t", column="ID", partitions=5, driver=driver)
+    assert table.rdd.getNumPartitions() == 5 and table.exceptAll(rows).isEmpty() and table.count() == 100
+    found = table.where("ID > 50 AND NAME = 'n3'")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ID,50)" in plan and "EqualTo(NAME,n3)" in plan and found.count() == sum(i % 5 == 3 and i * i > 50 for i in range(100))
+    some = readers.read_jdbc(spark, url, "t", column="ID", where="NAME = 'n2'", driver=driver)
+    assert some.count() == 20  # the null key's row as well
+    assert readers.read_jdbc(spark, url, "t", column="ID", where="ID = 9", driver=driver).count() == 1
+    assert readers.read_jdbc(spark, url, "t", column="ID", where="ID < 0", driver=driver).count() == 0
+    parts = readers.read_jdbc_parts(spark, url, "t", [f"NAME = 'n{k}'" for k in range(5)], driver=driver)
+    assert parts.rdd.getNumPartitions() == 5 and parts.exceptAll(rows).isEmpty() and parts.count() == 100
+
+
 def test_tables_by_name(spark, tmp_path):
     first = spark.range(3).select("id", (F.col("id") * 2).alias("v"))
     sinks.create_table_as(spark, "made", first, path=str(tmp_path / "made"))
