@@ -12,13 +12,12 @@ from tessera.plans.registry import load_all, query
 from tessera.sources import avro as AVRO
 from tessera.sources import readers as IN
 from tessera.sources import sinks as OUT
-from tessera.storage import shared_root
+from tessera.storage import new_path
 
 D = F.col
 
 
-def fresh(spark, name):
-    return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+fresh = new_path
 
 
 @query("s4_csv_schema", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")

@@ -80,10 +80,39 @@ def stage_tables(docs: DataFrame, stage: str) -> Iterator[None]:
         _stage.name = before
 
 
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """A handle on what operators write: tables that this thread writes inside are deleted when the block ends.
+
+    Lazy results read such tables, so they must be written or collected inside. Gives the paths so far; blocks
+    may be nested, and a table that an operator has deleted itself is no error.
+    """
+    paths: list[str] = []
+    before = getattr(_open, "lists", ())
+    _open.lists = (*before, paths)
+    try:
+        yield paths
+    finally:
+        _open.lists = before
+        for path in paths:
+            _delete(spark, path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder; a ``scratch`` block around the call owns it."""
+    path = f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_open, "lists", ()):
+        paths.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd", few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written; ``few``: as few files as cores need."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     _fewer_tasks(df, few).write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path

@@ -339,6 +339,25 @@ def test_stage_tables_go_with_the_next_stage(spark):
     assert exists(outside)
 
 
+def test_scratch_deletes_what_operators_wrote(spark):
+    from tessera import storage
+    from tessera.operators import relational
+
+    def exists(path):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+    with storage.scratch(spark) as outer:
+        kept = storage.materialise(spark.range(3), "outer")
+        with storage.scratch(spark) as paths:
+            out = relational.row_numbers(spark.range(10).select((F.col("id") * 7 % 10).alias("x")), "x").collect()
+            assert len(out) == 10 and paths and all(exists(p) for p in paths)
+        assert not any(exists(p) for p in paths) and exists(kept._tessera_path) and set(paths) < set(outer)
+    assert not exists(kept._tessera_path)
+    after = storage.materialise(spark.range(3), "after")
+    assert exists(after._tessera_path)
+
+
 def test_local_frame(spark):
     from tessera.storage import local_frame
 
