@@ -62,6 +62,8 @@ def hold(name: str, release: Callable[[], None] | None = None) -> None:
 
 
 ROWS_A_BATCH = 1000
+#: Tasks that a bounded sample of rows is dealt to.
+SAMPLE_TASKS = 24
 
 
 def small_batches(spark: SparkSession) -> None:

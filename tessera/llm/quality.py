@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, hold, slices, small_batches
+from tessera.llm.common import SAMPLE_TASKS, column, hold, slices, small_batches
 from tessera.storage import discard, materialise
 
 SHAPE = 12
@@ -204,10 +204,12 @@ def fit(
     priors = site_priors(paths)
     discard(paths)
 
-    # at most max_rows pairs of numbers are broadcast, and as many texts written
+    # at most max_rows pairs of numbers are broadcast, and as many texts written; the sample is dealt anew, so
+    # that all tasks of the scan stay and few files are written
     picked = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").orderBy(F.xxhash64(F.lit(5), "id"), "id", "y").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id")
-    rows = materialise(rows.select("y", F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(2)).cast("int").alias("half"), "t"), "quality-sample", few=True)
+    sample = rows.select("y", F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(2)).cast("int").alias("half"), "t")
+    rows = materialise(sample.repartition(SAMPLE_TASKS), "quality-sample", few=True)
     counts, sizes = _term_counts(rows)
     halves = docs.sparkSession.sparkContext.broadcast([_evidence(counts, sizes, (1 - h,)) for h in (0, 1)])
 

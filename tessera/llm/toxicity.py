@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, groups_of, hold, slices, small_batches
+from tessera.llm.common import SAMPLE_TASKS, column, groups_of, hold, slices, small_batches
 from tessera.storage import discard, materialise
 
 BITS = 20
@@ -220,9 +220,10 @@ def fit(
             terms = [term_buckets(t or "").tobytes() for t in column(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary())], names=["y", "terms"])
 
-    # at most max_rows pairs of numbers are broadcast, and as many lists of terms written
+    # at most max_rows pairs of numbers are broadcast, and as many lists of terms written; the sample is dealt
+    # anew, so that all tasks of the scan stay and few files are written
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id")
-    rows = materialise(rows.select("y", "t").mapInArrow(run, "y double, terms binary"), "toxicity-sample", few=True)
+    rows = materialise(rows.select("y", "t").repartition(SAMPLE_TASKS).mapInArrow(run, "y double, terms binary"), "toxicity-sample", few=True)
     model = FactorizationMachine(**machine)
     model.choose(select(rows))
     chosen = np.array(sorted(model.feature), np.int32)
