@@ -16,3 +16,12 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.hookimpl(hookwrapper=True)
+def pytest_runtest_makereport(item, call):
+    """The first lines of a Java error, which name its cause, go into the report: the log's end is all frames."""
+    report = (yield).get_result()
+    java = getattr(call.excinfo.value, "java_exception", None) if call.excinfo else None
+    if java is not None:
+        report.sections.append(("Java error", "\n".join(java.toString().splitlines()[:40])))
