@@ -29,7 +29,6 @@ from tessera.storage import discard, materialise
 
 BITS = 20
 MIN_CHI2 = 10.0
-MAX_FEATURES = 2048
 PAIR_TERMS = 256
 MIN_PAIR_CHI2 = 45.0  # of some 30,000 pairs without any link less than one reaches this
 PREFIXES = (4, 5, 6)
@@ -140,8 +139,12 @@ def chi_square(a: np.ndarray, present: np.ndarray, positive: float, n: float) ->
     return np.where(present * min(positive, n - positive) / max(n, 1) < 3, chi2 * 0.25, chi2)
 
 
-def select(rows: DataFrame) -> list[int]:
-    """The buckets that go with the label, by chi-square over presence, from rows (y, terms)."""
+def select(rows: DataFrame, max_features: int | None = None, pair_terms: int = PAIR_TERMS) -> list[int]:
+    """The buckets that go with the label, by chi-square over presence, from rows (y, terms).
+
+    All terms that tell something alone (``MIN_CHI2``), at most ``max_features`` of them if that is given, and those of
+    the ``pair_terms`` most frequent that do in a pair. Pairs are counted as a matrix of that many terms a side.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, a = np.zeros((1 << BITS) + 1, np.int64), np.zeros((1 << BITS) + 1, np.int64)
@@ -165,7 +168,8 @@ def select(rows: DataFrame) -> list[int]:
         return pa.array(chi_square(a.to_numpy(False).astype(float), present.to_numpy(False).astype(float), positive, n))
 
     terms = sums.where(F.col("k") < 1 << BITS).withColumn("chi2", chi2("a", "n"))
-    alone = [r["k"] for r in terms.where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "k").limit(MAX_FEATURES).collect()]
+    telling = terms.where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "k").select("k")
+    alone = [r["k"] for r in (telling if max_features is None else telling.limit(max_features)).collect()]  # no more than buckets
     # the most frequent ones that some rows lack
     often = np.array(sorted(r["k"] for r in sums.where((F.col("k") < 1 << BITS) & (F.col("n") < 0.9 * n) & (F.col("n") >= 30)).orderBy(F.desc("n"), "k").limit(PAIR_TERMS).collect()), np.int32)
     discard(sums)
@@ -181,7 +185,7 @@ def select(rows: DataFrame) -> list[int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0].ravel()[at]), pa.array(both[1].ravel()[at])], names=["at", "n", "a"])
 
     pairs = np.zeros((2, len(often) ** 2))
-    found = rows.mapInArrow(together, "at long, n long, a long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).toArrow()  # at most PAIR_TERMS squared
+    found = rows.mapInArrow(together, "at long, n long, a long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).toArrow()  # at most pair_terms squared
     pairs[:, found["at"].to_numpy()] = found["n"].to_numpy(), found["a"].to_numpy()
     return alone + [int(k) for k in often[paired(*pairs.reshape(2, len(often), len(often)), positive, n)] if int(k) not in set(alone)]
 
@@ -202,14 +206,15 @@ def paired(both: np.ndarray, good: np.ndarray, positive: float, n: float) -> np.
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, eligible: Column, max_rows: int = 8_000,
+    docs: DataFrame, labels: DataFrame, eligible: Column, max_rows: int = 8_000, max_features: int | None = None, pair_terms: int = PAIR_TERMS,
     label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", **machine,
 ) -> FactorizationMachine:
     """Fit on at most ``max_rows`` labelled rows, those with the smallest hashes of their ids.
 
     ``eligible`` is a condition on ``docs``'s id. Rows with a null label, or an id without document, don't
     count; null text counts as empty; an id with several labels counts once for each. Without any labelled
-    row every score is the prior, one half.
+    row every score is the prior, one half. The features are all that ``select`` finds: their number is bounded by the
+    2 ** 20 buckets (64 MB of factors), and by ``max_features`` only where it is given.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("y is not null and id is not null")
     picked = known.join(docs.where(eligible).select(F.col(id_col).alias("id")), "id", "left_semi")
@@ -225,7 +230,7 @@ def fit(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id")
     rows = materialise(rows.select("y", "t").repartition(SAMPLE_TASKS).mapInArrow(run, "y double, terms binary"), "toxicity-sample", few=True)
     model = FactorizationMachine(**machine)
-    model.choose(select(rows))
+    model.choose(select(rows, max_features, pair_terms))
     chosen = np.array(sorted(model.feature), np.int32)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
