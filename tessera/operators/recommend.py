@@ -56,7 +56,8 @@ def hybrid_recommend(
     if exclude_seeds:
         near = near.join(F.broadcast(seed_rows), near["id"] == seed_rows["seed"], "left_anti")
     mean = weighted_mean(items.join(F.broadcast(seed_rows), items["id"] == seed_rows["seed"]).select(F.lit(1.0).alias("weight"), "v"), 0)
-    rows = items.dropDuplicates(["id"]).join(near, "id").crossJoin(F.broadcast(mean.withColumnRenamed("v", "__m")))
+    # only near items' vectors are shuffled
+    rows = items.join(near, "id").dropDuplicates(["id"]).crossJoin(F.broadcast(mean.withColumnRenamed("v", "__m")))
     rows = rows.select("id", "score", F.coalesce(F.nanvl("hotness", F.lit(None).cast("double")), F.lit(0.0)).alias("hot"), cosine(F.col("v"), F.col("__m")).alias("sim"))
     rows = min_max(min_max(rows, "sim", "sim01"), "hot", "hot01")
     blend = weighted_blend([(F.col("score"), weights[0]), (F.col("sim01"), weights[1]), (F.col("hot01"), weights[2])])
