@@ -31,6 +31,7 @@ Links within a component found earlier change nothing, so the components are tho
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import pairwise
 
@@ -40,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tessera.llm.common import column, hold, small_batches
 from tessera.llm.components import components
@@ -174,8 +176,11 @@ class Union:
         return i != j
 
 
-def shingle_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, s1, s2, n, tokens): s1, s2 sign the set; tokens only at the first such set of a task's batch."""
+def shingle_sets(docs: DataFrame, n: int, id_col: str, text_col: str, percent: int | None = None) -> DataFrame:
+    """(id, s1, s2, n, tokens): s1, s2 sign the set; tokens only at the first such set of a task's batch.
+
+    With ``percent`` tokens are only the smallest ones, as many as the counting step looks at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("shingles", _words.clear)
@@ -190,7 +195,7 @@ def shingle_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFra
                     first.append((one >> 64) - (1 << 63))
                     second.append((one & (1 << 64) - 1) - (1 << 63))
                     size.append(len(s))
-                    tokens.append(None if one in seen or not len(s) else raw)
+                    tokens.append(None if one in seen or not len(s) else raw if percent is None else s[: prefix_size(len(s), percent)].tobytes())
                     seen.add(one)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(size, pa.int64()), pa.array(tokens, pa.binary())],
@@ -218,12 +223,9 @@ def _token_blocks(sets: DataFrame, parts: int, percent: int) -> DataFrame:
 
     def deal(part: pa.RecordBatch) -> pa.RecordBatch:
         ids, once = np.unique(np.array(part.column(0).to_pylist(), np.int64), return_index=True)  # copies within the batch are one
-        raws = column(part, 1)
-        heads, needs = [], []
-        for k in once:
-            t = np.frombuffer(raws[k], np.uint64)
-            heads.append(t[: prefix_size(len(t), percent)])
-            needs.append(prefix_need(len(t), percent))
+        sizes, raws = column(part, 1), column(part, 2)
+        heads = [np.frombuffer(raws[k], np.uint64) for k in once]
+        needs = [prefix_need(sizes[k], percent) for k in once]
         owner = np.repeat(np.arange(len(ids)), [len(h) for h in heads])
         tokens = np.concatenate([np.zeros(0, np.uint64), *heads])
         order = np.argsort(tokens, kind="stable")
@@ -247,7 +249,7 @@ def _token_blocks(sets: DataFrame, parts: int, percent: int) -> DataFrame:
             cols[1].append(owners[lo:hi].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "tokens", "owners"])
 
-    return sets.select("s1", "tokens").mapInArrow(run, "part int, tokens binary, owners binary")
+    return sets.select("s1", "n", "tokens").mapInArrow(run, "part int, tokens binary, owners binary")
 
 
 def _shared_counts(block: pd.DataFrame) -> pd.DataFrame:
@@ -274,19 +276,50 @@ def _shared_counts(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"s1": names[at], "need": zero(len(at), np.int64), "shared": count[at], "near": zero(len(at), np.int64)})
 
 
-def survivors(sets: DataFrame, percent: int, most_broadcast: int = 2_000_000) -> DataFrame:
-    """(node, s1, s2, n, tokens) of the sets that step 2 doesn't rule out, each once and numbered."""
-    total = sets.agg(F.sum("n")).first()[0] or 0
+def alive_signatures(heads: DataFrame, percent: int) -> DataFrame:
+    """Written (s1) of the sets that step 2 doesn't rule out, from the smallest tokens of each."""
+    total = heads.agg(F.sum("n")).first()[0] or 0
     # few entries of a set share a part at any size, so that what is counted grows as the input does
     parts = int(min(2**31 - 1, max(256, total // 250_000)))
-    counts = _token_blocks(sets, parts, percent).groupBy("part").applyInPandas(_shared_counts, "s1 long, need long, shared long, near long")
+    counts = _token_blocks(heads, parts, percent).groupBy("part").applyInPandas(_shared_counts, "s1 long, need long, shared long, near long")
     # a copy in another batch may have found other tokens shared there, so the largest local count is what counts
     sums = counts.groupBy("s1").agg(F.sum("shared").alias("shared"), F.max("near").alias("near"), F.max("need").alias("need"))
-    ids = materialise(sums.where("shared + near >= need").select("s1"), "join-alive-ids", few=True)
-    few = ids.count() <= most_broadcast  # 8 bytes each; beyond that a shuffled join
-    rows = sets.join(F.broadcast(ids) if few else ids, "s1", "left_semi").dropDuplicates(["s1", "s2"])
+    return materialise(sums.where("shared + near >= need").select("s1"), "join-alive-ids", few=True)
+
+
+@dataclass
+class Sets:
+    """Documents, and their sets' written signatures (``light``) and smallest tokens (``heads``)."""
+
+    docs: DataFrame
+    n: int
+    id_col: str
+    text_col: str
+    heads: DataFrame
+    light: DataFrame
+
+
+def survivors(sets: Sets, percent: int, most_broadcast: int = 2_000_000) -> DataFrame:
+    """(node, s1, s2, n, tokens) of the sets that step 2 doesn't rule out, each once and numbered.
+
+    One document of each such set is read again and its shingles are made anew: that is cheaper than to keep the
+    tokens of all sets, which are larger than the texts. Rows that share its id, or have none like it, are read too
+    and go again by their signatures.
+    """
+    alive = alive_signatures(sets.heads.where("tokens is not null"), percent)
+    discard(sets.heads)
+    few = alive.count() <= most_broadcast  # 8 bytes each; beyond that a shuffled join
+    small = (lambda t: F.broadcast(t)) if few else (lambda t: t)
+    one = sets.light.where("n > 0").join(small(alive), "s1", "left_semi").groupBy("s1", "s2").agg(F.min("id").alias("__id")).select("__id").distinct()
+    one = materialise(one, "join-alive-documents", few=True)
+    # ids of another type than numbers have no known size
+    plain = few and isinstance(one.schema["__id"].dataType, NumericType)
+    texts = sets.docs.select(F.col(sets.id_col).alias("id"), F.col(sets.text_col).alias("t"))
+    texts = texts.join(F.broadcast(one) if plain else one, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    rows = shingle_sets(texts, sets.n, "id", "t").where("tokens is not null").join(small(alive), "s1", "left_semi").dropDuplicates(["s1", "s2"])
     nodes = materialise(rows.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "tokens"), "join-nodes")
-    discard(ids)
+    discard(one)
+    discard(alive)
     return nodes
 
 
@@ -477,13 +510,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str
     the smallest id that links reach. Words are what lies between ASCII white space, A to Z lower-cased.
     A text without words, or null, has no shingles and links with nothing, not even its copies. Rows that
     repeat an id are documents of their own with that id. A null id is never the smallest unless alone.
+    ``docs`` is read twice, and must give the same rows both times: write it first where it might not.
     """
     small_batches(docs.sparkSession)
-    sets = materialise(shingle_sets(docs, n, id_col, text_col), "join-sets")
-    light = materialise(sets.select("id", "s1", "s2", "n"), "join-light")
+    heads = materialise(shingle_sets(docs, n, id_col, text_col, percent), "join-heads")
+    light = materialise(heads.select("id", "s1", "s2", "n"), "join-light")
     # a node is a set that may have a link; sets are told apart by all 128 bits of their signatures
-    nodes = survivors(sets.where("tokens is not null"), percent)
-    discard(sets)
+    nodes = survivors(Sets(docs, n, id_col, text_col, heads, light), percent)
 
     @F.pandas_udf("array<long>")
     def numbers(tokens: pd.Series) -> pd.Series:
