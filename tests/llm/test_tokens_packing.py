@@ -50,6 +50,21 @@ def test_counts(make_docs, tokens, odd):
     assert count_tokens(make_docs([]), vocabulary()).count() == 0
 
 
+def test_very_long_and_repeated_texts(make_docs, tokens):
+    """Texts of a megabyte, one without white space, are counted and packed whole; repeated rows each count."""
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8))) for _ in range(220_000))
+    texts = [long, "xyz" * 60_000, "word", "word", long[:500_000] + "日本"]
+    docs = make_docs([*enumerate(texts), (2, "word")])
+    counts = [len(library_ids(tokens, t)) for t in texts]
+    got = sorted((r.doc_id, r.n_tokens) for r in count_tokens(docs, vocabulary()).collect())
+    assert got == sorted([*enumerate(counts), (2, counts[2])])
+    pieces = packing.pack(docs, vocabulary()).where("doc_id in (0, 1, 4)").select("doc_id", "start", "ids").collect()
+    for k in (0, 1, 4):
+        whole = b"".join(bytes(r.ids) for r in sorted((r for r in pieces if r.doc_id == k), key=lambda r: r.start))
+        assert np.frombuffer(whole, np.uint32).tolist() == [*library_ids(tokens, texts[k]), 1]
+
+
 def check_packing(pieces, expected, window):
     by_doc, by_sequence = {}, {}
     for r in pieces:
