@@ -291,14 +291,14 @@ def _(spark, d):
 
 
 # positions of a key in a filter of so many bits: halves of its MD5 digest, added up
-_BITS = 100_000
-_AT = f"unnest(list_transform(range(7), lambda k: (('0x' || substr(md5(x::VARCHAR), 1, 15))::BIGINT % {_BITS} + ('0x' || substr(md5(x::VARCHAR), 17, 15))::BIGINT % {_BITS} * k) % {_BITS}))"
+FILTER_BITS = 100_000
+FILTER_AT = f"unnest(list_transform(range(7), lambda k: (('0x' || substr(md5(x::VARCHAR), 1, 15))::BIGINT % {FILTER_BITS} + ('0x' || substr(md5(x::VARCHAR), 17, 15))::BIGINT % {FILTER_BITS} * k) % {FILTER_BITS}))"
 
 
 @query(
     "a21_large_filter",
-    f"WITH bits AS (SELECT DISTINCT {_AT} AS spot FROM (SELECT c_custkey AS x FROM customer WHERE c_custkey % 3 = 0)), "
-    f"asked AS (SELECT x, {_AT} AS spot FROM (SELECT DISTINCT o_custkey AS x FROM orders)), "
+    f"WITH bits AS (SELECT DISTINCT {FILTER_AT} AS spot FROM (SELECT c_custkey AS x FROM customer WHERE c_custkey % 3 = 0)), "
+    f"asked AS (SELECT x, {FILTER_AT} AS spot FROM (SELECT DISTINCT o_custkey AS x FROM orders)), "
     "maybe AS (SELECT x, bool_and(bits.spot IS NOT NULL) AS maybe FROM asked LEFT JOIN bits ON asked.spot = bits.spot GROUP BY x) "
     "SELECT o_orderkey, maybe FROM orders JOIN maybe ON o_custkey = x",
 )
@@ -308,9 +308,9 @@ def _(spark, d):
 
     t = load_all(spark, d, "customer", "orders")
     c = t["customer"].where("c_custkey % 3 = 0")
-    parts = [sketch.build_large(c.where(D("c_custkey") % 4 == k), "c_custkey", _BITS) for k in range(4)]
+    parts = [sketch.build_large(c.where(D("c_custkey") % 4 == k), "c_custkey", FILTER_BITS) for k in range(4)]
     whole = sketch.merge_large(reduce(DataFrame.unionByName, parts))
-    return sketch.contains_large(t["orders"].select("o_orderkey", "o_custkey"), "o_custkey", whole, _BITS).select("o_orderkey", "maybe")
+    return sketch.contains_large(t["orders"].select("o_orderkey", "o_custkey"), "o_custkey", whole, FILTER_BITS).select("o_orderkey", "maybe")
 
 
 @query("a22_first_per_group", "SELECT o_orderpriority, arg_min(o_orderkey, o_orderkey) AS first_key FROM orders GROUP BY o_orderpriority")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import load_all, query
+from tessera.plans.relational import FILTER_AT, FILTER_BITS
 from tessera.sources import avro as AVRO
 from tessera.sources import readers as IN
 from tessera.sources import sinks as OUT
@@ -228,6 +229,23 @@ def _(spark, d):
     return found.select("added", F.when(D("share") == 1, "all").when(D("share") <= 0.03, "few").otherwise("some").alias("found"))
 
 
+@query(
+    "k12_large_filter",
+    f"WITH bits AS (SELECT DISTINCT {FILTER_AT} AS spot FROM (SELECT p_partkey AS x FROM part WHERE p_size > 25)), "
+    f"asked AS (SELECT x, {FILTER_AT} AS spot FROM (SELECT DISTINCT l_partkey AS x FROM lineitem)), "
+    "maybe AS (SELECT x FROM asked LEFT JOIN bits ON asked.spot = bits.spot GROUP BY x HAVING bool_and(bits.spot IS NOT NULL)) "
+    "SELECT l_orderkey, l_linenumber FROM lineitem JOIN maybe ON l_partkey = x",
+)
+def _(spark, d):
+    """Lines of parts that a filter of 100,000 bits, written as a table of bitmaps and read back, may hold."""
+    from tessera.operators import sketch
+
+    t, path = load_all(spark, d, "part", "lineitem"), fresh(spark, "k12-large")
+    sketch.build_large(t["part"].where("p_size > 25"), "p_partkey", FILTER_BITS).write.parquet(path)
+    lines = t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey")
+    return sketch.contains_large(lines, "l_partkey", spark.read.parquet(path), FILTER_BITS).where("maybe").select("l_orderkey", "l_linenumber")
+
+
 @query("k13_id_vectors", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings")
 def _(spark, d):
     path = fresh(spark, "k13")
