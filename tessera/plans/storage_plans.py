@@ -351,13 +351,17 @@ def _(spark, d):
     """A Python closure over each partition's batches, then a merge of what the partitions found."""
 
     def run(batches):
+        import numpy as np
         import pandas as pd
 
         best = {}
         for b in batches:
-            for flag, q in b.groupby("l_returnflag")["l_quantity"].max().items():
-                best[flag] = max(best.get(flag, q), q)
-        yield pd.DataFrame({"l_returnflag": list(best), "most": [float(v) for v in best.values()]})
+            for flag, q in b.groupby("l_returnflag", dropna=False)["l_quantity"].max().items():
+                flag = None if pd.isna(flag) else flag
+                best[flag] = np.fmax(best.get(flag, q), q)
+        # a partition may have no rows, and an empty column no type that Arrow could take for text
+        if best:
+            yield pd.DataFrame({"l_returnflag": pd.Series(list(best), dtype=object), "most": [float(v) for v in best.values()]})
 
     li = load_all(spark, d, "lineitem")["lineitem"].select("l_returnflag", D("l_quantity").cast("double"))
     return li.mapInPandas(run, "l_returnflag string, most double").groupBy("l_returnflag").agg(F.max("most").alias("most"))

@@ -68,6 +68,20 @@ def test_learning_queries_train_whole_models(spark, monkeypatch):
     assert rounds == [150] * 5
 
 
+def test_partition_closure_with_empty_partitions(spark, tmp_path):
+    """Partitions without rows, flags that are null, quantities that are null."""
+    rows = [("A", 1.0), ("A", 7.0), (None, 3.0), ("R", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_quantity double").repartition(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([], "l_returnflag string, l_quantity double").repartition(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        found = QUERIES["p2_partition_closure"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["l_returnflag"]: r["most"] for r in found} == {"A": 7.0, None: 3.0, "R": None}
+
+
 def test_entry_contract():
     import __spark_entry__ as entry
 
