@@ -363,3 +363,30 @@ def test_local_frame(spark):
 
     assert [tuple(r) for r in local_frame(spark, [(1, "a", None), (2, None, 1.5)], "k int, s string, d double").collect()] == [(1, "a", None), (2, None, 1.5)]
     assert local_frame(spark, [], "k int").count() == 0
+
+
+def test_steps_over_memberships(spark):
+    """Walks over groups reach what walks over their pairs reach: lone members, a seed without any, a seed given twice."""
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "c"), (4, "c"), (4, "d"), (5, "d"), (6, "e"), (2, "c"), (7, "f"), (8, "f")]
+    members = spark.createDataFrame(rows, "id long, group string")
+    pairs = spark.createDataFrame(sorted({(a, b) for a, g in rows for b, h in rows if g == h and a != b}), "src long, dst long")
+    seeds = spark.createDataFrame([(1,), (6,), (7,), (99,), (7,)], "seed long")
+    for depth in (1, 2, 3):
+        for walk in (graph.levels, graph.last_frontier):
+            found, want = (sorted(map(tuple, walk(links, seeds, depth).collect())) for links in (members, pairs))
+            assert found == want and found
+    asked = spark.createDataFrame([(1, 5), (1, 1), (1, 7), (99, 99), (7, 8)], "src long, dst long")
+    found, want = (sorted(map(tuple, graph.shortest_paths(links, asked).collect())) for links in (members, pairs))
+    assert found == want == [(1, 1, 0), (1, 5, 3), (1, 7, -1), (7, 8, 1), (99, 99, -1)]
+
+
+@pytest.mark.parametrize("name", ["g3_shortest_path", "g5_proximity_scores", "g6_last_frontier", "g7_ball", "g8_owner_items", "j15_frontier_expansion"])
+def test_customer_walks_write_no_pairs(spark, tmp_path, monkeypatch, name):
+    """400 customers of one day have 159,600 pairs; the tables that a walk writes have a row a customer and seed."""
+    from tessera.plans.registry import QUERIES
+
+    orders = spark.range(400).selectExpr("id AS o_orderkey", "id AS o_custkey", "TIMESTAMP '1995-01-01' AS o_orderdate", "'5-LOW' AS o_orderpriority")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    written, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, *a, **more: [out := write(df, *a, **more), written.append(out.count())][0])
+    assert QUERIES[name](spark, str(tmp_path)).count() in (5, 399, 400) and written and max(written) <= 800  # a row a customer for each of two seeds at most
