@@ -51,3 +51,17 @@ def parse_weights(texts: list[str]) -> dict[str, float]:
             raise ValueError(f"expected id:weight, got {t!r}")
         out[name] = out.get(name, 0.0) + float(weight)
     return out
+
+
+def round_scaled(x: Column, digits: int) -> Column:
+    """A double rounded as databases and C do: times a power of ten, to the nearest integer, halves away from zero, and divided.
+
+    A small negative number becomes -0.0, where Spark's ``round``, which goes by the number's decimal text, gives 0.0.
+    From 2 ** 52 on a product has no fraction, so the number stays.
+    """
+    power = F.lit(float(10**digits))
+    scaled = F.abs(x) * power
+    # exact: a double below 2 ** 52 less its floor
+    whole = F.floor(scaled).cast("double")
+    rounded = F.signum(x) * (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / power
+    return F.when(scaled < float(1 << 52), rounded).otherwise(x)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import round_scaled
 from tessera.plans.registry import load_all, query
 from tessera.plans.relational import FILTER_AT, FILTER_BITS
 from tessera.sources import avro as AVRO
@@ -107,7 +108,7 @@ def _(spark, d):
     e = load_all(spark, d, "embeddings")["embeddings"].where("vec_id = 3")
     e.select("vec_id", F.to_json(D("embedding").cast("array<double>")).alias("j")).write.json(path)
     text = spark.read.schema("vec_id long, j string").json(path)
-    return text.select("vec_id", F.transform(F.from_json("j", "array<double>"), lambda x: F.round(x, 6)).alias("v"))
+    return text.select("vec_id", F.transform(F.from_json("j", "array<double>"), lambda x: round_scaled(x, 6)).alias("v"))
 
 
 @query("k4_partitioned_write", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
@@ -224,8 +225,9 @@ def _(spark, d):
 
     path = fresh(spark, "k12")
     c = load_all(spark, d, "customer")["customer"].select("c_custkey", F.endswith(D("c_custkey").cast("string"), F.lit("7")).alias("added"))
-    sketch.build(c.where("added"), "c_custkey", 20_000, 5).write.parquet(path)
-    found = sketch.contains(c, "c_custkey", spark.read.parquet(path), 20_000, 5).groupBy("added").agg(F.avg(D("maybe").cast("int")).alias("share"))
+    bits = sketch.bits_for(c.where("added").count())
+    sketch.build_large(c.where("added"), "c_custkey", bits, 5).write.parquet(path)
+    found = sketch.contains_large(c, "c_custkey", spark.read.parquet(path), bits, 5).groupBy("added").agg(F.avg(D("maybe").cast("int")).alias("share"))
     return found.select("added", F.when(D("share") == 1, "all").when(D("share") <= 0.03, "few").otherwise("some").alias("found"))
 
 
@@ -250,7 +252,7 @@ def _(spark, d):
 def _(spark, d):
     path = fresh(spark, "k13")
     load_all(spark, d, "embeddings")["embeddings"].select("vec_id", "embedding").write.parquet(path)
-    return spark.read.parquet(path).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("v"))
+    return spark.read.parquet(path).select("vec_id", F.transform("embedding", lambda x: round_scaled(x.cast("double"), 6)).alias("v"))
 
 
 @query("c1_compact_files", "SELECT o_orderkey, o_totalprice FROM orders")

@@ -82,6 +82,40 @@ def test_partition_closure_with_empty_partitions(spark, tmp_path):
     assert {r["l_returnflag"]: r["most"] for r in found} == {"A": 7.0, None: 3.0, "R": None}
 
 
+def of_duckdb(sql, **paths):
+    con = duckdb.connect()
+    for name, path in paths.items():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/*.parquet'")
+    return con.sql(sql)
+
+
+@pytest.mark.parametrize("name", ["x8_array_items", "x9_pad_truncate", "x10_feature_vector", "k3_json_features", "k13_id_vectors"])
+def test_rounded_vectors_keep_signs_and_ties(spark, tmp_path, name):
+    """Negative numbers that become zero, products at and beside a half, large numbers."""
+    odd = [-1e-8, 1e-8, -0.0, 0.0078125, -0.0078125, 0.1234565, -4.9999997e-7, 5e-7, 3e15, 1.0000005, -1e10, -3e-7]
+    rows = [(k, 1, (odd[k:] + odd[:k]) + [0.5] * 51 + [odd[k % 12]]) for k in range(12)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    found = of_duckdb(ORACLES[name], embeddings=f"{tmp_path}/embeddings.parquet")
+    assert sorted(repr(list(r)) for r in df.select(*found.columns).collect()) == sorted(repr(list(r)) for r in found.fetchall())
+
+
+def test_between_takes_the_nearest_integer(spark, tmp_path):
+    prices = [999.4, 999.5, 999.6, 1000.5, 49999.9, 50000.4, 50000.5, 50000.6, 50001.0, None]
+    orders = spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").selectExpr("*", "TIMESTAMP '1995-06-01' AS o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = of_duckdb(ORACLES["f5_between"], orders=f"{tmp_path}/orders.parquet").fetchall()
+    assert sorted(map(tuple, QUERIES["f5_between"](spark, str(tmp_path)).collect())) == sorted(found)
+    assert len(found) == 6
+
+
+@pytest.mark.parametrize("name", ["a21_bloom_filter", "k12_filter_column"])
+def test_filters_of_many_keys(spark, tmp_path, name):
+    """Of 400,000 customers 40,000 are added: a filter has bits by their number, so that few of the others are found."""
+    spark.range(400_000).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == [(False, "few"), (True, "all")]
+
+
 def test_entry_contract():
     import __spark_entry__ as entry
 
