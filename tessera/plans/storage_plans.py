@@ -14,6 +14,7 @@ from tessera.plans.relational import FILTER_AT, FILTER_BITS
 from tessera.sources import avro as AVRO
 from tessera.sources import readers as IN
 from tessera.sources import sinks as OUT
+from tessera.sources import sqlite as SQLITE
 from tessera.storage import new_path
 
 D = F.col
@@ -299,6 +300,12 @@ def _(spark, d):
 _DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
+def _shared_files(spark):
+    """Whether a database must be files that all executors read: a cluster for which no server is named."""
+    master = spark.sparkContext.master
+    return not spark.conf.get("spark.tessera.jdbc.url", "") and (not master.startswith("local") or master.startswith("local-cluster"))
+
+
 def in_database(spark, df, name, types):
     """The table in the database of ``spark.tessera.jdbc.url``, else in one inside this process for a local session: (url, name, driver).
 
@@ -317,6 +324,10 @@ def in_database(spark, df, name, types):
 def _(spark, d):
     """Orders loaded into a database and read back by ranges of their key, with a filter that the database runs."""
     orders = load_all(spark, d, "orders")["orders"].select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    if _shared_files(spark):
+        files = SQLITE.write(orders, "orders", index="o_orderkey")
+        parts = [f"{r} AND o_totalprice > 100000 AND o_orderstatus = 'F'" for r in SQLITE.ranges(files, "orders", "o_orderkey", 6)]
+        return SQLITE.read(files, "orders", orders.schema, parts)
     url, table, driver = in_database(spark, orders, "orders", "o_orderstatus VARCHAR(8)")
     back = IN.read_jdbc(spark, url, table, column="o_orderkey", partitions=6, driver=driver)
     return back.where("o_totalprice > 100000 AND o_orderstatus = 'F'").select(*[D(c).alias(c.lower()) for c in back.columns])
@@ -326,8 +337,11 @@ def _(spark, d):
 def _(spark, d):
     """Customers read by one query for each remainder of their key."""
     customers = load_all(spark, d, "customer")["customer"].select("c_custkey", "c_mktsegment", "c_acctbal")
-    url, table, driver = in_database(spark, customers, "customer", "c_mktsegment VARCHAR(16)")
-    back = IN.read_jdbc_parts(spark, url, table, [f"MOD(c_custkey, 4) = {k}" for k in range(4)], driver=driver)
+    if _shared_files(spark):
+        back = SQLITE.read(SQLITE.write(customers, "customer"), "customer", customers.schema, [f"c_custkey % 4 = {k}" for k in range(4)])
+    else:
+        url, table, driver = in_database(spark, customers, "customer", "c_mktsegment VARCHAR(16)")
+        back = IN.read_jdbc_parts(spark, url, table, [f"MOD(c_custkey, 4) = {k}" for k in range(4)], driver=driver)
     return back.groupBy(D("c_mktsegment").alias("c_mktsegment")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
@@ -335,8 +349,12 @@ def _(spark, d):
 def _(spark, d):
     """Suppliers by nation, names looked up in a database that filters them itself; one join, no query a row."""
     t = load_all(spark, d, "nation", "supplier")
-    url, table, driver = in_database(spark, t["nation"].select("n_nationkey", "n_name", "n_regionkey"), "nation", "n_name VARCHAR(32)")
-    names = IN.read_jdbc(spark, url, table, where="n_regionkey IN (1, 3)", driver=driver)
+    nation = t["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    if _shared_files(spark):
+        names = SQLITE.read(SQLITE.write(nation, "nation"), "nation", nation.schema, ["n_regionkey IN (1, 3)"])
+    else:
+        url, table, driver = in_database(spark, nation, "nation", "n_name VARCHAR(32)")
+        names = IN.read_jdbc(spark, url, table, where="n_regionkey IN (1, 3)", driver=driver)
     return t["supplier"].join(names, D("s_nationkey") == D("n_nationkey")).groupBy(D("n_name").alias("n_name")).agg(F.count(F.lit(1)).alias("suppliers"))
 
 

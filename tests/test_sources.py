@@ -160,3 +160,32 @@ def test_tables_by_name(spark, tmp_path):
     sinks.insert_into(first.where("id = 1"), "made")
     assert spark.table("made").agg(F.sum("v"), F.count("*")).first()[:] == (8, 4)
     spark.sql("DROP TABLE made")
+
+
+def test_sqlite_files(spark):
+    """Rows written by several tasks come back once each, by ranges of a column with nulls; NaN is refused."""
+    from tessera.sources import sqlite
+
+    rows = [(k if k % 50 else None, k / 3, f"n'{k}" if k % 7 else None) for k in range(-100, 900)]
+    df = spark.createDataFrame(rows, "id long, x double, name string").repartition(3)
+    files = sqlite.write(df, "t", index="id")
+    parts = sqlite.ranges(files, "t", "id", 6)
+    assert files.count() == 3 and len(parts) == 6
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, sqlite.read(files, "t", df.schema, parts).collect())) == sorted(map(key, rows))
+    assert sqlite.read(files, "t", df.schema, ["name = 'n''5'"]).collect()[0]["id"] == 5
+    assert sqlite.read(sqlite.write(df.limit(0), "t"), "t", df.schema).count() == 0
+    with pytest.raises(Exception, match="NaN"):
+        sqlite.write(df.selectExpr("id", "double('NaN') AS x"), "t")
+
+
+@pytest.mark.parametrize("name", ["s14_parallel_scan", "s14_scan_by_conditions", "s9_database_lookup"])
+def test_database_queries_of_a_cluster(spark, monkeypatch, name):
+    """Where executors are processes of their own no embedded database is opened, and the rows are the same."""
+    from tessera.plans import storage_plans
+    from tessera.plans.registry import QUERIES
+
+    want = sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(storage_plans, "_shared_files", lambda spark: True)
+    monkeypatch.setattr(storage_plans, "in_database", None)
+    assert sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == want
