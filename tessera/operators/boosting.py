@@ -4,8 +4,9 @@ Features become bin numbers once: a weighted quantile sketch, merged over the ta
 and every distinct value has its own bin where there are no more of them than bins. A level of a tree is one
 pass: tasks sum gradients and Hessians by (node, feature, bin), a tree of tasks adds the sums, and the driver,
 which sees only these sums (nodes x features x bins), takes the split of largest gain for every node. Missing
-values (NaN) go to the side where they gain more. Every ``keep`` trees the rows' margins are computed afresh
-and kept; between these a pass adds the newest trees, so no lineage grows with the trees.
+values (NaN) go to the side where they gain more. A tree's first pass adds the tree
+before it to the rows' margins and keeps these for the other levels; every ``keep`` trees they are computed afresh, so
+no lineage grows with the trees.
 """
 
 from __future__ import annotations
@@ -43,22 +44,25 @@ class Tree:
         n = 2 ** (depth + 1) - 1
         return cls(np.full(n, -1), np.zeros(n, int), np.zeros(n), np.zeros(n, bool), np.zeros(n), np.zeros(n), np.zeros(n))
 
-    def nodes(self, left: np.ndarray, missing: np.ndarray, rows: int, levels: int) -> np.ndarray:
-        """The node of each row after ``levels`` levels; ``left`` and ``missing`` give a row's side by (row, node's test)."""
-        at = np.zeros(rows, np.int64)
-        every = np.arange(rows)
+    def nodes(self, x: np.ndarray, ends: np.ndarray, missing, levels: int) -> np.ndarray:
+        """The node of each row of ``x`` after ``levels`` levels: left where its number is at most the node's of ``ends``."""
+        at = np.zeros(len(x), np.int64)
+        flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        inner, feature = self.feature >= 0, np.maximum(self.feature, 0)
         for _ in range(levels):
-            f = self.feature[at]
-            inner = f >= 0
-            go = np.where(missing[every, np.maximum(f, 0)], self.missing_left[at], left(every, np.maximum(f, 0), at))
-            at = np.where(inner, 2 * at + np.where(go, 1, 2), at)
+            v = flat.take(base + feature.take(at))
+            right = v > ends.take(at)
+            gone = missing(v)
+            if gone.any():
+                right[gone] = ~self.missing_left.take(at[gone])
+            at = np.where(inner.take(at), 2 * at + 1 + right, at)
         return at
 
     def of_bins(self, bins: np.ndarray, levels: int, last: int) -> np.ndarray:
-        return self.nodes(lambda r, f, at: bins[r, f] <= self.bin[at], bins == last, len(bins), levels)
+        return self.nodes(bins, self.bin, lambda v: v == last, levels)
 
     def of_values(self, x: np.ndarray, levels: int) -> np.ndarray:
-        return self.nodes(lambda r, f, at: x[r, f] <= self.threshold[at], np.isnan(x), len(x), levels)
+        return self.nodes(x, self.threshold, np.isnan, levels)
 
 
 @dataclass
@@ -233,25 +237,26 @@ def boost_blocks(rows: Blocks, trees: int, depth: int, rate: float, ridge: float
         g, h = sums
         tree.weight[i], tree.cover[i] = -g / (h + ridge) * rate if h + ridge > 0 else 0.0, h
 
-    kept, done, spare = source.map(lambda r: (*r, np.full(len(r[1]), model.base))), 0, None
+    def keep_margins(margins: RDD) -> RDD:
+        return margins.persist(StorageLevel.MEMORY_AND_DISK)
+
+    kept, before = keep_margins(source.map(lambda r: (*r, np.full(len(r[1]), model.base)))), None
     for number in range(trees):
-        if number - done >= keep:
-            fresh = list(model.trees)
-            ahead = source.map(lambda r, fresh=fresh: (*r, _margin(r[0], model.base, fresh, depth, last))).persist(StorageLevel.MEMORY_AND_DISK)
-            kept, done = ahead, number
-            if spare is not None:
-                spare.unpersist()
-            spare = ahead
+        if number:
+            before, newest = kept, model.trees[-1]
+            if number % keep:
+                kept = keep_margins(before.map(lambda r, newest=newest: (r[0], r[1], r[2] + _margin(r[0], 0.0, [newest], depth, last))))
+            else:
+                fresh = list(model.trees)
+                kept = keep_margins(source.map(lambda r, fresh=fresh: (*r, _margin(r[0], model.base, fresh, depth, last))))
         tree = Tree.empty(depth)
-        newest = model.trees[done:]
         alive = [0]
         for level in range(depth):
             first = 2**level - 1
 
-            def histogram(parts: Iterator, tree=tree, newest=newest, level=level, first=first) -> Iterator[np.ndarray]:
+            def histogram(parts: Iterator, tree=tree, level=level, first=first) -> Iterator[np.ndarray]:
                 out = None
                 for b, y, margin in parts:
-                    margin = margin + _margin(b, 0.0, newest, depth, last)
                     g, h = _slopes(loss, margin, y)
                     at = tree.of_bins(b, level, last) - first
                     own = at >= 0  # rows of a leaf above stay there
@@ -279,9 +284,10 @@ def boost_blocks(rows: Blocks, trees: int, depth: int, rate: float, ridge: float
             if not alive:
                 break
         model.trees.append(tree)
+        if before is not None:
+            before.unpersist()
     source.unpersist()
-    if spare is not None:
-        spare.unpersist()
+    kept.unpersist()
     return model
 
 

@@ -184,3 +184,19 @@ def test_singular_values_keep_the_digits_that_a_gram_matrix_loses(spark):
     assert np.abs(gram / want - 1).max() > 0.1
     few = spark.createDataFrame([([3.0, 4.0],), (None,)], "f array<double>")
     assert np.allclose(L.singular_values_of_rows(few, F.col("f")), [5.0]) and len(L.singular_values_of_rows(few.where("false"), F.col("f"))) == 0
+
+
+def test_kept_margins_are_those_of_all_trees(spark):
+    """Margins added up tree by tree, or computed afresh, give the same trees, with missing values and early leaves; nothing stays persisted."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import boosting
+
+    df = spark.range(900).selectExpr("double(id % 37) AS a", "CASE WHEN id % 11 = 0 THEN double('NaN') ELSE double(id % 5) END AS b").selectExpr("*", "a * a + CASE WHEN isnan(b) THEN 40 ELSE b END AS y")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    models = [boosting.boost(df, F.array("a", "b"), F.col("y"), trees=5, depth=3, keep=k, least_child=60.0) for k in (1, 2, 10)]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+    for m in models:
+        assert len(m.trees) == 5
+        for one, other in zip(m.trees, models[0].trees, strict=True):
+            assert (one.feature == other.feature).all() and (one.bin == other.bin).all() and abs(one.weight - other.weight).max() < 1e-9
