@@ -265,6 +265,28 @@ def test_dense_buckets_are_dealt_out(spark):
     assert got == {(f"p{i}", f"p{j}") for i in range(300) for j in range(300) if i != j and np.linalg.norm(x[i] - x[j]) < 0.1}
 
 
+def test_pairs_of_several_shared_buckets_leave_one_block(spark, monkeypatch):
+    """What is shuffled after the comparison has each pair once in either direction, not once a table, and nothing makes pairs distinct."""
+    from pyspark.ml.functions import array_to_vector
+
+    from tessera.operators.neighbours import projections
+
+    monkeypatch.setattr(graph, "TILE", 16)
+    x = np.random.default_rng(6).normal(size=(200, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    b = np.floor(x @ np.array([r["p"] for r in projections(spark, 3, 4).orderBy("table").collect()]).T / 50.0)
+    want = {(i, j) for i in range(200) for j in range(200) if i != j and np.linalg.norm(x[i] - x[j]) < 1.0 and (b[i] == b[j]).any()}
+    for kind in (df.select("id", F.col("v").alias("features")), df.select("id", array_to_vector("v").alias("features"))):
+        edges = graph.bucket_edges(kind, 1.0, bucket=50.0, tables=4, chunk=30)
+        rows = [(r.src, r.dst) for r in edges.collect()]
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == len(set(rows)) and set(rows) == want and "HashAggregate(keys=[src" not in plan
+    # ids that repeat, and nulls
+    odd = spark.createDataFrame([(1, [0.0]), (1, [0.1]), (2, [0.0]), (2, [0.1]), (None, [0.0]), (3, None)], "id long, features array<double>")
+    assert sorted((r.src, r.dst) for r in graph.bucket_edges(odd, 1.0, bucket=9.0, tables=2).collect()) == [(1, 2), (2, 1)]
+    assert graph.bucket_edges(odd.where("false"), 1.0).count() == 0
+
+
 def test_trees_predict(spark):
     """Forest and boosted trees explain most of a label that depends on its columns."""
     rng = np.random.default_rng(8)
