@@ -287,6 +287,19 @@ def test_pairs_of_several_shared_buckets_leave_one_block(spark, monkeypatch):
     assert graph.bucket_edges(odd.where("false"), 1.0).count() == 0
 
 
+def test_distances_by_packs(spark):
+    """Rows and queries meet in packs, not pair by pair in the plan; a null vector has null distances, equal ids are left out."""
+    rows = [(i, [float(i), 2.0 * (i % 5), 1e6]) for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    pairs = recommend.distances_from(df.where("id % 200 = 0"), df)
+    assert "zip_with" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.a, r.b): r.d for r in pairs.collect()}
+    x = [v for _, v in rows]
+    want = {(a, b): None if x[a] is None or x[b] is None else float(np.linalg.norm(np.subtract(x[a], x[b]))) for a in range(0, 601, 200) for b in range(601) if a != b}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert recommend.distances_from(df.limit(0), df).count() == 0
+
+
 def test_trees_predict(spark):
     """Forest and boosted trees explain most of a label that depends on its columns."""
     rng = np.random.default_rng(8)
