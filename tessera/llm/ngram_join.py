@@ -21,8 +21,9 @@ are built per block, and blocks are chosen so that no link is lost:
    n - ceil(t n) + 1 tokens, and the smaller one has it among its first n - ceil(2 t n / (1 + t)) + 1. Tokens
    with the same holders are one. For every such token whose holders lie in more than one component, a tree
    over the holders that have it in the shorter prefix yields the pairs of different components that the
-   bound admits, all of which are verified. The holders of a token with many are dealt out by bands of
-   their sets' sizes, as only sets of the same or of neighbouring bands can link, and as pairs of chunks;
+   bound admits, all of which are verified. A pair leaves the block of the first token that both have, not
+   those of its other tokens (``FIRSTS``), and only if a bound by finer groups admits it too (``FINE``).
+   The holders of a token with many are dealt out by bands of their sets' sizes, as only sets of the same or of neighbouring bands can link, and as pairs of chunks;
    the members of its largest component meet only those of others.
 
 Links within a component found earlier change nothing, so the components are those of all links.
@@ -48,6 +49,8 @@ from tessera.llm.components import components
 from tessera.storage import discard, materialise
 
 GROUPS = 256
+FINE = 1024  # groups of the bound by which pairs leave a block; a multiple of GROUPS
+FIRSTS = 32  # how many of a node's first tokens its rows carry
 LEAF = 16
 CHUNK = 256
 KEEP = 0.15
@@ -105,8 +108,8 @@ def prefix_need(n: int, percent: int) -> int:
     return max(1, int(np.ceil(KEEP * least_overlap(n, percent))))
 
 
-def group_counts(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def group_counts(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 class CountTree:
@@ -403,12 +406,22 @@ def _pack(points: np.ndarray) -> bytes:
 
 
 def _unpack(point: bytes) -> np.ndarray:
-    return np.frombuffer(point, np.uint8 if len(point) == GROUPS else np.int32).astype(np.int32)
+    return np.frombuffer(point, np.uint8 if len(point) == FINE else np.int32)
+
+
+def _before(firsts: np.ndarray, token: int) -> set[int]:
+    """A node's first tokens that come before ``token``; all of them where it is none of these."""
+    first = firsts.tolist()
+    return set(first[: first.index(token)] if token in first else first)
 
 
 def _block_pairs(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components, a left and a right one, in each block that the bound admits."""
+        """Pairs of different components, a left and a right one, in each block that the bounds admit.
+
+        Two nodes with an earlier token in common meet in its block as well: tokens come in one order, and a
+        right node is right for all tokens before, so that the pair leaves that block and not this one.
+        """
         hold("join")
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         columns, blocks = _blocks_in(group, "token", "band", "hot", "c1", "c2")
@@ -417,11 +430,15 @@ def _block_pairs(percent: int):
             trees, left = np.flatnonzero(right), np.flatnonzero(~right)
             if not len(trees) or not len(left):
                 continue
-            points = np.array([_unpack(p) for p in columns["point"][at]])
-            tree = CountTree(points[trees], percent)
-            for i in left:
+            fine = np.array([_unpack(p) for p in columns["point"][at]])
+            points = fine.reshape(len(fine), -1, GROUPS).sum(1, dtype=np.int32)
+            before = [_before(f, columns["token"][at.start]) for f in columns["firsts"][at]]
+            sizes, tree = points.sum(1), CountTree(points[trees], percent)
+            for i in left.tolist():
                 near = trees[tree.query(points[i])]
                 near = near[roots[near] != roots[i]]
+                near = near[[before[i].isdisjoint(before[j]) for j in near.tolist()]] if before[i] else near
+                near = near[tree.bound_ok(fine[i], sizes[i], fine[near], sizes[near], sizes[near])]
                 if len(near):
                     a.append(np.minimum(nodes[near], nodes[i]))
                     b.append(np.maximum(nodes[near], nodes[i]))
@@ -468,7 +485,7 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """All links between different components of ``roots``, from rows (token, node, n, indexed)."""
+    """All links between different components of ``roots``, from rows (token, node, n, at, indexed); ``at``: the token's place in the node's prefix."""
     rows = _rooted(prefixes, roots)
     held = rows.groupBy("token").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("holders"), F.max("indexed").alias("any_indexed"),
@@ -483,9 +500,10 @@ def second_pass(prefixes: DataFrame, nodes: DataFrame, roots: DataFrame | None,
 
     @F.pandas_udf("binary")
     def point(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: _pack(group_counts(np.frombuffer(t, np.uint64))))
+        return tokens.map(lambda t: _pack(group_counts(np.frombuffer(t, np.uint64), FINE)))
 
-    points = nodes.join(blocks.select("node").distinct(), "node", "left_semi").select("node", point("tokens").alias("point"))
+    firsts = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "token"))), 1, FIRSTS)["token"].alias("firsts"))
+    points = nodes.join(firsts, "node").select("node", point("tokens").alias("point"), "firsts")
     # small blocks share a call, about 1000 rows a group
     dealt = blocks.join(points, "node").withColumn("bucket", F.pmod(F.xxhash64("token", "band", "hot", "c1", "c2"), F.lit(buckets)))
     pairs = materialise(dealt.groupBy("bucket").applyInPandas(_block_pairs(percent), "a long, b long").distinct(), "join-pairs", few=True)
@@ -538,7 +556,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str
     keyed = ready.select("node", F.explode(F.array_distinct(F.array("k1", "k2"))).alias("key"))
     links, roots = first_pass(keyed, nodes, percent)
     prefixes = ready.select("node", "n", "shorter", F.posexplode("prefix").alias("at", "token"))
-    rest = second_pass(prefixes.select("token", "node", "n", (F.col("at") < F.col("shorter")).alias("indexed")), nodes, roots, percent)
+    rest = second_pass(prefixes.select("token", "node", "n", "at", (F.col("at") < F.col("shorter")).alias("indexed")), nodes, roots, percent)
     discard(ready)
     if roots is not None:
         discard(roots)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,20 @@ def test_smaller_set_has_the_first_common_token_early():
         first = next(t for t in place(large) if t in small)
         assert place(large).index(first) < len(large) - -(-75 * len(large) // 100) + 1
         assert place(small).index(first) < len(small) - -(-150 * len(small) // 175) + 1
+
+
+def test_a_pair_leaves_one_block():
+    """Not that of every token which both have: of the first one, and only if finer groups admit it too."""
+    columns = ["node", "token", "band", "hot", "c1", "c2", "root", "right", "point", "firsts", "bucket"]
+
+    def pairs(sets, token, firsts, percent=75):
+        rows = [(k, token, -1, False, 0, 0, k, right, ngram_join._pack(group_counts(s, ngram_join.FINE)), np.array(firsts), 0) for k, s in enumerate(sets) for right in (False, True)]
+        return ngram_join._block_pairs(percent)(pd.DataFrame(rows, columns=columns)).values.tolist()
+
+    rng = np.random.default_rng(4)
+    common, *own = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (700, 300, 300))
+    twins, misses = [np.r_[common, x[:1]] for x in own], [np.r_[common, x] for x in own]
+    assert pairs(twins, 7, [7, 3, 9]) == [[0, 1]]
+    assert pairs(twins, 3, [7, 3, 9]) == pairs(twins, 9, [7, 3, 9]) == pairs(twins, 5, [7, 3, 9]) == []
+    coarse = np.array([group_counts(s) for s in misses])
+    assert len(CountTree(coarse, 70).query(coarse[0])) == 2 and pairs(misses, 7, [7], 70) == []
