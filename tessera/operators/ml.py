@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.vector import dot
 from tessera.operators.blocks import pack
 from tessera.operators.descent import descend, newton  # noqa: F401
+from tessera.storage import discard, materialise
 
 
 def assembled(columns: list[str], standardise: bool = True) -> list:
@@ -32,8 +33,40 @@ def regressor(kind: str, label: str = "label", seed: int = 42, **more):
     raise ValueError(f"unknown regressor {kind!r}")
 
 
+#: Quantile bins a column of what trees learn from (Spark's own number), and the shares that rows of one cell of bins are dealt to.
+BINS, SHARES = 32, 8
+
+
+def _fit_trees(df: DataFrame, columns: list[str], kind: str, label: str, **more) -> PipelineModel:
+    """Trees over cells: rows that lie in the same quantile bin of every column, which no split tells apart.
+
+    A cell goes into the fit as ``SHARES`` rows (by a hash of the row) with their number as weight and their mean
+    label; squared errors within a cell are the same for every tree. All rows are read, for the bins' edges and
+    for the cells; what the rounds read grows with the cells, not the rows. A forest's samples are drawn of these
+    shares. Rows with a null among the columns or without a label are left out.
+    """
+    bins = [f"__bin_{c}" for c in columns]
+    known = df.dropna(subset=[*columns, label]).select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(label).cast("double").alias(label))
+    edges = known.approxQuantile(columns, [k / BINS for k in range(1, BINS)], 1 / (8 * BINS))
+    # a value that many rows have is an edge once; without any edge there is one at 0, which Bucketizer needs
+    splits = [[-np.inf, *(sorted({x for x in e if np.isfinite(x)}) or [0.0]), np.inf] for e in edges]
+    binned = Bucketizer(inputCols=columns, outputCols=bins, splitsArray=splits, handleInvalid="skip")
+    share = F.pmod(F.xxhash64(*columns, label), F.lit(SHARES)).alias("share")
+    cells = binned.transform(known).groupBy(*bins, share).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("weight"))
+    stages = [VectorAssembler(inputCols=bins, outputCol="features"), regressor(kind, label, **{"maxBins": BINS + 2, **more}).setWeightCol("weight")]
+    # groups come in no fixed order, and the order of rows decides a forest's samples
+    cells = materialise(cells.orderBy(*bins, "share"), "cells", few=True)
+    try:
+        return PipelineModel([binned, *Pipeline(stages=stages).fit(cells.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))).stages])
+    finally:
+        discard(cells)
+
+
 def train(df: DataFrame, columns: list[str], kind: str, label: str = "label", path: str | None = None, **more) -> PipelineModel:
-    model = Pipeline(stages=[*assembled(columns), regressor(kind, label, **more)]).fit(df)
+    if kind in ("forest", "boosted"):
+        model = _fit_trees(df, columns, kind, label, **more)
+    else:
+        model = Pipeline(stages=[*assembled(columns), regressor(kind, label, **more)]).fit(df)
     if path:
         model.write().overwrite().save(path)
     return model

@@ -311,6 +311,21 @@ def test_trees_predict(spark):
         assert ml.regression_report(model.transform(df)).first()["r2"] > 0.9, kind
 
 
+def test_trees_learn_from_cells(spark, monkeypatch):
+    """A fit's rounds read cells of bins, no more of them for more rows, and predict what a fit over all rows does."""
+    sizes, write = [], ml.materialise
+    monkeypatch.setattr(ml, "materialise", lambda df, *a, **k: sizes.append(df.count()) or write(df, *a, **k))
+    df = spark.range(40_000).selectExpr("double(id % 10) AS a", "double(id % 7) AS b", "double(id % 10) * (id % 7) + double(id % 3) / 10 AS label")
+    odd = df.unionByName(spark.createDataFrame([(None, 1.0, 900.0), (1.0, 1.0, None)], df.schema))
+    for kind, more in (("boosted", {"maxIter": 5}), ("forest", {"numTrees": 5})):
+        for rows in (df.limit(20_000), odd):
+            cells = ml.train(rows, ["a", "b"], kind, **more).transform(df)
+        plain = ml.Pipeline(stages=[*ml.assembled(["a", "b"]), ml.regressor(kind, **more)]).fit(df).transform(df)
+        r2 = [ml.regression_report(p).first()["r2"] for p in (cells, plain)]
+        assert r2[0] > r2[1] - 0.02, kind
+    assert max(sizes) <= 70 * ml.SHARES and len(sizes) == 4
+
+
 def test_large_filter(spark):
     """Ten million bits, a million values: all are found, and under 1.5 in 100 others; a union is that of its buckets."""
     from tessera.operators import sketch
