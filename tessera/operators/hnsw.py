@@ -20,22 +20,23 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tessera.operators.recommend import blocks_of
 from tessera.operators.relational import top_per_key
 
-SHARD_ROWS = 5000
+#: As many shards as that, of no more and no fewer rows than these: a query walks every shard, and with a number of
+#: shards that grew as the rows do, walks would grow with the square of them.
+SHARDS, MOST_ROWS, LEAST_ROWS = 32, 20_000, 1_000
 
 
 class Graph:
     """Layers of links over vectors; the lowest layer has all points."""
 
     def __init__(self, vectors: np.ndarray, links: int = 16, width: int = 100, seed: int = 42):
-        """links: neighbours kept for a point in each layer, twice as many in the lowest; width: of a search while building."""
+        """links: neighbours kept for a point in each layer, twice as many in the lowest; width: how many points these are chosen from."""
         self.vectors = vectors.astype(np.float32)
         n = len(vectors)
         draw = np.random.default_rng(seed).random(max(n, 1))
         self.level = np.minimum(np.floor(-np.log(np.maximum(draw, 1e-12)) / math.log(links)).astype(int), 8)[:n]
         self.near: list[list[list[int]]] = [[[] for _ in range(k + 1)] for k in self.level]
-        self.entry, self.links, self.width = -1, links, width
-        for i in range(n):
-            self._insert(i)
+        self.entry, self.links, self.width = int(self.level.argmax()) if n else -1, links, width
+        self._link()
 
     def _distances(self, q: np.ndarray, at: list[int]) -> np.ndarray:
         d = self.vectors[at] - q
@@ -65,37 +66,58 @@ class Graph:
                 heapq.heappush(open_, (x, j))
         return sorted((-d, i) for d, i in best)
 
-    def _chosen(self, i: int, found: list[int], most: int) -> list[int]:
-        """Neighbours of ``i``: near ones first, those nearer to a chosen one only if there is room."""
+    def _chosen(self, found: np.ndarray, reach: np.ndarray, most: int) -> list[int]:
+        """Neighbours of a point among ``found``, ascending by distance ``reach``: those nearer to a chosen one only if there is room."""
         if len(found) <= most:
-            return found
-        d = self._distances(self.vectors[i], found)
-        order = [found[k] for k in np.argsort(d, kind="stable")]
-        reach = dict(zip(found, d.tolist(), strict=True))
-        kept: list[int] = []
-        for j in order:
-            if len(kept) == most:
-                break
-            if not kept or self._distances(self.vectors[j], kept).min() > reach[j]:
-                kept.append(j)
-        return kept + [j for j in order if j not in set(kept)][: most - len(kept)]
-
-    def _insert(self, i: int) -> None:
-        q, top = self.vectors[i], int(self.level[i])
-        if self.entry < 0:
-            self.entry = i
-            return
-        here = [(float(self._distances(q, [self.entry])[0]), self.entry)]
-        for layer in range(int(self.level[self.entry]), top, -1):
-            here = self._search(q, here, 1, layer)[:1]
-        for layer in range(min(top, int(self.level[self.entry])), -1, -1):
-            here = self._search(q, here, self.width, layer)
+            return found.tolist()
+        v = self.vectors[found]
+        norms = np.einsum("ij,ij->i", v, v)
+        between = norms[:, None] + norms - 2 * (v @ v.T)
+        kept, free = [], np.full(len(found), np.inf, np.float32)
+        for k, d in enumerate(reach.tolist()):
+            if free[k] > d:
+                kept.append(k)
+                if len(kept) == most:
+                    break
+                np.minimum(free, between[k], out=free)
+        chosen = set(kept)
+        return found[kept + [k for k in range(len(found)) if k not in chosen][: most - len(kept)]].tolist()
+
+    def _earlier(self, members: np.ndarray, block: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each member with its ``width`` nearest among those before it, and their distances, ascending."""
+        v = self.vectors[members]
+        norms = np.einsum("ij,ij->i", v, v)
+        for lo in range(0, len(members), block):
+            hi = min(len(members), lo + block)
+            d = np.maximum(norms[lo:hi, None] + norms[:hi] - 2 * (v[lo:hi] @ v[:hi].T), 0)
+            d[np.arange(hi) >= np.arange(lo, hi)[:, None]] = np.inf
+            if hi > self.width:
+                at = np.argpartition(d, self.width - 1, axis=1)[:, : self.width]
+                d = np.take_along_axis(d, at, 1)
+            else:
+                at = np.broadcast_to(np.arange(hi), d.shape)
+            order = np.argsort(d, axis=1, kind="stable")
+            d, at = np.take_along_axis(d, order, 1), np.take_along_axis(at, order, 1)
+            for k in range(hi - lo):
+                n = min(lo + k, self.width)
+                yield lo + k, members[at[k, :n]], d[k, :n]
+
+    def _link(self) -> None:
+        """Points come one after the other; what a walk would look for, the nearest points before, a matrix product finds."""
+        for layer in range(int(self.level.max(initial=-1)) + 1):
+            members = np.flatnonzero(self.level >= layer)
             most = self.links * (2 if layer == 0 else 1)
-            self.near[i][layer] = self._chosen(i, [j for _, j in here], self.links)
-            for j in self.near[i][layer]:
-                self.near[j][layer] = self._chosen(j, [*self.near[j][layer], i], most)
-        if top > self.level[self.entry]:
-            self.entry = i
+            for k, found, reach in self._earlier(members):
+                i = int(members[k])
+                for j in (own := self._chosen(found, reach, self.links)):
+                    self.near[j][layer].append(i)
+                self.near[i][layer] = own
+            for j in members.tolist():
+                if len(self.near[j][layer]) > most:
+                    found = np.array(self.near[j][layer])
+                    reach = self._distances(self.vectors[j], found)
+                    order = np.argsort(reach, kind="stable")
+                    self.near[j][layer] = self._chosen(found[order], reach[order], most)
 
     def nearest(self, q: np.ndarray, k: int, width: int) -> list[tuple[float, int]]:
         """(squared distance, point) of about the k nearest, ascending."""
@@ -128,12 +150,14 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
 
 
-def build_index(points: DataFrame, shard_rows: int = SHARD_ROWS, links: int = 16, width: int = 100, seed: int = 42) -> DataFrame:
+def build_index(points: DataFrame, shard_rows: int | None = None, links: int = 16, width: int = 100, seed: int = 42) -> DataFrame:
     """A row a shard (shard, ids, dimensions, vectors, level, entry, counts, links) over rows (id, v); write it to keep it.
 
-    Every row is indexed, in shards of about ``shard_rows``; vectors have one length. Null vectors raise.
+    Every row is indexed, in shards of about ``shard_rows`` (default: ``SHARDS`` shards, where the rows allow it); vectors
+    have one length. Null vectors raise.
     """
-    shards = max(1, -(-points.count() // shard_rows))
+    n = points.count()
+    shards = max(1, -(-n // shard_rows) if shard_rows else max(min(SHARDS, -(-n // LEAST_ROWS)), -(-n // MOST_ROWS)))
     rows = points.select("id", F.col("v").cast("array<float>").alias("v"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(shards)).cast("int").alias("shard"))
     kind = rows.schema["id"].dataType
     arrow_id = to_arrow_type(kind)

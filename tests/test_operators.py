@@ -223,6 +223,18 @@ def test_indexes_find_most_neighbours(spark):
     assert hits >= 0.9 * 30
 
 
+def test_hnsw_shards_do_not_grow_as_the_rows(spark):
+    """As many shards for more rows, and a graph of more rows than a layer's width still finds most neighbours."""
+    from tessera.operators import hnsw
+
+    few = [hnsw.build_index(spark.range(n).selectExpr("id", "array(double(id), 1.0D) AS v").repartition(4)).select("shard").count() for n in (900, 33_000, 50_000)]
+    assert few[0] == 1 and few[1] == few[2] <= hnsw.SHARDS
+    v = hnsw._unit(np.random.default_rng(3).normal(size=(6000, 32)).astype(np.float32))
+    graph = hnsw.Graph(v)
+    hits = sum(len({i for _, i in graph.nearest(v[q], 11, 200)} & set(np.argsort(-(v @ v[q]))[:11].tolist())) for q in range(0, 6000, 200))
+    assert hits >= 0.95 * 11 * 30
+
+
 def test_hnsw_of_odd_tables(spark):
     from tessera.operators import hnsw
 
