@@ -8,7 +8,8 @@ read the blocks, kept by the executors and behind them in the written table, nev
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,14 +20,16 @@ from pyspark.sql import functions as F
 
 from tessera.storage import discard, materialise
 
-#: Bytes of blocks that a task of a barrier stage may hold.
-TASK_BYTES = 256 << 20
+#: Bytes of blocks that a task of a barrier stage may keep; beyond the first ``HELD_BYTES`` they are in a file of its temp folder.
+TASK_BYTES, HELD_BYTES = 16 << 30, 64 << 20
+#: Blocks that such a task gets at once.
+BLOCKS_A_BATCH = 64
 #: From so many tasks their sums are added up by other tasks first, not by the driver alone.
 TREE = 64
 
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: (blocks, state, round) -> what these blocks add to the round's sum
-Part = Callable[[list[Block], np.ndarray, int], np.ndarray]
+Part = Callable[[Iterable[Block], np.ndarray, int], np.ndarray]
 #: (sum, state, round) -> the next state, or None to stop
 Step = Callable[[np.ndarray, np.ndarray, int], np.ndarray | None]
 
@@ -36,6 +39,36 @@ def _decode(batch: pa.RecordBatch, width: int) -> Iterator[Block]:
         yield np.frombuffer(x).reshape(-1, width), np.frombuffer(y), np.frombuffer(key, np.int64)
 
 
+class Held:
+    """A task's blocks, to be read many times: the first in memory, the rest one at a time from a temporary file."""
+
+    def __init__(self, width: int, most: int):
+        self.width, self.room, self.memory, self.filed, self.file = width, most, [], [], None
+
+    def add(self, block: Block) -> None:
+        size = sum(a.nbytes for a in block)
+        if size <= self.room:
+            self.room -= size
+            self.memory.append(block)
+            return
+        self.room = 0  # order is kept: what follows is filed too
+        self.file = self.file or tempfile.TemporaryFile(prefix="tessera-")
+        for a in block:
+            a.tofile(self.file)
+        self.filed.append(len(block[1]))
+
+    def __len__(self) -> int:
+        return len(self.memory) + len(self.filed)
+
+    def __iter__(self) -> Iterator[Block]:
+        yield from self.memory
+        if self.file:
+            self.file.seek(0)
+        for n in self.filed:
+            x, y, key = (np.fromfile(self.file, kind, size) for kind, size in ((np.float64, n * self.width), (np.float64, n), (np.int64, n)))
+            yield x.reshape(-1, self.width), y, key
+
+
 @dataclass
 class Blocks:
     """A written table of blocks, ``width`` features wide."""
@@ -84,10 +117,10 @@ class Blocks:
         """The same by one barrier stage of ``tasks`` tasks (default: the cores), where ``part`` gets all blocks of its task.
 
         The tasks exchange their parts by ``allGather``, which takes Spark a second: for few rounds of much work.
-        Each task holds its blocks in memory, so more than ``TASK_BYTES`` a task raises an error, and so does a
-        session that allocates executors dynamically, which Spark allows no barrier.
+        Each task keeps its blocks, ``HELD_BYTES`` of them in memory and the rest in a temporary file; more than ``TASK_BYTES``
+        a task raise an error, and so does a session that allocates executors dynamically, which Spark allows no barrier.
         """
-        context, width = self.kept.context, self.width
+        context, width, most = self.kept.context, self.width, HELD_BYTES
         tasks = tasks or context.defaultParallelism
         if self.rows * (width + 2) * 8 > tasks * TASK_BYTES:
             raise ValueError(f"{self.rows} rows of {width} features need more than {tasks} tasks of {TASK_BYTES} bytes")
@@ -97,7 +130,10 @@ class Blocks:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import BarrierTaskContext
 
-            own = [b for batch in batches for b in _decode(batch, width)]
+            own = Held(width, most)
+            for batch in batches:
+                for block in _decode(batch, width):
+                    own.add(block)
             task, now = BarrierTaskContext.get(), state
             for k in range(rounds):
                 mine = base64.b64encode(part(own, now, k).tobytes()).decode() if own else ""
@@ -110,8 +146,14 @@ class Blocks:
             if task.partitionId() == 0:
                 yield pa.RecordBatch.from_arrays([pa.array([now.tolist()], pa.list_(pa.float64()))], names=["state"])
 
-        # no first() or limit may follow a barrier; the result is one row
-        return np.array(self.dealt(tasks).select("x", "y", "key").mapInArrow(run, "state array<double>", barrier=True).collect()[0]["state"])
+        conf, name = self.table.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        conf.set(name, str(BLOCKS_A_BATCH))  # a row is a block
+        try:
+            # no first() or limit may follow a barrier; the result is one row
+            return np.array(self.dealt(tasks).select("x", "y", "key").mapInArrow(run, "state array<double>", barrier=True).collect()[0]["state"])
+        finally:
+            conf.set(name, before)
 
     def dealt(self, tasks: int) -> DataFrame:
         """The blocks in shares by a hash of their numbers, so that each run has the same, each in the numbers' order."""

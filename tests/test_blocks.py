@@ -81,6 +81,19 @@ def test_averaged_descent_is_that_of_its_partitions(packed):
     assert np.allclose(D.descend_blocks(packed, "averaged", 0.1, 5, exchange=2, tasks=3), w)
 
 
+def test_a_barrier_stage_keeps_in_memory_what_it_may(packed, monkeypatch):
+    """Blocks beyond that are read from a file in each pass, with the same result."""
+    w = D.descend_blocks(packed, "averaged", 0.1, 4, exchange=2, tasks=3)
+    monkeypatch.setattr(K, "HELD_BYTES", 3000)
+    assert np.array_equal(D.descend_blocks(packed, "averaged", 0.1, 4, exchange=2, tasks=3), w)
+    held, blocks = K.Held(2, 100), [(np.full((n, 2), float(n)), np.full(n, n / 2), np.full(n, n)) for n in (2, 9, 1)]
+    for block in blocks:
+        held.add(block)
+    assert (len(held), len(held.memory)) == (3, 1)
+    for _ in range(2):
+        assert all(np.array_equal(a, b) for got, block in zip(held, blocks, strict=True) for a, b in zip(got, block, strict=True))
+
+
 def test_a_barrier_stage_that_cannot_hold_its_blocks_raises(packed, monkeypatch):
     monkeypatch.setattr(K, "TASK_BYTES", 100)
     with pytest.raises(ValueError, match="more than"):
