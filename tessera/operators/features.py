@@ -2,18 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import materialise
+
+MOST_BROADCAST = 2_000_000  # keys; beyond that rows are shuffled
+
+
+def _moments(columns: list[str]) -> Column:
+    means = [F.avg(c) for c in columns]
+    pairs = [F.covar_samp(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    return F.array(*means, *pairs)
+
 
 def mean_and_covariance(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, features): the columns' means, then their sample covariances for i <= j, row by row.
 
     One row in a group leaves its covariances null.
     """
-    means = [F.avg(c) for c in columns]
-    pairs = [F.covar_samp(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    return df.groupBy(key).agg(F.array(*means, *pairs).alias("features"))
+    return df.groupBy(key).agg(_moments(columns).alias("features"))
+
+
+def rounded_mean_and_covariance(df: DataFrame, key: str, columns: list[str], order: list[Column], decimals: tuple[int, int] = (4, 2)) -> DataFrame:
+    """``mean_and_covariance``, means and covariances rounded, as if the rows were added up in the order of ``order``.
+
+    A sum of doubles depends on the order of its terms, which decides how a value next to a half of the last
+    decimal is rounded. Groups are combined as Spark does it; those with a value so near to a half that the
+    rounding errors of two orders could lie on both sides are added up again from their rows in order. Such a
+    group's rows go through one task, sorted, one at a time, since each sum starts from the one before.
+    """
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    scale = F.array(*[F.lit(10.0 ** decimals[0])] * k, *[F.lit(10.0 ** decimals[1])] * len(pairs))
+    names, places = [f"c{i}" for i in range(k)], [f"place{i}" for i in range(len(order))]
+    named = [F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]
+    whole = reduce(Column.__and__, [F.col(n).isNotNull() for n in names])
+    once = df.select(F.col(key).alias("key"), *named).groupBy("key").agg(_moments(names).alias("features"), F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("whole"))
+    # two orders of n terms differ by less than 4n + 16 roundings of a term as large as the root of the mean square;
+    # a covariance leaves rows with a null out
+    size = [f"sqrt(features[{i}] * features[{i}] + coalesce(features[{k + pairs.index((i, i))}], 0D))" for i in range(k)]
+    error = [f"size[{i}]" for i in range(k)] + [f"n / greatest(whole - 1, 1) * size[{i}] * size[{j}]" for i, j in pairs]
+    once = once.withColumn("size", F.expr(f"array({', '.join(size)})")).withColumn("error", F.expr(f"array({', '.join(error)})"))
+    within = F.zip_with("error", scale, lambda e, s: e * s * (4 * F.col("n") + 16) * 2.0**-53)
+    to_half = F.zip_with("features", scale, lambda x, s: F.abs(F.abs(x * s) % 1 - 0.5))
+    near = F.exists(F.zip_with(to_half, within, lambda x, e: F.coalesce(x <= e, F.lit(False))), lambda b: b)
+    once = materialise(once.select("key", "features", near.alias("near")), "moments", few=True)
+    again = once.where("near").select("key")
+    if again.count() <= MOST_BROADCAST:
+        again = F.broadcast(again)
+    rows = df.select(F.col(key).alias("of"), *named, *[o.alias(p) for o, p in zip(order, places, strict=True)])
+    rows = rows.join(again, F.col("of").eqNullSafe(F.col("key")), "left_semi").repartition("of").sortWithinPartitions("of", *places)
+    exact = rows.groupBy("of").agg(_moments(names).alias("exact"))
+    found = once.join(exact, F.col("key").eqNullSafe(F.col("of")), "left").select(F.col("key").alias(key), F.expr("coalesce(if(near, exact, null), features)").alias("features"))
+    # as SQL rounds a double: the nearest integer to the value times a power of ten
+    rounded = F.zip_with("features", scale, lambda x, s: F.when(F.abs(x * s) == float("inf"), x).otherwise(F.round(x * s) / s))
+    return found.select(key, rounded.alias("features"))
 
 
 def mean_and_covariance_of_rows(df: DataFrame, key: str, matrix: str, width: int = 12) -> DataFrame:

@@ -275,10 +275,12 @@ _COV = ", ".join([f"round(avg({c}), 4)" for c in _M] + [f"round(covar_samp({a},
 
 @query("a20_mean_covariance", f"SELECT l_suppkey, [{_COV}] AS features FROM lineitem GROUP BY l_suppkey")
 def _(spark, d):
-    from tessera.operators.features import mean_and_covariance
+    """Sums as of rows in the order of the files' names and, in a file, of its rows: that of the SQL on one thread."""
+    from tessera.operators.features import rounded_mean_and_covariance
 
-    f = mean_and_covariance(load_all(spark, d, "lineitem")["lineitem"], "l_suppkey", _M)
-    return f.select("l_suppkey", F.concat(F.transform(F.slice("features", 1, 4), lambda x: F.round(x, 4)), F.transform(F.slice("features", 5, 10), lambda x: F.round(x, 2) + 0.0)).alias("features"))
+    li = load_all(spark, d, "lineitem")["lineitem"]
+    f = rounded_mean_and_covariance(li, "l_suppkey", _M, [D("_metadata.file_path"), D("_metadata.row_index")], (4, 2))
+    return f.select("l_suppkey", F.concat(F.slice("features", 1, 4), F.transform(F.slice("features", 5, 10), lambda x: x + 0.0)).alias("features"))
 
 
 @query("a21_bloom_filter", "SELECT added, CASE WHEN added THEN 'all' ELSE 'few' END AS found FROM (SELECT DISTINCT suffix(CAST(c_custkey AS VARCHAR), '3') AS added FROM customer) t")

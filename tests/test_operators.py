@@ -128,6 +128,37 @@ def test_features_of_one_row_and_bad_width(spark):
         features.mean_and_covariance_of_rows(df, "id", "m", 3).collect()
 
 
+def test_rounded_means_add_up_in_order(spark, tmp_path, monkeypatch):
+    """Means on a half of the fourth decimal: as sums in the rows' order give them, whatever the partitions."""
+    import pandas as pd
+
+    rng = np.random.default_rng(41)
+    cents = rng.integers(100_000, 10_000_000, (400, 32))
+    cents[:, 0] += (4 - cents.sum(1)) % 8  # the 32nd part of 8k + 4 cents has four decimals and a half
+    prices = cents / 100
+    rows = pd.DataFrame({"k": np.tile(np.arange(400), 32), "x": prices.T.ravel(), "y": np.repeat(np.arange(32.0), 400)})
+    rows.loc[rows.k == 399, "k"] = None
+    for part, at in enumerate(np.array_split(np.arange(len(rows)), 5)):
+        rows.iloc[at].astype({"k": "Int64"}).to_parquet(tmp_path / f"part-{part}.parquet")
+    df = spark.read.parquet(str(tmp_path))
+    nulls = df.withColumn("y", F.when(F.col("y") > 0, F.col("y")))
+    for frame, most in ((df, features.MOST_BROADCAST), (nulls, features.MOST_BROADCAST), (df, 0)):
+        monkeypatch.setattr(features, "MOST_BROADCAST", most)
+        found = features.rounded_mean_and_covariance(frame, "k", ["x", "y"], [F.col("_metadata.file_path"), F.col("_metadata.row_index")]).collect()
+        got = {399 if r.k is None else r.k: r.features for r in found}
+        assert len(found) == len(got) == 400
+        for k, x in enumerate(prices.tolist()):
+            total = 0.0
+            for v in x:
+                total += v
+            assert got[k][0] == np.floor(total / 32 * 1e4 + 0.5) / 1e4
+    # what is near no half is as it was
+    plain = {399 if r.k is None else r.k: r.features for r in features.mean_and_covariance(df, "k", ["x", "y"]).collect()}
+    got = {399 if r.k is None else r.k: r.features for r in features.rounded_mean_and_covariance(df, "k", ["x", "y"], [F.col("_metadata.file_path"), F.col("_metadata.row_index")]).collect()}
+    assert all(got[k] == pytest.approx(plain[k], abs=0.0051) for k in got)
+    assert any(got[k][0] != np.floor(plain[k][0] * 1e4 + 0.5) / 1e4 for k in got)  # some do depend on the order
+
+
 def test_descent_learns(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(800, 2))
