@@ -255,14 +255,16 @@ def fit(
     Bounds: per language at most ``rows_per_language`` rows and ``letters_per_language`` characters, or fewer
     where languages are so many that ``letters_in_all`` would be passed. Rows whose texts are short enough for
     many to fit come first, by hash of the id, longer ones by length, so a language with many short rows learns
-    from these alone. Texts are learned whole, but for a language whose first row is longer than its bound: it
-    learns that row's first ``letters_per_language`` characters. No more than these goes to the driver.
+    from these alone. Texts are learned whole. A language whose first row is longer than its bound learns that row
+    alone, whole up to the language's share of ``letters_in_all``, which is all that the driver can hold; only
+    beyond that is it cut. So no more than ``letters_in_all`` characters go to the driver.
     """
     rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     languages = rows.select(lang_col).distinct().count()
     if not languages:
         return None
-    most = min(letters_per_language, letters_in_all // languages)
+    at_most = letters_in_all // languages
+    most = min(letters_per_language, at_most)
     share = max(200, 4 * most // rows_per_language)
     h = F.xxhash64(F.lit(17), F.col(id_col))
     light = rows.select(
@@ -279,7 +281,7 @@ def fit(
     # a broadcast of rows_per_language ids a language at most
     whole = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     same = (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")) & (F.length("t") == F.col("__n"))
-    found = whole.join(F.broadcast(picked.distinct()), same, "left_semi").select("id", "lang", F.substring("t", 1, most).alias("t")).distinct().collect()
+    found = whole.join(F.broadcast(picked.distinct()), same, "left_semi").select("id", "lang", F.substring("t", 1, at_most).alias("t")).distinct().collect()
     samples: dict[str, list[np.ndarray]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["id"], r["t"])):
         samples.setdefault(r["lang"], []).append(np.append(encode(r["t"]), np.uint16(0)))

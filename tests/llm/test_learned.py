@@ -184,6 +184,17 @@ def test_samples_are_whole_texts(spark):
     assert 9 <= (few.phrases([langid.encode(rows[i][1]) for i in range(100)])[:, 0] == 1).sum() <= 10
 
 
+def test_a_long_first_text_is_whole_within_the_share(spark):
+    """Above its own bound a language's first text is whole up to the share of all letters, beyond that cut there."""
+    rng = random.Random(41)
+    rows = [(0, text_of(rng, "abcdefg", 400)[:900], "aa"), (1, text_of(rng, "hijklmn", 900)[:2500], "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.fit(docs, F.lit(True), letters_per_language=100, letters_in_all=2000)
+    whole, cut = langid.encode(rows[0][1].strip()), langid.encode(rows[1][1])
+    assert parser.phrases([whole])[0, 0] == 1
+    assert parser.phrases([cut[:1000]])[0, 1] == 1 and parser.phrases([cut])[0, 1] > 2
+
+
 def test_long_texts_against_longest_matches(monkeypatch):
     """Texts of many pieces have the phrases of the whole, in chunks of the sample, in noise and in both."""
     rng = random.Random(22)
