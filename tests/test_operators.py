@@ -159,6 +159,38 @@ def test_rounded_means_add_up_in_order(spark, tmp_path, monkeypatch):
     assert any(got[k][0] != np.floor(plain[k][0] * 1e4 + 0.5) / 1e4 for k in got)  # some do depend on the order
 
 
+def test_rounded_means_add_up_row_groups(spark, tmp_path):
+    """Means on a half of the fourth decimal: as sums of the row groups' sums give them, as of threads that have one each."""
+    import pandas as pd
+
+    rng = np.random.default_rng(42)
+    cents = rng.integers(100_000, 10_000_000, (400, 32))
+    cents[:, 0] += (4 - cents.sum(1)) % 8
+    prices = cents / 100
+    rows = pd.DataFrame({"k": np.tile(np.arange(400), 32), "x": prices.T.ravel(), "y": np.repeat(np.arange(32.0), 400)})
+    folder = tmp_path / "a b.parquet"
+    folder.mkdir()
+    rows.iloc[:6400].to_parquet(folder / "part 0.parquet", row_group_size=3200)
+    rows.iloc[6400:].to_parquet(folder / "part 1.parquet", row_group_size=3200)
+    df = spark.read.parquet(str(folder))
+    for frame in (df, df.withColumn("y", F.when(F.col("y") > 0, F.col("y")))):
+        at = features.in_row_groups(frame, ["k", "x", "y"])
+        assert {(r.part, r["count"]) for r in at.groupBy("part").count().collect()} == {(k, 3200) for k in range(4)}
+        order = [F.col("part"), F.col("row")]
+        got = {r.k: r.features for r in features.rounded_mean_and_covariance(at, "k", ["x", "y"], order, part=F.col("part")).collect()}
+        plain = {r.k: r.features for r in features.mean_and_covariance(frame, "k", ["x", "y"]).collect()}
+        other = 0
+        for k, x in enumerate(prices.tolist()):
+            parts = [0.0] * 4
+            for i, v in enumerate(x):
+                parts[i // 8] += v
+            whole, each = np.add.accumulate(parts)[-1], np.add.accumulate(x)[-1]
+            assert got[k][0] == np.floor(whole / 32 * 1e4 + 0.5) / 1e4
+            assert got[k] == pytest.approx(plain[k], abs=0.0051)
+            other += got[k][0] != np.floor(each / 32 * 1e4 + 0.5) / 1e4
+        assert other  # some do depend on it
+
+
 def test_descent_learns(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(800, 2))
