@@ -76,12 +76,13 @@ class Blocks:
     table: DataFrame
     width: int
     rows: int
+    keep: bool = True
 
     def __post_init__(self) -> None:
         width = self.width
         kept = self.table.select("x", "y", "key").rdd.map(lambda r: (np.frombuffer(r[0]).reshape(-1, width), np.frombuffer(r[1]), np.frombuffer(r[2], np.int64)))
         # what memory can't hold goes to the executors' disks; what an executor loses is read from the table again
-        self.kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+        self.kept = kept.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else kept
 
     def discard(self) -> None:
         self.kept.unpersist()
@@ -160,11 +161,12 @@ class Blocks:
         return self.table.repartition(tasks, "number").sortWithinPartitions("number")
 
 
-def pack(df: DataFrame, features: Column, label: Column, key: Column | None = None, rows_a_block: int = 4096) -> Blocks:
+def pack(df: DataFrame, features: Column, label: Column, key: Column | None = None, rows_a_block: int = 4096, written: bool = True) -> Blocks:
     """Blocks of rows: ``features`` array<double>, ``label`` double, ``key`` long (default: a hash of features and label).
 
     A row with a null among its features, label or key is left out. All rows must have the same number of
-    features; another number raises an error.
+    features; another number raises an error. Blocks that are not ``written`` are made anew by each pass, for a few passes over
+    many rows; these aren't counted.
     """
     key = F.xxhash64(features, label) if key is None else key
     rows = df.select(features.cast("array<double>").alias("f"), label.cast("double").alias("y"), key.cast("long").alias("k"))
@@ -184,5 +186,7 @@ def pack(df: DataFrame, features: Column, label: Column, key: Column | None = No
                 yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (x, y, k))], names=["n", "x", "y", "key"])
 
     packed = rows.mapInArrow(run, "n long, x binary, y binary, key binary").withColumn("number", F.monotonically_increasing_id())
+    if not written:
+        return Blocks(packed, width, -1, keep=False)
     table = materialise(packed, "blocks")
     return Blocks(table, width, int(table.agg(F.sum("n")).first()[0] or 0))

@@ -1,11 +1,13 @@
 """Boosted regression trees of second order over matrix blocks.
 
 Features become bin numbers once: a weighted quantile sketch, merged over the tasks, gives each feature's edges,
-and every distinct value has its own bin where there are no more of them than bins. A level of a tree is one
-pass: tasks sum gradients and Hessians by (node, feature, bin), a tree of tasks adds the sums, and the driver,
+and every distinct value has its own bin where there are no more of them than bins. Rows with the same bin numbers are
+one cell, since every tree gives them the same margin: their number and their labels' sum are all that a sum of gradients
+needs. So rounds read cells, of which there are no more than rows and than products of bins. A level of a tree is one
+pass over them: tasks sum gradients and Hessians by (node, feature, bin), a tree of tasks adds the sums, and the driver,
 which sees only these sums (nodes x features x bins), takes the split of largest gain for every node. Missing
 values (NaN) go to the side where they gain more. A tree's first pass adds the tree
-before it to the rows' margins and keeps these for the other levels; every ``keep`` trees they are computed afresh, so
+before it to the cells' margins and keeps these for the other levels; every ``keep`` trees they are computed afresh, so
 no lineage grows with the trees.
 """
 
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators.blocks import TREE, Blocks, pack
 from tessera.operators.descent import sigmoid
-from tessera.storage import local_frame
+from tessera.storage import discard, local_frame, materialise
 
+#: Cells that a task adds up before it sends them on, cells of a block, and cells whose margin a predicting task remembers.
+CELLS, SENT, KNOWN = 1 << 19, 1 << 16, 1 << 20
 SCHEMA = "tree int, node int, feature int, threshold double, bin int, missing_left boolean, weight double, gain double, cover double"
 
 
@@ -100,18 +104,42 @@ class Boosted:
         return out
 
 
+class Remembered:
+    """A model's margins, computed once for all rows between the same thresholds, while there may be no more than ``KNOWN`` such cells."""
+
+    def __init__(self, model: Boosted):
+        self.model, self.ends = model, {}
+        for f in {int(f) for t in model.trees for f in t.feature if f >= 0}:
+            self.ends[f] = np.unique(np.concatenate([t.threshold[t.feature == f] for t in model.trees]))
+        # after the last threshold there is one place more, and one for missing values
+        cells = np.prod([len(e) + 2.0 for e in self.ends.values()])
+        self.margin = np.full(int(cells), np.nan) if cells <= KNOWN else None
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        if self.margin is None:
+            return self.model.margins(x)
+        at = np.zeros(len(x), np.int64)
+        for f, e in self.ends.items():
+            at = at * (len(e) + 2) + np.where(np.isnan(x[:, f]), len(e) + 1, np.searchsorted(e, x[:, f]))
+        new, first = np.unique(at[np.isnan(self.margin[at])], return_index=True)
+        if len(new):
+            self.margin[new] = self.model.margins(x[np.flatnonzero(np.isnan(self.margin[at]))[first]])
+        return self.margin[at]
+
+
 def predict(df: DataFrame, model: Boosted, features: Column, name: str = "prediction") -> DataFrame:
     """Adds the predicted value (for the logistic loss the probability); null features give null, NaN counts as missing."""
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        remembered = Remembered(model)
         for batch in batches:
             known = batch.is_valid().to_numpy(zero_copy_only=False)
             lists = batch.drop_null()
             out = np.full(len(batch), np.nan)
             if len(lists):
                 # a null among the features counts as NaN
-                m = model.margins(np.asarray(lists.flatten().to_numpy(zero_copy_only=False), float).reshape(len(lists), -1))
+                m = remembered.margins(np.asarray(lists.flatten().to_numpy(zero_copy_only=False), float).reshape(len(lists), -1))
                 out[known] = m if model.loss == "squared" else sigmoid(m)
             yield pa.array(out, mask=~known)
 
@@ -161,12 +189,60 @@ def quantile_edges(rows: Blocks, bins: int, weight=None) -> list[np.ndarray]:
     return [_summary(v, w, bins)[0] for v, w in _reduce(rows.kept.mapPartitions(sketch), merge)]
 
 
-def _slopes(loss: str, margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and Hessian of the loss at the margin."""
+def _slopes(loss: str, margin: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the loss's gradients and Hessians at the margin, over ``n`` rows whose labels' sum is ``y``."""
     if loss == "squared":
-        return margin - y, np.ones(len(y))
+        return n * margin - y, n
     p = sigmoid(margin)
-    return p - y, p * (1 - p)
+    return n * p - y, n * p * (1 - p)
+
+
+def _merged(b: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal rows of ``b`` once, with the sums of n and y."""
+    size = [int(m) + 1 for m in b.max(axis=0)]
+    if np.prod(np.array(size, float)) < 2.0**62:
+        code = np.zeros(len(b), np.int64)
+        for f, m in enumerate(size):
+            code = code * m + b[:, f]
+    else:
+        code = np.ascontiguousarray(b).view(np.dtype((np.void, b.shape[1] * b.itemsize)))[:, 0]
+    _, first, own = np.unique(code, return_index=True, return_inverse=True)
+    return b[first], np.bincount(own, n), np.bincount(own, y)
+
+
+def _cells(rows: Blocks, binned, spark: SparkSession) -> DataFrame:
+    """(bins binary, n, y): the written cells, added up block by block in each task, and then by their bins."""
+
+    def run(blocks: Iterator) -> Iterator[tuple]:
+        held, size = [], 0
+        for x, y, _ in blocks:
+            b = binned(x)
+            held.append((b, np.ones(len(b)), y))
+            size += len(b)
+            if size >= CELLS:
+                held = [_merged(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > CELLS // 2:  # they hardly repeat
+                    yield from sent(held)
+                    held, size = [], 0
+        if held:
+            yield from sent([_merged(*(np.concatenate(c) for c in zip(*held, strict=True)))])
+
+    def sent(held: list) -> Iterator[tuple]:
+        for b, n, y in held:
+            for lo in range(0, len(b), SENT):
+                part = b[lo : lo + SENT]
+                yield bytearray(part.tobytes()), bytearray(n[lo : lo + SENT].tobytes()), bytearray(y[lo : lo + SENT].tobytes()), part.shape[1] * part.itemsize
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bins, n, y, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(bins) // width, [None, pa.py_buffer(bins)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.frombuffer(n)), pa.array(np.frombuffer(y))], names=["bins", "n", "y"])
+
+    parts = spark.createDataFrame(rows.kept.mapPartitions(run), "bins binary, n binary, y binary, width int")
+    cells = parts.mapInArrow(spread, "bins binary, n double, y double").groupBy("bins").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    return materialise(cells, "cells", few=False)
 
 
 def _best_splits(sums: np.ndarray, ridge: float, least_gain: float, least_child: float) -> list[tuple | None]:
@@ -206,7 +282,8 @@ def boost(
     least sum of Hessians of a child, ``ridge`` what is added to it, ``rate`` what a leaf's weight is multiplied
     by. Rows with a null feature or label are left out, NaN is a missing value. Without rows there are no trees.
     """
-    rows = pack(df, features, label)
+    # read twice, for edges and for cells; no copy of the rows is written or kept
+    rows = pack(df, features, label, key=F.lit(0), written=False)
     try:
         return boost_blocks(rows, trees, depth, rate, ridge, least_gain, least_child, bins, loss, keep)
     finally:
@@ -217,20 +294,30 @@ def boost_blocks(rows: Blocks, trees: int, depth: int, rate: float, ridge: float
     """``boost`` over rows that are packed already."""
     if loss not in ("squared", "logistic"):
         raise ValueError(f"unknown loss {loss!r}")
-    if not rows.rows:
+    if not rows.width:
         return Boosted(0.0, depth, loss)
-    mean = rows.total(lambda blocks, s, k: np.array([sum(float(y.sum()) for _, y, _ in blocks)]), np.zeros(0))[0] / rows.rows
-    model = Boosted(mean if loss == "squared" else float(np.log(max(mean, 1e-9) / max(1 - mean, 1e-9))), depth, loss)
     edges = quantile_edges(rows, bins)
     last = max(len(e) for e in edges)
     small = np.uint8 if last < 256 else np.uint16
 
-    def binned(block: tuple) -> tuple:
-        x, y, _ = block
+    def binned(x: np.ndarray) -> np.ndarray:
         b = np.column_stack([np.where(np.isnan(x[:, f]), last, np.minimum(np.searchsorted(e, x[:, f]), max(len(e) - 1, 0))) for f, e in enumerate(edges)])
-        return b.astype(small), y
+        return b.astype(small)
+
+    cells, width = _cells(rows, binned, rows.table.sparkSession), rows.width
+    count, total = cells.agg(F.sum("n"), F.sum("y")).first()
+    mean = total / count
+    model = Boosted(mean if loss == "squared" else float(np.log(max(mean, 1e-9) / max(1 - mean, 1e-9))), depth, loss)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SENT):
+                part = batch.slice(lo, SENT)
+                b = b"".join(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (b, *(np.asarray(part.column(c), float).tobytes() for c in (1, 2)))], names=["bins", "n", "y"])
 
-    source = rows.kept.map(binned).persist(StorageLevel.MEMORY_AND_DISK)
+    packed = cells.mapInArrow(blocks, "bins binary, n binary, y binary").rdd
+    source = packed.map(lambda r: (np.frombuffer(r[0], small).reshape(-1, width), np.frombuffer(r[2]), np.frombuffer(r[1]))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def put(tree: Tree, i: int, sums: np.ndarray) -> None:
         """A node's weight as if it were a leaf, from its rows' gradients and Hessians."""
@@ -245,7 +332,7 @@ def boost_blocks(rows: Blocks, trees: int, depth: int, rate: float, ridge: float
         if number:
             before, newest = kept, model.trees[-1]
             if number % keep:
-                kept = keep_margins(before.map(lambda r, newest=newest: (r[0], r[1], r[2] + _margin(r[0], 0.0, [newest], depth, last))))
+                kept = keep_margins(before.map(lambda r, newest=newest: (*r[:3], r[3] + _margin(r[0], 0.0, [newest], depth, last))))
             else:
                 fresh = list(model.trees)
                 kept = keep_margins(source.map(lambda r, fresh=fresh: (*r, _margin(r[0], model.base, fresh, depth, last))))
@@ -256,8 +343,8 @@ def boost_blocks(rows: Blocks, trees: int, depth: int, rate: float, ridge: float
 
             def histogram(parts: Iterator, tree=tree, level=level, first=first) -> Iterator[np.ndarray]:
                 out = None
-                for b, y, margin in parts:
-                    g, h = _slopes(loss, margin, y)
+                for b, y, n, margin in parts:
+                    g, h = _slopes(loss, margin, y, n)
                     at = tree.of_bins(b, level, last) - first
                     own = at >= 0  # rows of a leaf above stay there
                     if out is None:
@@ -288,6 +375,7 @@ def boost_blocks(rows: Blocks, trees: int, depth: int, rate: float, ridge: float
             before.unpersist()
     source.unpersist()
     kept.unpersist()
+    discard(cells)
     return model
 
 

@@ -213,3 +213,26 @@ def test_kept_margins_are_those_of_all_trees(spark):
         assert len(m.trees) == 5
         for one, other in zip(m.trees, models[0].trees, strict=True):
             assert (one.feature == other.feature).all() and (one.bin == other.bin).all() and abs(one.weight - other.weight).max() < 1e-9
+
+
+def test_rounds_read_cells_not_rows(spark, monkeypatch):
+    """Rows with the same bins are one cell, whatever their labels; the trees are those of all rows, and predictions those of the trees."""
+    from tessera.operators import boosting
+
+    seen = []
+    monkeypatch.setattr(boosting, "materialise", lambda df, *a, f=boosting.materialise, **b: (seen.append(f(df, *a, **b)), seen[-1])[1])
+    df = spark.range(6000).selectExpr("double(id % 7) AS a", "CASE WHEN id % 11 = 0 THEN double('NaN') ELSE double(id % 5) END AS b", "double(id) AS l")
+    df = df.selectExpr("*", "a * a + CASE WHEN isnan(b) THEN 40 ELSE b END + l % 3 AS y").repartition(5)
+    rows = np.array(df.select("a", "b", "y").collect(), float)
+    x, y = rows[:, :2], rows[:, 2:]
+    monkeypatch.setattr(boosting, "discard", lambda df: seen.append(df.count()))
+    model = boosting.boost(df, F.array("a", "b"), F.col("y"), trees=4, depth=3)
+    assert seen[1:] == [7 * 6] and model.base == pytest.approx(y.mean())
+    # the first split, from all rows
+    t, g = model.trees[0], y.mean() - y[:, 0]
+    left = ~(x[:, t.feature[0]] > t.threshold[0])
+    assert t.cover[1] == left.sum() and t.weight[1] == pytest.approx(-g[left].sum() / (left.sum() + 1) * 0.3)
+    for known in (boosting.KNOWN, 0):
+        monkeypatch.setattr(boosting, "KNOWN", known)
+        r = boosting.Remembered(model)
+        assert (r.margins(x[:50]) == model.margins(x[:50])).all() and (r.margins(x) == model.margins(x)).all()
