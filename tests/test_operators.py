@@ -340,6 +340,25 @@ def test_dense_buckets_are_dealt_out(spark):
     assert got == {(f"p{i}", f"p{j}") for i in range(300) for j in range(300) if i != j and np.linalg.norm(x[i] - x[j]) < 0.1}
 
 
+def test_lists_of_dense_buckets_are_made_without_pairs(spark, monkeypatch):
+    """Where most rows share buckets no pair is shuffled, and the lists are those of the way by buckets, whatever the ids' type."""
+    monkeypatch.setattr(graph, "CHUNK", 37)
+    monkeypatch.setattr(graph, "BITS", 250 * 20)
+    x = np.random.default_rng(8).normal(size=(250, 3))
+    df = spark.createDataFrame([(i * 7 % 250, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    odd = df.unionByName(spark.createDataFrame([(None, [0.0, 0.0, 0.0])], "id long, v array<double>"))
+    for kind in (odd, df.selectExpr("concat('p', id) AS id", "v")):
+        found = {}
+        for dense in (0.25, float("inf")):
+            monkeypatch.setattr(graph, "DENSE", dense)
+            lists = graph.similarity_graph(kind, 0.7, components=None, bucket=3.0, tables=2)
+            found[dense] = {r.id: r.neighbors for r in lists.collect()}
+            assert ("collect_list" in lists._jdf.queryExecution().executedPlan().toString()) == (dense > 1)
+        assert found[0.25] == found[float("inf")] and len(found[0.25]) > 200
+        assert all(i not in near and near == sorted(near) for i, near in found[0.25].items())
+    assert graph.similarity_graph(df.limit(1), 0.7, components=None).count() == 0
+
+
 def test_pairs_of_several_shared_buckets_leave_one_block(spark, monkeypatch):
     """What is shuffled after the comparison has each pair once in either direction, not once a table, and nothing makes pairs distinct."""
     from pyspark.ml.functions import array_to_vector
