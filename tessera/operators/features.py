@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tessera.storage import local_frame, materialise
 
 MOST_BROADCAST = 2_000_000  # keys; beyond that rows are shuffled
-SLASHES = ":/+"  # a file's name has one slash or three after its scheme
 
 
 def _moments(columns: list[str]) -> Column:
@@ -59,10 +58,11 @@ def in_row_groups(df: DataFrame, columns: list[str]) -> DataFrame:
             counts = [block.getRowCount() for block in reader.getFooter().getBlocks()]
         finally:
             reader.close()
-        rows.append((re.sub(SLASHES, ":/", file, count=1), before, [sum(counts[:i]) for i in range(len(counts))]))
+        # a file's name has one slash or three after its scheme
+        rows += [(name, before, [sum(counts[:i]) for i in range(len(counts))]) for name in {file, re.sub(":/+", ":/", file, count=1)}]
         before += len(counts)
     starts = local_frame(df.sparkSession, rows, "file string, before long, starts array<long>")
-    file, row = F.regexp_replace("_metadata.file_path", f"^([^/]*?){SLASHES}", "$1:/"), F.col("_metadata.row_index")
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     rows = df.select(*columns, file.alias("file"), row.alias("row")).join(F.broadcast(starts), "file", "left")
     part = F.col("before") + F.size(F.filter("starts", lambda s: s <= F.col("row"))) - 1
     return rows.select(*columns, F.coalesce(part, F.lit(-1)).alias("part"), "row")

@@ -351,7 +351,7 @@ def test_lists_of_dense_buckets_are_made_without_pairs(spark, monkeypatch):
         found = {}
         for dense in (0.25, float("inf")):
             monkeypatch.setattr(graph, "DENSE", dense)
-            lists = graph.similarity_graph(kind, 0.7, components=None, bucket=3.0, tables=2)
+            lists = graph.similarity_graph(kind, 0.7, components=3, bucket=3.0, tables=2)
             found[dense] = {r.id: r.neighbors for r in lists.collect()}
             assert ("collect_list" in lists._jdf.queryExecution().executedPlan().toString()) == (dense > 1)
         assert found[0.25] == found[float("inf")] and len(found[0.25]) > 200
